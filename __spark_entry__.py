@@ -101,12 +101,15 @@ def fleet(spark: SparkSession, sf_dir: str) -> att.Inputs:
     def rooted(df: DataFrame, root_id: str) -> DataFrame:
         return df.withColumn("root_id", F.lit(root_id))
 
-    inventory = (
-        rooted(file_inventory(spark, sf_dir), "vol")
-        .unionByName(rooted(document_inventory(spark, sf_dir), "lake"))
-        .unionByName(rooted(app_inventory(spark, sf_dir), "apps"))
-        .unionByName(rooted(long_path_inventory(spark, sf_dir), "deep"))
-    )
+    def all_roots() -> DataFrame:
+        return (
+            rooted(file_inventory(spark, sf_dir), "vol")
+            .unionByName(rooted(document_inventory(spark, sf_dir), "lake"))
+            .unionByName(rooted(app_inventory(spark, sf_dir), "apps"))
+            .unionByName(rooted(long_path_inventory(spark, sf_dir), "deep"))
+        )
+
+    inventory = fixtures.stored(spark, sf_dir, "fleet", all_roots)
     return att.Inputs(
         inventory=inventory,
         as_of=AS_OF,

@@ -71,11 +71,9 @@ def ancestors(key: Column, depth: Column, sep: str, lowest: Column | int = 0) ->
     return F.when(depth >= lowest, chain)
 
 
-def segments_below_root(path: Column, depth: Column, sep: str) -> Column:
-    """The segments of a path after its root, as an array; empty for the root itself."""
-    levels = F.greatest(depth, F.lit(0)).cast("int")
-    first = segment_count(path, sep) - levels + F.lit(1)
-    return F.slice(F.split(path, quote(sep)), first, levels)
+def last_segments(path: Column, count: Column, sep: str) -> Column:
+    """The last ``count`` segments of a path; '' for none."""
+    return F.call_function("substring_index", path, F.lit(sep), F.negate(count).cast("int"))
 
 
 def quote(literal: str) -> str:

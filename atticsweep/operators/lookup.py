@@ -11,10 +11,31 @@ from pyspark.sql import types as T
 ROW_OVERHEAD = 16
 
 
+def _estimate(df: DataFrame) -> int | None:
+    """The planner's size estimate; None where there is none to ask (a remote session)."""
+    plan = getattr(df, "_jdf", None)
+    if plan is None:
+        return None
+    return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _planner_limit(df: DataFrame) -> int:
+    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10MB").lower().removesuffix("b")
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    return int(text[:-1]) * units[text[-1]] if text[-1] in units else int(text)
+
+
 def fits(df: DataFrame, limit_bytes: int) -> bool:
-    """Whether all rows together are at most this large; measured by one distributed sum."""
+    """Whether all rows together are at most this large.
+
+    What the planner estimates to be small enough for its own broadcasts needs no
+    measuring; all else is measured by one distributed sum.
+    """
     if limit_bytes <= 0:
         return False
+    estimate = _estimate(df)
+    if estimate is not None and estimate <= min(limit_bytes, _planner_limit(df)):
+        return True
     widths = [
         F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) if isinstance(f.dataType, T.StringType) else F.lit(8)
         for f in df.schema.fields

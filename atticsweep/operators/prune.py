@@ -41,9 +41,10 @@ def below_excluded_name(parent_path: Column, depth: Column, opts: ScanOptions) -
     """Whether a folder between the root and this entry has an excluded name."""
     if not opts.excluded_folders:
         return F.lit(False)
-    names = F.array(*[F.lit(n.upper()) for n in opts.excluded_folders])
-    between = paths.segments_below_root(F.upper(parent_path), depth - F.lit(1), opts.sep)
-    return F.arrays_overlap(between, names)
+    between = paths.last_segments(F.upper(parent_path), depth - F.lit(1), opts.sep)
+    names = "|".join(paths.quote(n.upper()) for n in opts.excluded_folders)
+    sep = paths.quote(opts.sep)
+    return between.rlike(rf"(?:\A|{sep})(?:{names})(?:{sep}|\z)")
 
 
 def reachable_by_path(entries: DataFrame, opts: ScanOptions) -> DataFrame:

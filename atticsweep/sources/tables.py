@@ -18,8 +18,14 @@ def inventory_from_table(df: DataFrame, sep: str = "\\", root: Column | str | No
     stored table: filters on its columns then reach the files.
     """
     have = {c.lower() for c in df.columns}
-    df = df.withColumn("full_path", F.rtrim(F.col("full_path"), F.lit(sep)))
     path = F.col("full_path")
+    if root is not None:
+        top = F.lit(root.rstrip(sep)) if isinstance(root, str) else root
+        top_key, key = F.upper(top), F.upper(path)
+        df = df.filter((key == top_key) | key.startswith(F.concat(top_key, F.lit(sep))))
+        # A root such as C:\ is kept without its separator, like all other folders.
+        df = df.withColumn("full_path", F.when(key == F.concat(top_key, F.lit(sep)), top).otherwise(path))
+        root = top
     if "attributes" in have:
         flags = attributes.decode_attributes(F.coalesce(F.col("attributes"), F.lit(0)))
     else:
@@ -46,10 +52,6 @@ def inventory_from_table(df: DataFrame, sep: str = "\\", root: Column | str | No
         "attributes": given("attributes", F.lit(None)),
         "link_target": given("link_target", F.lit(None)),
     }
-    if root is not None:
-        top = F.upper(F.lit(root) if isinstance(root, str) else root)
-        below = F.upper(path).startswith(F.concat(top, F.lit(sep)))
-        df = df.filter((F.upper(path) == top) | below)
     out = df.select(*[columns[f.name].cast(f.dataType).alias(f.name) for f in INVENTORY_SCHEMA.fields])
     return out.filter(~F.col("name").isin(".", ".."))
 

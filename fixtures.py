@@ -140,6 +140,10 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
         path = tempfile.mkdtemp(prefix=f"{name}-", dir=scratch_folder(spark)) + "/table"
-        build().write.parquet(path)
+        df = build()
+        if spark.sparkContext.master.startswith("local"):
+            # One small file would leave all but one core idle.
+            df = df.repartition(spark.sparkContext.defaultParallelism)
+        df.write.parquet(path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])
