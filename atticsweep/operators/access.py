@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from atticsweep.functions import paths
 from atticsweep.operators import prune
-from atticsweep.operators.lookup import bounded
+from atticsweep.operators.lookup import KeySet, join_keys, settled
 from atticsweep.registry import scanner, to_results
 from atticsweep.schema import ScanOptions
 
@@ -41,17 +41,17 @@ def access_reason(outcome: Column, hresult: Column, exception_name: Column) -> C
     needs=("probes",),
 )
 def unreadable_files(
-    inv: DataFrame, probes: DataFrame, opts: ScanOptions, blocked: DataFrame | None = None
+    inv: DataFrame, probes: DataFrame, opts: ScanOptions, blocked: KeySet | None = None
 ) -> DataFrame:
     """Visible files with a failed access probe. A probe log has one row per file at most."""
     root = F.col("root_id") if "root_id" in probes.columns else F.lit("")
     failed = probes.select(
-        root.alias("probe_root"),
-        paths.key_of(F.col("full_path")).alias("probe_key"),
+        root.alias("key_root"),
+        paths.key_of(F.col("full_path")).alias("key_path"),
         access_reason(F.col("outcome"), F.col("hresult"), F.col("exception_name")).alias("reason"),
     ).filter(F.col("reason").isNotNull())
-    same = (F.col("root_id") == F.col("probe_root")) & (paths.key_of(F.col("full_path")) == F.col("probe_key"))
-    hit = prune.files(inv).join(bounded(failed, opts.broadcast_bytes), same)
+    own = [F.col("root_id"), paths.key_of(F.col("full_path"))]
+    hit = join_keys(prune.files(inv), own, settled(failed, opts.broadcast_bytes), "inner")
     return to_results(
         prune.listed(hit, inv, opts, blocked), "unreadable_files", detail=F.col("reason"), selected=False
     )

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from atticsweep.functions import match, paths
 from atticsweep.operators import prune
-from atticsweep.operators.lookup import bounded, existing_keys
+from atticsweep.operators.lookup import KeySet, existing_keys, join_keys, settled
 from atticsweep.registry import scanner, to_results
 from atticsweep.schema import ScanOptions
+from atticsweep.session import written
 
 # Archive extensions, those that may follow .tar, and the share of
 # members in percent from which a match counts as certain.
@@ -38,7 +39,7 @@ def archive_base_name(name: Column) -> Column:
     run=lambda i, o, blocked: unpacked_archives(i.inventory, i.members, o, blocked),
 )
 def unpacked_archives(
-    inv: DataFrame, members: DataFrame | None, opts: ScanOptions, blocked: DataFrame | None = None
+    inv: DataFrame, members: DataFrame | None, opts: ScanOptions, blocked: KeySet | None = None
 ) -> DataFrame:
     """Archives whose base name is a visible sibling folder, any case.
 
@@ -63,18 +64,16 @@ def unpacked_archives(
         .select("root_id", paths.key_of(F.col("full_path")).alias("path_key"))
     )
     wanted = archives.select("root_id", F.col("folder_key").alias("path_key"))
-    beside = existing_keys(wanted, open_folders, opts.broadcast_bytes).withColumnRenamed("path_key", "folder_key")
-    matched = archives.join(beside, ["root_id", "folder_key"], "left_semi")
+    beside = existing_keys(wanted, open_folders, opts.broadcast_bytes)
+    matched = join_keys(archives, [F.col("root_id"), F.col("folder_key")], beside, "left_semi")
 
     if members is None:
-        shares = None
         percent = F.lit(None).cast("int")
     else:
-        shares = _found_shares(matched, members, inv, opts)
-        same = (F.col("root_id") == F.col("share_root")) & (
-            paths.key_of(F.col("full_path")) == F.col("archive_key")
-        )
-        matched = matched.join(shares, same, "left")
+        # A short list that both the shares and the outcome start from.
+        matched = written(matched)
+        shares = settled(_found_shares(matched, members, inv, opts), opts.broadcast_bytes)
+        matched = join_keys(matched, [F.col("root_id"), paths.key_of(F.col("full_path"))], shares, "left")
         percent = F.col("percent")
     folder = F.concat(F.col("base"), F.lit("/"))
     certain = percent >= CERTAIN_PERCENT
@@ -90,34 +89,33 @@ def unpacked_archives(
 def _found_shares(matched: DataFrame, members: DataFrame, inv: DataFrame, opts: ScanOptions) -> DataFrame:
     """Per zip archive the whole percentage of its member files that exist where they would unpack to."""
     zips = matched.filter(F.upper("name").endswith(".ZIP")).select(
-        F.col("root_id").alias("zip_root"), paths.key_of(F.col("full_path")).alias("zip_key"), "folder_key"
+        F.col("root_id").alias("key_root"), paths.key_of(F.col("full_path")).alias("key_path"), "folder_key"
     )
     root = F.col("root_id") if "root_id" in members.columns else F.lit("")
     entry = F.col("entry_name")
     listed = members.filter(~(entry.endswith("/") | entry.endswith("\\"))).select(
-        root.alias("share_root"),
+        root.alias("root_id"),
         paths.key_of(F.col("archive_path")).alias("archive_key"),
         F.replace(entry, F.lit("/"), F.lit(opts.sep)).alias("entry"),
     )
-    same = (F.col("share_root") == F.col("zip_root")) & (F.col("archive_key") == F.col("zip_key"))
-    expected = listed.join(bounded(zips, opts.broadcast_bytes), same).select(
-        "share_root",
+    archive = [F.col("root_id"), F.col("archive_key")]
+    own_zip = settled(zips, opts.broadcast_bytes)
+    expected = join_keys(listed, archive, own_zip, "inner", spread=F.col("entry")).select(
+        "root_id",
         "archive_key",
         F.concat(F.col("folder_key"), F.lit(opts.sep), F.upper("entry")).alias("expected_key"),
     )
     on_disk = prune.files(inv).select("root_id", paths.key_of(F.col("full_path")).alias("path_key"))
-    wanted = expected.select(F.col("share_root").alias("root_id"), F.col("expected_key").alias("path_key"))
-    found = existing_keys(wanted, on_disk, opts.broadcast_bytes).select(
-        F.col("root_id").alias("found_root"), F.col("path_key").alias("found_key")
-    )
-    exists = (F.col("share_root") == F.col("found_root")) & (F.col("expected_key") == F.col("found_key"))
+    wanted = expected.select("root_id", F.col("expected_key").alias("path_key"))
+    found = existing_keys(wanted, on_disk, opts.broadcast_bytes)
+    found = KeySet(found.df.withColumn("exists", F.lit(True)), found.small)
     return (
-        expected.join(found, exists, "left")
-        .groupBy("share_root", "archive_key")
-        .agg(F.count("found_key").alias("found"), F.count(F.lit(1)).alias("total"))
+        join_keys(expected, [F.col("root_id"), F.col("expected_key")], found, "left")
+        .groupBy(F.col("root_id").alias("key_root"), F.col("archive_key").alias("key_path"))
+        .agg(F.count("exists").alias("found"), F.count(F.lit(1)).alias("total"))
         .select(
-            "share_root",
-            "archive_key",
+            "key_root",
+            "key_path",
             F.floor(F.col("found") * F.lit(100.0) / F.col("total")).cast("int").alias("percent"),
         )
     )

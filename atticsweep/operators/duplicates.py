@@ -16,13 +16,16 @@ from pyspark.sql import functions as F
 
 from atticsweep.functions import match, paths
 from atticsweep.operators import prune
+from atticsweep.operators.lookup import KeySet, settled
 from atticsweep.registry import scanner, to_results
 from atticsweep.schema import ScanOptions
+from atticsweep.session import written
 from atticsweep.sources.storage import PREFIX_BYTES, read_digests
 
 # Bits of a size kept to tell size classes apart: at most 64 * 2^10 classes.
 CLASS_BITS = 10
 PREFIX_DIGITS = 4
+HOT_COPIES = 1_000_000
 
 
 def size_candidates(files: DataFrame) -> DataFrame:
@@ -91,10 +94,27 @@ def number_groups(groups: DataFrame) -> DataFrame:
     )
 
 
-def keep_oldest(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """Members with their group's columns and ``is_selected``: true for all but the oldest copy."""
+def keep_oldest(members: DataFrame, groups: DataFrame, limit_bytes: int = 0, hot: int = HOT_COPIES) -> DataFrame:
+    """Members with their group's columns and ``is_selected``: true for all but the oldest copy.
+
+    A group list that may be broadcast is. Of a larger one, only groups with at least
+    ``hot`` copies are (there are at most as many as members / ``hot``); their members
+    stay out of the shuffle, in which each key then has fewer rows than that.
+    """
     keys = ["root_id", "size_bytes", "hash"]
-    return members.join(groups, keys).withColumn("is_selected", F.col("full_path") != F.col("keep_path"))
+
+    def joined(rows: DataFrame, to: DataFrame) -> DataFrame:
+        return rows.join(to, keys).withColumn("is_selected", F.col("full_path") != F.col("keep_path"))
+
+    known = settled(groups, limit_bytes)
+    if known.small:
+        return joined(members, known.hinted())
+    large = settled(known.df.filter(F.col("n") >= hot), limit_bytes)
+    if not large.small:
+        return joined(members, known.df)
+    rest = members.join(F.broadcast(large.df.select(*keys)), keys, "left_anti")
+    rare = known.df.filter(F.col("n") < hot)
+    return joined(members, large.hinted()).unionByName(joined(rest, rare))
 
 
 def _digests(contents: DataFrame) -> DataFrame:
@@ -106,7 +126,7 @@ def _digests(contents: DataFrame) -> DataFrame:
     )
 
 
-def candidate_files(inv: DataFrame, opts: ScanOptions, blocked: DataFrame | None = None) -> DataFrame:
+def candidate_files(inv: DataFrame, opts: ScanOptions, blocked: KeySet | None = None) -> DataFrame:
     """Visible, non-empty files within the size bounds."""
     sized = prune.files(inv).filter(match.size_between(F.col("size_bytes"), opts.min_size, opts.max_size))
     return prune.listed(sized, inv, opts, blocked).select("root_id", "full_path", "size_bytes", "modified")
@@ -144,7 +164,7 @@ def staged_members(files: DataFrame, digest_of=read_digests) -> DataFrame:
     needs=("contents",),
 )
 def duplicate_files(
-    inv: DataFrame, contents: DataFrame | None, opts: ScanOptions, blocked: DataFrame | None = None
+    inv: DataFrame, contents: DataFrame | None, opts: ScanOptions, blocked: KeySet | None = None
 ) -> DataFrame:
     """Groups of files with equal SHA-256 in a root; all but the oldest of each are selected.
 
@@ -158,11 +178,12 @@ def duplicate_files(
         same = (F.col("root_id") == F.col("digest_root")) & (
             paths.key_of(F.col("full_path")) == F.col("digest_key")
         )
-        members = files.join(_digests(contents), same).drop("digest_root", "digest_key")
-    members = members.select("root_id", "full_path", "size_bytes", "modified", "hash")
-    groups = number_groups(hash_groups(members, F.col("hash")))
+        members = files.join(_digests(contents), same)
+        # Grouping, numbering and the final join all start here; contents are read once.
+        members = written(members.select("root_id", "full_path", "size_bytes", "modified", "hash"))
+    groups = written(number_groups(hash_groups(members, F.col("hash"))))
     return to_results(
-        keep_oldest(members, groups),
+        keep_oldest(members, groups, opts.broadcast_bytes),
         "duplicate_files",
         name=paths.name_of(F.col("full_path"), opts.sep),
         group=F.concat(F.lit("Group "), F.col("group_no").cast("string")),

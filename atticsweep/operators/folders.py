@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from atticsweep.functions import match, paths
 from atticsweep.operators import prune
+from atticsweep.operators.lookup import KeySet, join_keys, settled
 from atticsweep.registry import scanner, to_results
 from atticsweep.schema import ScanOptions
 
@@ -26,7 +27,7 @@ def _keyed_folders(inv: DataFrame, *columns: str) -> DataFrame:
     )
 
 
-def _folder_facts(inv: DataFrame, opts: ScanOptions, blocked: DataFrame | None) -> DataFrame:
+def _folder_facts(inv: DataFrame, opts: ScanOptions, blocked: KeySet | None) -> DataFrame:
     """One row per entered folder; ``has_row`` is false for one that only shows up as a parent path."""
     is_folder = F.col("is_directory")
     zero = F.lit(0).cast("bigint")
@@ -71,10 +72,10 @@ def _folder_facts(inv: DataFrame, opts: ScanOptions, blocked: DataFrame | None)
     )
     if blocked is None:
         blocked = prune.blocked_subtrees(inv, opts)
-    return facts.join(blocked, KEYS, "left_anti")
+    return join_keys(facts, [F.col(k) for k in KEYS], blocked, "left_anti")
 
 
-def folder_stats(inv: DataFrame, opts: ScanOptions, blocked: DataFrame | None = None) -> DataFrame:
+def folder_stats(inv: DataFrame, opts: ScanOptions, blocked: KeySet | None = None) -> DataFrame:
     """Direct files, their size, whether any counts as content, direct subfolders; the root included."""
     facts = _folder_facts(inv, opts, blocked).filter("has_row").drop("has_row", "has_blocked")
     return (
@@ -93,10 +94,12 @@ def folder_stats(inv: DataFrame, opts: ScanOptions, blocked: DataFrame | None =
     )
 
 
-def folder_rollup(inv: DataFrame, sep: str, only: DataFrame | None = None) -> DataFrame:
+def folder_rollup(
+    inv: DataFrame, sep: str, only: KeySet | None = None, limit_bytes: int = ScanOptions.broadcast_bytes
+) -> DataFrame:
     """Size of everything below each folder, not passing through links: (root_id, folder, size_bytes).
 
-    No walk rule applies. ``only`` (root_id, path_key) limits the result to some folders.
+    No walk rule applies. ``only`` (key_root, key_path) limits the result to some folders.
     """
     per_folder = (
         prune.files(inv)
@@ -111,13 +114,19 @@ def folder_rollup(inv: DataFrame, sep: str, only: DataFrame | None = None) -> Da
     links = (
         prune.folders(inv)
         .filter(F.col("is_reparse_point"))
-        .select(F.col("root_id").alias("link_root"), paths.key_of(F.col("full_path")).alias("link_key"))
+        .select(F.col("root_id").alias("key_root"), paths.key_of(F.col("full_path")).alias("key_path"))
     )
     # The lowest link on the way up: sizes below it count for it, and for nothing above.
     key, depth = F.col("path_key"), F.col("depth")
+    chains = per_folder.select(*KEYS, F.explode(paths.ancestors(key, depth, sep)).alias("above"))
     stops = (
-        per_folder.select(*KEYS, F.explode(paths.ancestors(key, depth, sep)).alias("above"))
-        .join(links, (F.col("root_id") == F.col("link_root")) & (F.col("above.key") == F.col("link_key")), "left_semi")
+        join_keys(
+            chains,
+            [F.col("root_id"), F.col("above.key")],
+            settled(links, limit_bytes),
+            "left_semi",
+            spread=F.col("path_key"),
+        )
         .groupBy(*KEYS)
         .agg(F.max("above.depth").alias("stop"))
     )
@@ -131,11 +140,12 @@ def folder_rollup(inv: DataFrame, sep: str, only: DataFrame | None = None) -> Da
         .select("root_id", F.col("above.key").alias("path_key"), "size_bytes")
     )
     own = _keyed_folders(inv, F.col("full_path").alias("folder"))
-    if only is not None:
-        only = only.select(*KEYS)
-        spread = spread.join(only, KEYS, "left_semi")
-        own = own.join(only, KEYS, "left_semi")
+    keys = [F.col(k) for k in KEYS]
+    if only is not None and only.small:
+        spread = join_keys(spread, keys, only, "left_semi")
     totals = spread.groupBy(*KEYS).agg(F.sum("size_bytes").alias("size_bytes"))
+    if only is not None:
+        own = join_keys(own, keys, only, "left_semi")
     return own.join(totals, KEYS, "left").select(
         "root_id", "folder", F.coalesce("size_bytes", F.lit(0).cast("bigint")).alias("size_bytes")
     )
@@ -148,7 +158,7 @@ def folder_rollup(inv: DataFrame, sep: str, only: DataFrame | None = None) -> Da
     order=lambda sep: [paths.segment_count(F.col("full_path"), sep).desc()],
     run=lambda i, o, blocked: empty_folders(i.inventory, o, blocked),
 )
-def empty_folders(inv: DataFrame, opts: ScanOptions, blocked: DataFrame | None = None) -> DataFrame:
+def empty_folders(inv: DataFrame, opts: ScanOptions, blocked: KeySet | None = None) -> DataFrame:
     """Folders with no content in them or in any entered folder below.
 
     Each folder with content marks itself and its ancestors; a folder without a

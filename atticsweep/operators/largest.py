@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from atticsweep.operators import prune
+from atticsweep.operators.lookup import KeySet
 from atticsweep.registry import scanner, to_results
 from atticsweep.schema import ScanOptions
 
@@ -20,7 +21,7 @@ TOP_N = 100
     run=lambda i, o, blocked: big_files(i.inventory, o, blocked=blocked),
 )
 def big_files(
-    inv: DataFrame, opts: ScanOptions, n: int = TOP_N, per_root: bool = False, blocked: DataFrame | None = None
+    inv: DataFrame, opts: ScanOptions, n: int = TOP_N, per_root: bool = False, blocked: KeySet | None = None
 ) -> DataFrame:
     """The ``n`` largest files of all, or of each root; equal sizes by path, descending.
 

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from atticsweep.functions import match, paths
 from atticsweep.operators import prune
 from atticsweep.operators.folders import folder_rollup
-from atticsweep.operators.lookup import bounded
+from atticsweep.operators.lookup import join_keys, settled
 from atticsweep.registry import scanner, to_results
 from atticsweep.schema import ScanOptions
+from atticsweep.session import written
 
 # Folders of the system and of common tools, never reported.
 KNOWN_FOLDERS = (
@@ -120,19 +121,20 @@ def orphaned_app_data(inv: DataFrame, locations: DataFrame, names: DataFrame, op
     folders, known system folders and those under 1 KiB are left out.
     """
     places = locations.select(
-        F.col("root_id").alias("place_root"), paths.key_of(F.col("path")).alias("place_key"), "label"
+        F.col("root_id").alias("key_root"), paths.key_of(F.col("path")).alias("key_path"), "label"
     )
     flagged = F.col("is_reparse_point") | F.col("is_system") | F.col("is_hidden")
-    inside = (F.col("root_id") == F.col("place_root")) & (paths.key_of(F.col("parent_path")) == F.col("place_key"))
-    candidates = (
-        prune.folders(inv)
-        .filter(~flagged & ~match.name_in(F.col("name"), KNOWN_FOLDERS))
-        .join(bounded(places, opts.broadcast_bytes), inside)
-        .select("root_id", "full_path", "name", "modified", "label")
+    unknown = prune.folders(inv).filter(~flagged & ~match.name_in(F.col("name"), KNOWN_FOLDERS))
+    parent = [F.col("root_id"), paths.key_of(F.col("parent_path"))]
+    candidates = join_keys(
+        unknown, parent, settled(places, opts.broadcast_bytes), "inner", spread=F.col("full_path")
+    ).select("root_id", "full_path", "name", "modified", "label")
+    # Few rows after much matching, used for the sizes and for the outcome.
+    orphans = written(without_related_name(candidates, names))
+    keys = orphans.select(
+        F.col("root_id").alias("key_root"), paths.key_of(F.col("full_path")).alias("key_path")
     )
-    orphans = without_related_name(candidates, names)
-    keys = orphans.select("root_id", paths.key_of(F.col("full_path")).alias("path_key"))
-    sizes = folder_rollup(inv, opts.sep, keys).select(
+    sizes = folder_rollup(inv, opts.sep, settled(keys, opts.broadcast_bytes), opts.broadcast_bytes).select(
         F.col("root_id").alias("size_root"), paths.key_of(F.col("folder")).alias("size_key"), "size_bytes"
     )
     same = (F.col("root_id") == F.col("size_root")) & (paths.key_of(F.col("full_path")) == F.col("size_key"))

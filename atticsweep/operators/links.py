@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from atticsweep.functions import paths
 from atticsweep.operators import prune
-from atticsweep.operators.lookup import existing_keys, fits
+from atticsweep.operators.lookup import KeySet, existing_keys, join_keys, settled
 from atticsweep.registry import scanner, to_results
 from atticsweep.schema import ScanOptions
 
@@ -21,11 +21,9 @@ def _without_target(pointers: DataFrame, inv: DataFrame, opts: ScanOptions) -> D
     pointers = pointers.withColumn("target_key", paths.key_of(clean))
     wanted = pointers.select("root_id", F.col("target_key").alias("path_key"))
     present = inv.select("root_id", paths.key_of(F.col("full_path")).alias("path_key"))
-    found = existing_keys(wanted, present, opts.broadcast_bytes).select(
-        F.col("root_id").alias("found_root"), F.col("path_key").alias("found_key")
-    )
-    same = (F.col("root_id") == F.col("found_root")) & (F.col("target_key") == F.col("found_key"))
-    return pointers.join(found, same, "left_anti")
+    found = existing_keys(wanted, present, opts.broadcast_bytes)
+    target = [F.col("root_id"), F.col("target_key")]
+    return join_keys(pointers, target, found, "left_anti", spread=F.col("full_path"))
 
 
 @scanner(
@@ -34,7 +32,7 @@ def _without_target(pointers: DataFrame, inv: DataFrame, opts: ScanOptions) -> D
     columns=(("Name", "name"), ("Path", "full_path"), ("Type", "detail"), ("Modified", "modified")),
     run=lambda i, o, blocked: broken_links(i.inventory, o, blocked),
 )
-def broken_links(inv: DataFrame, opts: ScanOptions, blocked: DataFrame | None = None) -> DataFrame:
+def broken_links(inv: DataFrame, opts: ScanOptions, blocked: KeySet | None = None) -> DataFrame:
     """Link entries of entered folders whose target is not in the inventory.
 
     Link folders are judged whatever their flags or name. Links without a recorded
@@ -81,7 +79,7 @@ def expand_variables(text: Column, variables: Column) -> Column:
     run=lambda i, o, blocked: broken_shortcuts(i.inventory, i.env, o, blocked),
 )
 def broken_shortcuts(
-    inv: DataFrame, env: DataFrame | None, opts: ScanOptions, blocked: DataFrame | None = None
+    inv: DataFrame, env: DataFrame | None, opts: ScanOptions, blocked: KeySet | None = None
 ) -> DataFrame:
     """``.lnk`` files whose stored target, variables expanded, is not in the inventory.
 
@@ -95,14 +93,14 @@ def broken_shortcuts(
         links = links.withColumn("target", F.col("link_target"))
     else:
         pair = F.struct(F.upper("name"), F.col("value"))
-        per_root = env.groupBy(F.col("root_id").alias("env_root")).agg(
+        per_root = env.groupBy(F.col("root_id").alias("key_root")).agg(
             F.map_from_entries(F.array_agg(pair)).alias("variables")
         )
-        if fits(env, opts.broadcast_bytes):
-            per_root = F.broadcast(per_root)
+        variables = KeySet(per_root, settled(env, opts.broadcast_bytes).small)
+        links = join_keys(links, [F.col("root_id")], variables, "left", spread=F.col("full_path"))
         target = F.when(
             F.contains(F.col("link_target"), F.lit("%")) & F.col("variables").isNotNull(),
             expand_variables(F.col("link_target"), F.col("variables")),
         ).otherwise(F.col("link_target"))
-        links = links.join(per_root, F.col("root_id") == F.col("env_root"), "left").withColumn("target", target)
+        links = links.withColumn("target", target)
     return to_results(_without_target(links, inv, opts), "broken_shortcuts", detail=F.col("target"))

@@ -1,14 +1,36 @@
-"""Joins against key sets: broadcast when the measured size allows it, shuffle otherwise."""
+"""Joins against key sets: broadcast when the size is known to allow it, shuffle otherwise.
+
+The shuffled form is salted, so a key with very many rows on the large side is
+spread over several tasks; the key set is copied once per salt.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from atticsweep.session import written
+
 ROW_OVERHEAD = 16
+SALTS = 16
+
+
+@dataclass(frozen=True)
+class KeySet:
+    """The small side of a join, and whether it may be broadcast."""
+
+    df: DataFrame
+    small: bool
+
+    def select(self, *columns) -> KeySet:
+        return KeySet(self.df.select(*columns), self.small)
+
+    def hinted(self) -> DataFrame:
+        return F.broadcast(self.df) if self.small else self.df
 
 
 def _estimate(df: DataFrame) -> int | None:
@@ -25,39 +47,59 @@ def _planner_limit(df: DataFrame) -> int:
     return int(text[:-1]) * units[text[-1]] if text[-1] in units else int(text)
 
 
-def fits(df: DataFrame, limit_bytes: int) -> bool:
-    """Whether all rows together are at most this large.
-
-    What the planner estimates to be small enough for its own broadcasts needs no
-    measuring; all else is measured by one distributed sum.
-    """
-    if limit_bytes <= 0:
-        return False
-    estimate = _estimate(df)
-    if estimate is not None and estimate <= min(limit_bytes, _planner_limit(df)):
-        return True
+def _measured(df: DataFrame) -> int:
     widths = [
         F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) if isinstance(f.dataType, T.StringType) else F.lit(8)
         for f in df.schema.fields
     ]
     width = reduce(Column.__add__, widths, F.lit(ROW_OVERHEAD)).cast("bigint")
-    return (df.agg(F.sum(width)).first()[0] or 0) <= limit_bytes
+    return df.agg(F.sum(width)).first()[0] or 0
+
+
+def settled(df: DataFrame, limit_bytes: int) -> KeySet:
+    """``df`` with the answer to whether it is at most this large.
+
+    What the planner estimates to be small enough for its own broadcasts stays lazy.
+    All else is written once, so that measuring it does not compute it twice.
+    """
+    if limit_bytes <= 0:
+        return KeySet(df, False)
+    estimate = _estimate(df)
+    if estimate is not None and estimate <= min(limit_bytes, _planner_limit(df)):
+        return KeySet(df, True)
+    df = written(df)
+    return KeySet(df, _measured(df) <= limit_bytes)
 
 
-def bounded(df: DataFrame, limit_bytes: int) -> DataFrame:
-    """``df`` with a broadcast hint if it fits, else as it is."""
-    return F.broadcast(df) if fits(df, limit_bytes) else df
+def join_keys(
+    left: DataFrame, left_keys: list[Column], keys: KeySet, how: str, spread: Column | None = None
+) -> DataFrame:
+    """Join on all columns of ``keys`` named like ``key_*`` in order; those columns go away.
+
+    ``spread`` is what a key's many rows on the left differ in; without it they are
+    few and need no salt.
+    """
+    right = keys.hinted()
+    names = [c for c in right.columns if c.startswith("key_")]
+    same = [a == F.col(b) for a, b in zip(left_keys, names, strict=True)]
+    salted = spread is not None and not keys.small
+    if salted:
+        left = left.withColumn("left_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+        right = right.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+        same.append(F.col("left_salt") == F.col("salt"))
+    return left.join(right, reduce(Column.__and__, same), how).drop("left_salt", "salt", *names)
 
 
-def existing_keys(wanted: DataFrame, present: DataFrame, limit_bytes: int) -> DataFrame:
-    """The distinct rows of ``wanted`` (root_id, path_key) that ``present`` also has.
+def existing_keys(wanted: DataFrame, present: DataFrame, limit_bytes: int) -> KeySet:
+    """The distinct ``wanted`` (root_id, path_key) that ``present`` also has, as (key_root, key_path).
 
     ``present`` is usually a whole inventory. While the wanted keys are few they
     travel to it, so it is read once and not shuffled.
     """
     keys = ["root_id", "path_key"]
-    wanted = wanted.select(*keys).distinct()
-    if fits(wanted, limit_bytes):
-        found = present.select(*keys).join(F.broadcast(wanted), keys, "left_semi").distinct()
-        return F.broadcast(found)
-    return wanted.join(present.select(*keys), keys, "left_semi")
+    asked = settled(wanted.select(*keys).distinct(), limit_bytes)
+    if asked.small:
+        found = present.select(*keys).join(asked.hinted(), keys, "left_semi").distinct()
+    else:
+        found = asked.df.join(present.select(*keys), keys, "left_semi")
+    return KeySet(found.select(F.col("root_id").alias("key_root"), F.col("path_key").alias("key_path")), asked.small)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atticsweep.functions import match, paths
-from atticsweep.operators.lookup import bounded
+from atticsweep.operators.lookup import KeySet, join_keys, settled
 from atticsweep.schema import ScanOptions
 
 
@@ -56,31 +56,36 @@ def reachable_by_path(entries: DataFrame, opts: ScanOptions) -> DataFrame:
     return out.filter(~below_excluded_name(F.col("parent_path"), depth, opts))
 
 
-def subtree_keys(inv: DataFrame, marked: DataFrame, sep: str) -> DataFrame:
-    """(root_id, path_key) of the folders of ``inv`` that are, or are below, a marked folder.
+def subtree_keys(inv: DataFrame, marked: DataFrame, opts: ScanOptions) -> DataFrame:
+    """(key_root, key_path) of the folders of ``inv`` that are, or are below, a marked folder.
 
-    ``marked`` has root_id and path_key. One folder row becomes one row per level, files none.
+    ``marked`` has key_root and key_path. One folder row becomes one row per level, files
+    none. Folders near the root are above all others, hence the salt.
     """
+    key = paths.key_of(F.col("full_path"))
     chains = folders(inv).select(
-        "root_id",
-        paths.key_of(F.col("full_path")).alias("path_key"),
-        F.explode(paths.ancestors(paths.key_of(F.col("full_path")), F.col("depth"), sep)).alias("above"),
+        "root_id", key.alias("path_key"), F.explode(paths.ancestors(key, F.col("depth"), opts.sep)).alias("above")
     )
-    marks = marked.select(F.col("root_id").alias("mark_root"), F.col("path_key").alias("mark_key"))
-    hit = (F.col("root_id") == F.col("mark_root")) & (F.col("above.key") == F.col("mark_key"))
-    return chains.join(marks, hit, "left_semi").select("root_id", "path_key")
+    hits = join_keys(
+        chains,
+        [F.col("root_id"), F.col("above.key")],
+        settled(marked, opts.broadcast_bytes),
+        "left_semi",
+        spread=F.col("path_key"),
+    )
+    return hits.select(F.col("root_id").alias("key_root"), F.col("path_key").alias("key_path"))
 
 
-def blocked_subtrees(inv: DataFrame, opts: ScanOptions) -> DataFrame:
+def blocked_subtrees(inv: DataFrame, opts: ScanOptions) -> KeySet:
     """Folders that are not entered because of a flag on them or on a folder above."""
     candidates = reachable_by_path(folders(inv), opts)
     marked = candidates.filter(has_blocking_flag(opts)).select(
-        "root_id", paths.key_of(F.col("full_path")).alias("path_key")
+        F.col("root_id").alias("key_root"), paths.key_of(F.col("full_path")).alias("key_path")
     )
-    return bounded(subtree_keys(candidates, marked, opts.sep), opts.broadcast_bytes)
+    return settled(subtree_keys(candidates, marked, opts), opts.broadcast_bytes)
 
 
-def listed(entries: DataFrame, inv: DataFrame, opts: ScanOptions, blocked: DataFrame | None = None) -> DataFrame:
+def listed(entries: DataFrame, inv: DataFrame, opts: ScanOptions, blocked: KeySet | None = None) -> DataFrame:
     """The rows of ``entries`` (any part of ``inv``) whose folder is entered.
 
     Scans filter their candidates first and prune last, so that only candidates
@@ -88,18 +93,15 @@ def listed(entries: DataFrame, inv: DataFrame, opts: ScanOptions, blocked: DataF
     """
     if blocked is None:
         blocked = blocked_subtrees(inv, opts)
-    block = blocked.select(F.col("root_id").alias("block_root"), F.col("path_key").alias("block_key"))
-    inside = (F.col("root_id") == F.col("block_root")) & (
-        paths.key_of(F.col("parent_path")) == F.col("block_key")
-    )
-    return reachable_by_path(entries, opts).join(block, inside, "left_anti")
+    folder = [F.col("root_id"), paths.key_of(F.col("parent_path"))]
+    return join_keys(reachable_by_path(entries, opts), folder, blocked, "left_anti", spread=F.col("full_path"))
 
 
-def visible(inv: DataFrame, opts: ScanOptions, blocked: DataFrame | None = None) -> DataFrame:
+def visible(inv: DataFrame, opts: ScanOptions, blocked: KeySet | None = None) -> DataFrame:
     """Everything a walk from the root comes across: files of entered folders, unblocked folders."""
     seen = inv.filter(~F.col("is_directory") | ~is_blocked(opts))
     return listed(seen, inv, opts, blocked)
 
 
-def visible_files(inv: DataFrame, opts: ScanOptions, blocked: DataFrame | None = None) -> DataFrame:
+def visible_files(inv: DataFrame, opts: ScanOptions, blocked: KeySet | None = None) -> DataFrame:
     return listed(files(inv), inv, opts, blocked)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from atticsweep.functions import match, paths
 from atticsweep.operators import prune
+from atticsweep.operators.lookup import KeySet
 from atticsweep.registry import scanner, to_results
 from atticsweep.schema import ScanOptions
 
@@ -118,12 +119,12 @@ def judged(rows: DataFrame, finding: Finding) -> DataFrame:
     )
 
 
-def _scan(inv: DataFrame, opts: ScanOptions, finding: Finding, blocked: DataFrame | None) -> DataFrame:
+def _scan(inv: DataFrame, opts: ScanOptions, finding: Finding, blocked: KeySet | None) -> DataFrame:
     return judged(prune.listed(inv.filter(finding.where), inv, opts, blocked), finding)
 
 
 def all_in_one_pass(
-    inv: DataFrame, opts: ScanOptions, findings: list[Finding], blocked: DataFrame | None = None
+    inv: DataFrame, opts: ScanOptions, findings: list[Finding], blocked: KeySet | None = None
 ) -> DataFrame:
     """Several findings from one read of the inventory; an entry may have more than one."""
     wanted = findings[0].where
@@ -176,7 +177,7 @@ def all_in_one_pass(
     ),
     run=lambda i, o, blocked: temp_files(i.inventory, o, blocked),
 )
-def temp_files(inv: DataFrame, opts: ScanOptions, blocked: DataFrame | None = None) -> DataFrame:
+def temp_files(inv: DataFrame, opts: ScanOptions, blocked: KeySet | None = None) -> DataFrame:
     """Files whose extension, name or name beginning says temporary; the first rule gives the text."""
     return _scan(inv, opts, temp_finding(opts), blocked)
 
@@ -187,7 +188,7 @@ def temp_files(inv: DataFrame, opts: ScanOptions, blocked: DataFrame | None = No
     columns=(("Name", "name"), ("Path", "full_path"), ("Modified", "modified")),
     run=lambda i, o, blocked: zero_length_files(i.inventory, o, blocked),
 )
-def zero_length_files(inv: DataFrame, opts: ScanOptions, blocked: DataFrame | None = None) -> DataFrame:
+def zero_length_files(inv: DataFrame, opts: ScanOptions, blocked: KeySet | None = None) -> DataFrame:
     return _scan(inv, opts, zero_length_finding(opts), blocked)
 
 
@@ -206,7 +207,7 @@ def zero_length_files(inv: DataFrame, opts: ScanOptions, blocked: DataFrame | No
     needs=("as_of",),
 )
 def old_files(
-    inv: DataFrame, opts: ScanOptions, as_of: datetime, days: int = STALE_DAYS, blocked: DataFrame | None = None
+    inv: DataFrame, opts: ScanOptions, as_of: datetime, days: int = STALE_DAYS, blocked: KeySet | None = None
 ) -> DataFrame:
     """Files last modified more than ``days`` before ``as_of``; those without a time are left out."""
     return _scan(inv, opts, old_finding(opts, as_of, days), blocked)
@@ -226,7 +227,7 @@ def old_files(
     run=lambda i, o, blocked: long_paths(i.inventory, o, blocked=blocked),
 )
 def long_paths(
-    inv: DataFrame, opts: ScanOptions, limit: int = MAX_PATH, blocked: DataFrame | None = None
+    inv: DataFrame, opts: ScanOptions, limit: int = MAX_PATH, blocked: KeySet | None = None
 ) -> DataFrame:
     """Entries whose path has more than ``limit`` UTF-16 units."""
     return _scan(inv, opts, long_path_finding(opts, limit), blocked)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from atticsweep.functions import paths
 from atticsweep.operators import prune
-from atticsweep.operators.lookup import bounded
+from atticsweep.operators.lookup import join_keys, settled
 from atticsweep.schema import DELETE_MODES, SIMULATE, ScanOptions
 
 
@@ -42,19 +42,16 @@ def deletion_plan(results: DataFrame, mode: str = SIMULATE) -> DataFrame:
 
 def _marked(inv: DataFrame, plan: DataFrame, opts: ScanOptions) -> DataFrame:
     """The inventory with ``planned``: the entry or a folder above it is in the plan."""
-    planned = plan.select("root_id", paths.key_of(F.col("full_path")).alias("path_key"))
-    gone = bounded(prune.subtree_keys(inv, planned, opts.sep), opts.broadcast_bytes).select(
-        F.col("root_id").alias("gone_root"), F.col("path_key").alias("gone_key"), F.lit(True).alias("below")
-    )
-    own = bounded(planned, opts.broadcast_bytes).select(
-        F.col("root_id").alias("own_root"), F.col("path_key").alias("own_key"), F.lit(True).alias("itself")
+    planned = (
+        plan.select(F.col("root_id").alias("key_root"), paths.key_of(F.col("full_path")).alias("key_path"))
+        .distinct()
     )
+    below = prune.subtree_keys(inv, planned, opts).distinct().withColumn("below", F.lit(True))
+    itself = planned.withColumn("itself", F.lit(True))
     key, parent = paths.key_of(F.col("full_path")), paths.key_of(F.col("parent_path"))
-    # Several plan rows or marked ancestors may hit one entry; keep the keys unique.
-    gone, own = gone.distinct(), own.distinct()
+    own = join_keys(inv, [F.col("root_id"), key], settled(itself, opts.broadcast_bytes), "left")
     return (
-        inv.join(own, (F.col("root_id") == F.col("own_root")) & (key == F.col("own_key")), "left")
-        .join(gone, (F.col("root_id") == F.col("gone_root")) & (parent == F.col("gone_key")), "left")
+        join_keys(own, [F.col("root_id"), parent], settled(below, opts.broadcast_bytes), "left", spread=key)
         .withColumn("planned", F.col("itself").isNotNull() | F.col("below").isNotNull())
         .select(*inv.columns, "planned")
     )

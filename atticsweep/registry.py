@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from atticsweep.operators.lookup import KeySet
 from atticsweep.schema import RESULT_SCHEMA, Inputs, ScanOptions
 
 STANDARD_COLUMNS = (
@@ -32,7 +33,7 @@ class Scanner:
     description: str
     columns: tuple[tuple[str, str], ...]
     order: Callable[[str], list[Column]]
-    run: Callable[[Inputs, ScanOptions, DataFrame | None], DataFrame]
+    run: Callable[[Inputs, ScanOptions, KeySet | None], DataFrame]
     needs: tuple[str, ...] = ()
 
 
@@ -55,7 +56,7 @@ def unregister(name: str) -> None:
 
 
 def run_scan(
-    name: str, inputs: Inputs, opts: ScanOptions, ordered: bool = True, blocked: DataFrame | None = None
+    name: str, inputs: Inputs, opts: ScanOptions, ordered: bool = True, blocked: KeySet | None = None
 ) -> DataFrame:
     """The findings of one scan, in its own order unless they go on into another step."""
     spec = SCANNERS[name]

@@ -1,8 +1,9 @@
-"""Session settings and lineage cuts."""
+"""Session settings and tables written on the way."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,29 +18,31 @@ RECOMMENDED_CONF = {
 }
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows, read back from the shared checkpoint folder.
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; all executors reach it.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local session without that setting gets a folder of its own.
+    Only a local session without that setting gets a temporary folder of its own.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="atticsweep-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
-def scratch_folder(spark: SparkSession) -> str:
-    """A folder that all executors reach: the checkpoint folder, or a temporary one in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="atticsweep-scratch-")
+        folder = _LOCAL_FOLDERS.setdefault(
+            spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="atticsweep-")
+        )
     return folder
+
+
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows, written to the scratch folder once and read back from there.
+
+    For what is dear to compute and used more than once, and to end a lineage that
+    would grow with each round. Lost executors do not lose it, its size is known to
+    the planner, and each later use reads only the columns it needs.
+    """
+    path = f"{scratch_folder(df.sparkSession)}/atticsweep-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

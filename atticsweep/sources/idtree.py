@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atticsweep.session import checkpointed
+from atticsweep.session import written
 
 # The record number is the low 48 bits of an id; parents below 5 are
 # reserved records, where a path ends.
@@ -47,7 +47,7 @@ def resolve_paths(nodes: DataFrame, prefix: str, sep: str = "\\") -> DataFrame:
     repeats leaves the walk up to that point. All other nodes, the many files,
     are joined once at the end.
     """
-    records = checkpointed(latest_records(nodes))
+    records = written(latest_records(nodes))
     ends = (F.col("parent_frn") == F.col("frn")) | (F.col("parent_frn") < FIRST_PARENT)
     parents = records.filter(~ends).select("root_id", F.col("parent_frn").alias("frn")).distinct()
     chains = records.join(parents, KEYS, "left_semi").select(
@@ -56,7 +56,7 @@ def resolve_paths(nodes: DataFrame, prefix: str, sep: str = "\\") -> DataFrame:
         F.array("name").alias("names"),
         F.when(~ends, F.col("parent_frn")).alias("next"),
     )
-    done, open_ = None, checkpointed(chains)
+    done, open_ = None, written(chains)
     known = open_
     while True:
         finished = open_.filter(F.col("next").isNull())
@@ -84,7 +84,7 @@ def resolve_paths(nodes: DataFrame, prefix: str, sep: str = "\\") -> DataFrame:
             F.slice(F.concat("names", F.coalesce("end_names", no_names)), F.lit(1), F.size(ids)).alias("names"),
             F.when(F.size(ids) == F.size(all_ids), F.col("end_next")).alias("next"),
         )
-        open_ = checkpointed(stepped)
+        open_ = written(stepped)
         known = done.unionByName(open_)
 
     folders = done.select(

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from atticsweep.schema import INVENTORY_SCHEMA
-from atticsweep.session import checkpointed
+from atticsweep.session import written
 
 PREFIX_BYTES = 4096
 CHUNK_BYTES = 1 << 20
@@ -58,7 +58,7 @@ def file_digest(path: str, prefix_bytes: int | None = None) -> str | None:
 
 def read_digests(files: DataFrame, prefix_bytes: int | None = None) -> DataFrame:
     """``files`` (root_id, full_path, size_bytes, ...) with ``hash``, read by as many tasks as the bytes need."""
-    files = checkpointed(files)
+    files = written(files)
     n, size = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("size_bytes"), F.lit(0))).first()
     tasks = ceil(n / FILES_PER_TASK)
     if prefix_bytes is None:
@@ -75,7 +75,7 @@ def read_digests(files: DataFrame, prefix_bytes: int | None = None) -> DataFrame
             )
 
     # Read once: both the grouping and the join behind it start from these rows.
-    return checkpointed(files.repartition(tasks, "root_id", "full_path").mapInArrow(digest_batches, schema))
+    return written(files.repartition(tasks, "root_id", "full_path").mapInArrow(digest_batches, schema))
 
 
 def contents(files: DataFrame) -> DataFrame:
@@ -262,7 +262,7 @@ def walk_storage(spark: SparkSession, root: str, root_id: str = "") -> DataFrame
             break
         tasks = max(ceil(n / FOLDERS_PER_TASK), min(n, spark.sparkContext.defaultParallelism))
         folders = to_enter.select("root_id", "full_path", "depth").repartition(tasks, "root_id", "full_path")
-        level = checkpointed(folders.mapInArrow(expand, LISTING_SCHEMA))
+        level = written(folders.mapInArrow(expand, LISTING_SCHEMA))
         levels.append(level)
     out = levels[0]
     for more in levels[1:]:

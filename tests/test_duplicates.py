@@ -90,6 +90,19 @@ def test_group_numbers_are_a_row_number(spark):
         assert [got[r] for r in ordered] == list(range(1, len(ordered) + 1))
 
 
+@pytest.mark.parametrize("limit, hot", [(0, 1), (1 << 20, 1), (200, 25), (200, 1)])
+def test_large_groups_are_joined_apart(spark, limit, hot):
+    files = sample(150)
+    members = spark.createDataFrame(
+        [("", p, len(c), m, hashlib.sha256(c).hexdigest()) for p, c, m in files if c],
+        "root_id string, full_path string, size_bytes bigint, modified timestamp, hash string",
+    )
+    groups = att.number_groups(att.hash_groups(members, F.col("hash")))
+    rows = att.keep_oldest(members, groups, limit, hot).collect()
+    got = {(r["full_path"], f"Group {r['group_no']}", r["is_selected"], r["hash"][:16] + "...") for r in rows}
+    assert got == expected(files) and len(rows) == len(got)
+
+
 @pytest.fixture
 def folder(tmp_path):
     files = sample(80, seed=7)
