@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import os
 import sys
-import tempfile
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -22,7 +21,7 @@ import atticsweep as att
 import fixtures
 import oracle
 from atticsweep.functions import attributes, match
-from atticsweep.session import scratch_folder
+from atticsweep.session import scratch_path
 from atticsweep.sources import export, storage
 
 # Executors need not have the package installed.
@@ -343,13 +342,13 @@ def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exported_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tempfile.mktemp(prefix="export-csv-", dir=scratch_folder(spark))
+    path = scratch_path(spark, "export-csv")
     att.export_csv(att.temp_files(file_inventory(spark, sf_dir), OPTS), path)
     return export.read_csv_export(spark, path)
 
 
 def exported_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tempfile.mktemp(prefix="export-json-", dir=scratch_folder(spark))
+    path = scratch_path(spark, "export-json")
     att.export_json(att.temp_files(file_inventory(spark, sf_dir), OPTS), path)
     fields = "Name string, FullPath string, SizeBytes bigint, Size string, Modified string, Detail string"
     return spark.read.schema(f"{fields}, Group string, IsSelected boolean, IsDirectory boolean").json(path)
@@ -430,7 +429,7 @@ def freed_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed(scan: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         """The inventory written out, read as a stream, scanned, and the findings read back."""
-        base = tempfile.mkdtemp(prefix="stream-", dir=scratch_folder(spark))
+        base = scratch_path(spark, "stream")
         file_inventory(spark, sf_dir).write.parquet(f"{base}/inventory")
         stream = spark.readStream.schema(att.INVENTORY_SCHEMA).option("maxFilesPerTrigger", 4).parquet(f"{base}/inventory")
         found = att.stream_scan(stream, scan, OPTS, AS_OF)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from atticsweep.functions import match, paths
 from atticsweep.operators import prune
-from atticsweep.operators.lookup import KeySet, settled
+from atticsweep.operators.lookup import KeySet, join_keys, settled
 from atticsweep.registry import scanner, to_results
 from atticsweep.schema import ScanOptions
 from atticsweep.session import written
@@ -28,11 +28,17 @@ PREFIX_DIGITS = 4
 HOT_COPIES = 1_000_000
 
 
-def size_candidates(files: DataFrame) -> DataFrame:
+def _in_company(rows: DataFrame, keys: list[str], limit_bytes: int) -> DataFrame:
+    """Rows whose keys another row has as well."""
+    shared = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 2)
+    shared = shared.select(*[F.col(k).alias(f"key_{k}") for k in keys])
+    known = settled(shared, limit_bytes)
+    return join_keys(rows, [F.col(k) for k in keys], known, "left_semi", spread=F.col("full_path"))
+
+
+def size_candidates(files: DataFrame, limit_bytes: int = ScanOptions.broadcast_bytes) -> DataFrame:
     """Files that share their size with another file of the same root."""
-    keys = ["root_id", "size_bytes"]
-    shared = files.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 2).drop("n")
-    return files.join(shared, keys, "left_semi")
+    return _in_company(files, ["root_id", "size_bytes"], limit_bytes)
 
 
 def hash_groups(members: DataFrame, digest: Column) -> DataFrame:
@@ -132,16 +138,16 @@ def candidate_files(inv: DataFrame, opts: ScanOptions, blocked: KeySet | None =
     return prune.listed(sized, inv, opts, blocked).select("root_id", "full_path", "size_bytes", "modified")
 
 
-def staged_members(files: DataFrame, digest_of=read_digests) -> DataFrame:
+def staged_members(
+    files: DataFrame, digest_of=read_digests, limit_bytes: int = ScanOptions.broadcast_bytes
+) -> DataFrame:
     """Candidates with a full digest, each stage reading only what the one before left over.
 
     ``digest_of(files, prefix_bytes)`` adds ``hash``, NULL for unreadable files.
     """
-    sized = size_candidates(files)
+    sized = size_candidates(files, limit_bytes)
     begun = digest_of(sized, PREFIX_BYTES).filter(F.col("hash").isNotNull()).withColumnRenamed("hash", "begin_hash")
-    keys = ["root_id", "size_bytes", "begin_hash"]
-    shared = begun.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 2).drop("n")
-    left_over = begun.join(shared, keys, "left_semi").drop("begin_hash")
+    left_over = _in_company(begun, ["root_id", "size_bytes", "begin_hash"], limit_bytes).drop("begin_hash")
     return digest_of(left_over, None).filter(F.col("hash").isNotNull())
 
 
@@ -173,7 +179,7 @@ def duplicate_files(
     """
     files = candidate_files(inv, opts, blocked)
     if contents is None:
-        members = staged_members(files)
+        members = staged_members(files, limit_bytes=opts.broadcast_bytes)
     else:
         same = (F.col("root_id") == F.col("digest_root")) & (
             paths.key_of(F.col("full_path")) == F.col("digest_key")

@@ -9,6 +9,7 @@ from atticsweep.functions import paths
 from atticsweep.operators import prune
 from atticsweep.operators.lookup import join_keys, settled
 from atticsweep.schema import DELETE_MODES, SIMULATE, ScanOptions
+from atticsweep.session import written
 
 
 def deletion_plan(results: DataFrame, mode: str = SIMULATE) -> DataFrame:
@@ -42,10 +43,9 @@ def deletion_plan(results: DataFrame, mode: str = SIMULATE) -> DataFrame:
 
 def _marked(inv: DataFrame, plan: DataFrame, opts: ScanOptions) -> DataFrame:
     """The inventory with ``planned``: the entry or a folder above it is in the plan."""
-    planned = (
-        plan.select(F.col("root_id").alias("key_root"), paths.key_of(F.col("full_path")).alias("key_path"))
-        .distinct()
-    )
+    planned = plan.select(F.col("root_id").alias("key_root"), paths.key_of(F.col("full_path")).alias("key_path"))
+    # A plan comes out of scans; write it down instead of scanning for each use.
+    planned = written(planned.distinct())
     below = prune.subtree_keys(inv, planned, opts).distinct().withColumn("below", F.lit(True))
     itself = planned.withColumn("itself", F.lit(True))
     key, parent = paths.key_of(F.col("full_path")), paths.key_of(F.col("parent_path"))

@@ -36,6 +36,11 @@ def scratch_folder(spark: SparkSession) -> str:
 _LOCAL_FOLDERS: dict[str, str] = {}
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the scratch folder."""
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows, written to the scratch folder once and read back from there.
 
@@ -43,6 +48,6 @@ def written(df: DataFrame) -> DataFrame:
     would grow with each round. Lost executors do not lose it, its size is known to
     the planner, and each later use reads only the columns it needs.
     """
-    path = f"{scratch_folder(df.sparkSession)}/atticsweep-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, "atticsweep")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -20,12 +20,15 @@ def inventory_from_table(df: DataFrame, sep: str = "\\", root: Column | str | No
     have = {c.lower() for c in df.columns}
     path = F.col("full_path")
     if root is not None:
-        top = F.lit(root.rstrip(sep)) if isinstance(root, str) else root
-        top_key, key = F.upper(top), F.upper(path)
-        df = df.filter((key == top_key) | key.startswith(F.concat(top_key, F.lit(sep))))
-        # A root such as C:\ is kept without its separator, like all other folders.
-        df = df.withColumn("full_path", F.when(key == F.concat(top_key, F.lit(sep)), top).otherwise(path))
-        root = top
+        if isinstance(root, str) and root.endswith(sep):
+            # A root such as C:\ is kept without its separator, like all other folders.
+            bare = root.rstrip(sep)
+            path = F.when(F.upper(path) == root.upper(), F.lit(bare)).otherwise(path)
+            root = bare
+        root = F.lit(root) if isinstance(root, str) else root
+        inside = F.concat(F.upper("full_path"), F.lit(sep)).startswith(F.concat(F.upper(root), F.lit(sep)))
+        df = df.filter(inside).withColumn("full_path", path)
+        path = F.col("full_path")
     if "attributes" in have:
         flags = attributes.decode_attributes(F.coalesce(F.col("attributes"), F.lit(0)))
     else:

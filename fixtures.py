@@ -6,12 +6,11 @@ SQL counterparts start from the same one.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from atticsweep.session import scratch_folder
+from atticsweep.session import scratch_path
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -139,7 +138,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
     """A derived table, written once per session and read back, as an ingested inventory would be."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
-        path = tempfile.mkdtemp(prefix=f"{name}-", dir=scratch_folder(spark)) + "/table"
+        path = scratch_path(spark, name)
         df = build()
         if spark.sparkContext.master.startswith("local"):
             # One small file would leave all but one core idle.
