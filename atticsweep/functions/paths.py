@@ -54,21 +54,16 @@ def utf16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16LE")) / F.lit(2)).cast("bigint")
 
 
-def ancestors(key: Column, depth: Column, sep: str, lowest: Column | int = 0) -> Column:
-    """array<struct<depth, key>> of a folder and the folders above it down from level ``lowest``.
-
-    NULL (so that ``explode`` drops the row) for a folder above that level.
-    """
+def levels(depth: Column, lowest: Column | int = 0) -> Column:
+    """The levels from ``lowest`` to ``depth``, to explode; NULL for a folder above ``lowest``."""
     lowest = F.lit(lowest) if isinstance(lowest, int) else lowest
-    above_root = segment_count(key, sep) - depth
-    chain = F.transform(
-        F.sequence(lowest.cast("int"), depth.cast("int")),
-        lambda level: F.struct(
-            level.alias("depth"),
-            F.call_function("substring_index", key, F.lit(sep), (above_root + level).cast("int")).alias("key"),
-        ),
-    )
-    return F.when(depth >= lowest, chain)
+    return F.when(depth >= lowest, F.sequence(lowest.cast("int"), depth.cast("int")))
+
+
+def ancestor(key: Column, depth: Column, level: Column, sep: str) -> Column:
+    """The folder at ``level`` above (or equal to) a folder that has level ``depth``."""
+    segments = segment_count(key, sep) - depth + level
+    return F.call_function("substring_index", key, F.lit(sep), segments.cast("int"))
 
 
 def last_segments(path: Column, count: Column, sep: str) -> Column:

@@ -118,26 +118,23 @@ def folder_rollup(
     )
     # The lowest link on the way up: sizes below it count for it, and for nothing above.
     key, depth = F.col("path_key"), F.col("depth")
-    chains = per_folder.select(*KEYS, F.explode(paths.ancestors(key, depth, sep)).alias("above"))
+    above = paths.ancestor(key, depth, F.col("level"), sep)
+    chains = per_folder.select(*KEYS, "depth", F.explode(paths.levels(depth)).alias("level"))
     stops = (
         join_keys(
-            chains,
-            [F.col("root_id"), F.col("above.key")],
+            chains.withColumn("above", above),
+            [F.col("root_id"), F.col("above")],
             settled(links, limit_bytes),
             "left_semi",
             spread=F.col("path_key"),
         )
         .groupBy(*KEYS)
-        .agg(F.max("above.depth").alias("stop"))
+        .agg(F.max("level").alias("stop"))
     )
     spread = (
         per_folder.join(stops, KEYS, "left")
-        .select(
-            "root_id",
-            F.explode(paths.ancestors(key, depth, sep, F.coalesce(F.col("stop"), F.lit(0)))).alias("above"),
-            "size_bytes",
-        )
-        .select("root_id", F.col("above.key").alias("path_key"), "size_bytes")
+        .select(*KEYS, "depth", "size_bytes", F.explode(paths.levels(depth, F.coalesce("stop", F.lit(0)))).alias("level"))
+        .select("root_id", above.alias("path_key"), "size_bytes")
     )
     own = _keyed_folders(inv, F.col("full_path").alias("folder"))
     keys = [F.col(k) for k in KEYS]
@@ -171,14 +168,15 @@ def empty_folders(inv: DataFrame, opts: ScanOptions, blocked: KeySet | None = No
             occupied = occupied | ((F.col("depth") == opts.max_depth) & (F.col("subfolder_count") > 0))
     facts = _folder_facts(inv, opts, blocked).filter(F.col("depth") >= 1)
 
-    chain = F.when(
-        occupied,
-        F.transform(paths.ancestors(F.col("path_key"), F.col("depth"), opts.sep, 1), lambda a: a["key"]),
-    ).otherwise(F.array("path_key"))
+    # A folder with content marks all levels up to 1, any other folder its own.
+    first = F.when(occupied, F.lit(1)).otherwise(F.col("depth"))
+    facts = facts.select(
+        *KEYS, "depth", occupied.alias("occupied"), "file_count", "has_row",
+        F.explode(paths.levels(F.col("depth"), first)).alias("level"),
+    ).withColumn("marked", paths.ancestor(F.col("path_key"), F.col("depth"), F.col("level"), opts.sep))
     itself = F.col("marked") == F.col("path_key")
     empty = (
-        facts.select(*KEYS, occupied.alias("occupied"), "file_count", "has_row", F.explode(chain).alias("marked"))
-        .groupBy("root_id", "marked")
+        facts.groupBy("root_id", "marked")
         .agg(
             F.max("occupied").alias("occupied"),
             F.sum(F.when(itself, F.col("file_count")).otherwise(F.lit(0))).alias("file_count"),

@@ -62,13 +62,16 @@ def subtree_keys(inv: DataFrame, marked: DataFrame, opts: ScanOptions) -> DataFr
     ``marked`` has key_root and key_path. One folder row becomes one row per level, files
     none. Folders near the root are above all others, hence the salt.
     """
-    key = paths.key_of(F.col("full_path"))
-    chains = folders(inv).select(
-        "root_id", key.alias("path_key"), F.explode(paths.ancestors(key, F.col("depth"), opts.sep)).alias("above")
+    rows = folders(inv).select(
+        "root_id",
+        paths.key_of(F.col("full_path")).alias("path_key"),
+        "depth",
+        F.explode(paths.levels(F.col("depth"))).alias("level"),
     )
+    above = paths.ancestor(F.col("path_key"), F.col("depth"), F.col("level"), opts.sep)
     hits = join_keys(
-        chains,
-        [F.col("root_id"), F.col("above.key")],
+        rows.withColumn("above", above),
+        [F.col("root_id"), F.col("above")],
         settled(marked, opts.broadcast_bytes),
         "left_semi",
         spread=F.col("path_key"),

@@ -41,11 +41,14 @@ def test_utf16_length(spark):
 
 def test_ancestors(spark):
     df = spark.createDataFrame([("C:\\A\\B\\C", 3), ("C:", 0)], "key string, depth int")
-    got = df.select(paths.ancestors(F.col("key"), F.col("depth"), "\\").alias("a")).collect()
-    assert [tuple(x) for x in got[0][0]] == [(0, "C:"), (1, "C:\\A"), (2, "C:\\A\\B"), (3, "C:\\A\\B\\C")]
-    assert [tuple(x) for x in got[1][0]] == [(0, "C:")]
-    above = df.select(paths.ancestors(F.col("key"), F.col("depth"), "\\", 1)).collect()
-    assert above[1][0] is None
+
+    def chain(lowest):
+        rows = df.select("key", "depth", F.explode(paths.levels(F.col("depth"), lowest)).alias("level"))
+        above = paths.ancestor(F.col("key"), F.col("depth"), F.col("level"), "\\")
+        return [tuple(r) for r in rows.select("level", above).collect()]
+
+    assert chain(0) == [(0, "C:"), (1, "C:\\A"), (2, "C:\\A\\B"), (3, "C:\\A\\B\\C"), (0, "C:")]
+    assert chain(2) == [(2, "C:\\A\\B"), (3, "C:\\A\\B\\C")]
 
 
 @pytest.mark.parametrize(
