@@ -24,6 +24,11 @@ from atticsweep.functions import attributes, match
 from atticsweep.session import scratch_path
 from atticsweep.sources import export, storage
 
+try:
+    from atticsweep.llm import queries as llm_queries
+except ImportError:  # the subpackage may be left out
+    llm_queries = None
+
 # Executors need not have the package installed.
 cloudpickle.register_pickle_by_value(att)
 
@@ -448,6 +453,10 @@ def streamed(scan: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return own_queries() | (llm_queries.QUERIES if llm_queries else {})
+
+
+def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "ingested_inventory": ingested_inventory,
         "decode_attributes": decode_attributes,
@@ -502,4 +511,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.statements()
+    return oracle.statements() | (llm_queries.ORACLE_SQL if llm_queries else {})
