@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from atticsweep.llm import bpe
+from atticsweep.llm import bpe, exact_dedup
 from atticsweep.llm.common import table
 
 
@@ -14,8 +14,22 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
+    "op8_exact_dedup": op8_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_exact_dedup": """
+        WITH bare AS (
+          SELECT doc_id, length(coalesce(text, '')) AS code_points,
+            regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g') AS rest
+          FROM documents)
+        SELECT doc_id, first_value(doc_id) OVER same AS keep_id, count(*) OVER (PARTITION BY rest) AS group_size,
+          doc_id = first_value(doc_id) OVER same AS kept, sha256(rest) AS text_sha256
+        FROM bare WINDOW same AS (PARTITION BY rest ORDER BY code_points DESC, doc_id)""",
+}
