@@ -49,7 +49,8 @@ def _split(rows: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     digits = ["grp", "digit", "ended"]
     found = cut.groupBy(*digits).agg(F.count(F.lit(1)).alias("group_size"), F.max("code_points").alias("most"))
     groups = written(found.filter("group_size > 1").withColumn("next_grp", F.monotonically_increasing_id()))
-    dealt = cut.join(groups, digits, "left").select(
+    # The groups grow with the documents: always a shuffle join, never a broadcast.
+    dealt = cut.join(groups.hint("merge"), digits, "left").select(
         "doc_id", "code_points", "text_sha256", "group_size", "most",
         F.col("next_grp").alias("grp"),
         F.when(F.col("next_grp").isNotNull() & ~F.col("ended"), F.expr(f"substring(rest, {width + 1})")).alias("rest"),
@@ -78,7 +79,7 @@ def exact_groups(docs: DataFrame, first_width: int = 64, growth: int = 8) -> Dat
     )
     shared = settled.filter("grp IS NOT NULL")
     keepers = written(shared.filter("code_points = most").groupBy("round", "grp").agg(F.min("doc_id").alias("keep_id")))
-    together = shared.join(keepers, ["round", "grp"]).select(
+    together = shared.join(keepers.hint("merge"), ["round", "grp"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
     return alone.unionByName(together)
