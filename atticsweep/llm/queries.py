@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from atticsweep.llm import bpe, exact_dedup, toxicity
+from atticsweep.llm import bpe, exact_dedup, quality, toxicity
 from atticsweep.llm.common import table
 
 
+def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decision_list": op3_decision_list,
     "op4_bpe": op4_bpe,
     "op5_toxicity": op5_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
