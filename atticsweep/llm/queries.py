@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from atticsweep.llm import bpe, exact_dedup, quality, toxicity
+from atticsweep.llm import bpe, exact_dedup, html, quality, toxicity
 from atticsweep.llm.common import table
 
 
@@ -26,11 +26,16 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decision_list": op3_decision_list,
     "op4_bpe": op4_bpe,
     "op5_toxicity": op5_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_style_tree": op10_style_tree,
 }
 
 ORACLE_SQL: dict[str, str] = {
