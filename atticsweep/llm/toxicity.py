@@ -216,13 +216,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 3
     """Intercept and slope by Newton's method, with a small ridge that keeps separable cases finite."""
     order = np.argsort(x, kind="stable")  # the same sums whatever order the rows came in
     x, y = x[order], y[order]
-    design, beta = np.stack([np.ones_like(x), x]), np.zeros(2)
+    a = b = 0.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(beta @ design, -30, 30)))
-        slope = design @ (y - p) - ridge * beta
-        curve = (design * (p * (1 - p))) @ design.T + ridge * np.eye(2)
-        beta = beta + np.clip(np.linalg.solve(curve, slope), -3, 3)
-    return float(beta[0]), max(0.0, float(beta[1]))
+        p = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
+        w = p * (1 - p)
+        up, right = (y - p).sum() - ridge * a, ((y - p) * x).sum() - ridge * b
+        aa, ab, bb = w.sum() + ridge, (w * x).sum(), (w * x * x).sum() + ridge
+        det = aa * bb - ab * ab
+        a += float(np.clip((bb * up - ab * right) / det, -3, 3))
+        b += float(np.clip((aa * right - ab * up) / det, -3, 3))
+    return a, max(0.0, b)
 
 
 def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFrame:
