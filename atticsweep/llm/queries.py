@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from atticsweep.llm import bpe, exact_dedup, html, packing, quality, toxicity
+from atticsweep.llm import bpe, exact_dedup, html, packing, quality, substring_dedup, toxicity
 from atticsweep.llm.common import table
 
 
+def op2_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,6 +39,7 @@ def op10_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_super_kmers": op2_super_kmers,
     "op3_decision_list": op3_decision_list,
     "op4_bpe": op4_bpe,
     "op5_toxicity": op5_toxicity,
