@@ -104,7 +104,7 @@ def _strings(k: int, instances: bool):
             seen: Counter = Counter()
             out: list[tuple] = []
             for doc_id, key, text, mins, firsts, runs in zip(
-                *(rows.column(c).to_pylist() for c in (*KEY, "text", "mins", "firsts", "runs")), strict=True
+                *(rows.column(c).to_pylist() for c in (*KEY, "text", "plain_mins", "plain_firsts", "plain_runs")), strict=True
             ):
                 words = text.encode("utf-8").split()
                 for mini, first, run in zip(mins, firsts, runs, strict=True):
@@ -254,12 +254,15 @@ def _marked(docs: DataFrame, k: int, m: int, hot: int) -> tuple[DataFrame, DataF
 
     facts = scanned.select("rid", *KEY, "mins", "firsts", "runs").join(flagged.hint("merge"), "rid").select(
         *KEY,
-        picked("mins", "plain").alias("mins"), picked("firsts", "plain").alias("firsts"), picked("runs", "plain").alias("runs"),
+        picked("mins", "plain").alias("plain_mins"), picked("firsts", "plain").alias("plain_firsts"),
+        picked("runs", "plain").alias("plain_runs"),
         picked("firsts", "hot").alias("hot_firsts"), picked("runs", "hot").alias("hot_runs"),
     ).dropDuplicates(KEY)
     same = [F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), F.col("a.text_key") == F.col("b.text_key")]
     own = written(
-        _keyed(docs).alias("a").join(facts.hint("merge").alias("b"), same).select("a.*", "mins", "firsts", "runs", "hot_firsts", "hot_runs")
+        _keyed(docs).alias("a").join(facts.hint("merge").alias("b"), same).select(
+            "a.*", "plain_mins", "plain_firsts", "plain_runs", "hot_firsts", "hot_runs"
+        )
     )
     parts = spread_parts(spark, scanned.count(), 20_000)
     strings = own.mapInArrow(_strings(k, False), "mini bigint, packed binary, n bigint")
