@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from atticsweep.llm import bpe, exact_dedup, html, packing, quality, substring_dedup, toxicity
+from atticsweep.llm import bpe, exact_dedup, html, jaccard_join, language_id, packing, quality, substring_dedup, toxicity
 from atticsweep.llm.common import table
 
 
@@ -26,6 +26,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_parity_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_copy_components(table(spark, sf_dir, "documents"))
+
+
+def op7_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -43,6 +51,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decision_list": op3_decision_list,
     "op4_bpe": op4_bpe,
     "op5_toxicity": op5_toxicity,
+    "op6_parity_sketches": op6_parity_sketches,
+    "op7_bigru": op7_bigru,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_column_generation": op9_column_generation,
     "op10_style_tree": op10_style_tree,
