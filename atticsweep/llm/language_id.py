@@ -189,7 +189,7 @@ def sample(docs: DataFrame, max_rows: int, per_row: int) -> DataFrame:
     return own.mapInArrow(cut, "doc_id bigint, start bigint, lang string, window binary")
 
 
-def fit(docs: DataFrame, max_rows: int = 2000, per_row: int = 6, hidden: int = 16, rounds: int = 400, batch: int = 128) -> Network | None:
+def fit(docs: DataFrame, max_rows: int = 2000, per_row: int = 6, hidden: int = 16, rounds: int = 250, batch: int = 128) -> Network | None:
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([f for f in frames], ignore_index=True)
         rows = rows.sort_values(["doc_id", "start", "lang", "window"], ignore_index=True)
