@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from atticsweep.llm import bpe, exact_dedup, html, jaccard_join, language_id, packing, quality, substring_dedup, toxicity
+from atticsweep.llm import bpe, ctw, exact_dedup, html, jaccard_join, language_id, packing, quality, substring_dedup, toxicity
 from atticsweep.llm.common import table
 
 
+def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op2_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_digests(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ctw": op1_ctw,
     "op2_super_kmers": op2_super_kmers,
     "op3_decision_list": op3_decision_list,
     "op4_bpe": op4_bpe,
