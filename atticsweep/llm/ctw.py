@@ -399,7 +399,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return keyed.mapInArrow(judge, "doc_id bigint, text_key bigint, n_bytes bigint, score double")
 
 
-def score_texts(docs: DataFrame, depth: int = 5, least_share: float = 2.0**-17) -> DataFrame:
+def score_texts(docs: DataFrame, depth: int = 5, least_share: float = 2.0**-18) -> DataFrame:
     """Per row: doc_id, held_out, the word model's figures, score, and bits_per_byte.
 
     Rows whose crc32 modulo 10 is 0 are held out from both models.

@@ -4,7 +4,10 @@ Every shingle of a set flips one bit of the set's sketch. Two sketches differ in
 most as many bits as the sets in elements, and a Jaccard similarity bounds that
 difference by ``D`` for given sizes. Sizes fall into bands; a band's sketch is cut
 into more than ``D`` words, so two linked sets agree in at least one word (pigeonhole).
-Words are the join keys; what they bring together is verified on the whole sets.
+For this the words are 2^32 bits wide, few of which are set, and held as the XOR of the
+hashes of the set bits; they are the join keys. Of the classes they bring together,
+narrow sketches of two to four bits per shingle drop those whose Hamming distance is
+above ``D``; the rest is verified on the whole sets.
 
 Equal sets are one class from the start. Keys held by one class are dropped where
 keys are gathered. For the rest:
@@ -44,7 +47,6 @@ from atticsweep.llm.common import rows_of, spread_parts, texts
 from atticsweep.llm.components import components
 from atticsweep.session import written
 
-BITS = 64
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -103,15 +105,36 @@ class Bands:
         return found
 
 
-def sketch(shingles: np.ndarray, words: int, seed: int) -> np.ndarray:
-    """Parity bits of the shingles, as ``words`` words of 64 bits."""
+def _mixed(shingles: np.ndarray, seed: int) -> np.ndarray:
     h = (shingles ^ np.uint64(seed * 0x9E3779B9 + 1)) * MIX
     h ^= h >> np.uint64(31)
-    h *= MIX
+    return h * MIX
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """Parity bits of the shingles: a power of two of bits, at least two per shingle."""
+    bits = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    place = (_mixed(shingles, 97) >> np.uint64(20)) & np.uint64(bits - 1)
+    return np.packbits(np.bincount(place.astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def distance(a: bytes, b: bytes) -> int:
+    """Hamming distance of two sketches; the longer one is folded, which keeps parities."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def words_of(shingles: np.ndarray, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sketch's words with a set bit, and each one's XOR of the hashes of its set bits."""
+    h = _mixed(shingles, seed)
     word = ((h >> np.uint64(32)) * np.uint64(words)) >> np.uint64(32)
-    bit = word * np.uint64(BITS) + (h & np.uint64(BITS - 1))
-    parity = np.bincount(bit.astype(np.int64), minlength=words * BITS).astype(np.uint8) & 1
-    return np.packbits(parity).view(np.uint64)
+    order = np.argsort(word, kind="stable")
+    place, first = np.unique(word[order], return_index=True)
+    return place, np.bitwise_xor.reduceat((h * np.uint64(0xD6E8FEB86659FD93))[order], first)
 
 
 def join_keys(shingles: np.ndarray, bands: Bands, seed: int) -> np.ndarray:
@@ -119,15 +142,13 @@ def join_keys(shingles: np.ndarray, bands: Bands, seed: int) -> np.ndarray:
     keys = []
     for band in bands.of(len(shingles)):
         _, words, spare = bands.words(band)
-        row = sketch(shingles, words, seed)
-        place = np.arange(words, dtype=np.uint64)
-        use = row != 0
-        if words - int(use.sum()) > spare:
-            use[:] = True
+        place, row = words_of(shingles, words, seed)
+        if words - len(place) > spare:  # a rare set: its empty words are keys as well
+            empty = np.setdiff1d(np.arange(words, dtype=np.uint64), place)
+            place, row = np.concatenate([place, empty]), np.concatenate([row, np.zeros(len(empty), np.uint64)])
         h = (row + np.uint64(seed + 1)) * MIX
         h = (h ^ (h >> np.uint64(29)) ^ (place << np.uint64(20)) ^ np.uint64(band)) * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(32)
-        keys.append(h[use])
+        keys.append(h ^ (h >> np.uint64(32)))
     return np.unique(np.concatenate(keys)).view(np.int64) if keys else np.empty(0, np.int64)
 
 
@@ -137,8 +158,9 @@ def _classes(k: int):
             sets = [shingle_set(t, k) for t in rows.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())],
-                names=["doc_id", "n_shingles", "class"],
+                 pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
+                 pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())],
+                names=["doc_id", "n_shingles", "class", "sketch"],
             )
 
     return read
@@ -238,12 +260,47 @@ def _verified(k: int, percent: int):
     return verify
 
 
-def _links(pairs: DataFrame, own: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of distinct pairs of classes, those that link; written."""
-    sized = pairs.join(own.select(F.col("class").alias("a"), F.col("text").alias("text_a"), F.col("n").alias("n_a")).hint("merge"), "a")
-    sized = sized.join(own.select(F.col("class").alias("b"), F.col("text").alias("text_b"), F.col("n").alias("n_b")).hint("merge"), "b")
-    near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return written(sized.filter(near).select("a", "b", "text_a", "text_b").mapInArrow(_verified(k, percent), "a bigint, b bigint"))
+def _close(percent: int):
+    """Pairs whose sketches are no farther apart than a link allows."""
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            keep = [
+                distance(s, t) <= (100 - percent) * (m + n) // (100 + percent)
+                for s, t, m, n in zip(*(rows.column(c).to_pylist() for c in ("sketch_a", "sketch_b", "n_a", "n_b")), strict=True)
+            ]
+            yield rows.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return close
+
+
+class _Classes:
+    """What is known of the classes that share a key: size, sketch, one document; and their texts where needed."""
+
+    def __init__(self, docs: DataFrame, rows: DataFrame, members: DataFrame, k: int, percent: int):
+        self.docs, self.k, self.percent = docs, k, percent
+        known = rows.join(members.select("class").distinct().hint("merge"), "class", "left_semi")
+        # All rows of a class have the same size and sketch.
+        self.marks = written(known.groupBy("class").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch")))
+
+    def texts(self, wanted: DataFrame) -> DataFrame:
+        """``class`` and ``text`` for the classes in column ``class``; written."""
+        chosen = self.marks.select("class", "id").join(wanted.distinct().hint("merge"), "class", "left_semi")
+        own = texts(self.docs).join(written(chosen).hint("merge"), F.col("doc_id").eqNullSafe(F.col("id"))).select("class", "text")
+        return written(own.mapInArrow(_of_class(self.k), "class bigint, text string").dropDuplicates(["class"]))
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Of distinct pairs of classes, those that link; written."""
+        a, b = (
+            self.marks.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")).hint("merge")
+            for c in ("a", "b")
+        )
+        near = 100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")
+        close = written(pairs.join(a, "a").join(b, "b").filter(near).mapInArrow(_close(self.percent), "a bigint, b bigint"))
+        own = self.texts(close.select(F.col("a").alias("class")).unionByName(close.select(F.col("b").alias("class"))))
+        left, right = (own.select(F.col("class").alias(c), F.col("text").alias(f"text_{c}")).hint("merge") for c in ("a", "b"))
+        both = close.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+        return written(both.mapInArrow(_verified(self.k, self.percent), "a bigint, b bigint"))
 
 
 def _refined(k: int, percent: int, seed: int):
@@ -270,7 +327,7 @@ def near_copies(
 ) -> tuple[DataFrame, DataFrame]:
     """All rows with n_shingles and class (null without words), and each linked class's component."""
     spark = docs.sparkSession
-    rows = written(texts(docs).mapInArrow(_classes(k), "doc_id bigint, n_shingles bigint, class bigint"))
+    rows = written(texts(docs).mapInArrow(_classes(k), "doc_id bigint, n_shingles bigint, class bigint, sketch binary"))
     buckets = 4 * spread_parts(spark, rows.agg(F.sum("n_shingles")).first()[0] or 0, 4_000_000)
     gathered = written(
         texts(docs).mapInArrow(_gathered(k, percent, buckets, 16), "bucket bigint, key bigint, class bigint, packed binary")
@@ -280,19 +337,11 @@ def near_copies(
     crowded = gathered.filter("packed IS NULL").select("key", "class")
     members = written(shared.unionByName(crowded).distinct())
 
-    # One text for each class that shares a key.
-    wanted = members.select("class").distinct()
-    chosen = rows.join(wanted.hint("merge"), "class", "left_semi").groupBy("class").agg(
-        F.min("doc_id").alias("id"), F.first("n_shingles").alias("n")
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("id"))
-    own = texts(docs).join(written(chosen).hint("merge"), same).select("class", "n", "text")
-    own = written(own.mapInArrow(_of_class(k), "class bigint, n bigint, text string").dropDuplicates(["class"]))
-
+    classes = _Classes(docs, rows, members, k, percent)
     least = members.groupBy("key").agg(F.min("class").alias("a"))
     stars = members.join(written(least).hint("merge"), "key").select("a", F.col("class").alias("b")).filter("a <> b").distinct()
     tried = written(stars)
-    links = _links(tried, own, k, percent)
+    links = classes.links(tried)
     comps = written(components(links))
 
     for level in range(1, levels + 1):
@@ -308,14 +357,14 @@ def near_copies(
         apart = written(apart.join(tried.hint("merge"), ["a", "b"], "left_anti"))
         if not apart.isEmpty():
             tried = tried.unionByName(apart)
-            links = links.unionByName(_links(apart, own, k, percent))
+            links = links.unionByName(classes.links(apart))
             comps = written(components(links))
         large = open_.filter("large")
         if level == levels or large.isEmpty():
             break
         # A class's crowded keys: at most its number of words.
         keyed = large.groupBy("class").agg(F.collect_list("key").alias("keys"))
-        members = own.join(keyed.hint("merge"), "class").mapInArrow(_refined(k, percent, level), "key bigint, class bigint")
+        members = classes.texts(keyed.select("class")).join(keyed.hint("merge"), "class").mapInArrow(_refined(k, percent, level), "key bigint, class bigint")
         members = written(members)
     return rows, comps
 
