@@ -59,6 +59,10 @@ class Network:
             normal(2 * hidden, len(languages)), np.zeros(len(languages), np.float32),
         )
 
+    def packed(self) -> bytes:
+        """Plain lists and arrays, readable whether or not the package is installed on the other side."""
+        return pickle.dumps((self.languages, self.tables, self.recurrences, self.output, self.bias))
+
     def parameters(self) -> list[np.ndarray]:
         return [*self.tables, *self.recurrences, self.output, self.bias]
 
@@ -193,12 +197,13 @@ def fit(docs: DataFrame, max_rows: int = 2000, per_row: int = 6, hidden: int = 1
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([f for f in frames], ignore_index=True)
         rows = rows.sort_values(["doc_id", "start", "lang", "window"], ignore_index=True)
-        yield pd.DataFrame({"net": [pickle.dumps(train(rows, hidden, rounds, batch))]})
+        net = train(rows, hidden, rounds, batch)
+        yield pd.DataFrame({"net": [net.packed() if net else None]})
 
     # max_rows * per_row windows of SPAN bytes: a bounded table, trained on in one task.
     windows_ = written(sample(docs, max_rows, per_row))
     made = windows_.coalesce(1).mapInPandas(learn, "net binary").first() if not windows_.isEmpty() else None
-    return pickle.loads(bytes(made[0])) if made else None
+    return Network(*pickle.loads(bytes(made[0]))) if made and made[0] else None
 
 
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
