@@ -306,7 +306,8 @@ def without_repeats(docs: DataFrame, **settings: int) -> DataFrame:
     """The rows of ``docs``, with all their columns; texts with repeats become the words kept, joined by one space."""
     kept, _ = remove_repeats(docs, **settings)
     new = written(kept.select(*KEY, "kept").dropDuplicates(KEY))
-    own = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit("")))).alias("a")
-    same = [F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), F.col("a.text_key") == F.col("b.text_key")]
+    own = docs.alias("a")  # no column is added, so none can clash
+    key = F.xxhash64(F.coalesce("a.text", F.lit("")))
+    same = [F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), key == F.col("b.text_key")]
     joined = own.join(new.hint("merge").alias("b"), same, "left")
     return joined.select(*[F.coalesce("b.kept", "a.text").alias(c) if c == "text" else F.col(f"a.`{c}`") for c in docs.columns])
