@@ -25,9 +25,12 @@ from atticsweep.session import scratch_path
 from atticsweep.sources import export, storage
 
 try:
+    import corpus_pipeline
     from atticsweep.llm import queries as llm_queries
-except ImportError:  # the subpackage may be left out
-    llm_queries = None
+except ImportError:  # the text operators and their pipeline may be left out
+    corpus_pipeline = llm_queries = None
+else:
+    cloudpickle.register_pickle_by_value(corpus_pipeline)
 
 # Executors need not have the package installed.
 cloudpickle.register_pickle_by_value(att)
@@ -453,7 +456,7 @@ def streamed(scan: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return own_queries() | (llm_queries.QUERIES if llm_queries else {})
+    return own_queries() | ({**llm_queries.QUERIES, "pipeline": corpus_pipeline.run} if llm_queries else {})
 
 
 def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
