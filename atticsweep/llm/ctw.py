@@ -295,8 +295,10 @@ def fit(gathered: DataFrame, depth: int, least_share: float) -> Model:
             nodes = up
         own = log_kt(n0, n1)
         log_w = np.logaddexp(own, deeper) - LOG2
-        keys.append(np.uint64(d << 56) | nodes.view(np.uint64))
-        n0s.append(n0), n1s.append(n1), shares.append(1 / (1 + np.exp(np.clip(deeper - own, -700, 700))))
+        kept = n0 + n1 >= least
+        keys.append(np.uint64(d << 56) | nodes.view(np.uint64)[kept])
+        n0s.append(n0[kept]), n1s.append(n1[kept])
+        shares.append(1 / (1 + np.exp(np.clip(deeper - own, -700, 700)))[kept])
     key, n0, n1, share = (np.concatenate(x) for x in (keys, n0s, n1s, shares))
     order = np.argsort(key)
     return Model(depth, key[order], ((n1 + 0.5) / (n0 + n1 + 1))[order].astype(np.float32), share[order].astype(np.float32))

@@ -5,7 +5,7 @@ tags, ids and classes. For each place two entropies are taken over the host's pa
 of its presentations (the sequence of children it is given) and of the pages its
 texts appear in. A text found on one page only speaks for content, one that returns
 on all pages for boilerplate; a place whose presentation never changes is template.
-A branch is as important as the texts and presentations below it. Branches of low
+A branch is as important as the most important place in it. Branches of low
 importance are removed from each page, beside elements that HTML itself or common
 class names mark as menus, notices, adverts, forms or comments. ``article`` and
 ``main`` branches are judged by marks alone, so that copied articles stay.
@@ -293,10 +293,7 @@ def style_tree(pages: DataFrame, weight: float = 0.7) -> DataFrame:
     above = paths.join(own, of).select("host", F.explode("path").alias("place"), "m", "style", "texts", "text_sum", F.col("place").alias("of"))
     return above.groupBy("host", "place").agg(
         F.max(F.when(F.col("of") == F.col("place"), F.col("m"))).alias("pages"),
-        (
-            (1 - weight) * F.sum(F.col("style") * F.col("m")) / F.sum("m")
-            + weight * F.coalesce(F.sum("text_sum") / F.nullif(F.sum("texts"), F.lit(0)), F.lit(0.0))
-        ).alias("importance"),
+        F.max((1 - weight) * F.col("style") + weight * F.coalesce(F.col("text_sum") / F.nullif("texts", F.lit(0)), F.lit(0.0))).alias("importance"),
     )
 
 
