@@ -14,9 +14,10 @@ keys are gathered. For the rest:
 
 1. every class is verified against the smallest class of each of its keys, and the
    links found are joined into components;
-2. classes that share a key and are still in different components are verified with
-   each other. Where a key has more than ``group`` classes, they first have to agree
-   in a word of another sketch as well, and so on, at most ``levels`` times.
+2. classes that share a key and are still in different components are compared by
+   their narrow sketches, and verified if close. Where a key has more than ``group``
+   classes, they first have to agree in a word of another sketch as well, and so on,
+   at most ``levels`` times. Keys with the same classes count once.
 
 No link between components is lost, and no key emits pairs of classes already
 together, so a large group of near copies costs one verification per member and key.
@@ -274,6 +275,50 @@ def _close(percent: int):
     return close
 
 
+def _near_in_keys(percent: int):
+    """Reads a partition sorted by key; holds the sketches of one key's classes at a time, at most ``group``."""
+
+    def near(name: np.ndarray, comp: np.ndarray, n: np.ndarray, sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        least = min(map(len, sketches))
+        folded = []
+        for s in sketches:
+            x = np.frombuffer(s, np.uint8)
+            while len(x) > least:
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            folded.append(x)
+        bits = np.stack(folded).view(np.uint64)
+        found = []
+        step = max(1, (16 << 20) // bits.nbytes)
+        for at in range(0, len(name), step):
+            part = slice(at, at + step)
+            differ = np.bitwise_count(bits[part, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64)
+            small, large = np.minimum(n[part, None], n[None, :]), np.maximum(n[part, None], n[None, :])
+            ok = (differ * (100 + percent) <= (100 - percent) * (small + large)) & (100 * small >= percent * large)
+            ok &= (comp[part, None] != comp[None, :]) & (name[part, None] < name[None, :])
+            i, j = np.nonzero(ok)
+            found.append((name[i + at], name[j]))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(held: list[tuple]) -> pa.RecordBatch:
+            name, comp, n, sketches = zip(*held, strict=True)
+            a, b = near(*(np.array(x, np.int64) for x in (name, comp, n)), sketches)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        current, held = None, []
+        for rows in batches:
+            for key, *row in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                if key != current and held:
+                    yield pairs(held)
+                    held = []
+                current = key
+                held.append(row)
+        if held:
+            yield pairs(held)
+
+    return compare
+
+
 class _Classes:
     """What is known of the classes that share a key: size, sketch, one document; and their texts where needed."""
 
@@ -289,6 +334,13 @@ class _Classes:
         own = texts(self.docs).join(written(chosen).hint("merge"), F.col("doc_id").eqNullSafe(F.col("id"))).select("class", "text")
         return written(own.mapInArrow(_of_class(self.k), "class bigint, text string").dropDuplicates(["class"]))
 
+    def within_keys(self, rows: DataFrame) -> DataFrame:
+        """Pairs of classes of one key, in different components, whose sketches are close enough."""
+        marked = rows.join(self.marks.select("class", "n", "sketch").hint("merge"), "class")
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+        sorted_ = marked.select("key", "class", "comp", "n", "sketch").repartition(parts, "key").sortWithinPartitions("key")
+        return sorted_.mapInArrow(_near_in_keys(self.percent), "a bigint, b bigint")
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """Of distinct pairs of classes, those that link; written."""
         a, b = (
@@ -323,7 +375,7 @@ def _refined(k: int, percent: int, seed: int):
 
 
 def near_copies(
-    docs: DataFrame, k: int = 4, percent: int = 85, group: int = 64, levels: int = 4
+    docs: DataFrame, k: int = 4, percent: int = 85, group: int = 2000, levels: int = 4
 ) -> tuple[DataFrame, DataFrame]:
     """All rows with n_shingles and class (null without words), and each linked class's component."""
     spark = docs.sparkSession
@@ -348,12 +400,22 @@ def near_copies(
         # Keys whose classes are not yet all in one component.
         placed = members.join(comps.select(F.col("node").alias("class"), "comp").hint("merge"), "class", "left")
         placed = written(placed.withColumn("comp", F.coalesce("comp", "class")))
-        sizes = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"))
-        mixed = written(sizes.filter("low <> high").select("key", (F.col("size") > group).alias("large")))
+        sizes = placed.groupBy("key").agg(
+            F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"),
+            F.bit_xor(F.xxhash64("class")).alias("members"),
+        )
+        # Two classes have met in their star; keys with the same classes say the same.
+        mixed = sizes.filter("low <> high AND size > 2").groupBy("members", "size").agg(F.min("key").alias("key"))
+        mixed = written(mixed.select("key", (F.col("size") > group).alias("large")))
         open_ = placed.join(mixed.hint("merge"), "key")
-        pairs = open_ if level == levels else open_.filter("NOT large")
-        left, right = pairs.select("key", F.col("class").alias("a"), F.col("comp").alias("ca")), pairs.select("key", F.col("class").alias("b"), F.col("comp").alias("cb"))
-        apart = left.hint("merge").join(right, "key").filter("a < b AND ca <> cb").select("a", "b").distinct()
+        apart = classes.within_keys(open_.filter("NOT large").select("key", "class", "comp"))
+        if level == levels:  # what no sketch could split, pair by pair through a join
+            rest = open_.filter("large")
+            left = rest.select("key", F.col("class").alias("a"), F.col("comp").alias("ca"))
+            right = rest.select("key", F.col("class").alias("b"), F.col("comp").alias("cb"))
+            pairs = left.hint("merge").join(right, "key").filter("a < b AND ca <> cb").select("a", "b")
+            apart = apart.unionByName(pairs)
+        apart = apart.distinct()
         apart = written(apart.join(tried.hint("merge"), ["a", "b"], "left_anti"))
         if not apart.isEmpty():
             tried = tried.unionByName(apart)

@@ -54,7 +54,7 @@ def links(rows, k=4, percent=85):
     return sorted([(rows[i][0], len(sets[i]), least[find(i)]) for i in range(len(rows))], key=repr)
 
 
-@pytest.mark.parametrize("group,levels", [(64, 4), (1, 2)])
+@pytest.mark.parametrize("group,levels", [(2000, 4), (1, 2)])
 def test_near_copies(docs, rows, group, levels):
     """``group=1`` sends every mixed key through the finer sketches."""
     assert H.result(jaccard_join.near_copy_components(docs, group=group, levels=levels)) == links(rows)
