@@ -100,7 +100,7 @@ def _found_shares(matched: DataFrame, members: DataFrame, inv: DataFrame, opts:
     )
     archive = [F.col("root_id"), F.col("archive_key")]
     own_zip = settled(zips, opts.broadcast_bytes)
-    expected = join_keys(listed, archive, own_zip, "inner", spread=F.col("entry")).select(
+    expected = join_keys(listed, archive, own_zip, "inner").select(
         "root_id",
         "archive_key",
         F.concat(F.col("folder_key"), F.lit(opts.sep), F.upper("entry")).alias("expected_key"),

@@ -33,7 +33,7 @@ def _in_company(rows: DataFrame, keys: list[str], limit_bytes: int) -> DataFrame
     shared = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 2)
     shared = shared.select(*[F.col(k).alias(f"key_{k}") for k in keys])
     known = settled(shared, limit_bytes)
-    return join_keys(rows, [F.col(k) for k in keys], known, "left_semi", spread=F.col("full_path"))
+    return join_keys(rows, [F.col(k) for k in keys], known, "left_semi")
 
 
 def size_candidates(files: DataFrame, limit_bytes: int = ScanOptions.broadcast_bytes) -> DataFrame:
@@ -117,10 +117,10 @@ def keep_oldest(members: DataFrame, groups: DataFrame, limit_bytes: int = 0, hot
         return joined(members, known.hinted())
     large = settled(known.df.filter(F.col("n") >= hot), limit_bytes)
     if not large.small:
-        return joined(members, known.df)
+        return joined(members, known.hinted())
     rest = members.join(F.broadcast(large.df.select(*keys)), keys, "left_anti")
     rare = known.df.filter(F.col("n") < hot)
-    return joined(members, large.hinted()).unionByName(joined(rest, rare))
+    return joined(members, large.hinted()).unionByName(joined(rest, rare.hint("merge")))
 
 
 def _digests(contents: DataFrame) -> DataFrame:

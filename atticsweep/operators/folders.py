@@ -126,7 +126,6 @@ def folder_rollup(
             [F.col("root_id"), F.col("above")],
             settled(links, limit_bytes),
             "left_semi",
-            spread=F.col("path_key"),
         )
         .groupBy(*KEYS)
         .agg(F.max("level").alias("stop"))

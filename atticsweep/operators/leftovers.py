@@ -127,7 +127,7 @@ def orphaned_app_data(inv: DataFrame, locations: DataFrame, names: DataFrame, op
     unknown = prune.folders(inv).filter(~flagged & ~match.name_in(F.col("name"), KNOWN_FOLDERS))
     parent = [F.col("root_id"), paths.key_of(F.col("parent_path"))]
     candidates = join_keys(
-        unknown, parent, settled(places, opts.broadcast_bytes), "inner", spread=F.col("full_path")
+        unknown, parent, settled(places, opts.broadcast_bytes), "inner"
     ).select("root_id", "full_path", "name", "modified", "label")
     # Few rows after much matching, used for the sizes and for the outcome.
     orphans = written(without_related_name(candidates, names))

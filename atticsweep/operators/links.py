@@ -23,7 +23,7 @@ def _without_target(pointers: DataFrame, inv: DataFrame, opts: ScanOptions) -> D
     present = inv.select("root_id", paths.key_of(F.col("full_path")).alias("path_key"))
     found = existing_keys(wanted, present, opts.broadcast_bytes)
     target = [F.col("root_id"), F.col("target_key")]
-    return join_keys(pointers, target, found, "left_anti", spread=F.col("full_path"))
+    return join_keys(pointers, target, found, "left_anti")
 
 
 @scanner(
@@ -67,6 +67,25 @@ def expand_variables(text: Column, variables: Column) -> Column:
     return F.aggregate(numbered, start, step, lambda state: state["text"])
 
 
+def _variables_of(links: DataFrame, env: DataFrame, opts: ScanOptions) -> DataFrame:
+    """Per link (key_root, key_link) a map of the variables that its own target names.
+
+    Names are compared without case; of several spellings the first in order counts.
+    """
+    named = env.filter(F.col("name").isNotNull() & F.col("value").isNotNull())
+    known = named.groupBy(F.col("root_id").alias("key_root"), F.upper("name").alias("key_name")).agg(
+        F.min(F.struct("name", "value"))["value"].alias("value")
+    )
+    used = links.filter(F.contains(F.col("link_target"), F.lit("%"))).select(
+        "root_id", "full_path", F.explode(F.array_distinct(F.split(F.upper("link_target"), "%"))).alias("name")
+    )
+    found = used.join(settled(known, opts.broadcast_bytes).hinted(), (F.col("root_id") == F.col("key_root")) & (F.col("name") == F.col("key_name")))
+    # At most as many names as a target has per cent signs.
+    return found.groupBy("root_id", "full_path").agg(F.collect_set(F.struct("name", "value")).alias("pairs")).select(
+        F.col("root_id").alias("key_root"), F.col("full_path").alias("key_link"), F.map_from_entries("pairs").alias("variables")
+    )
+
+
 @scanner(
     "broken_shortcuts",
     "Shortcuts with a missing target",
@@ -92,12 +111,8 @@ def broken_shortcuts(
     if env is None:
         links = links.withColumn("target", F.col("link_target"))
     else:
-        pair = F.struct(F.upper("name"), F.col("value"))
-        per_root = env.groupBy(F.col("root_id").alias("key_root")).agg(
-            F.map_from_entries(F.array_agg(pair)).alias("variables")
-        )
-        variables = KeySet(per_root, settled(env, opts.broadcast_bytes).small)
-        links = join_keys(links, [F.col("root_id")], variables, "left", spread=F.col("full_path"))
+        own = settled(_variables_of(links, env, opts), opts.broadcast_bytes)
+        links = join_keys(links, [F.col("root_id"), F.col("full_path")], own, "left")
         target = F.when(
             F.contains(F.col("link_target"), F.lit("%")) & F.col("variables").isNotNull(),
             expand_variables(F.col("link_target"), F.col("variables")),

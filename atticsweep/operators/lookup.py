@@ -1,7 +1,9 @@
-"""Joins against key sets: broadcast when the size is known to allow it, shuffle otherwise.
+"""Joins against key sets: broadcast when measured small, by a sort-merge join otherwise.
 
-The shuffled form is salted, so a key with very many rows on the large side is
-spread over several tasks; the key set is copied once per salt.
+A key set is written once and its rows are measured; no planner estimate takes part,
+as that is made of compressed file sizes. A large key set carries a merge hint, so
+that neither the planner nor adaptive execution broadcasts it after all; hot keys on
+the other side are split by adaptive execution.
 """
 
 from __future__ import annotations
@@ -16,12 +18,11 @@ from pyspark.sql import types as T
 from atticsweep.session import written
 
 ROW_OVERHEAD = 16
-SALTS = 16
 
 
 @dataclass(frozen=True)
 class KeySet:
-    """The small side of a join, and whether it may be broadcast."""
+    """One side of a join, and whether it may be broadcast."""
 
     df: DataFrame
     small: bool
@@ -30,21 +31,7 @@ class KeySet:
         return KeySet(self.df.select(*columns), self.small)
 
     def hinted(self) -> DataFrame:
-        return F.broadcast(self.df) if self.small else self.df
-
-
-def _estimate(df: DataFrame) -> int | None:
-    """The planner's size estimate; None where there is none to ask (a remote session)."""
-    plan = getattr(df, "_jdf", None)
-    if plan is None:
-        return None
-    return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def _planner_limit(df: DataFrame) -> int:
-    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10MB").lower().removesuffix("b")
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    return int(text[:-1]) * units[text[-1]] if text[-1] in units else int(text)
+        return F.broadcast(self.df) if self.small else self.df.hint("merge")
 
 
 def _measured(df: DataFrame) -> int:
@@ -57,37 +44,17 @@ def _measured(df: DataFrame) -> int:
 
 
 def settled(df: DataFrame, limit_bytes: int) -> KeySet:
-    """``df`` with the answer to whether it is at most this large.
-
-    What the planner estimates to be small enough for its own broadcasts stays lazy.
-    All else is written once, so that measuring it does not compute it twice.
-    """
-    if limit_bytes <= 0:
-        return KeySet(df, False)
-    estimate = _estimate(df)
-    if estimate is not None and estimate <= min(limit_bytes, _planner_limit(df)):
-        return KeySet(df, True)
+    """``df``, written once, with the answer to whether it is at most this large."""
     df = written(df)
-    return KeySet(df, _measured(df) <= limit_bytes)
+    return KeySet(df, limit_bytes > 0 and _measured(df) <= limit_bytes)
 
 
-def join_keys(
-    left: DataFrame, left_keys: list[Column], keys: KeySet, how: str, spread: Column | None = None
-) -> DataFrame:
-    """Join on all columns of ``keys`` named like ``key_*`` in order; those columns go away.
-
-    ``spread`` is what a key's many rows on the left differ in; without it they are
-    few and need no salt.
-    """
+def join_keys(left: DataFrame, left_keys: list[Column], keys: KeySet, how: str) -> DataFrame:
+    """Join on all columns of ``keys`` named like ``key_*`` in order; those columns go away."""
     right = keys.hinted()
     names = [c for c in right.columns if c.startswith("key_")]
     same = [a == F.col(b) for a, b in zip(left_keys, names, strict=True)]
-    salted = spread is not None and not keys.small
-    if salted:
-        left = left.withColumn("left_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
-        right = right.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-        same.append(F.col("left_salt") == F.col("salt"))
-    return left.join(right, reduce(Column.__and__, same), how).drop("left_salt", "salt", *names)
+    return left.join(right, reduce(Column.__and__, same), how).drop(*names)
 
 
 def existing_keys(wanted: DataFrame, present: DataFrame, limit_bytes: int) -> KeySet:
@@ -101,5 +68,5 @@ def existing_keys(wanted: DataFrame, present: DataFrame, limit_bytes: int) -> Ke
     if asked.small:
         found = present.select(*keys).join(asked.hinted(), keys, "left_semi").distinct()
     else:
-        found = asked.df.join(present.select(*keys), keys, "left_semi")
+        found = asked.df.join(present.select(*keys).hint("merge"), keys, "left_semi")
     return KeySet(found.select(F.col("root_id").alias("key_root"), F.col("path_key").alias("key_path")), asked.small)

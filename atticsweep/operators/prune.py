@@ -74,7 +74,6 @@ def subtree_keys(inv: DataFrame, marked: DataFrame, opts: ScanOptions) -> DataFr
         [F.col("root_id"), F.col("above")],
         settled(marked, opts.broadcast_bytes),
         "left_semi",
-        spread=F.col("path_key"),
     )
     return hits.select(F.col("root_id").alias("key_root"), F.col("path_key").alias("key_path"))
 
@@ -97,7 +96,7 @@ def listed(entries: DataFrame, inv: DataFrame, opts: ScanOptions, blocked: KeySe
     if blocked is None:
         blocked = blocked_subtrees(inv, opts)
     folder = [F.col("root_id"), paths.key_of(F.col("parent_path"))]
-    return join_keys(reachable_by_path(entries, opts), folder, blocked, "left_anti", spread=F.col("full_path"))
+    return join_keys(reachable_by_path(entries, opts), folder, blocked, "left_anti")
 
 
 def visible(inv: DataFrame, opts: ScanOptions, blocked: KeySet | None = None) -> DataFrame:

@@ -51,7 +51,7 @@ def _marked(inv: DataFrame, plan: DataFrame, opts: ScanOptions) -> DataFrame:
     key, parent = paths.key_of(F.col("full_path")), paths.key_of(F.col("parent_path"))
     own = join_keys(inv, [F.col("root_id"), key], settled(itself, opts.broadcast_bytes), "left")
     return (
-        join_keys(own, [F.col("root_id"), parent], settled(below, opts.broadcast_bytes), "left", spread=key)
+        join_keys(own, [F.col("root_id"), parent], settled(below, opts.broadcast_bytes), "left")
         .withColumn("planned", F.col("itself").isNotNull() | F.col("below").isNotNull())
         .select(*inv.columns, "planned")
     )

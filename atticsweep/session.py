@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,31 +16,53 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.sources.binaryFile.maxLength": str(1 << 30),
 }
 
 
 def scratch_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; all executors reach it.
 
-    Only a local session without that setting gets a temporary folder of its own.
+    A local session without that setting gets one temporary folder, which goes when Python ends.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = _LOCAL_FOLDERS.setdefault(
-            spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="atticsweep-")
-        )
+        name = spark.sparkContext.applicationId
+        if name not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[name] = tempfile.TemporaryDirectory(prefix="atticsweep-")
+        folder = _LOCAL_FOLDERS[name].name
     return folder
 
 
-_LOCAL_FOLDERS: dict[str, str] = {}
+_LOCAL_FOLDERS: dict[str, tempfile.TemporaryDirectory] = {}
+_WORKSPACES: list[list[str]] = []
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """Within it, tables written on the way are noted, and removed when it ends.
+
+    Results that are still needed have to be written elsewhere before.
+    """
+    made: list[str] = []
+    _WORKSPACES.append(made)
+    try:
+        yield
+    finally:
+        _WORKSPACES.remove(made)
+        jvm = spark.sparkContext._jvm
+        for path in made:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the scratch folder."""
-    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _WORKSPACES[-1:]:
+        made.append(path)
+    return path
 
 
 def written(df: DataFrame) -> DataFrame:

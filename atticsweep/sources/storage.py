@@ -107,11 +107,11 @@ def contents(files: DataFrame) -> DataFrame:
 
 
 def _entry_local(root_id: str, entry: os.DirEntry, depth: int) -> tuple:
-    is_link = entry.is_symlink()
-    target = None
-    if is_link:
-        target = os.path.normpath(os.path.join(os.path.dirname(entry.path), os.readlink(entry.path)))
+    is_link, target = False, None
     try:
+        is_link = entry.is_symlink()
+        if is_link:
+            target = os.path.normpath(os.path.join(os.path.dirname(entry.path), os.readlink(entry.path)))
         is_directory = entry.is_dir()
         stat = entry.stat(follow_symlinks=False)
         size = 0 if is_directory else stat.st_size
@@ -139,12 +139,21 @@ def _entry_local(root_id: str, entry: os.DirEntry, depth: int) -> tuple:
 
 
 def list_folder(root_id: str, folder: str, depth: int) -> Iterator[tuple]:
-    """The entries directly in a folder; nothing for a folder that cannot be opened."""
+    """The entries directly in a folder.
+
+    A folder that cannot be opened, or whose listing breaks off, gives its own row once
+    more with ``readable`` false, so that a listing with gaps shows them.
+    """
     if "://" in folder:
         from pyarrow import fs
 
-        filesystem, inner = fs.FileSystem.from_uri(folder)
-        for info in filesystem.get_file_info(fs.FileSelector(inner)):
+        try:
+            filesystem, inner = fs.FileSystem.from_uri(folder)
+            infos = filesystem.get_file_info(fs.FileSelector(inner))
+        except (OSError, ValueError):
+            yield _unreadable_row(root_id, folder, depth - 1)
+            return
+        for info in infos:
             is_directory = info.type == fs.FileType.Directory
             hidden = info.base_name.startswith(".")
             yield (
@@ -169,7 +178,11 @@ def list_folder(root_id: str, folder: str, depth: int) -> Iterator[tuple]:
             for entry in entries:
                 yield _entry_local(root_id, entry, depth)
     except OSError:
-        return
+        yield _unreadable_row(root_id, folder, depth - 1)
+
+
+def _unreadable_row(root_id: str, folder: str, depth: int) -> tuple:
+    return (*_root_row(root_id, folder)[:4], depth, *_root_row(root_id, folder)[5:-1], False)
 
 
 def _root_row(root_id: str, root: str) -> tuple:
