@@ -84,12 +84,52 @@ class Network:
             states[t] = h
         return states
 
-    def distributions(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """A distribution over the languages for every byte: (time, batch, languages)."""
-        both = np.concatenate([self.direction(0, x, mask), self.direction(1, x, mask)], axis=2)
-        scores = both.reshape(-1, both.shape[2]) @ self.output + self.bias
-        scores = np.exp(scores - scores.max(axis=1, keepdims=True))
-        return (scores / scores.sum(axis=1, keepdims=True)).reshape(*x.shape, -1)
+    def states(self, which: int, x: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
+        """As ``direction``, in place and without masks where all windows are full."""
+        steps, batch = x.shape
+        n = self.recurrences[which].shape[0]
+        # sigmoid(x) = 1 / (1 + exp(-x)) and tanh(x) = 2 / (1 + exp(-2 x)) - 1, with the factors put into the
+        # weights; exp is the cheaper function. It may overflow to infinity, of which the inverse is right.
+        factor = np.concatenate([np.full(2 * n, -1.0), np.full(n, -2.0)]).astype(np.float32)
+        table, recurrence = self.tables[which] * factor, self.recurrences[which] * factor
+        h = np.zeros((batch, n), np.float32)
+        inward, back = np.empty((batch, 3 * n), np.float32), np.empty((batch, 3 * n), np.float32)
+        gates, candidate = np.empty((batch, 2 * n), np.float32), np.empty((batch, n), np.float32)
+        found = np.empty((steps, batch, n), np.float32)
+        old = np.seterr(over="ignore")
+        for t in range(steps) if which == 0 else range(steps - 1, -1, -1):
+            np.take(table, x[t], axis=0, out=inward, mode="clip")
+            np.matmul(h, recurrence, out=back)
+            np.add(inward[:, : 2 * n], back[:, : 2 * n], out=gates)
+            np.exp(gates, out=gates)
+            gates += np.float32(1)
+            np.reciprocal(gates, out=gates)
+            np.multiply(gates[:, n:], back[:, 2 * n :], out=candidate)
+            candidate += inward[:, 2 * n :]
+            np.exp(candidate, out=candidate)
+            candidate += np.float32(1)
+            np.divide(np.float32(2), candidate, out=candidate)
+            candidate -= np.float32(1)
+            h = found[t]
+            np.subtract(found[t - 1] if which == 0 and t else found[t + 1] if which and t < steps - 1 else np.float32(0), candidate, out=h)
+            h *= gates[:, :n]
+            h += candidate
+            if mask is not None:
+                h *= mask[t][:, None]
+        np.seterr(**old)
+        return found
+
+    def distributions(self, x: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
+        """A distribution over the languages for every byte: (languages, time, batch)."""
+        n = self.recurrences[0].shape[0]
+        scores = self.states(0, x, mask).reshape(-1, n) @ self.output[:n]
+        scores += self.states(1, x, mask).reshape(-1, n) @ self.output[n:]
+        scores += self.bias
+        p = np.ascontiguousarray(scores.T)
+        p -= p.max(axis=0)
+        np.exp(p, out=p)
+        p /= p.sum(axis=0)
+        return p.reshape(-1, *x.shape)
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
         """Mean cross-entropy of the bytes, and its gradient in the order of ``parameters``."""
@@ -218,14 +258,19 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
             if known:
                 x, sizes, owner = windows([given[i].encode("utf-8") for i in known])
                 total, votes = (np.zeros((len(known), len(net.languages))) for _ in range(2))
-                for at in range(0, len(x), 4096):
-                    part = slice(at, at + 4096)
-                    mask = (np.arange(SPAN)[:, None] < sizes[part]).astype(np.float32)
-                    p = net.distributions(np.ascontiguousarray(x[part].T), mask) * mask[:, :, None]
-                    best = p.argmax(axis=2)
+                order = np.argsort(sizes < SPAN, kind="stable")  # full windows first: they need no mask
+                full = int((sizes == SPAN).sum())
+                for at in [*range(0, full, 1024), *range(full, len(x), 1024)]:
+                    part = order[at : min(at + 1024, full if at < full else len(x))]
+                    mask = None if at < full else (np.arange(SPAN)[:, None] < sizes[part]).astype(np.float32)
+                    p = net.distributions(np.ascontiguousarray(x[part].T), mask)
+                    first = p == p.max(axis=0)
+                    if mask is not None:
+                        p *= mask
+                        first &= mask > 0
                     for k in range(len(net.languages)):
-                        total[:, k] += np.bincount(owner[part], p[:, :, k].sum(axis=0), len(known))
-                        votes[:, k] += np.bincount(owner[part], ((best == k) * mask).sum(axis=0), len(known))
+                        total[:, k] += np.bincount(owner[part], p[k].sum(axis=0), len(known))
+                        votes[:, k] += np.bincount(owner[part], first[k].sum(axis=0), len(known))
                 total /= total.sum(axis=1, keepdims=True)
                 votes /= votes.sum(axis=1, keepdims=True)
                 chosen = total.argmax(axis=1)
