@@ -21,8 +21,9 @@ import atticsweep as att
 import fixtures
 import oracle
 from atticsweep.functions import attributes, match
+from atticsweep.operators import prune
 from atticsweep.session import scratch_path
-from atticsweep.sources import export, storage
+from atticsweep.sources import export
 
 try:
     import corpus_pipeline
@@ -338,13 +339,6 @@ def _zip_pages(batches):
         yield batch[["root_id", "full_path"]].assign(content=packed)
 
 
-def storage_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table files themselves, listed by the inventory source."""
-    storage.register(spark)
-    rows = spark.read.format("inventory").option("path", sf_dir).load()
-    return att.files(rows).select("name", "size_bytes", "is_directory", "readable")
-
-
 def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.csv_rows(_run("temp_files", spark, sf_dir))
 
@@ -434,13 +428,17 @@ def freed_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streaming ------------------------------------------------------------------
 
 
-def streamed(scan: str) -> Callable[[SparkSession, str], DataFrame]:
+def streamed(
+    scan: str, inventory: Callable[[SparkSession, str], DataFrame] = file_inventory
+) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         """The inventory written out, read as a stream, scanned, and the findings read back."""
         base = scratch_path(spark, "stream")
-        file_inventory(spark, sf_dir).write.parquet(f"{base}/inventory")
+        inv = inventory(spark, sf_dir)
+        inv.write.parquet(f"{base}/inventory")
+        blocked = prune.blocked_subtrees(inv, OPTS)
         stream = spark.readStream.schema(att.INVENTORY_SCHEMA).option("maxFilesPerTrigger", 4).parquet(f"{base}/inventory")
-        found = att.stream_scan(stream, scan, OPTS, AS_OF)
+        found = att.stream_scan(stream, scan, OPTS, AS_OF, blocked)
         (
             found.writeStream.outputMode("append")
             .format("parquet")
@@ -492,7 +490,6 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "orphaned_app_data": orphaned_app_data,
         "resolved_paths": resolved_paths,
         "archive_member_list": archive_member_list,
-        "storage_listing": storage_listing,
         "export_rows": export_rows,
         "exported_csv": exported_csv,
         "exported_json": exported_json,
@@ -510,6 +507,8 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "freed_bytes": freed_bytes,
         "streamed_temp_files": streamed("temp_files"),
         "streamed_old_files": streamed("old_files"),
+        "streamed_zero_length_files": streamed("zero_length_files"),
+        "streamed_long_paths": streamed("long_paths", long_path_inventory),
     }
 
 

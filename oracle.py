@@ -189,8 +189,6 @@ def statements() -> dict[str, str]:
     two_scans = f"results AS ({TEMP} UNION ALL {OLD})"
     exported = f"""SELECT 'True' AS "Selected", name AS "Name", full_path AS "Path", size_bytes AS "Size",
       {TIME_TEXT} AS "Modified", detail AS "Detail", "group" AS "Group" FROM ({TEMP})"""
-    # A stream sees names on the path only, so flags of folders above do not count.
-    streamed = WALK.replace("shut s WHERE starts_with", "shut s WHERE upper(s.name) = 'NODE_MODULES' AND starts_with")
     return {
         "ingested_inventory": f"""{fixtures.FILES} SELECT '' AS root_id, full_path, name, parent_path,
             CAST(length(full_path) - length(replace(full_path, '/', '')) - 1 AS BIGINT) AS depth,
@@ -318,8 +316,11 @@ def statements() -> dict[str, str]:
                count(*) FILTER (WHERE is_directory) AS folders, CAST(sum(size_bytes) AS BIGINT) AS freed_bytes FROM gone""",
             f", {planned}, {gone}",
         ),
-        "streamed_temp_files": f"{fixtures.FILES}{streamed} {TEMP}",
-        "streamed_old_files": f"{fixtures.FILES}{streamed} {OLD}",
+        # The same rows as the batch scans.
+        "streamed_temp_files": _files(TEMP),
+        "streamed_old_files": _files(OLD),
+        "streamed_zero_length_files": _files(ZERO),
+        "streamed_long_paths": f"{fixtures.LONG_PATHS} {LONG}",
         "scan_all_summary": _fleet_summary(),
     }
 

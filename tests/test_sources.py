@@ -184,3 +184,21 @@ def test_json_round_trip(spark, tmp_path):
     fields = ["Name", "FullPath", "SizeBytes", "Size", "Modified", "Detail", "Group", "IsSelected", "IsDirectory"]
     assert sorted(back.columns) == sorted(fields)
     assert sorted(map(tuple, back.select(fields).collect())) == sorted(map(tuple, export.json_rows(found).collect()))
+
+
+def test_listing_keeps_entries_beside_bad_ones(tmp_path, monkeypatch):
+    from atticsweep.sources import storage
+
+    for name in "abcde":
+        (tmp_path / name).write_text(name)
+    (tmp_path / "link").symlink_to(tmp_path / "a")
+
+    def refuse(path, **_):
+        raise OSError(path)
+
+    monkeypatch.setattr(storage.os, "readlink", refuse)
+    rows = {r[2]: r for r in storage.list_folder("", str(tmp_path), 1)}
+    assert sorted(rows) == ["a", "b", "c", "d", "e", "link"] and not rows["link"][-1] and rows["a"][-1]
+    for missing in (str(tmp_path / "none"), f"file://{tmp_path}/none"):
+        ((_, path, *_, readable),) = list(storage.list_folder("", missing, 1))
+        assert path == missing and not readable
