@@ -72,4 +72,47 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, first_value(doc_id) OVER same AS keep_id, count(*) OVER (PARTITION BY rest) AS group_size,
           doc_id = first_value(doc_id) OVER same AS kept, sha256(rest) AS text_sha256
         FROM bare WINDOW same AS (PARTITION BY rest ORDER BY code_points DESC, doc_id)""",
+    "op2_super_kmers": """
+        WITH split AS (
+          SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words
+          FROM documents),
+        windows AS (
+          SELECT doc_id, first, array_to_string(words[first:first + 34], ' ') AS win
+          FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS first FROM split)),
+        repeated AS (SELECT win FROM windows GROUP BY win HAVING count(*) > 1),
+        gone AS (
+          SELECT DISTINCT doc_id, unnest(range(first, first + 35)) AS at
+          FROM windows WHERE win IN (SELECT win FROM repeated)),
+        each AS (
+          SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS at FROM split WHERE len(words) > 0),
+        kept AS (
+          SELECT e.doc_id, count(*) FILTER (WHERE g.at IS NOT NULL) AS n_removed,
+            coalesce(string_agg(e.word, ' ' ORDER BY e.at) FILTER (WHERE g.at IS NULL), '') AS kept
+          FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.at = e.at GROUP BY e.doc_id)
+        SELECT s.doc_id, CAST(len(s.words) AS BIGINT) AS n_words, coalesce(k.n_removed, 0) AS n_removed,
+          sha256(coalesce(k.kept, '')) AS kept_sha256
+        FROM split s LEFT JOIN kept k ON k.doc_id = s.doc_id""",
+    "op6_parity_sketches": """
+        WITH RECURSIVE split AS (
+          SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\\x20\\x09-\\x0D]+') AS words
+          FROM documents),
+        shingles AS (
+          SELECT DISTINCT doc_id, shingle FROM (
+            SELECT doc_id, array_to_string(words[first:first + 3], ' ') AS shingle
+            FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 2))) AS first
+                  FROM split WHERE len(words) > 0))),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        links AS (
+          SELECT a.doc_id AS a, b.doc_id AS b
+          FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+          JOIN sizes m ON m.doc_id = a.doc_id JOIN sizes n ON n.doc_id = b.doc_id
+          GROUP BY a.doc_id, b.doc_id, m.n, n.n HAVING 100 * count(*) >= 85 * (m.n + n.n - count(*))),
+        reach AS (
+          SELECT doc_id AS node, doc_id AS seen FROM documents
+          UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen)
+        SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, r.component_id
+        FROM documents d LEFT JOIN sizes z ON z.doc_id = d.doc_id
+        JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP BY node) r ON r.node = d.doc_id""",
 }
