@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 import atticsweep as att
 import fixtures
 import oracle
+from atticsweep import registry
 from atticsweep.functions import attributes, match
 from atticsweep.operators import prune
 from atticsweep.session import scratch_path
@@ -307,6 +308,20 @@ def orphaned_app_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def own_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan of the user's own beside a built-in one."""
+
+    @att.scanner("dat_files", "Data files")
+    def dat_files(inputs: att.Inputs, opts: att.ScanOptions) -> DataFrame:
+        rows = prune.visible_files(inputs.inventory, opts).filter(F.lower("name").endswith(".dat"))
+        return registry.to_results(rows, "dat_files", detail=F.format_string("Data file of %d bytes", "size_bytes"))
+
+    try:
+        return file_results(spark, sf_dir, ("dat_files", "temp_files"))
+    finally:
+        registry.unregister("dat_files")
+
+
 # Sources and sinks ----------------------------------------------------------
 
 
@@ -465,6 +480,7 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "path_parts": path_parts,
         "visible_entries": visible_entries,
         "visible_entries_depth2": lambda s, d: visible_entries(s, d, _depth(2)),
+        "visible_entries_skip_hidden": lambda s, d: visible_entries(s, d, att.ScanOptions(sep="/", skip_hidden=True)),
         "ignored_files": ignored_files,
         "wildcard_match": wildcard_match,
         "result_size_bounds": result_size_bounds,
@@ -478,6 +494,8 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "duplicate_files": duplicate_files,
         "duplicate_candidates": duplicate_candidates,
         "temp_files": lambda s, d: _run("temp_files", s, d),
+        "temp_files_depth3": lambda s, d: _run("temp_files", s, d, _depth(3)),
+        "own_scan": own_scan,
         "zero_length_files": lambda s, d: _run("zero_length_files", s, d),
         "old_files": lambda s, d: _run("old_files", s, d),
         "broken_links": lambda s, d: _run("broken_links", s, d),

@@ -206,6 +206,10 @@ def statements() -> dict[str, str]:
             CAST(length(full_path) - length(replace(full_path, '/', '')) - 1 AS BIGINT) AS depth FROM inv""",
         "visible_entries": _files(files),
         "visible_entries_depth2": f"{fixtures.FILES}{_at_depth(2)} {files}",
+        "visible_entries_skip_hidden": f"{fixtures.FILES}{WALK.replace('is_system OR', 'is_system OR is_hidden OR', 1)} {files}",
+        "temp_files_depth3": f"{fixtures.FILES}{_at_depth(3)} {TEMP}",
+        "own_scan": f"""{fixtures.FILES}{WALK} {_result("dat_files", "vis WHERE NOT is_directory AND ends_with(lower(name), '.dat')", "ext_text")}
+            UNION ALL {TEMP}""".replace("ext_text", "concat('Data file of ', CAST(size_bytes AS VARCHAR), ' bytes')"),
         "ignored_files": f"""{fixtures.FILES} SELECT full_path, name, size_bytes FROM inv
             WHERE NOT is_directory AND {IGNORED}""",
         "wildcard_match": f"""{fixtures.FILES} SELECT full_path, name,
