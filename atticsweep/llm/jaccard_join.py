@@ -278,7 +278,9 @@ def _close(percent: int):
 def _near_in_keys(percent: int):
     """Reads a partition sorted by key; holds the sketches of one key's classes at a time, at most ``group``."""
 
-    def near(name: np.ndarray, comp: np.ndarray, n: np.ndarray, sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def near(
+        key: int, name: np.ndarray, comp: np.ndarray, n: np.ndarray, sketches: list[bytes], keys: list[frozenset]
+    ) -> tuple[np.ndarray, np.ndarray]:
         least = min(map(len, sketches))
         folded = []
         for s in sketches:
@@ -296,25 +298,26 @@ def _near_in_keys(percent: int):
             ok = (differ * (100 + percent) <= (100 - percent) * (small + large)) & (100 * small >= percent * large)
             ok &= (comp[part, None] != comp[None, :]) & (name[part, None] < name[None, :])
             i, j = np.nonzero(ok)
-            found.append((name[i + at], name[j]))
+            first = [min(keys[x + at] & keys[y]) == key for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+            found.append((name[(i + at)[first]], name[j[first]]))
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(held: list[tuple]) -> pa.RecordBatch:
-            name, comp, n, sketches = zip(*held, strict=True)
-            a, b = near(*(np.array(x, np.int64) for x in (name, comp, n)), sketches)
+        def pairs(key: int, held: list[tuple]) -> pa.RecordBatch:
+            name, comp, n, sketches, keys = zip(*held, strict=True)
+            a, b = near(key, *(np.array(x, np.int64) for x in (name, comp, n)), sketches, [frozenset(k) for k in keys])
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         current, held = None, []
         for rows in batches:
             for key, *row in zip(*(c.to_pylist() for c in rows.columns), strict=True):
                 if key != current and held:
-                    yield pairs(held)
+                    yield pairs(current, held)
                     held = []
                 current = key
                 held.append(row)
         if held:
-            yield pairs(held)
+            yield pairs(current, held)
 
     return compare
 
@@ -336,9 +339,12 @@ class _Classes:
 
     def within_keys(self, rows: DataFrame) -> DataFrame:
         """Pairs of classes of one key, in different components, whose sketches are close enough."""
-        marked = rows.join(self.marks.select("class", "n", "sketch").hint("merge"), "class")
+        # A class's keys: at most its number of words. Of the keys that a pair shares, the smallest one gives it.
+        keys = rows.groupBy("class").agg(F.collect_list("key").alias("keys"))
+        known = written(self.marks.select("class", "n", "sketch").join(keys.hint("merge"), "class"))
+        marked = rows.join(known.hint("merge"), "class")
         parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
-        sorted_ = marked.select("key", "class", "comp", "n", "sketch").repartition(parts, "key").sortWithinPartitions("key")
+        sorted_ = marked.select("key", "class", "comp", "n", "sketch", "keys").repartition(parts, "key").sortWithinPartitions("key")
         return sorted_.mapInArrow(_near_in_keys(self.percent), "a bigint, b bigint")
 
     def links(self, pairs: DataFrame) -> DataFrame:
