@@ -60,7 +60,8 @@ def byte_runs(streams: list[bytes], depth: int) -> np.ndarray:
     data = np.frombuffer(END * depth + (END * (depth - 1)).join(streams) if depth else b"".join(streams), np.uint8)
     runs = np.zeros(len(data) - depth, np.uint64)
     for i in range(depth + 1):
-        runs = (runs << np.uint64(8)) | data[i : len(data) - depth + i]
+        runs <<= np.uint64(8)
+        runs |= data[i : len(data) - depth + i]
     if depth > 1:
         # Between streams stand depth - 1 more end bytes: those are no part of any text.
         sizes = np.array([len(s) for s in streams])
@@ -185,7 +186,10 @@ def _slice(rows: pa.RecordBatch, depth: int, parts: int, number: int) -> pa.Reco
     out: list[tuple] = []
     if streams:
         runs = byte_runs(streams, depth)
-        code, n = _counted(runs, np.ones(len(runs), np.int64))
+        runs.sort()  # in place: a slice's runs are the largest thing in memory
+        firsts = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]]))
+        code, n = runs[firsts], np.diff(np.append(firsts, len(runs)))
+        del runs
         # By the two context bytes next to the byte: all their deeper contexts meet in one part.
         key = ((code >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(0x9E3779B97F4A7C15)
         part = ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
