@@ -41,7 +41,7 @@ from atticsweep.session import written
 
 END = b"\n"  # in no word
 LOG2 = float(np.log(2.0))
-SLICE = 16 << 20
+SLICE = 6 << 20
 WORD_PARTS = 32
 KINDS = "kind int, part bigint, slice bigint, a binary, b binary, c binary, d binary, e binary"
 
