@@ -27,8 +27,11 @@ def remove_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of links: the one with the smallest id."""
-    return jaccard_join.one_of_each(docs)
+    """One document of each component of links: the one with the smallest id.
+
+    Links are those of a stage: shingles of five words, and similarity from 80 % on.
+    """
+    return jaccard_join.one_of_each(docs, k=5, percent=80)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

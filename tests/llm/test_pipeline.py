@@ -60,3 +60,14 @@ def test_stages_against_brute_force(spark, rows, tmp_path_factory):
     assert {(r.doc_id, r.doc_tokens) for r in packed.collect()} == set(tokens.items())
     assert set(tokens) == {r[0] for r in of(kept)}
     assert corpus_pipeline.run(spark, sf_dir).count() == packed.count()
+
+
+def test_near_copies_from_four_fifths_of_five_word_shingles_on(spark):
+    """One copy with a fifth more text, one with a changed word per 47: both are near copies for the stage."""
+    words = [f"w{i}" for i in range(470)]
+    more = words[:100] + [f"v{i}" for i in range(22)]
+    changed = [f"x{i}" if i % 47 == 20 else w for i, w in enumerate(words)]
+    texts = [words, words[:100], more, changed, [f"u{i}" for i in range(90)]]
+    rows = [(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)]
+    kept = corpus_pipeline.remove_near_copies(spark, H.frame(spark, rows), "")
+    assert {r.doc_id for r in kept.collect()} == {i for i, _, c in links(rows, 5, 80) if i == c} == {0, 1, 4}
