@@ -410,8 +410,8 @@ def near_copies(
             F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"),
             F.bit_xor(F.xxhash64("class")).alias("members"),
         )
-        # Two classes have met in their star; keys with the same classes say the same.
-        mixed = sizes.filter("low <> high AND size > 2").groupBy("members", "size").agg(F.min("key").alias("key"))
+        # At level 1 two classes have met in their star; refined keys have none. Keys with the same classes say the same.
+        mixed = sizes.filter(f"low <> high AND size > {2 if level == 1 else 1}").groupBy("members", "size").agg(F.min("key").alias("key"))
         mixed = written(mixed.select("key", (F.col("size") > group).alias("large")))
         open_ = placed.join(mixed.hint("merge"), "key")
         apart = classes.within_keys(open_.filter("NOT large").select("key", "class", "comp"))

@@ -119,3 +119,14 @@ def test_texts_without_repeats(docs, rows, empty):
         if want[r.doc_id][2]:
             assert hashlib.sha256(r.text.encode()).hexdigest() == want[r.doc_id][3]
     assert substring_dedup.removal_digests(empty).count() == 0
+
+
+def test_near_copies_with_a_common_opening(spark):
+    """Nearly all keys are crowded, and the refined ones that a pair shares are often held by the two alone."""
+    opening = [f"w{i}" for i in range(8)]
+    rows = []
+    for i in range(300):
+        own = [*opening, *(f"x{i}y{j}" for j in range(3))]
+        rows += [(2 * i, " ".join(own), "en", "s", 0), (2 * i + 1, " ".join([*own, "more"]), "en", "s", 0)]
+    got = H.result(jaccard_join.near_copy_components(H.frame(spark, rows), group=3))
+    assert got == links(rows) and {c for *_, c in got} == set(range(0, 600, 2))
