@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from atticsweep.session import written
+
 # Words are runs of anything but these six characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
@@ -16,9 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``text`` alone, null texts as empty ones; other columns, whatever they are called, stay out."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+def texts(docs: DataFrame, *others: str) -> DataFrame:
+    """``doc_id``, ``text`` and ``others`` alone, null texts as empty ones; other columns, whatever they are called, stay out."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *others)
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written once with a number for each row, and that column's name, which ``docs`` does not have."""
+    name, taken = "row_number", {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return written(docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
+def first_of(row: str) -> Column:
+    """What comes first of rows that say the same: the smallest id, null ids last; of one id by its text, then any."""
+    return F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", F.col(row).alias("row"))
 
 
 def remainder(doc_id: Column, divisor: int) -> Column:

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atticsweep.llm.common import rows_of, spread_parts, texts
+from atticsweep.llm.common import first_of, numbered, rows_of, spread_parts, texts
 from atticsweep.llm.components import components
 from atticsweep.session import written
 
@@ -447,12 +447,17 @@ def _of_class(k: int):
     return check
 
 
+def _placed(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and comp of the rows that have words; written."""
+    node = comps.select(F.col("node").alias("class"), "comp").hint("merge")
+    placed = rows.filter("class IS NOT NULL").join(node, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    return written(placed.select("doc_id", "n_shingles", "comp"))
+
+
 def near_copy_components(docs: DataFrame, **settings: int) -> DataFrame:
     """Per row: doc_id, n_shingles and component_id, the smallest id reachable by links."""
     rows, comps = near_copies(docs, **settings)
-    node = comps.select(F.col("node").alias("class"), "comp").hint("merge")
-    placed = rows.filter("class IS NOT NULL").join(node, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    placed = written(placed.select("doc_id", "n_shingles", "comp"))
+    placed = _placed(rows, comps)
     smallest = written(placed.groupBy("comp").agg(F.min("doc_id").alias("component_id")))
     together = placed.join(smallest.hint("merge"), "comp").select("doc_id", "n_shingles", "component_id")
     alone = rows.filter("class IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -460,7 +465,14 @@ def near_copy_components(docs: DataFrame, **settings: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, **settings: int) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose id is their component's smallest."""
-    found = near_copy_components(docs, **settings)
-    gone = found.filter("NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(written(gone).hint("merge"), docs["doc_id"].eqNullSafe(F.col("dropped_id")), "left_anti")
+    """One row of each component, with all columns of ``docs``: that with the smallest id; of several, one.
+
+    Rows are told apart by their number, so repeated and null ids do not matter.
+    """
+    own, row = numbered(docs)
+    placed = _placed(*near_copies(own.select(F.col(row).alias("doc_id"), "text"), **settings))
+    ids = texts(own, row).select("doc_id", F.xxhash64("text").alias("text_key"), row)
+    known = written(ids.join(placed.select(F.col("doc_id").alias(row), "comp").hint("merge"), row))
+    kept = written(known.groupBy("comp").agg(F.min(first_of(row)).alias("first")).select("comp", F.col("first.row").alias("kept_row")))
+    gone = known.join(kept.hint("merge"), "comp").filter(F.col(row) != F.col("kept_row")).select(row)
+    return own.join(written(gone).hint("merge"), row, "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -6,6 +6,7 @@ import text_helpers as H
 from test_copies import links, removed
 
 from atticsweep.llm import toxicity
+from atticsweep.session import written
 
 
 def test_stages_against_brute_force(spark, rows, tmp_path_factory):
@@ -71,3 +72,23 @@ def test_near_copies_from_four_fifths_of_five_word_shingles_on(spark):
     rows = [(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)]
     kept = corpus_pipeline.remove_near_copies(spark, H.frame(spark, rows), "")
     assert {r.doc_id for r in kept.collect()} == {i for i, _, c in links(rows, 5, 80) if i == c} == {0, 1, 4}
+
+
+def test_repeated_rows_and_null_ids(spark):
+    """Of equal rows one stays, with its text; a dropped row takes no other row of its id along."""
+    long = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"]
+    rows = [
+        (300, long[0]), (300, long[0]), (1, long[1]), (None, long[1]), (None, long[2]), (None, long[3]), (None, long[3]),
+        (5, long[4]), (7, long[4] + " more"), (7, long[5]), (None, long[5] + " more"), (None, None), (None, None),
+    ]
+    docs = H.frame(spark, [(i, t, "en", "s", 0) for i, t in rows])
+    exact = written(corpus_pipeline.remove_exact_copies(spark, docs, ""))
+    assert exact.columns == docs.columns
+    pairs = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    want = [r for i, r in enumerate(rows) if i not in (1, 3, 6, 12)]
+    assert pairs(exact) == sorted(want, key=repr)
+    want = sorted([(300, long[0]), (1, long[1]), (None, long[2]), (None, long[3]), (5, long[4]), (7, long[5]), (None, None)], key=repr)
+    assert pairs(corpus_pipeline.remove_near_copies(spark, docs, "")) == sorted([*want, (None, None)], key=repr)
+    near = written(corpus_pipeline.remove_near_copies(spark, exact, ""))
+    assert near.columns == docs.columns and pairs(near) == want
+    assert pairs(corpus_pipeline.remove_repeated_passages(spark, near, "")) == want
