@@ -7,16 +7,17 @@ estimate P_e of them. A node's weighted probability mixes its own estimate with
 product of its children's, P_w = (P_e + prod P_w(child)) / 2; what a node adds to a
 prediction is its share of that mixture, so estimates of all depths are mixed.
 
-Learning counts all byte runs of all training texts, combined within a slice of rows,
-and builds the trees bottom-up where runs with the same two last context bytes meet.
-Nodes visited by less than ``least_share`` of the training bytes (or once) act as
-their parents' leaves. A node visit belongs to one depth and one of eight decisions,
-so at most 8 * (depth + 1) / least_share nodes are kept: that bound, not the data,
-sizes what is sent to the tasks. Scoring is a map over whole texts.
-
-Word counts meet the documents the other way round: each slice of rows sends every
-word, with the documents that have it, to the word's bucket; the bucket returns sums
-per document. No text is shuffled.
+Everything is counted and nothing that was counted is left out: a node visited by
+training bytes twice is used, at any size of the input, and what is learned grows with
+it. Nodes visited once act as their parents' leaves. No task holds the model:
+
+1. each slice of rows sends its distinct byte runs and words, with their counts in
+   training texts, to their parts; the part of a run follows from the context bytes
+   next to the byte, so that all deeper contexts meet there;
+2. parts add up the counts, build their trees bottom-up, and pass on the nodes of their
+   topmost depth, from which the few depths above are built;
+3. each slice asks the parts for its distinct runs and words, and gets back the runs'
+   log probabilities and the words' counts; with them it scores its texts.
 
 Defined cases: null and empty texts are the end alone; without training rows every
 decision has probability one half; rows with a null id count the empty text as id;
@@ -42,8 +43,11 @@ from atticsweep.session import written
 END = b"\n"  # in no word
 LOG2 = float(np.log(2.0))
 SLICE = 6 << 20
+LEAST = 2  # visits of a node that is used
+TOP = 2  # context bytes that a part of the tree has in common
 WORD_PARTS = 32
 KINDS = "kind int, part bigint, slice bigint, a binary, b binary, c binary, d binary, e binary"
+PARTS = "kind int, part bigint, slice bigint, a binary, b binary"
 
 
 def normal_bytes(text: str) -> tuple[list[bytes], bytes]:
@@ -90,348 +94,410 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) - shift
 
 
+TABLE = np.arange(1 << 14)
+HALF, WHOLE = _log_gamma(TABLE + 0.5), _log_gamma(TABLE + 1.0)  # of most counts
+
+
 def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Natural logarithm of the Krichevsky-Trofimov probability of n0 zeros and n1 ones."""
-    half = float(_log_gamma(np.array([0.5]))[0])
-    return _log_gamma(n0 + 0.5) + _log_gamma(n1 + 0.5) - _log_gamma(n0 + n1 + 1.0) - 2 * half
-
-
-def level(runs: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The nodes of one depth: context << 8 | beginning of the byte's bits, with n0 and n1."""
-    context = ((runs >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)) << np.uint64(8)
-    byte = runs & np.uint64(255)
-    codes, weights = [], []
-    for bit in range(8):
-        node = context | np.uint64(1 << bit) | (byte >> np.uint64(8 - bit))
-        value = (byte >> np.uint64(7 - bit)) & np.uint64(1)
-        codes.append((node << np.uint64(1)) | value)
-        weights.append(counts)
-    code, n = _counted(np.concatenate(codes), np.concatenate(weights))
-    nodes, inverse = np.unique(code >> np.uint64(1), return_inverse=True)
-    one = (code & np.uint64(1)) == 1
-    return nodes, np.bincount(inverse, n * ~one, len(nodes)), np.bincount(inverse, n * one, len(nodes))
-
-
-def mixed(nodes, n0, n1, below: tuple[np.ndarray, np.ndarray] | None, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Log of P_w of the nodes of one depth, and the share of their own estimate in it."""
-    own = log_kt(n0, n1)
-    if below is None:
-        return own, np.ones(len(nodes))
-    child, log_w = below
-    keep = np.uint64((1 << 8 * (depth + 1)) - 1)  # the parent's context is the child's without its oldest byte
-    deeper = np.bincount(np.searchsorted(nodes, child & keep), log_w, len(nodes))
+    n = n0 + n1
+    at = np.minimum(n, len(TABLE) - 1).astype(np.int64)
+    i, j = np.minimum(n0, at).astype(np.int64), np.minimum(n1, at).astype(np.int64)
+    out = HALF[i] + HALF[j] - WHOLE[at] - 2 * HALF[0]
+    big = np.flatnonzero(n >= len(TABLE))
+    out[big] = _log_gamma(n0[big] + 0.5) + _log_gamma(n1[big] + 0.5) - _log_gamma(n[big] + 1.0) - 2 * HALF[0]
+    return out
+
+
+def packed(codes: np.ndarray) -> bytes:
+    """Ascending codes as differences, all first bytes, then all second ones, and so on: the upper ones compress well."""
+    steps = np.diff(codes.astype(np.uint64), prepend=np.uint64(0))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+@dataclass
+class Nodes:
+    """The nodes of one depth and one of the eight decisions, in the order of the depth's contexts and bytes."""
+
+    of: np.ndarray  # per context and byte: its node
+    first: np.ndarray  # per node: its first context and byte
+    n0: np.ndarray
+    n1: np.ndarray
+    log_w: np.ndarray
+    share: np.ndarray
+
+
+def tree(runs: np.ndarray, counts: np.ndarray, depth: int, top: int) -> tuple[list[list[Nodes]], list[np.ndarray], list[np.ndarray]]:
+    """From distinct ascending runs: nodes from depth ``top`` to ``depth``, the contexts with a byte of each depth,
+
+    and for each depth but the last, where the next depth's contexts with a byte are found in it.
+    Runs without visits change nothing: their probability of nothing is one.
+    """
+    keys, visits, ups = [runs], [counts.astype(float)], []
+    for d in range(depth - 1, top - 1, -1):
+        key, up = np.unique(keys[0] & np.uint64((1 << 8 * (d + 1)) - 1), return_inverse=True)
+        ups.insert(0, up)
+        visits.insert(0, np.bincount(up, visits[0], len(key)))
+        keys.insert(0, key)
+    levels: list[list[Nodes]] = [[] for _ in keys]
+    for i in range(len(keys) - 1, -1, -1):
+        for bit in range(8):
+            at = keys[i] >> np.uint64(8 - bit)
+            new = np.concatenate([[True], at[1:] != at[:-1]]) if len(at) else np.empty(0, bool)
+            of, first = np.cumsum(new) - 1, np.flatnonzero(new)
+            one = visits[i] * ((keys[i] >> np.uint64(7 - bit)) & np.uint64(1))
+            n1, n = np.bincount(of, one, len(first)), np.bincount(of, visits[i], len(first))
+            own = log_kt(n - n1, n1)
+            if i == len(keys) - 1:
+                log_w, share = own, np.ones(len(own))
+            else:
+                child = levels[i + 1][bit]
+                log_w, share = mixed(own, np.bincount(of[ups[i][child.first]], child.log_w, len(first)))
+            levels[i].append(Nodes(of, first, n - n1, n1, log_w, share))
+    return levels, keys, ups
+
+
+def mixed(own: np.ndarray, deeper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log of P_w of nodes with children, and the share of their own estimate in it."""
     return np.logaddexp(own, deeper) - LOG2, 1 / (1 + np.exp(np.clip(deeper - own, -700, 700)))
 
 
 @dataclass
 class Model:
-    """Kept nodes, ascending, by depth << 56 | context << 8 | bits; the probability of a one, and the node's own share."""
+    """Nodes above the parts, ascending, by depth << 56 | context << 8 | bits; the probability of a one, and the own share.
+
+    Their number is bounded by the alphabet: contexts of fewer than ``top`` bytes.
+    """
 
     depth: int
+    top: int
     nodes: np.ndarray
     one: np.ndarray
     share: np.ndarray
 
-    def log2_of(self, runs: np.ndarray) -> np.ndarray:
-        """Base-2 log probability of the last byte of each distinct run."""
+    def log2_of(self, runs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Base-2 log probability of the last byte of each distinct run of a part, ascending, with its training count."""
+        levels, _, ups = tree(runs, counts, self.depth, self.top)
         total = np.zeros(len(runs))
-        byte = runs & np.uint64(255)
         for bit in range(8):
-            low = np.uint64(1 << bit) | (byte >> np.uint64(8 - bit))
-            value = (byte >> np.uint64(7 - bit)) & np.uint64(1)
-            found, places = np.ones(len(runs), bool), []
-            for depth in range(self.depth + 1):
-                context = ((runs >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)) << np.uint64(8)
-                node = np.uint64(depth << 56) | context | low
-                at = np.minimum(np.searchsorted(self.nodes, node), max(len(self.nodes) - 1, 0))
-                found = found & (self.nodes[at] == node) if len(self.nodes) else np.zeros(len(runs), bool)
-                places.append((found, at))
-            p, below = np.full(len(runs), 0.5), np.zeros(len(runs), bool)
-            for found, at in reversed(places):
+            last = levels[-1][bit]
+            at, p, below = last.first, np.full(len(last.first), 0.5), np.zeros(len(last.first), bool)
+            for i in range(len(levels) - 1, -1, -1):
+                nodes = levels[i][bit]
+                if i < len(levels) - 1:
+                    at = ups[i][at]
+                node = nodes.of[at]
+                n = (nodes.n0 + nodes.n1)[node]
+                p, below = _step(p, below, n >= LEAST, ((nodes.n1 + 0.5) / (nodes.n0 + nodes.n1 + 1))[node], nodes.share[node])
+            first = runs[last.first]
+            low = np.uint64(1 << bit) | ((first & np.uint64(255)) >> np.uint64(8 - bit))
+            for d in range(self.top - 1, -1, -1):
+                context = ((first >> np.uint64(8)) & np.uint64((1 << 8 * d) - 1)) << np.uint64(8)
+                name = np.uint64(d << 56) | context | low
+                at = np.minimum(np.searchsorted(self.nodes, name), max(len(self.nodes) - 1, 0))
+                found = self.nodes[at] == name if len(self.nodes) else np.zeros(len(name), bool)
                 if len(self.nodes):
-                    # The deepest kept node is a leaf; above it, estimates are mixed.
-                    share = np.where(below, self.share[at], 1.0)
-                    p = np.where(found, share * self.one[at] + (1 - share) * p, p)
-                below = found
-            total += np.log2(np.where(value == 1, p, 1 - p))
+                    p, below = _step(p, below, found, self.one[at], self.share[at])
+            value = ((runs >> np.uint64(7 - bit)) & np.uint64(1)) == 1
+            p = p[last.of]
+            total += np.log2(np.where(value, p, 1 - p))
         return total
 
 
+def _step(p, below, used, one, share):
+    """One depth up: the deepest used node is a leaf; above it, estimates are mixed."""
+    share = np.where(below, share, 1.0)
+    return np.where(used, share * one + (1 - share) * p, p), used
+
+
 # Gathering ------------------------------------------------------------------
 
 
-def _scan(depth: int, parts: int):
+def _parts_of_runs(code: np.ndarray, top: int, parts: int) -> np.ndarray:
+    """By the context bytes next to the byte: all their deeper contexts meet in one part."""
+    key = ((code >> np.uint64(8)) & np.uint64((1 << 8 * top) - 1)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+
+
+def _parts_of_words(name: np.ndarray, parts: int, words: int) -> np.ndarray:
+    """Numbered behind the parts of the tree."""
+    return parts + (name % np.uint64(words)).astype(np.int64)
+
+
+def _split(part: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    """Each part with what the columns have of it, in their order."""
+    order = np.argsort(part, kind="stable")
+    names, starts = np.unique(part[order], return_index=True)
+    yield from zip(names.tolist(), *(np.split(c[order], starts[1:]) for c in columns), strict=True)
+
+
+def _named(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+
+
+def _scan(depth: int, parts: int, words: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for rows in rows_of(batches, SLICE):
-            for start in range(0, rows.num_rows, 60_000):  # document numbers in a slice are 16 bits
-                yield _slice(rows.slice(start, 60_000), depth, parts, number)
-                number += 1
+            yield _slice(rows, depth, parts, words, number)
+            number += 1
 
     return scan
 
 
-def _slice(rows: pa.RecordBatch, depth: int, parts: int, number: int) -> pa.RecordBatch:
+def _slice(rows: pa.RecordBatch, depth: int, parts: int, words: int, number: int) -> pa.RecordBatch:
     taught = rows.column("taught").to_numpy(zero_copy_only=False)
-    streams, tokens, word_docs = [], [], []
-    index: dict[bytes, int] = {}
-    ids: list[np.ndarray] = []
-    for i, text in enumerate(rows.column("text").to_pylist()):
-        words, stream = normal_bytes(text)
-        words.append(END)  # the end, counted as a token
-        ids.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words)))
-        tokens.append(len(words))
-        if taught[i]:
-            streams.append(stream)
+    streams, counts = [], {}
+    for text, learn in zip(rows.column("text").to_pylist(), taught.tolist(), strict=True):
+        found, stream = normal_bytes(text)
+        found.append(END)  # the end, counted as a token
+        for w in found:
+            counts[w] = counts.get(w, 0) + learn
+        streams.append(stream)
     out: list[tuple] = []
-    if streams:
-        runs = byte_runs(streams, depth)
-        runs.sort()  # in place: a slice's runs are the largest thing in memory
-        firsts = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]]))
-        code, n = runs[firsts], np.diff(np.append(firsts, len(runs)))
-        del runs
-        # By the two context bytes next to the byte: all their deeper contexts meet in one part.
-        key = ((code >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(0x9E3779B97F4A7C15)
-        part = ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-        for p in np.unique(part):
-            inside = part == p
-            out.append((0, int(p), number, code[inside].tobytes(), n[inside].tobytes(), None, None, None))
-    name = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in index), np.uint64, len(index))
-    doc = np.repeat(np.arange(len(ids)), tokens)
-    pair, often = np.unique(np.concatenate(ids) << 16 | doc, return_counts=True)
-    word, doc = pair >> 16, pair & 0xFFFF
-    count = np.bincount(word, often * taught[doc], len(name)).astype(np.int64)
-    part = (name % np.uint64(WORD_PARTS)).astype(np.int64)
-    for p in np.unique(part):
-        mine = part == p
-        sizes = np.bincount(word, minlength=len(name))[mine]
-        inside = mine[word]
-        out.append((1, int(p), number, name[mine].tobytes(), count[mine].tobytes(), sizes.astype(np.uint32).tobytes(),
-                    doc[inside].astype(np.uint16).tobytes(), often[inside].astype(np.uint32).tobytes()))
+    learned = [s for s, t in zip(streams, taught, strict=True) if t]
+    others = [s for s, t in zip(streams, taught, strict=True) if not t]
+    code, n = np.empty(0, np.uint64), np.empty(0, np.int64)
+    for some, weight in ((learned, 1), (others, 0)):
+        if some:
+            runs = byte_runs(some, depth)
+            runs.sort()  # in place: a slice's runs are the largest thing in memory
+            firsts = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]]))
+            often = np.diff(np.append(firsts, len(runs))) * weight
+            code, n = np.concatenate([code, runs[firsts]]), np.concatenate([n, often])
+            del runs
+    code, n = _counted(code, n)
+    for p, c, m in _split(_parts_of_runs(code, min(TOP, depth), parts), code, n):
+        out.append((0, p, number, packed(c), m.astype(np.uint32).tobytes(), None, None, None))
+    name, n = _counted(_named(list(counts)), np.fromiter(counts.values(), np.int64, len(counts)))
+    for p, c, m in _split(_parts_of_words(name, parts, words), name, n):
+        out.append((1, p, number, packed(c), m.astype(np.uint32).tobytes(), None, None, None))
     doc_ids = rows.column("doc_id")
     known = np.array([x is not None for x in doc_ids.to_pylist()])
     out.append((2, 0, number, doc_ids.fill_null(0).to_numpy().tobytes(), known.tobytes(),
-                rows.column("text_key").to_numpy().tobytes(), np.array(tokens, np.int64).tobytes(), taught.tobytes()))
+                np.array([len(x) for x in streams], np.int64).tobytes(), taught.tobytes(), b"".join(streams)))
     kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
     columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
     return pa.RecordBatch.from_arrays(columns, names=["kind", "part", "slice", "a", "b", "c", "d", "e"])
 
 
-def _by_part(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[int, list[tuple]]]:
-    """Of a partition sorted by part: each part's rows."""
-    current, held = None, []
+def _part(kind: int, part: int, number: int, a: bytes, b: bytes) -> pa.RecordBatch:
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((kind, part, number, a, b), types, strict=True)], names=["kind", "part", "slice", "a", "b"])
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows one by one, so that only one row's values are objects at a time."""
     for rows in batches:
-        for part, *row in zip(*(rows.column(c).to_pylist() for c in ("part", *names)), strict=True):
-            if part != current and held:
-                yield current, held
-                held = []
-            current = part
-            held.append(tuple(row))
-    if held:
-        yield current, held
+        for i in range(rows.num_rows):
+            yield tuple(c[i].as_py() for c in rows.columns)
+
+
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition sorted by part: each part's distinct codes with their counts, one row a part."""
+    kind, current, waiting, held = 0, None, [], 0
+
+    def merged(pairs):
+        return _counted(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
+
+    for k, part, _, a, b in _each(batches):
+        if part != current and waiting:
+            code, n = merged(waiting)
+            yield _part(kind, current, -1, packed(code), n.tobytes())
+            waiting, held = [], 0
+        kind, current = k, part
+        waiting.append((unpacked(a), np.frombuffer(b, np.uint32).astype(np.int64)))
+        # Rows are added up before they are twice what is distinct among them.
+        if sum(len(w[0]) for w in waiting) > 2 * held + 500_000:
+            waiting = [merged(waiting)]
+            held = len(waiting[0][0])
+    if waiting:
+        code, n = merged(waiting)
+        yield _part(kind, current, -1, packed(code), n.tobytes())
 
 
 NODES = "depth int, node bigint, n0 double, n1 double, log_w double, share double"
 
 
-def _trees(depth: int, least: int):
-    """Bottom-up trees of the parts down to depth 2; all nodes of depth 2, and of the others those visited enough."""
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in _by_part(batches, ("a", "b")):
-            runs, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-            waiting: list[tuple[np.ndarray, np.ndarray]] = []
-            for i, (a, b) in enumerate(held, 1):
-                waiting.append((np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64)))
-                if i % 64 == 0 or i == len(held):
-                    runs, counts = _counted(np.concatenate([runs, *(w[0] for w in waiting)]), np.concatenate([counts, *(w[1] for w in waiting)]))
-                    waiting = []
-            below = None
-            for d in range(depth, min(depth, 2) - 1, -1):
-                nodes, n0, n1 = level(runs, counts, d)
-                log_w, share = mixed(nodes, n0, n1, below, d)
-                below = nodes, log_w
-                keep = (n0 + n1 >= least) | (d == min(depth, 2))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(int(keep.sum()), d, np.int32)), pa.array(nodes[keep].view(np.int64)),
-                     *(pa.array(x[keep]) for x in (n0, n1, log_w, share))],
-                    names=[f.split()[0] for f in NODES.split(", ")],
-                )
-
-    return build
-
-
-def _gathered(docs: DataFrame, depth: int) -> DataFrame:
-    rows = texts(docs).withColumn("text_key", F.xxhash64("text")).withColumn("taught", remainder(F.col("doc_id"), 10) != 0)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
-    return written(rows.mapInArrow(_scan(depth, parts), KINDS))
-
-
-def fit(gathered: DataFrame, depth: int, least_share: float) -> Model:
-    """The kept nodes of all depths."""
-    runs = gathered.filter("kind = 0").select("part", "a", "b")
-    total = gathered.filter("kind = 2").select("d", "e", "slice")
-    spark = gathered.sparkSession
-    # Training bytes: eight bytes of count per entry; the sum is taken where the counts are.
-    n = runs.mapInArrow(_summed, "n bigint").agg(F.sum("n")).first()[0] or 0
-    least = max(2, int(n * least_share))
-    parts = spread_parts(spark, total.count(), 64)
-    built = runs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_trees(depth, least), NODES)
-    built = written(built)
-    kept = built.filter((F.col("depth") > 2) | (F.col("n0") + F.col("n1") >= least)).mapInArrow(_records, "nodes binary")
-    found = [np.frombuffer(r["nodes"], RECORD) for r in kept.collect()]
-    # Depths 0 and 1: sums over the nodes of depth 2, at most 256 * 255 and 255 rows.
-    above = built.filter(F.col("depth") == min(depth, 2))
-    for d in range(min(depth, 2) - 1, -1, -1):
-        keep = (1 << 8 * (d + 1)) - 1
-        if d == 1 or depth == 1:
-            summed = above.groupBy(F.col("node").bitwiseAND(F.lit(keep)).alias("node")).agg(
-                F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log_w").alias("deeper")
-            ).orderBy("node").toPandas()
-            nodes, n0, n1 = summed["node"].to_numpy(np.int64), summed["n0"].to_numpy(float), summed["n1"].to_numpy(float)
-            deeper = summed["deeper"].to_numpy(float)
-        else:
-            up, inverse = np.unique(nodes & keep, return_inverse=True)
-            n0, n1, deeper = (np.bincount(inverse, x, len(up)) for x in (n0, n1, log_w))
-            nodes = up
-        own = log_kt(n0, n1)
-        log_w = np.logaddexp(own, deeper) - LOG2
-        enough = n0 + n1 >= least
-        share = 1 / (1 + np.exp(np.clip(deeper - own, -700, 700)))
-        found.append(_record(np.uint64(d << 56) | nodes.view(np.uint64), n0, n1, share)[enough])
-    records = np.concatenate([*found, np.empty(0, RECORD)])
-    del found
-    records.sort(order="node")
-    return Model(depth, *(np.ascontiguousarray(records[name]) for name in RECORD.names))
+def _node_rows(depth: int, node, n0, n1, log_w, share) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(node), depth, np.int32)), pa.array(np.asarray(node).astype(np.int64)), *(pa.array(np.asarray(x, float)) for x in (n0, n1, log_w, share))],
+        names=[f.split()[0] for f in NODES.split(", ")],
+    )
 
 
-RECORD = np.dtype([("node", "<u8"), ("one", "<f4"), ("share", "<f4")])
+def _tops(depth: int, top: int):
+    """The nodes of a part's topmost depth."""
 
+    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, _, a, b in _each(batches):
+            n = np.frombuffer(b, np.int64)
+            levels, keys, _ = tree(unpacked(a)[n > 0], n[n > 0], depth, top)
+            for bit, nodes in enumerate(levels[0]):
+                first = keys[0][nodes.first]
+                name = (first >> np.uint64(8) << np.uint64(8)) | np.uint64(1 << bit) | ((first & np.uint64(255)) >> np.uint64(8 - bit))
+                yield _node_rows(top, name, nodes.n0, nodes.n1, nodes.log_w, nodes.share)
 
-def _record(node: np.ndarray, n0: np.ndarray, n1: np.ndarray, share: np.ndarray) -> np.ndarray:
-    out = np.empty(len(node), RECORD)
-    out["node"], out["one"], out["share"] = node, (n1 + 0.5) / (n0 + n1 + 1), share
-    return out
+    return tops
+
+
+def _above(depth: int):
+    def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            node, n0, n1, deeper = (rows.column(c).to_numpy() for c in ("node", "n0", "n1", "deeper"))
+            yield _node_rows(depth, node, n0, n1, *mixed(log_kt(n0, n1), deeper))
+
+    return above
+
+
+def _gathered(docs: DataFrame, depth: int, parts: int, words: int) -> DataFrame:
+    rows = texts(docs).withColumn("taught", remainder(F.col("doc_id"), 10) != 0)
+    return written(rows.mapInArrow(_scan(depth, parts, words), KINDS))
+
+
+def fit(combined: DataFrame, depth: int) -> Model:
+    """The nodes above the parts, from the topmost nodes of each."""
+    top = min(TOP, depth)
+    found = []
+    if top:
+        below = written(combined.filter("kind = 0").mapInArrow(_tops(depth, top), NODES))
+        for d in range(top - 1, -1, -1):
+            name = F.col("node").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("node")
+            sums = below.groupBy(name).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log_w").alias("deeper"))
+            below = written(sums.mapInArrow(_above(d), NODES))
+            kept = below.filter(F.col("n0") + F.col("n1") >= LEAST).mapInArrow(_records, "nodes binary")
+            found += [np.frombuffer(r["nodes"], RECORD) for r in kept.collect()]
+    records = np.concatenate([*found, np.empty(0, RECORD)])
+    records.sort(order="node")
+    return Model(depth, top, *(np.ascontiguousarray(records[name]) for name in RECORD.names))
+
+
+RECORD = np.dtype([("node", "<u8"), ("one", "<f8"), ("share", "<f8")])
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The nodes packed, 16 bytes each: what the driver gathers and the tasks get."""
+    """The nodes packed, 24 bytes each: what the driver gathers and the tasks get."""
     for rows in batches:
         depth, node, n0, n1, share = (rows.column(c).to_numpy() for c in ("depth", "node", "n0", "n1", "share"))
-        key = (depth.astype(np.uint64) << np.uint64(56)) | node.view(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array([_record(key, n0, n1, share).tobytes()], pa.binary())], names=["nodes"])
+        out = np.empty(len(node), RECORD)
+        out["node"] = (depth.astype(np.uint64) << np.uint64(56)) | node.view(np.uint64)
+        out["one"], out["share"] = (n1 + 0.5) / (n0 + n1 + 1), share
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["nodes"])
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = 0
-    for rows in batches:
-        total += sum(int(np.frombuffer(b, np.int64).sum()) for b in rows.column("b").to_pylist())
-    yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["n"])
-
-
-def _word_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per part: its distinct training words; per part and slice: sums over each document's words."""
-    for part, held in _by_part(batches, ("slice", "a", "b", "c", "d", "e")):
-        names, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        for _, a, b, *_ in held:
-            names, counts = _counted(
-                np.concatenate([names, np.frombuffer(a, np.uint64)]), np.concatenate([counts, np.frombuffer(b, np.int64)])
-            )
-        log_c = np.log10(counts + 0.1)
-        for number, a, _, c, d, e in held:
-            at = np.searchsorted(names, np.frombuffer(a, np.uint64))
-            at = np.repeat(at, np.frombuffer(c, np.uint32))
-            doc, often = np.frombuffer(d, np.uint16), np.frombuffer(e, np.uint32).astype(float)
-            seen, inverse = np.unique(doc, return_inverse=True)
-            score = np.bincount(inverse, often * log_c[at], len(seen))
-            known = np.bincount(inverse, often * (counts[at] > 0), len(seen)).astype(np.int64)
-            yield _sums(number, seen.astype(np.uint16).tobytes(), score.tobytes(), known.tobytes(), 0, 0)
-        yield _sums(-1, None, None, None, int((counts > 0).sum()), int(counts.sum()))
-
-
-def _sums(number, doc, score, known, distinct, total) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in (doc, score, known)),
-         pa.array([distinct], pa.int64()), pa.array([total], pa.int64())],
-        names=["slice", "doc", "score", "known", "distinct", "total"],
-    )
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct training words, and all of them."""
+    distinct, total = 0, 0
+    for *_, b in _each(batches):
+        n = np.frombuffer(b, np.int64)
+        distinct, total = distinct + int((n > 0).sum()), total + int(n.sum())
+    yield pa.RecordBatch.from_arrays([pa.array([distinct], pa.int64()), pa.array([total], pa.int64())], names=["distinct", "total"])
 
 
-def _base(gathered: DataFrame) -> DataFrame:
-    """Per row: doc_id, text_key, n_tokens, n_known, train_tokens and base_score of the word model."""
-    words = gathered.filter("kind = 1").select("part", "slice", "a", "b", "c", "d", "e")
-    sums = words.repartition(WORD_PARTS, "part").sortWithinPartitions("part").mapInArrow(
-        _word_sums, "slice bigint, doc binary, score binary, known binary, distinct bigint, total bigint"
-    )
-    sums = written(sums)
-    size = sums.filter("slice < 0").agg(F.sum("distinct"), F.sum("total")).first()
-    distinct, total = size[0] or 0, size[1] or 0
+def _values(model: Model):
+    """Per part: its codes, and the log probabilities of runs or the counts of words."""
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kind, part, _, a, b in _each(batches):
+            n = np.frombuffer(b, np.int64)
+            value = model.log2_of(unpacked(a), n).astype(np.float32).tobytes() if kind == 0 else b
+            yield _part(kind, part, -1, a, value)
+
+    return values
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted by part and slice, the part's own row first: the values of each slice's codes, one slice at a time."""
+    codes, values = np.empty(0, np.uint64), np.empty(0)
+    for kind, part, number, a, b in _each(batches):
+        if number < 0:
+            codes, values = unpacked(a), np.frombuffer(b, np.float32 if kind == 0 else np.int64)
+        else:
+            yield _part(kind, part, number, None, values[np.searchsorted(codes, unpacked(a))].tobytes())
+
+
+def _finish(depth: int, parts: int, words: int, distinct: int, total: int):
+    """Sorted by slice, the answers before the slice's texts."""
     shift = float(np.log10(total + 0.1 * (distinct + 1)))
-    # All parts of a slice: at most WORD_PARTS rows, each no longer than the slice has documents.
-    of = sums.filter("slice >= 0").groupBy("slice").agg(F.collect_list(F.struct("doc", "score", "known")).alias("sums"))
-    rows = gathered.filter("kind = 2").select("slice", "a", "b", "c", "d").join(of.hint("merge"), "slice", "left")
+
+    def judge(answers, a, b, c, e) -> pa.RecordBatch:
+        ids, there, sizes = np.frombuffer(a, np.int64), np.frombuffer(b, bool), np.frombuffer(c, np.int64)
+        ends = np.cumsum(sizes)
+        streams = [e[end - size : end] for end, size in zip(ends.tolist(), sizes.tolist(), strict=True)]
+
+        def answered(code, part, kind):
+            value = np.empty(len(code), kind)
+            for p, at in _split(part, np.arange(len(code))):
+                value[at] = np.frombuffer(answers[p], kind)
+            return value
+
+        code, inverse = np.unique(byte_runs(streams, depth), return_inverse=True)
+        each = answered(code, _parts_of_runs(code, min(TOP, depth), parts), np.float32)[inverse]
+        bits = np.bincount(np.repeat(np.arange(len(ids)), sizes), each, len(ids))
+        del code, inverse, each
+        index: dict[bytes, int] = {}
+        tokens, at = np.zeros(len(ids), np.int64), []
+        for i, stream in enumerate(streams):
+            found = [*stream.split(), END]
+            tokens[i] = len(found)
+            at.append(np.fromiter((index.setdefault(w, len(index)) for w in found), np.int64, len(found)))
+        name, place = np.unique(_named(list(index)), return_inverse=True)
+        count = answered(name, _parts_of_words(name, parts, words), np.int64)[place][np.concatenate(at)]
+        doc = np.repeat(np.arange(len(ids)), tokens)
+        base = np.bincount(doc, np.log10(count + 0.1), len(ids)) - tokens * shift
+        known = np.bincount(doc, count > 0, len(ids)).astype(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, mask=~there), pa.array(tokens), pa.array(known), pa.array(np.full(len(ids), total)), pa.array(base),
+             pa.array(bits * np.log10(2.0)), pa.array(-bits / sizes)],
+            names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"],
+        )
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, c, d, parts in zip(*(batch.column(x).to_pylist() for x in ("a", "b", "c", "d", "sums")), strict=True):
-                ids, there = np.frombuffer(a, np.int64), np.frombuffer(b, bool)
-                tokens = np.frombuffer(d, np.int64)
-                score, known = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
-                for p in sorted(parts or (), key=lambda p: (p["doc"], p["score"])):
-                    doc = np.frombuffer(p["doc"], np.uint16)
-                    score[doc] += np.frombuffer(p["score"])
-                    known[doc] += np.frombuffer(p["known"], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, mask=~there), pa.array(np.frombuffer(c, np.int64)), pa.array(tokens), pa.array(known),
-                     pa.array(np.full(len(ids), total)), pa.array(score - tokens * shift)],
-                    names=["doc_id", "text_key", "n_tokens", "n_known", "train_tokens", "base_score"],
-                )
-
-    schema = "doc_id bigint, text_key bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double"
-    return rows.mapInArrow(finish, schema)
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, text_key, n_bytes and score, the base-10 log probability of the text, for every row."""
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, value = np.empty(0, np.uint64), np.empty(0)
-        for rows in rows_of(batches, SLICE // 2):
-            streams = [normal_bytes(t)[1] for t in rows.column("text").to_pylist()]
-            runs = byte_runs(streams, model.depth)
-            distinct, inverse = np.unique(runs, return_inverse=True)
-            at = np.minimum(np.searchsorted(known, distinct), max(len(known) - 1, 0))
-            new = distinct[known[at] != distinct] if len(known) else distinct
-            if len(known) > 4_000_000:  # bounded memory; values are made again when needed
-                known, value, new = known[:0], value[:0], distinct
-            both = np.concatenate([known, new])
-            order = np.argsort(both, kind="stable")
-            known, value = both[order], np.concatenate([value, model.log2_of(new)])[order]
-            each = value[np.searchsorted(known, distinct)][inverse]
-            sizes = np.array([len(s) for s in streams])
-            bits = np.bincount(np.repeat(np.arange(len(streams)), sizes), each, len(streams))
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), rows.column("text_key"), pa.array(sizes.astype(np.int64)), pa.array(bits * np.log10(2.0))],
-                names=["doc_id", "text_key", "n_bytes", "score"],
-            )
-
-    keyed = texts(docs).withColumn("text_key", F.xxhash64("text"))
-    return keyed.mapInArrow(judge, "doc_id bigint, text_key bigint, n_bytes bigint, score double")
-
-
-def score_texts(docs: DataFrame, depth: int = 5, least_share: float = 2.0**-18) -> DataFrame:
+        answers: dict[int, bytes] = {}
+        for kind, part, _, a, b, c, _, e in _each(batches):
+            if kind < 2:
+                answers[part] = b
+            else:
+                yield judge(answers, a, b, c, e)
+                answers = {}
+
+    return finish
+
+
+def _numbers_of_parts(docs: DataFrame) -> tuple[int, int]:
+    """Of the tree, and of the words."""
+    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4, WORD_PARTS
+
+
+def score_texts(docs: DataFrame, depth: int = 5) -> DataFrame:
     """Per row: doc_id, held_out, the word model's figures, score, and bits_per_byte.
 
     Rows whose crc32 modulo 10 is 0 are held out from both models.
     """
-    gathered = _gathered(docs, depth)
-    model = fit(gathered, depth, least_share)
-    # Rows with the same id and text have the same scores.
-    scored = written(score(docs, model).dropDuplicates(["doc_id", "text_key"]))
-    same = [F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), F.col("a.text_key") == F.col("b.text_key")]
-    joined = _base(gathered).alias("a").join(scored.hint("merge").alias("b"), same)
-    return joined.select(
-        "a.doc_id", (remainder(F.col("a.doc_id"), 10) == 0).alias("held_out"),
-        "n_tokens", "n_known", "train_tokens", "base_score", "score",
-        (-F.col("score") / F.lit(float(np.log10(2.0))) / F.col("n_bytes")).alias("bits_per_byte"),
+    parts, words = _numbers_of_parts(docs)
+    gathered = _gathered(docs, depth, parts, words)
+    coded = gathered.filter("kind < 2").select("kind", "part", "slice", "a", "b")
+    tasks = spread_parts(docs.sparkSession, parts + words, 4)
+    combined = written(coded.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_combined, PARTS))
+    model = fit(combined, depth)
+    size = combined.filter("kind = 1").mapInArrow(_words, "distinct bigint, total bigint").agg(F.sum("distinct"), F.sum("total")).first()
+    asked = coded.withColumn("b", F.lit(None).cast("binary"))
+    met = combined.mapInArrow(_values(model), PARTS).unionByName(asked)
+    answers = written(met.repartition(tasks, "part").sortWithinPartitions("part", "slice").mapInArrow(_answers, PARTS))
+    rows = gathered.filter("kind = 2")
+    none = F.lit(None).cast("binary")
+    both = rows.unionByName(answers.withColumns({"c": none, "d": none, "e": none}))
+    slices = spread_parts(docs.sparkSession, rows.select("slice").count(), 16)
+    scored = both.repartition(slices, "slice").sortWithinPartitions("slice", "kind").mapInArrow(
+        _finish(depth, parts, words, size[0] or 0, size[1] or 0),
+        "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double",
+    )
+    return scored.select(
+        "doc_id", (remainder(F.col("doc_id"), 10) == 0).alias("held_out"),
+        "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte",
     )

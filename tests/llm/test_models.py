@@ -188,3 +188,23 @@ def test_main_text(spark):
     assert [got[i].text for i in (91, 92, 93)] == ["", "", "a\n\nb < c d"]
     nothing = spark.createDataFrame([], "page_id bigint, url string, html string, host string, low int")
     assert html.extract(nothing).count() == 0
+
+
+def test_rare_contexts_are_learned_at_any_size(spark):
+    """Two training rows with a rare name, in 2 MB of others: the name's contexts count as they do alone."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words, 700)) for _ in range(500)]
+    name = "zyxqj wvzkp " * 2
+    rare = [i for i in range(500, 600) if H.held(i, 10)][:2]
+    judged = next(i for i in range(500, 600) if not H.held(i, 10))
+    rows = [*enumerate(texts), *((i, name) for i in rare), (judged, name)]
+    got = {r.doc_id: r for r in ctw.score_texts(spark.createDataFrame(rows, "doc_id bigint, text string"), depth=5).collect()}
+    assert len(got) == len(rows) and got[judged].held_out
+    assert got[judged].bits_per_byte < 1.6
+    # Small enough to be counted node by node.
+    few = [(i, t[:150]) for i, t in enumerate(texts[:30])] + [(rare[0], name), (rare[1], name), (judged, name)]
+    train = [H.lowered(" ".join(t.split())).encode() + b"\n" for i, t in few if H.held(i, 10)]
+    for r in ctw.score_texts(spark.createDataFrame(few, "doc_id bigint, text string"), depth=5).collect():
+        text = H.lowered(" ".join(dict(few)[r.doc_id].split())).encode() + b"\n"
+        assert r.score == pytest.approx(direct_ctw(train, text, 5), rel=1e-5)
