@@ -44,8 +44,8 @@ END = b"\n"  # in no word
 LOG2 = float(np.log(2.0))
 SLICE = 6 << 20
 LEAST = 2  # visits of a node that is used
-TOP = 2  # context bytes that a part of the tree has in common
-WORD_PARTS = 32
+TOP = 3  # context bytes that a part of the tree has in common
+PART, WORD_PART = 8 << 20, 32 << 20  # bytes of text for each part
 KINDS = "kind int, part bigint, slice bigint, a binary, b binary, c binary, d binary, e binary"
 PARTS = "kind int, part bigint, slice bigint, a binary, b binary"
 
@@ -470,8 +470,9 @@ def _finish(depth: int, parts: int, words: int, distinct: int, total: int):
 
 
 def _numbers_of_parts(docs: DataFrame) -> tuple[int, int]:
-    """Of the tree, and of the words."""
-    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4, WORD_PARTS
+    """Of the tree, and of the words: both follow the bytes of text."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return spread_parts(docs.sparkSession, size, PART), spread_parts(docs.sparkSession, size, WORD_PART, 32)
 
 
 def score_texts(docs: DataFrame, depth: int = 5) -> DataFrame:

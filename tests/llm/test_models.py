@@ -208,3 +208,12 @@ def test_rare_contexts_are_learned_at_any_size(spark):
     for r in ctw.score_texts(spark.createDataFrame(few, "doc_id bigint, text string"), depth=5).collect():
         text = H.lowered(" ".join(dict(few)[r.doc_id].split())).encode() + b"\n"
         assert r.score == pytest.approx(direct_ctw(train, text, 5), rel=1e-5)
+
+
+def test_parts_follow_the_bytes_and_split_hot_pairs(spark):
+    few, many = (spark.range(n).select(F.expr("repeat('a', 1 << 20)").alias("text")) for n in (1, 1500))
+    small, large = ctw._numbers_of_parts(few), ctw._numbers_of_parts(many)
+    assert large[0] > 4 * small[0] and large[1] > small[1]
+    # One pair of context bytes next to the byte, 64 bytes before it.
+    runs = np.arange(64, dtype=np.uint64) << np.uint64(24) | np.uint64(0x206120)
+    assert len(set(ctw._parts_of_runs(runs, ctw.TOP, large[0]).tolist())) > 30
