@@ -8,7 +8,8 @@ on all pages for boilerplate; a place whose presentation never changes is templa
 A branch is as important as the most important place in it. Branches of low
 importance are removed from each page, beside elements that HTML itself or common
 class names mark as menus, notices, adverts, forms or comments. ``article`` and
-``main`` branches are judged by marks alone, so that copied articles stay.
+``main`` branches are judged by marks alone, so that copied articles stay. A class name
+does not remove what wraps an article or most of a page's text.
 
 The tree is two aggregations over (host, place, feature), combined before the
 shuffle, and one over the places above; a host with a third of all pages is spread
@@ -39,13 +40,16 @@ from atticsweep.session import written
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?")
-ATTRIBUTE = re.compile(r"""\b(id|class|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 NUMBER = re.compile(r"\d+")
 LETTERS = re.compile(r"[^a-z]+")
 
 # Fixed values of HTML: elements without content, with raw text, within a line, and what a tag closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math object select".split())
+FOREIGN = frozenset(("svg", "math"))  # may close themselves
+# Without an end tag, what follows is theirs by HTML's rules; after any other it is the page's.
+TO_THE_END = frozenset("script style textarea title iframe".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong "
     "sub sup time tt u var".split()
@@ -74,14 +78,20 @@ class Element:
     marked: bool
     within_main: bool
     children: list[str]
+    words: tuple[int, ...]  # which branches around and with it are marked by a word
+    main_words: tuple[int, ...] | None  # the same of the outermost article or main around it
 
 
 def _attributes(text: str) -> tuple[str, set[str], bool]:
     """The element's name in its place, the words of its marks, and whether it is hidden."""
     name, words, hidden = "", set(), False
     if text.strip(" /"):
+        seen = set()
         for key, value in ATTRIBUTE.findall(text):
             key, value = key.lower(), value.strip("\"'").lower()
+            if key in seen:  # of attributes with one name the first counts
+                continue
+            seen.add(key)
             if key == "hidden" or key == "aria-hidden" and value == "true":
                 hidden = True
             elif key in ("id", "class", "role"):
@@ -101,6 +111,7 @@ class Page:
     def __init__(self):
         self.stack: list[Element] = []
         self.pieces: list[str] = []
+        self.branches = 0
 
     def block(self, text: str) -> None: ...
 
@@ -138,11 +149,17 @@ class Page:
         name, words, hidden = _attributes(attributes)
         within_main = bool(above and above.within_main)
         marked = hidden or tag in OUTSIDE and not (within_main and tag == "header")
-        marked |= bool(words & MARKS) and tag not in MAIN and tag not in ("html", "body")
         marked |= bool(above and above.marked)
+        by_word = above.words if above else ()
+        if words & MARKS and tag not in MAIN and tag not in ("html", "body"):
+            self.branches += 1
+            by_word += (self.branches,)
+        main_words = above.main_words if above else None
+        if main_words is None and tag in MAIN:
+            main_words = by_word
         place = _place(above.place if above else 0, tag + name)
         within_main |= tag in MAIN
-        self.stack.append(Element(tag, place, self.shut_out(place, marked, within_main), within_main, []))
+        self.stack.append(Element(tag, place, self.shut_out(place, marked, within_main), within_main, [], by_word, main_words))
 
     def close(self, tag: str) -> None:
         for depth in range(len(self.stack) - 1, -1, -1):
@@ -179,11 +196,16 @@ class Page:
             if found[1]:
                 if tag not in INLINE:
                     self.close(tag)
+            elif tag in FOREIGN and found[3].endswith("/"):
+                pass
             elif tag in RAW:
                 lower = lower or html.lower()
                 end = lower.find(f"</{tag}", at) if len(lower) == size else html.find(f"</{tag}", at)
                 stop = html.find(">", end) if end >= 0 else -1
-                at = size if stop < 0 else stop + 1
+                if stop >= 0:
+                    at = stop + 1
+                elif tag in TO_THE_END:
+                    at = size
             elif tag == "br":
                 self.pieces.append(" ")
             elif tag == "hr":
@@ -216,20 +238,40 @@ class Learner(Page):
 class Extractor(Page):
     def __init__(self, low: frozenset[int]):
         super().__init__()
-        self.low, self.blocks = low, []
+        self.low = low
+        self.blocks: list[tuple[str, tuple[int, ...], tuple[int, ...] | None]] = []
 
     def shut_out(self, place: int, marked: bool, within_main: bool) -> bool:
         return marked or place in self.low and not within_main
 
     def block(self, text: str) -> None:
-        if not (self.stack and self.stack[-1].marked):
-            self.blocks.append(text)
+        if not self.stack:
+            self.blocks.append((text, (), None))
+        elif not self.stack[-1].marked:
+            self.blocks.append((text, self.stack[-1].words, self.stack[-1].main_words))
+
+    def kept(self) -> list[str]:
+        """Without branches marked by a word, unless what a page is about lies within them.
+
+        That is the articles and ``main`` elements in fewest marked branches, or else all
+        text; a branch around these, or with more than half of their text, is a wrapper.
+        """
+        mains = {m for _, _, m in self.blocks if m is not None}
+        fewest = min(map(len, mains), default=0)
+        chosen = {m for m in mains if len(m) == fewest}
+        sizes, total = Counter(), 0
+        for text, words, main in self.blocks:
+            if not chosen or main in chosen:
+                total += len(text)
+                sizes.update(dict.fromkeys(words, len(text)))
+        wrappers = {w for m in chosen for w in m} | {w for w, n in sizes.items() if 2 * n > total}
+        return [text for text, words, _ in self.blocks if wrappers.issuperset(words)]
 
 
 def main_text(html: str, low: frozenset[int] = frozenset()) -> str:
     page = Extractor(low)
     page.walk(html)
-    return "\n\n".join(page.blocks)
+    return "\n\n".join(page.kept())
 
 
 def _pages(pages: DataFrame) -> DataFrame:

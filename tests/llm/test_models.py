@@ -217,3 +217,19 @@ def test_parts_follow_the_bytes_and_split_hot_pairs(spark):
     # One pair of context bytes next to the byte, 64 bytes before it.
     runs = np.arange(64, dtype=np.uint64) << np.uint64(24) | np.uint64(0x206120)
     assert len(set(ctw._parts_of_runs(runs, ctw.TOP, large[0]).tolist())) > 30
+
+
+def test_tags_that_only_look_like_marks():
+    text = "A long text about things that matter to those who read it."
+    for page in (
+        f'<div style="overflow:hidden"><p>{text}</p></div>',
+        f'<article title="hidden gems" data-hidden="false"><p>{text}</p></article>',
+        f'<svg class="i" /><p>{text}</p>', f"<math/><p>{text}</p><svg><path/></svg>", f"<select><p>{text}</p>",
+        f'<div class="with-sidebar"><main><p>{text}</p></main><div class="comments"><article>Me too, and at length. {text * 3}</article></div></div>',
+        f'<div class="no-sidebar"><p>{text}</p><div class="related">Others</div></div>',
+        f'<div class="elementor-widget"><p>{text}</p></div><div class="ad">Buy</div>',
+    ):
+        assert html.main_text(page) == text
+    for page in (f"<div hidden><p>{text}</p></div>", f'<p aria-hidden="true">{text}</p>', f"<script>{text}", f"<svg><text>{text}</text></svg>"):
+        assert html.main_text(page) == ""
+    assert html.main_text(f'<article><p>{text}</p><div class="ad">Buy</div></article>') == text
