@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from atticsweep.llm import bpe, ctw, exact_dedup, html, jaccard_join, language_id, packing, quality, substring_dedup, toxicity
+from atticsweep.llm import (
+    align,
+    bpe,
+    chat,
+    ctw,
+    exact_dedup,
+    html,
+    jaccard_join,
+    language_id,
+    packing,
+    quality,
+    runs,
+    substring_dedup,
+    toxicity,
+)
 from atticsweep.llm.common import table
 
 
@@ -50,6 +64,18 @@ def op10_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_digests(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ctw": op1_ctw,
     "op2_super_kmers": op2_super_kmers,
@@ -61,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_column_generation": op9_column_generation,
     "op10_style_tree": op10_style_tree,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_chat_format": op13_chat_format,
 }
 
 ORACLE_SQL: dict[str, str] = {
