@@ -40,6 +40,8 @@ cloudpickle.register_pickle_by_value(att)
 SMOKE_DIR = "/root/testdata/sf0.001"
 AS_OF = datetime(2001, 6, 1, tzinfo=timezone.utc)
 OPTS = att.ScanOptions(sep="/")
+# As for key sets too large to broadcast.
+LARGE = att.ScanOptions(sep="/", broadcast_bytes=0)
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -430,14 +432,14 @@ def deletion_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return att.deletion_plan(file_results(spark, sf_dir, PLANNED), "RecycleBin")
 
 
-def inventory_after_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def inventory_after_plan(spark: SparkSession, sf_dir: str, opts: att.ScanOptions = OPTS) -> DataFrame:
     plan = att.deletion_plan(file_results(spark, sf_dir, PLANNED))
-    return att.apply_plan(file_inventory(spark, sf_dir), plan, OPTS).select("full_path", "is_directory", "size_bytes")
+    return att.apply_plan(file_inventory(spark, sf_dir), plan, opts).select("full_path", "is_directory", "size_bytes")
 
 
-def freed_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def freed_bytes(spark: SparkSession, sf_dir: str, opts: att.ScanOptions = OPTS) -> DataFrame:
     plan = att.deletion_plan(file_results(spark, sf_dir, PLANNED))
-    return att.freed_bytes(file_inventory(spark, sf_dir), plan, OPTS)
+    return att.freed_bytes(file_inventory(spark, sf_dir), plan, opts)
 
 
 # Streaming ------------------------------------------------------------------
@@ -522,7 +524,9 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "remaining_results": remaining_results,
         "deletion_plan": deletion_plan,
         "inventory_after_plan": inventory_after_plan,
+        "inventory_after_large_plan": lambda s, d: inventory_after_plan(s, d, LARGE),
         "freed_bytes": freed_bytes,
+        "freed_bytes_of_large_plan": lambda s, d: freed_bytes(s, d, LARGE),
         "streamed_temp_files": streamed("temp_files"),
         "streamed_old_files": streamed("old_files"),
         "streamed_zero_length_files": streamed("zero_length_files"),

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atticsweep.functions import paths
-from atticsweep.operators import prune
-from atticsweep.operators.lookup import join_keys, settled
+from atticsweep.operators import intervals
 from atticsweep.schema import DELETE_MODES, SIMULATE, ScanOptions
 from atticsweep.session import written
 
@@ -41,32 +40,23 @@ def deletion_plan(results: DataFrame, mode: str = SIMULATE) -> DataFrame:
     )
 
 
-def _marked(inv: DataFrame, plan: DataFrame, opts: ScanOptions) -> DataFrame:
-    """The inventory with ``planned``: the entry or a folder above it is in the plan."""
-    planned = plan.select(F.col("root_id").alias("key_root"), paths.key_of(F.col("full_path")).alias("key_path"))
+def _planned(plan: DataFrame) -> DataFrame:
     # A plan comes out of scans; write it down instead of scanning for each use.
-    planned = written(planned.distinct())
-    below = prune.subtree_keys(inv, planned, opts).distinct().withColumn("below", F.lit(True))
-    itself = planned.withColumn("itself", F.lit(True))
-    key, parent = paths.key_of(F.col("full_path")), paths.key_of(F.col("parent_path"))
-    own = join_keys(inv, [F.col("root_id"), key], settled(itself, opts.broadcast_bytes), "left")
-    return (
-        join_keys(own, [F.col("root_id"), parent], settled(below, opts.broadcast_bytes), "left")
-        .withColumn("planned", F.col("itself").isNotNull() | F.col("below").isNotNull())
-        .select(*inv.columns, "planned")
-    )
+    return written(plan.select("root_id", "full_path"))
 
 
 def apply_plan(inv: DataFrame, plan: DataFrame, opts: ScanOptions) -> DataFrame:
     """The inventory as it would be after the plan; deleting a folder takes all below it along."""
-    return _marked(inv, plan, opts).filter(~F.col("planned")).drop("planned")
+    marked = intervals.mark_subtrees(inv, _planned(plan), opts.sep, opts.broadcast_bytes)
+    return marked.filter(~F.col("marked")).drop("marked")
 
 
 def freed_bytes(inv: DataFrame, plan: DataFrame, opts: ScanOptions) -> DataFrame:
     """Files, folders and bytes the plan removes per root, each entry counted once."""
+    rows = inv.select("root_id", "full_path", "is_directory", "size_bytes")
     return (
-        _marked(inv, plan, opts)
-        .filter("planned")
+        intervals.mark_subtrees(rows, _planned(plan), opts.sep, opts.broadcast_bytes)
+        .filter("marked")
         .groupBy("root_id")
         .agg(
             F.count_if(~F.col("is_directory")).alias("files"),

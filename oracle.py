@@ -186,6 +186,16 @@ def statements() -> dict[str, str]:
     planned = f"results AS ({TEMP} UNION ALL {ZERO} UNION ALL {EMPTY})"
     gone = """gone AS (SELECT e.* FROM inv e WHERE EXISTS (SELECT 1 FROM results r
       WHERE r.full_path = e.full_path OR starts_with(e.full_path, concat(r.full_path, '/'))))"""
+    after_plan = _files(
+        """SELECT full_path, is_directory, size_bytes FROM inv
+           WHERE full_path NOT IN (SELECT full_path FROM gone)""",
+        f", {planned}, {gone}",
+    )
+    freed = _files(
+        """SELECT '' AS root_id, count(*) FILTER (WHERE NOT is_directory) AS files,
+           count(*) FILTER (WHERE is_directory) AS folders, CAST(sum(size_bytes) AS BIGINT) AS freed_bytes FROM gone""",
+        f", {planned}, {gone}",
+    )
     two_scans = f"results AS ({TEMP} UNION ALL {OLD})"
     exported = f"""SELECT 'True' AS "Selected", name AS "Name", full_path AS "Path", size_bytes AS "Size",
       {TIME_TEXT} AS "Modified", detail AS "Detail", "group" AS "Group" FROM ({TEMP})"""
@@ -310,16 +320,10 @@ def statements() -> dict[str, str]:
                CAST(length(full_path) AS BIGINT) AS path_length FROM results WHERE is_selected GROUP BY root_id, full_path""",
             f", {planned}",
         ),
-        "inventory_after_plan": _files(
-            """SELECT full_path, is_directory, size_bytes FROM inv
-               WHERE full_path NOT IN (SELECT full_path FROM gone)""",
-            f", {planned}, {gone}",
-        ),
-        "freed_bytes": _files(
-            """SELECT '' AS root_id, count(*) FILTER (WHERE NOT is_directory) AS files,
-               count(*) FILTER (WHERE is_directory) AS folders, CAST(sum(size_bytes) AS BIGINT) AS freed_bytes FROM gone""",
-            f", {planned}, {gone}",
-        ),
+        "inventory_after_plan": after_plan,
+        "inventory_after_large_plan": after_plan,
+        "freed_bytes": freed,
+        "freed_bytes_of_large_plan": freed,
         # The same rows as the batch scans.
         "streamed_temp_files": _files(TEMP),
         "streamed_old_files": _files(OLD),
