@@ -332,6 +332,12 @@ def resolved_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return att.resolve_paths(nodes, "C:", "/").select("frn", "path")
 
 
+def resolved_odd_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder with most files, cycles, ids that were used again; folders of a hundred files already count as hot."""
+    nodes = fixtures.select(spark, sf_dir, fixtures.ODD_NODES, "SELECT * FROM nodes")
+    return att.resolve_paths(nodes, "C:", "/", hot=100).select("frn", "path")
+
+
 def archive_member_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page packed into a zip of its own, and the zips listed again."""
     pages = fixtures.select(
@@ -509,6 +515,7 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "installed_names": lambda s, d: app_names(s, d).select("token"),
         "orphaned_app_data": orphaned_app_data,
         "resolved_paths": resolved_paths,
+        "resolved_odd_paths": resolved_odd_paths,
         "archive_member_list": archive_member_list,
         "export_rows": export_rows,
         "exported_csv": exported_csv,

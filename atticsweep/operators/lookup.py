@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from atticsweep.session import written
 
 ROW_OVERHEAD = 16
+# A key with this many rows gets a way of its own.
+HOT_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -70,3 +72,33 @@ def existing_keys(wanted: DataFrame, present: DataFrame, limit_bytes: int) -> Ke
     else:
         found = asked.df.join(present.select(*keys).hint("merge"), keys, "left_semi")
     return KeySet(found.select(F.col("root_id").alias("key_root"), F.col("path_key").alias("key_path")), asked.small)
+
+
+def join_hot(
+    left: DataFrame, left_keys: list[Column], right: DataFrame, how: str, limit_bytes: int, hot: int = HOT_ROWS
+) -> DataFrame:
+    """Join with ``right`` (one row a key, columns key_* and others) where few keys may hold most of the ``left`` rows.
+
+    Keys of at least ``hot`` left rows are counted, so there are at most left / ``hot``.
+    Their right rows are broadcast, if measured small, and their left rows do not move;
+    all other keys meet by a sort-merge join.
+    """
+    names = [c for c in right.columns if c.startswith("key_")]
+
+    def met(rows: DataFrame, to: DataFrame, way: str = how) -> DataFrame:
+        same = [a == F.col(b) for a, b in zip(left_keys, names, strict=True)]
+        return rows.join(to, reduce(Column.__and__, same), way).drop(*names)
+
+    if left.count() < hot:
+        return met(left, right.hint("merge"))
+    counted = left.groupBy(*[k.alias(n) for k, n in zip(left_keys, names, strict=True)]).agg(F.count(F.lit(1)).alias("n"))
+    keys = settled(counted.filter(F.col("n") >= hot).select(*names).dropna(), limit_bytes)
+    if not keys.small or keys.df.isEmpty():
+        return met(left, right.hint("merge"))
+    there = settled(right.join(keys.hinted(), names, "left_semi").select(*right.columns), limit_bytes)
+    if not there.small:
+        return met(left, right.hint("merge"))
+    same = [a == F.col(b) for a, b in zip(left_keys, names, strict=True)]
+    mine = reduce(Column.__and__, same)
+    rest = left.join(keys.hinted(), mine, "left_anti")
+    return met(left.join(keys.hinted(), mine, "left_semi"), there.hinted()).unionByName(met(rest, right.hint("merge")))

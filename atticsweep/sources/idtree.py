@@ -2,123 +2,138 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from atticsweep.operators.lookup import HOT_ROWS, join_hot, join_keys, settled
+from atticsweep.schema import ScanOptions
 from atticsweep.session import written
 
 # The record number is the low 48 bits of an id; parents below 5 are
 # reserved records, where a path ends.
 RECORD_MASK = 0xFFFFFFFFFFFF
 FIRST_PARENT = 5
+FIRST_ARRIVAL = -(1 << 63)
 
 KEYS = ["root_id", "frn"]
 
 
-def latest_records(nodes: DataFrame) -> DataFrame:
-    """One row per masked id: the last by ``seq``, or without it the one with the highest reuse count."""
+def latest_records(nodes: DataFrame, *facts: str, limit_bytes: int = ScanOptions.broadcast_bytes) -> DataFrame:
+    """One row per masked id: the last by ``seq``, or without it the one with the highest reuse count.
+
+    Of records that tie, the one with the largest parent, then name. Arrivals are numbers, so the last
+    of each id comes out of a hash aggregation; only ids that occur twice are looked at again.
+    """
     mask = F.lit(RECORD_MASK).cast("bigint")
     arrival = F.col("seq") if "seq" in nodes.columns else F.shiftrightunsigned(F.col("frn"), 48)
-    return (
+    kept = ["parent_frn", "name", *facts]
+    rows = written(
         nodes.select(
             (F.col("root_id") if "root_id" in nodes.columns else F.lit("")).alias("root_id"),
             F.col("frn").cast("bigint").bitwiseAND(mask).alias("frn"),
-            F.struct(
-                arrival.cast("bigint").alias("arrival"),
-                F.col("parent_frn").cast("bigint").bitwiseAND(mask).alias("parent_frn"),
-                F.col("name").alias("name"),
-            ).alias("record"),
+            F.coalesce(arrival.cast("bigint"), F.lit(FIRST_ARRIVAL)).alias("arrival"),
+            F.col("parent_frn").cast("bigint").bitwiseAND(mask).alias("parent_frn"),
+            F.coalesce("name", F.lit("")).alias("name"),
+            *facts,
         )
-        .groupBy(*KEYS)
-        .agg(F.max("record").alias("record"))
-        .select(*KEYS, "record.parent_frn", "record.name")
     )
+    seen = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.max("arrival").alias("last"))
+    twice = seen.filter(F.col("n") > 1).select(F.col("root_id").alias("key_root"), F.col("frn").alias("key_frn"), "last")
+    again = settled(twice, limit_bytes)
+    if again.df.isEmpty():
+        return rows.select(*KEYS, *kept)
+    own = [F.col(k) for k in KEYS]
+    once = join_keys(rows, own, again.select("key_root", "key_frn"), "left_anti")
+    last = join_keys(rows, [*own, F.col("arrival")], again.select("key_root", "key_frn", F.col("last").alias("key_last")), "left_semi")
+    # The first of each is picked before rows are exchanged, too; a number that is reused often stays in its task.
+    order = Window.partitionBy(*KEYS).orderBy(F.col("parent_frn").desc(), F.col("name").desc())
+    first = last.withColumn("place", F.row_number().over(order)).filter(F.col("place") == 1)
+    return once.select(*KEYS, *kept).unionByName(first.select(*KEYS, *kept))
 
 
-def resolve_paths(nodes: DataFrame, prefix: str, sep: str = "\\") -> DataFrame:
-    """(root_id, frn, path) for nodes (frn, parent_frn, name and perhaps root_id, seq).
+def _ends() -> Column:
+    return (F.col("parent_frn") == F.col("frn")) | (F.col("parent_frn") < FIRST_PARENT)
 
-    A chain ends at an unknown parent, at itself, at a reserved parent, or where it
-    would come back to a node it has passed.
 
-    Only nodes that are somebody's parent take part in the search: each holds the
-    chain it knows, and each round appends the chain of that chain's end, so chains
-    double in length. A chain that returns to itself repeats the ids it has; dropping
-    repeats leaves the walk up to that point. All other nodes, the many files,
-    are joined once at the end.
-    """
-    records = written(latest_records(nodes))
-    ends = (F.col("parent_frn") == F.col("frn")) | (F.col("parent_frn") < FIRST_PARENT)
-    parents = records.filter(~ends).select("root_id", F.col("parent_frn").alias("frn")).distinct()
-    chains = records.join(parents, KEYS, "left_semi").select(
-        *KEYS,
-        F.array("frn").alias("ids"),
-        F.array("name").alias("names"),
-        F.when(~ends, F.col("parent_frn")).alias("next"),
+def _folder_tails(records: DataFrame, parents: DataFrame, sep: str, hot: int, limit_bytes: int) -> DataFrame:
+    """(root_id, frn, tail) of every record that is somebody's parent: the names from the top of its chain down."""
+    chains = join_keys(records, [F.col(k) for k in KEYS], settled(parents, limit_bytes), "left_semi")
+    above = F.when(~_ends(), F.col("parent_frn"))
+    known = written(
+        chains.select(
+            *KEYS,
+            F.when(above.isNull(), F.col("name")).alias("tail"),
+            F.when(above.isNotNull(), F.array("frn")).alias("ids"),
+            F.when(above.isNotNull(), F.array("name")).alias("names"),
+            above.alias("next"),
+        )
     )
-    done, open_ = None, written(chains)
-    known = open_
-    while True:
-        finished = open_.filter(F.col("next").isNull())
-        done = finished if done is None else done.unionByName(finished)
-        open_ = open_.filter(F.col("next").isNotNull())
-        if open_.isEmpty():
-            break
-        end = known.select(
-            F.col("root_id").alias("end_root"),
-            F.col("frn").alias("end_frn"),
+    down = F.array_join(F.reverse("names"), sep)
+    done, open_ = known.filter("next IS NULL"), known.filter("next IS NOT NULL")
+    while not open_.isEmpty():
+        end = done.unionByName(open_).select(
+            F.col("root_id").alias("key_root"),
+            F.col("frn").alias("key_frn"),
+            F.col("tail").alias("end_tail"),
             F.col("ids").alias("end_ids"),
             F.col("names").alias("end_names"),
             F.col("next").alias("end_next"),
         )
-        joined = open_.join(
-            end, (F.col("root_id") == F.col("end_root")) & (F.col("next") == F.col("end_frn")), "left"
-        )
-        none = F.array().cast("array<bigint>")
-        no_names = F.array().cast("array<string>")
-        all_ids = F.concat("ids", F.coalesce("end_ids", none))
+        joined = join_hot(open_, [F.col("root_id"), F.col("next")], end, "left", limit_bytes, hot)
+        all_ids = F.concat("ids", "end_ids")
         ids = F.array_distinct(all_ids)
+        # A chain that ended well is a text; nothing has to be found in it again.
+        tail = F.when(F.col("end_tail").isNotNull(), F.concat("end_tail", F.lit(sep), down)).when(F.col("end_ids").isNull(), down)
         stepped = joined.select(
             *KEYS,
-            ids.alias("ids"),
-            F.slice(F.concat("names", F.coalesce("end_names", no_names)), F.lit(1), F.size(ids)).alias("names"),
-            F.when(F.size(ids) == F.size(all_ids), F.col("end_next")).alias("next"),
+            tail.alias("tail"),
+            F.when(tail.isNull(), ids).alias("ids"),
+            F.when(tail.isNull(), F.slice(F.concat("names", "end_names"), F.lit(1), F.size(ids))).alias("names"),
+            F.when(tail.isNull() & (F.size(ids) == F.size(all_ids)), F.col("end_next")).alias("next"),
         )
-        open_ = written(stepped)
-        known = done.unionByName(open_)
+        stepped = written(stepped)
+        done, open_ = done.unionByName(stepped.filter("next IS NULL")), stepped.filter("next IS NOT NULL")
+    return done.select(*KEYS, F.coalesce("tail", down).alias("tail"))
 
-    folders = done.select(
-        F.col("root_id").alias("folder_root"), F.col("frn").alias("folder_frn"), F.col("ids"), F.col("names")
-    )
-    same = (F.col("root_id") == F.col("folder_root")) & (F.col("frn") == F.col("folder_frn"))
-    inner = records.join(folders, same).select(*KEYS, F.array_join(F.reverse("names"), sep).alias("tail"))
+
+def resolve_paths(
+    nodes: DataFrame,
+    prefix: str,
+    sep: str = "\\",
+    facts: tuple[str, ...] = (),
+    hot: int = HOT_ROWS,
+    limit_bytes: int = ScanOptions.broadcast_bytes,
+) -> DataFrame:
+    """(root_id, frn, path, and ``facts`` of the last record) for nodes (frn, parent_frn, name and perhaps root_id, seq).
+
+    A chain ends at an unknown parent, at itself, at a reserved parent, or where it
+    would come back to a node it has passed.
+
+    Only nodes that are somebody's parent take part in the search: each holds the
+    chain it knows, and each round appends the chain of that chain's end, so chains
+    double in length. A chain that ended well goes on as a text; only open ones carry
+    their ids. A chain that returns to itself repeats the ids it has; dropping
+    repeats leaves the walk up to that point. All other nodes, the many files,
+    are joined once at the end. Ends that many chains have in common, and folders with
+    many files (``hot`` rows or more), are broadcast; all others meet by a merge join.
+    """
+    records = written(latest_records(nodes, *facts, limit_bytes=limit_bytes))
+    parents = records.filter(~_ends()).select(F.col("root_id").alias("key_root"), F.col("parent_frn").alias("key_frn")).distinct()
+    parents = written(parents)
+    folders = written(_folder_tails(records, parents, sep, hot, limit_bytes))
+    path = F.concat(F.lit(prefix), F.lit(sep), F.col("tail")).alias("path")
+    inner = folders
+    if facts:
+        inner = records.select(*KEYS, *facts).join(folders.hint("merge"), KEYS)
+    leaves = join_keys(records, [F.col(k) for k in KEYS], settled(parents, limit_bytes), "left_anti")
     # A leaf cannot be on its parent's chain, else it would be a parent itself.
-    above = (F.col("root_id") == F.col("folder_root")) & (F.col("parent_frn") == F.col("folder_frn")) & ~ends
-    leaves = (
-        records.join(parents, KEYS, "left_anti")
-        .join(folders, above, "left")
-        .select(
-            *KEYS,
-            F.concat_ws(sep, F.array_join(F.reverse("names"), sep), F.col("name")).alias("tail"),
-        )
-    )
-    return inner.unionByName(leaves).select(*KEYS, F.concat(F.lit(prefix), F.lit(sep), F.col("tail")).alias("path"))
+    above = folders.select(F.col("root_id").alias("key_root"), F.col("frn").alias("key_frn"), F.col("tail").alias("folder_tail"))
+    met = join_hot(leaves, [F.col("root_id"), F.when(~_ends(), F.col("parent_frn"))], above, "left", limit_bytes, hot)
+    outer = met.withColumn("tail", F.concat_ws(sep, "folder_tail", "name"))
+    return inner.select(*KEYS, path, *facts).unionByName(outer.select(*KEYS, path, *facts))
 
 
 def inventory_rows(nodes: DataFrame, prefix: str, sep: str = "\\") -> DataFrame:
     """Resolved paths as rows for ``inventory_from_table``; ``nodes`` has is_directory or attributes too."""
-    paths = resolve_paths(nodes, prefix, sep)
-    mask = F.lit(RECORD_MASK).cast("bigint")
-    facts = [c for c in ("is_directory", "attributes", "size_bytes", "modified") if c in nodes.columns]
-    arrival = F.col("seq") if "seq" in nodes.columns else F.shiftrightunsigned(F.col("frn"), 48)
-    latest = (
-        nodes.select(
-            (F.col("root_id") if "root_id" in nodes.columns else F.lit("")).alias("root_id"),
-            F.col("frn").cast("bigint").bitwiseAND(mask).alias("frn"),
-            F.struct(arrival.cast("bigint").alias("arrival"), *facts).alias("record"),
-        )
-        .groupBy(*KEYS)
-        .agg(F.max("record").alias("record"))
-        .select(*KEYS, *[f"record.{c}" for c in facts])
-    )
-    return paths.withColumnRenamed("path", "full_path").join(latest, KEYS)
+    facts = tuple(c for c in ("is_directory", "attributes", "size_bytes", "modified") if c in nodes.columns)
+    return resolve_paths(nodes, prefix, sep, facts).withColumnRenamed("path", "full_path")

@@ -114,6 +114,24 @@ WITH nodes AS (
   UNION ALL SELECT 10000000 + o_orderkey, 100000 + o_custkey, concat('order_', o_orderkey, '.dat'), FALSE FROM orders)
 """
 
+# One folder with most files, pairs of folders that are each other's parent, ids that were used again,
+# a record with a reserved id, and parents that are reserved or the node itself.
+ODD_NODES = """
+WITH nodes AS (
+  SELECT CAST(3 AS BIGINT) AS frn, CAST(5 AS BIGINT) AS parent_frn, 'reserved' AS name, TRUE AS is_directory
+  UNION ALL SELECT CAST(50 AS BIGINT), CAST(5 AS BIGINT), 'inbox', TRUE
+  UNION ALL SELECT CAST(100 + r_regionkey AS BIGINT), CAST(CASE r_regionkey WHEN 1 THEN 3 WHEN 2 THEN 102 ELSE 5 END AS BIGINT), r_name, TRUE
+    FROM region
+  UNION ALL SELECT CAST(1000 + n_nationkey AS BIGINT), CAST(100 + n_regionkey AS BIGINT), n_name, TRUE FROM nation
+  UNION ALL SELECT CAST(100000 + c_custkey AS BIGINT),
+    CAST(CASE WHEN c_custkey % 50 = 0 THEN 100001 + c_custkey WHEN c_custkey % 50 = 1 THEN 99999 + c_custkey
+              ELSE 1000 + c_nationkey END AS BIGINT), concat('cust_', c_custkey), TRUE FROM customer
+  UNION ALL SELECT CAST(10000000 + o_orderkey AS BIGINT), CAST(CASE WHEN o_orderkey % 3 = 0 THEN 100000 + o_custkey ELSE 50 END AS BIGINT),
+    concat('order_', o_orderkey, '.dat'), FALSE FROM orders
+  UNION ALL SELECT CAST(10000000 + o_orderkey AS BIGINT) + 281474976710656 * CAST(1 + o_orderkey % 2 AS BIGINT), CAST(100000 + o_custkey AS BIGINT),
+    concat('again_', o_orderkey, '.dat'), FALSE FROM orders WHERE o_orderkey % 7 = 0)
+"""
+
 LONG_PATHS = """
 WITH longp AS (
   SELECT concat('/deep/', repeat(concat('d', CAST(page_id % 10 AS VARCHAR(2)), '/'), 60 + CAST(page_id % 50 AS INT)), url) AS full_path,

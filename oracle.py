@@ -281,6 +281,15 @@ def statements() -> dict[str, str]:
               SELECT frn, parent_frn, name FROM nodes
               UNION ALL SELECT u.frn, n.parent_frn, concat(n.name, '/', u.path) FROM up u JOIN nodes n ON n.frn = u.above)
             SELECT frn, concat('C:/', arg_max(path, length(path))) AS path FROM up GROUP BY frn""",
+        "resolved_odd_paths": f"""{fixtures.ODD_NODES.replace("WITH nodes AS", "WITH RECURSIVE nodes AS", 1)},
+            last AS (SELECT frn % 281474976710656 AS frn, parent_frn AS above, name FROM nodes
+              QUALIFY row_number() OVER (PARTITION BY frn % 281474976710656 ORDER BY frn // 281474976710656 DESC) = 1),
+            step AS (SELECT frn, name, CASE WHEN above <> frn AND above >= 5 THEN above END AS above FROM last),
+            up(frn, above, path, passed) AS (
+              SELECT frn, above, name, [frn] FROM step
+              UNION ALL SELECT u.frn, s.above, concat(s.name, '/', u.path), list_append(u.passed, s.frn)
+              FROM up u JOIN step s ON s.frn = u.above WHERE NOT list_contains(u.passed, s.frn))
+            SELECT frn, concat('C:/', arg_max(path, len(passed))) AS path FROM up GROUP BY frn""",
         "archive_member_list": """SELECT '' AS root_id, concat('/zip/page_', page_id, '.zip') AS archive_path, entry_name
             FROM pages, (VALUES ('page/url.txt'), ('page/index.html')) v(entry_name)""",
         "export_rows": _files(exported),

@@ -28,9 +28,9 @@ def walk_up(nodes, start):
     return "C:\\" + "\\".join(reversed(parts))
 
 
-def resolved(spark, nodes):
+def resolved(spark, nodes, **settings):
     df = spark.createDataFrame([(i, p, n) for i, (p, n) in nodes.items()], NODES)
-    return {r["frn"]: r["path"] for r in att.resolve_paths(df, "C:").collect()}
+    return {r["frn"]: r["path"] for r in att.resolve_paths(df, "C:", **settings).collect()}
 
 
 def test_chains_cycles_and_ends(spark):
@@ -68,6 +68,29 @@ def test_masked_ids_and_the_last_record(spark):
     assert [r["path"] for r in att.resolve_paths(reused, "C:").collect()] == ["C:\\second"]
 
 
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_hot_folders_and_ends(spark, limit):
+    """Most files in one folder, most folders below one end; and with nothing broadcast."""
+    nodes = {9: (5, "top"), 10: (9, "hot")} | {1000 + i: (10, f"f{i}") for i in range(200)}
+    nodes |= {100 + i: (10, f"d{i}") for i in range(50)} | {2000 + i: (100 + i % 50, f"g{i}") for i in range(100)}
+    nodes |= {20: (21, "x"), 21: (20, "y")} | {3000 + i: (20, f"h{i}") for i in range(40)} | {4000: (3000, "below")}
+    assert resolved(spark, nodes, hot=30, limit_bytes=limit) == {i: walk_up(nodes, i) for i in nodes}
+
+
+def test_ties_of_records_and_facts(spark):
+    rows = [(10, 5, "b", 1, 7), (10, 6, "a", 1, 8), (10, 6, "c", 1, 9), (10, 9, "z", None, 1), (11, 10, "leaf", 2, 3)] * 2
+    df = spark.createDataFrame(rows, NODES + ", seq bigint, size_bytes bigint")
+    got = sorted((r["frn"], r["path"], r["size_bytes"]) for r in att.resolve_paths(df, "C:", facts=("size_bytes",)).collect())
+    assert got == [(10, "C:\\c", 9), (11, "C:\\c\\leaf", 3)]
+    assert att.resolve_paths(df.limit(0), "C:").count() == 0
+
+
+def test_records_are_found_in_hash_aggregates(spark, tmp_path):
+    spark.createDataFrame([(10, 5, "a"), (10, 5, "b"), (11, 10, "c")], NODES).write.parquet(str(tmp_path / "n"))
+    df = idtree.latest_records(spark.read.parquet(str(tmp_path / "n")))
+    assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString() and df.count() == 2
+
+
 def test_id_tree_as_inventory(spark):
     nodes = spark.createDataFrame([(10, 5, "d", 0x10), (11, 10, "f", 0)], NODES + ", attributes bigint")
     inv = att.inventory_from_table(idtree.inventory_rows(nodes, "C:"), "\\", "C:")
