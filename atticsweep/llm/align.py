@@ -12,7 +12,7 @@ loaded). So texts are taken chunk by chunk between such places, and a chunk met
 is not encoded again. Texts with characters that Unicode versions judge differently are
 one chunk, encoded by the libraries as a whole.
 
-Counting at scale: a page, some 16 MB of texts, keeps its texts as numbers of chunks and
+Counting at scale: a page, some 8 MB of texts, keeps its texts as numbers of chunks and
 its chunks as numbers of id pairs. It sends its distinct pairs with their counts to parts
 by the second id, packed, so a part knows the highest count of each of its ids; then it
 asks the parts for its own pairs. What travels follows distinct pairs of pages, never
@@ -28,8 +28,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator, Sequence
-from itertools import accumulate
+from collections.abc import Iterable, Iterator, Sequence
+from functools import cached_property
+from itertools import accumulate, chain, count, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +43,14 @@ from atticsweep.llm.common import rows_of, spread_parts, texts
 from atticsweep.llm.packing import SETTLED
 from atticsweep.session import written
 
-PAGE = 16 << 20  # bytes of text
+PAGE = 8 << 20  # bytes of text
 PART = 64 << 20  # bytes of text for one part of the pairs
+BLOCK = 20_000  # chunks that are aligned in one go
 MOST_PARTS = 512  # more parts would only cut the pages' pairs finer
 # Between the cuts: a break belongs to the chunk behind it, longer white space stays inside.
 CHUNK = re.compile(r"\s*\S+(?:(?:\s{2,}|[^\S \n])\S+)*(?:\s+\Z)?|\s+\Z")
+# The same for texts whose breaks are all single.
+PLAIN, OTHER_BREAKS = re.compile(r"[ \n]\S+"), re.compile(r"\s\s|[^\S \n]|\s\Z")
 SPACE = "▁"
 
 ROWS = "kind int, part bigint, page bigint, a binary, b binary, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, groups_sha256 string"
@@ -56,25 +60,17 @@ RESULT = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint
 Group = tuple[Sequence[int], Sequence[int]]
 
 
-def groups(a: Sequence[int], b: Sequence[int], a_sizes: Sequence[int], b_sizes: Sequence[int]) -> Iterator[Group]:
-    """Both id lists cut where tokens of both end; the sizes are those of every id, in bytes."""
-    at_a = dict(zip(accumulate(map(a_sizes.__getitem__, a)), range(1, len(a) + 1), strict=True))
-    at_b = dict(zip(accumulate(map(b_sizes.__getitem__, b)), range(1, len(b) + 1), strict=True))
-    i = j = 0
-    for end in sorted(at_a.keys() & at_b.keys()):
-        p, q = at_a[end], at_b[end]
-        yield a[i:p], b[j:q]
-        i, j = p, q
-
-
-def links(group: Group) -> list[tuple[int, int]]:
-    """The pairs of a slice whose byte ranges end together: the last two, as no other ends of a slice meet."""
-    a, b = group
-    return [(a[-1], b[-1])]
+def meets(a_sizes: Iterable[int], b_sizes: Iterable[int]) -> tuple[list[int], list[int]]:
+    """How many tokens of each side lie before every end that both have; the sizes are those of the tokens, in bytes."""
+    at_a, at_b = (dict(zip(accumulate(sizes), count(1))) for sizes in (a_sizes, b_sizes))
+    common = sorted(at_a.keys() & at_b.keys())
+    return list(map(at_a.__getitem__, common)), list(map(at_b.__getitem__, common))
 
 
-def shown(found: list[Group]) -> str:
-    return ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in found)
+def groups(a: Sequence[int], b: Sequence[int], a_sizes: Sequence[int], b_sizes: Sequence[int]) -> list[Group]:
+    """Both id lists cut where tokens of both end; the sizes are those of every id, in bytes."""
+    ends_a, ends_b = meets(map(a_sizes.__getitem__, a), map(b_sizes.__getitem__, b))
+    return [(a[i:p], b[j:q]) for i, p, j, q in zip([0, *ends_a], ends_a, [0, *ends_b], ends_b)]
 
 
 class Tokenizers:
@@ -123,57 +119,99 @@ class Tokenizers:
     def chunks(self, text: str) -> list[str]:
         """The text behind one space, cut where both tokenizers cut."""
         if self.cuts and (text.isascii() or not SETTLED.search(text)):
-            return CHUNK.findall(f" {text}")
+            text = f" {text}"
+            return (CHUNK if OTHER_BREAKS.search(text) else PLAIN).findall(text)
         return [f" {text}"]
 
-    def ids(self, chunk: str) -> tuple[list[int], list[int]]:
-        settled = chunk.isascii() or not SETTLED.search(chunk)
-        a = self.fast.encode_ordinary(chunk) if settled else self._library().encode(chunk, add_special_tokens=False).ids
+    def ids(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """The ids of each chunk."""
+        a = [
+            self.fast.encode_ordinary(c) if c.isascii() or not SETTLED.search(c) else self._library().encode(c, add_special_tokens=False).ids
+            for c in chunks
+        ]
         # The model puts a space in front. Before a line break, which no entry holds, that space is one token.
-        return a, self.pieces.encode(chunk[1:]) if chunk[0] == " " else self.pieces.encode(chunk)[1:]
-
-    def align(self, chunk: str) -> tuple[list[int], list[int], list[Group]]:
-        a, b = self.ids(chunk)
-        return a, b, list(groups(a, b, self.a_sizes, self.b_sizes))
+        b = self.pieces.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
+        return a, [ids if c[0] == " " else ids[1:] for c, ids in zip(chunks, b, strict=True)]
 
     def same(self, chunk: str, a: list[int], b: list[int]) -> bool:
         want = chunk.encode()
         return b"".join(map(self.a_bytes.__getitem__, a)) == want == b"".join(map(self.b_bytes.__getitem__, b))
 
+    def groups(self, text: str) -> list[Group]:
+        """The groups of a text; none where its tokens do not give its bytes back."""
+        chunks = self.chunks(text) if text else []
+        found = list(zip(chunks, *self.ids(chunks), strict=True))
+        if not all(self.same(*x) for x in found):
+            return []
+        return [group for _, a, b in found for group in groups(a, b, self.a_sizes, self.b_sizes)]
+
+    @cached_property
+    def _shown(self) -> pa.Array:
+        """How ids are written: those of A, each with a comma or as its group's last, then those of B."""
+        sides = ((len(self.a_bytes), "|"), (len(self.b_bytes), ";"))
+        return pa.array([f"{i}{end}" for n, last in sides for i in range(n) for end in (",", last)], pa.large_binary())
+
+    def aligned(self, chunks: list[str]) -> list[tuple[int, int, int, bytes, bytes, bool]]:
+        """Of each chunk: numbers of ids and groups, the groups as text, the linked pairs as codes, whether its bytes come back.
+
+        All chunks are aligned in one go, as if they were one text: each ends where tokens of both end.
+        """
+        ids = list(zip(*self.ids(chunks), strict=True))
+        good = [self.same(chunk, *its) for chunk, its in zip(chunks, ids, strict=True)]
+        n_a, n_b = (np.array([len(its[k]) if ok else 0 for its, ok in zip(ids, good, strict=True)], np.int64) for k in (0, 1))
+        a, b = (np.fromiter(chain.from_iterable(its[k] for its, ok in zip(ids, good, strict=True) if ok), np.int64) for k in (0, 1))
+        ends_a, ends_b = (np.array(x, np.int64) for x in meets(map(self.a_sizes.__getitem__, a.tolist()), map(self.b_sizes.__getitem__, b.tolist())))
+        # A slice gives one link, between its last tokens: no other ends of it meet.
+        codes = (a[ends_a - 1] << 32 | b[ends_b - 1]).astype(np.uint64)
+        # A token is written behind all tokens of earlier groups, and behind its group's A tokens if it is of B.
+        group_a, group_b = np.searchsorted(ends_a, np.arange(len(a)), side="right"), np.searchsorted(ends_b, np.arange(len(b)), side="right")
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[ends_a - 1] = last_b[ends_b - 1] = 1
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + np.concatenate([[0], ends_b])[group_a]] = 2 * a + last_a
+        order[np.arange(len(b)) + np.concatenate([ends_a, [0]])[group_b]] = 2 * (len(self.a_bytes) + b) + last_b
+        written_ids = self._shown.take(pa.array(order))
+        text, starts = written_ids.buffers()[2], np.frombuffer(written_ids.buffers()[1], np.int64)
+        text = text.to_pybytes() if text is not None else b""
+        to_text = starts[np.concatenate([[0], np.cumsum(n_a + n_b)])].tolist()
+        to_group = np.concatenate([[0], np.searchsorted(ends_a, np.cumsum(n_a), side="right")])
+        packed, to_code = codes.tobytes(), (8 * to_group).tolist()
+        sizes = zip(n_a.tolist(), n_b.tolist(), np.diff(to_group).tolist(), strict=True)
+        return [
+            (*size, text[t : max(t, u - 1)], packed[c:d], ok)
+            for size, (t, u), (c, d), ok in zip(sizes, pairwise(to_text), pairwise(to_code), good, strict=True)
+        ]
+
 
 class Known:
-    """Chunks aligned before, by their text; forgotten all at once beyond ``most`` characters of chunks and groups."""
+    """Chunks aligned before, by their text; forgotten all at once beyond ``most`` bytes, about."""
 
-    def __init__(self, tokenizers: Tokenizers, most: int = 24_000_000, longest: int = 64):
+    def __init__(self, tokenizers: Tokenizers, most: int = 96 << 20, longest: int = 64):
         self.tokenizers, self.most, self.longest = tokenizers, most, longest
         self.entries: dict[str, tuple] = {}
         self.held = 0
 
-    def entry(self, chunk: str) -> tuple[int, int, int, str, list[int], bool]:
-        """Numbers of ids and groups, the groups as text, the linked pairs as codes, and whether the bytes come back."""
-        if (found := self.entries.get(chunk)) is not None:
-            return found
-        a, b, cut = self.tokenizers.align(chunk)
-        codes = [x << 32 | y for group in cut for x, y in links(group)]
-        entry = (len(a), len(b), len(cut), shown(cut), codes, self.tokenizers.same(chunk, a, b))
-        if len(chunk) <= self.longest:
-            if self.held > self.most:
-                self.entries, self.held = {}, 0
-            self.entries[chunk] = entry
-            self.held += 200 + len(chunk) + len(entry[3]) + 40 * len(codes)
-        return entry
+    def look_up(self, chunks: list[str]) -> list[tuple[int, int, int, bytes, bytes, bool]]:
+        """What ``Tokenizers.aligned`` says of each chunk."""
+        new = [c for c in chunks if c not in self.entries]
+        made = {}
+        for i in range(0, len(new), BLOCK):
+            made |= dict(zip(new[i : i + BLOCK], self.tokenizers.aligned(new[i : i + BLOCK]), strict=True))
+        out = [made[c] if c in made else self.entries[c] for c in chunks]
+        if self.held > self.most:
+            self.entries, self.held = {}, 0
+        for chunk, entry in made.items():
+            if len(chunk) <= self.longest:
+                self.entries[chunk] = entry
+                self.held += 260 + len(chunk) + len(entry[3]) + len(entry[4])
+        return out
 
 
 class Page(dict):
-    """Numbers of the chunks of a page; a chunk met for the first time is aligned."""
-
-    def __init__(self, known: Known):
-        super().__init__()
-        self.known, self.entries = known, []
+    """Numbers of the chunks of a page, in the order of their first occurrence."""
 
     def __missing__(self, chunk: str) -> int:
-        self[chunk] = number = len(self.entries)
-        self.entries.append(self.known.entry(chunk))
+        self[chunk] = number = len(self)
         return number
 
 
@@ -190,13 +228,13 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield tuple(c[i].as_py() for c in rows.columns)
 
 
-def _page_rows(page: Page, docs: list[tuple], parts: int, number: int) -> list[tuple]:
+def _page_rows(entries: list[tuple], docs: list[tuple], parts: int, number: int) -> list[tuple]:
     """The page's pairs by part, its chunks as numbers of pairs, and its rows."""
-    sizes = np.array([len(e[4]) for e in page.entries], np.uint32)
-    codes = np.array([c for e in page.entries for c in e[4]], np.uint64)
-    met = np.zeros(len(page.entries), np.int64)
+    sizes = np.array([len(e[4]) // 8 for e in entries], np.uint32)
+    codes = np.frombuffer(b"".join(e[4] for e in entries), np.uint64)
+    met = np.zeros(len(entries), np.int64)
     for *_, uses in docs:
-        met += np.bincount(uses, minlength=len(met))
+        np.add.at(met, uses, 1)
     part = (codes & np.uint64(0xFFFFFFFF)) % np.uint64(parts)
     order = np.lexsort((codes, part))
     first = np.ones(len(order), bool)
@@ -218,16 +256,22 @@ def _scan(parts: int, vocabularies: dict):
         number, known = TaskContext.get().partitionId() << 32, None
         for rows in rows_of(batches, PAGE):
             known = known or Known(Tokenizers(**vocabularies))
-            page, docs = Page(known), []
-            for doc_id, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True):
-                uses = np.array(list(map(page.__getitem__, known.tokenizers.chunks(text))) if text else [], np.uint32)
-                its = [page.entries[i] for i in uses.tolist()]
-                if not all(e[5] for e in its):
-                    uses, its = uses[:0], []
-                facts = [sum(e[i] for e in its) for i in range(3)]
-                cut = ";".join(filter(None, (e[3] for e in its)))
-                docs.append((doc_id, *facts, hashlib.sha256(cut.encode()).hexdigest() if its else "", uses))
-            yield _records(_page_rows(page, docs, parts, number))
+            page = Page()
+            uses = [
+                np.array(list(map(page.__getitem__, known.tokenizers.chunks(text))) if text else [], np.uint32)
+                for text in rows.column("text").to_pylist()
+            ]
+            entries = known.look_up(list(page))
+            facts = np.array([e[:3] for e in entries], np.int64).reshape(-1, 3)
+            bad = np.array([not e[5] for e in entries], bool)
+            cuts = [e[3] for e in entries]
+            docs = []
+            for doc_id, its in zip(rows.column("doc_id").to_pylist(), uses, strict=True):
+                if bad[its].any():
+                    its = its[:0]
+                digest = hashlib.sha256(b";".join(map(cuts.__getitem__, its.tolist()))).hexdigest() if len(its) else ""
+                docs.append((doc_id, *facts[its].sum(axis=0).tolist(), digest, its))
+            yield _records(_page_rows(entries, docs, parts, number))
             number += 1
 
     return scan
@@ -327,11 +371,7 @@ def aligned_groups(docs: DataFrame, **vocabularies: str) -> DataFrame:
         kind = pa.list_(pa.struct([("a", ids), ("b", ids)]))
         for rows in rows_of(batches, PAGE):
             tokenizers = tokenizers or Tokenizers(**vocabularies)
-            found = []
-            for text in rows.column("text").to_pylist():
-                its = [(chunk, *tokenizers.align(chunk)) for chunk in (tokenizers.chunks(text) if text else [])]
-                whole = all(tokenizers.same(chunk, a, b) for chunk, a, b, _ in its)
-                found.append([{"a": a, "b": b} for _, _, _, some in its for a, b in some] if whole else [])
+            found = [[{"a": a, "b": b} for a, b in tokenizers.groups(text)] for text in rows.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(found, kind)], names=["doc_id", "groups"])
 
     return texts(docs).mapInArrow(cut, "doc_id bigint, groups array<struct<a: array<int>, b: array<int>>>")

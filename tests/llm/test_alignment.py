@@ -97,10 +97,12 @@ def test_groups_give_back_all_ids(docs, rows, empty):
 
 
 def test_chunks_forgotten_are_aligned_again():
-    known = align.Known(align.Tokenizers(), most=500)
-    first = [known.entry(f" word{i}") for i in range(20)]
-    assert len(known.entries) < 20 and [known.entry(f" word{i}") for i in range(20)] == first
-    assert known.entry(" " + "x" * 100)[0] > 0 and " " + "x" * 100 not in known.entries
+    known = align.Known(align.Tokenizers(), most=2000)
+    words = [f" word{i}" for i in range(20)]
+    first = [known.look_up([w])[0] for w in words]
+    assert len(known.entries) < 20 and known.look_up(words) == first
+    long = " " + "x" * 100
+    assert known.look_up([long])[0][0] > 0 and long not in known.entries
 
 
 def test_every_code_point_is_aligned_or_refused():
@@ -112,7 +114,6 @@ def test_every_code_point_is_aligned_or_refused():
         text = f"a{c}b {c} x\n{c}{c}"
         chunks = own.chunks(text)
         assert "".join(chunks) == f" {text}"
-        a = [i for chunk in chunks for i in own.ids(chunk)[0]]
-        b = [i for chunk in chunks for i in own.ids(chunk)[1]]
+        a, b = ([i for ids in side for i in ids] for side in own.ids(chunks))
         assert a == a_library.encode(f" {text}", add_special_tokens=False).ids, hex(ord(c))
         assert b == own.pieces.encode(text), hex(ord(c))
