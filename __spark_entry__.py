@@ -245,7 +245,7 @@ def folder_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def folder_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return att.folder_rollup(file_inventory(spark, sf_dir), "/")
+    return att.folder_rollup(file_inventory(spark, sf_dir), OPTS)
 
 
 # Scans ----------------------------------------------------------------------
@@ -295,6 +295,36 @@ def unreadable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run("unreadable_files", spark, sf_dir, probes=probes(spark, sf_dir))
 
 
+def cased_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _inventory(spark, sf_dir, "cased", fixtures.CASES, "SELECT * FROM cased", "/vol")
+
+
+def big_files_of_any_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths that differ in case only are one entry."""
+    return _run("big_files", spark, sf_dir, inventory=cased_inventory(spark, sf_dir))
+
+
+# The inventories of the queries have the root ''.
+BY_CASE = att.ScanOptions(sep="/", case_sensitive_roots=("",))
+
+
+def deletion_plan_by_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A root in which paths that differ in case are two."""
+    results = _run("temp_files", spark, sf_dir, BY_CASE, inventory=cased_inventory(spark, sf_dir))
+    return att.deletion_plan(results, "Permanent", BY_CASE)
+
+
+def inventory_after_plan_by_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inv = cased_inventory(spark, sf_dir)
+    plan = att.deletion_plan(_run("temp_files", spark, sf_dir, BY_CASE, inventory=inv).filter("name = upper(name)"), opts=BY_CASE)
+    return att.apply_plan(inv, plan, BY_CASE).select("full_path", "is_directory", "size_bytes")
+
+
+def unreadable_files_of_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log with several probes of a file; the last counts."""
+    return _run("unreadable_files", spark, sf_dir, probes=_table(spark, sf_dir, "probe-log", fixtures.CASES, "SELECT * FROM probe_log"))
+
+
 def unpacked_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run("unpacked_archives", spark, sf_dir, members=archive_manifest(spark, sf_dir))
 
@@ -499,6 +529,7 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "empty_folders_depth2": lambda s, d: _run("empty_folders", s, d, _depth(2)),
         "big_files": big_files,
         "big_files_per_root": big_files_per_root,
+        "big_files_of_any_case": big_files_of_any_case,
         "duplicate_files": duplicate_files,
         "duplicate_candidates": duplicate_candidates,
         "temp_files": lambda s, d: _run("temp_files", s, d),
@@ -511,6 +542,7 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "broken_shortcuts_env": broken_shortcuts_env,
         "long_paths": long_paths,
         "unreadable_files": unreadable_files,
+        "unreadable_files_of_log": unreadable_files_of_log,
         "unpacked_archives": unpacked_archives,
         "installed_names": lambda s, d: app_names(s, d).select("token"),
         "orphaned_app_data": orphaned_app_data,
@@ -530,6 +562,8 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "select_all_and_none": select_all_and_none,
         "remaining_results": remaining_results,
         "deletion_plan": deletion_plan,
+        "deletion_plan_by_case": deletion_plan_by_case,
+        "inventory_after_plan_by_case": inventory_after_plan_by_case,
         "inventory_after_plan": inventory_after_plan,
         "inventory_after_large_plan": lambda s, d: inventory_after_plan(s, d, LARGE),
         "freed_bytes": freed_bytes,

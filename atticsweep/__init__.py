@@ -14,7 +14,7 @@ from atticsweep.operators.duplicates import (
     number_groups,
     size_candidates,
 )
-from atticsweep.operators.folders import empty_folders, folder_rollup, folder_stats
+from atticsweep.operators.folders import empty_folders, folder_stats
 from atticsweep.operators.largest import big_files
 from atticsweep.operators.leftovers import orphaned_app_data
 from atticsweep.operators.links import broken_links, broken_shortcuts
@@ -31,6 +31,7 @@ from atticsweep.operators.results import (
     selection_summary,
     sort_results,
 )
+from atticsweep.operators.rollup import folder_rollup
 from atticsweep.operators.rowlocal import long_paths, old_files, temp_files, zero_length_files
 from atticsweep.plans.deletion import apply_plan, deletion_plan, freed_bytes
 from atticsweep.plans.sweep import scan_all

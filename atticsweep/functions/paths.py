@@ -1,6 +1,7 @@
 """Path parts and ancestor chains as column expressions.
 
-Paths carry no trailing separator. Comparisons use *keys* (upper-cased paths).
+Paths carry no trailing separator. Comparisons use *keys*: upper-cased paths, and in
+case-sensitive roots the paths as they are.
 """
 
 from __future__ import annotations
@@ -9,9 +10,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def key_of(path: Column) -> Column:
-    """The case-insensitive form that joins and groupings compare."""
-    return F.upper(path)
+# In place of the case-sensitive roots: every root is one.
+EVERY_ROOT = ("*",)
+
+
+def key_of(path: Column, case_sensitive_roots: tuple[str, ...] = (), root_id: Column | None = None) -> Column:
+    """The form of a path that joins, groupings and orders compare."""
+    if not case_sensitive_roots:
+        return F.upper(path)
+    if tuple(case_sensitive_roots) == EVERY_ROOT:
+        return path
+    root_id = F.col("root_id") if root_id is None else root_id
+    return F.when(root_id.isin(list(case_sensitive_roots)), path).otherwise(F.upper(path))
 
 
 def name_of(path: Column, sep: str) -> Column:

@@ -53,7 +53,7 @@ def unpacked_archives(
         .withColumn("base", base)
         .filter(F.col("base") != "")
         .withColumn(
-            "folder_key", paths.key_of(F.concat(F.col("parent_path"), F.lit(opts.sep), F.col("base")))
+            "folder_key", opts.key(F.concat(F.col("parent_path"), F.lit(opts.sep), F.col("base")))
         )
     )
     archives = prune.listed(archives, inv, opts, blocked)
@@ -61,7 +61,7 @@ def unpacked_archives(
     open_folders = (
         prune.folders(inv)
         .filter(~prune.is_blocked(opts))
-        .select("root_id", paths.key_of(F.col("full_path")).alias("path_key"))
+        .select("root_id", opts.key(F.col("full_path")).alias("path_key"))
     )
     wanted = archives.select("root_id", F.col("folder_key").alias("path_key"))
     beside = existing_keys(wanted, open_folders, opts.broadcast_bytes)
@@ -73,7 +73,7 @@ def unpacked_archives(
         # A short list that both the shares and the outcome start from.
         matched = written(matched)
         shares = settled(_found_shares(matched, members, inv, opts), opts.broadcast_bytes)
-        matched = join_keys(matched, [F.col("root_id"), paths.key_of(F.col("full_path"))], shares, "left")
+        matched = join_keys(matched, [F.col("root_id"), opts.key(F.col("full_path"))], shares, "left")
         percent = F.col("percent")
     folder = F.concat(F.col("base"), F.lit("/"))
     certain = percent >= CERTAIN_PERCENT
@@ -89,13 +89,13 @@ def unpacked_archives(
 def _found_shares(matched: DataFrame, members: DataFrame, inv: DataFrame, opts: ScanOptions) -> DataFrame:
     """Per zip archive the whole percentage of its member files that exist where they would unpack to."""
     zips = matched.filter(F.upper("name").endswith(".ZIP")).select(
-        F.col("root_id").alias("key_root"), paths.key_of(F.col("full_path")).alias("key_path"), "folder_key"
+        F.col("root_id").alias("key_root"), opts.key(F.col("full_path")).alias("key_path"), "folder_key"
     )
     root = F.col("root_id") if "root_id" in members.columns else F.lit("")
     entry = F.col("entry_name")
     listed = members.filter(~(entry.endswith("/") | entry.endswith("\\"))).select(
         root.alias("root_id"),
-        paths.key_of(F.col("archive_path")).alias("archive_key"),
+        opts.key(F.col("archive_path"), root).alias("archive_key"),
         F.replace(entry, F.lit("/"), F.lit(opts.sep)).alias("entry"),
     )
     archive = [F.col("root_id"), F.col("archive_key")]
@@ -103,9 +103,9 @@ def _found_shares(matched: DataFrame, members: DataFrame, inv: DataFrame, opts:
     expected = join_keys(listed, archive, own_zip, "inner").select(
         "root_id",
         "archive_key",
-        F.concat(F.col("folder_key"), F.lit(opts.sep), F.upper("entry")).alias("expected_key"),
+        F.concat(F.col("folder_key"), F.lit(opts.sep), opts.key(F.col("entry"))).alias("expected_key"),
     )
-    on_disk = prune.files(inv).select("root_id", paths.key_of(F.col("full_path")).alias("path_key"))
+    on_disk = prune.files(inv).select("root_id", opts.key(F.col("full_path")).alias("path_key"))
     wanted = expected.select("root_id", F.col("expected_key").alias("path_key"))
     found = existing_keys(wanted, on_disk, opts.broadcast_bytes)
     found = KeySet(found.df.withColumn("exists", F.lit(True)), found.small)

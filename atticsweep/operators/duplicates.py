@@ -1,9 +1,10 @@
 """Files with the same content.
 
-Two ways in. With a table of contents, every content is digested where it is read
-and only digests are exchanged; narrowing down first would only add exchanges. With
-files on shared storage, reading is what costs, so sizes and then the digest of the
-first 4 KiB decide which files are read in full.
+Sizes, then the digest of the first 4 KiB, then that of all bytes narrow the files down:
+each stage digests only what the one before left over. With a table of contents, the
+files that are left are a measured key set. While it may be broadcast, contents are met
+where they are read, and only those are digested. A larger one would move contents, so
+then digests are made where contents are read, and only these meet the key set.
 
 One size, and one group of copies, may hold a large part of all rows. Groups are
 therefore built by aggregation (partial per task), never by a window over members.
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from atticsweep.functions import match, paths
 from atticsweep.operators import prune
+from atticsweep.operators.firsts import one_of_each
 from atticsweep.operators.lookup import KeySet, join_keys, settled
 from atticsweep.registry import scanner, to_results
 from atticsweep.schema import ScanOptions
@@ -26,6 +28,7 @@ from atticsweep.sources.storage import PREFIX_BYTES, read_digests
 CLASS_BITS = 10
 PREFIX_DIGITS = 4
 HOT_COPIES = 1_000_000
+NO_TIME = -(1 << 63)
 
 
 def _in_company(rows: DataFrame, keys: list[str], limit_bytes: int) -> DataFrame:
@@ -41,14 +44,20 @@ def size_candidates(files: DataFrame, limit_bytes: int = ScanOptions.broadcast_b
     return _in_company(files, ["root_id", "size_bytes"], limit_bytes)
 
 
-def hash_groups(members: DataFrame, digest: Column) -> DataFrame:
-    """Groups of two or more files with one size and digest: count, bytes, and the file to keep."""
-    return (
-        members.groupBy("root_id", "size_bytes", digest.alias("hash"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("modified", "full_path")).alias("oldest"))
-        .filter(F.col("n") >= 2)
-        .select("root_id", "size_bytes", "hash", "n", F.col("oldest.full_path").alias("keep_path"))
-    )
+def hash_groups(members: DataFrame, digest: Column, limit_bytes: int = ScanOptions.broadcast_bytes) -> DataFrame:
+    """Groups of two or more files with one size and digest: count, bytes, and the file to keep.
+
+    The oldest stays, a file without a time before all others; of several the first by path.
+    Times are numbers here; paths are looked at only where the oldest of a group tie.
+    """
+    keys = ["root_id", "size_bytes", "hash"]
+    age = F.coalesce(F.unix_micros("modified"), F.lit(NO_TIME))
+    rows = members.select("root_id", "size_bytes", digest.alias("hash"), "full_path", age.alias("age"))
+    counted = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 2))
+    several = settled(counted.select(*[F.col(k).alias(f"key_{k}") for k in keys], "n"), limit_bytes)
+    inside = written(join_keys(rows, [F.col(k) for k in keys], several, "inner"))
+    oldest = one_of_each(inside, keys, "age", [F.col("full_path")], limit_bytes)
+    return oldest.select(*keys, "n", F.col("full_path").alias("keep_path"))
 
 
 def _running_total(df: DataFrame, within: list[str], order: list[Column]) -> Column:
@@ -90,11 +99,11 @@ def number_groups(groups: DataFrame) -> DataFrame:
         "begin",
         _running_total(per_begin, ["root_id", "class", "size_bytes"], [F.col("begin")]).alias("begin_first"),
     )
-    first = begin_first.join(size_first, ["root_id", "class", "size_bytes"]).join(class_first, ["root_id", "class"])
+    first = begin_first.join(size_first.hint("merge"), ["root_id", "class", "size_bytes"]).join(class_first.hint("merge"), ["root_id", "class"])
     in_bucket = F.row_number().over(Window.partitionBy("root_id", "class", "size_bytes", "begin").orderBy("hash"))
     return (
         coded.withColumn("in_bucket", in_bucket)
-        .join(first, ["root_id", "class", "size_bytes", "begin"])
+        .join(first.hint("merge"), ["root_id", "class", "size_bytes", "begin"])
         .withColumn("group_no", F.col("class_first") + F.col("size_first") + F.col("begin_first") + F.col("in_bucket"))
         .select(*groups.columns, "group_no")
     )
@@ -123,15 +132,27 @@ def keep_oldest(members: DataFrame, groups: DataFrame, limit_bytes: int = 0, hot
     return joined(members, large.hinted()).unionByName(joined(rest, rare.hint("merge")))
 
 
-def _digests(contents: DataFrame) -> DataFrame:
+def _keyed_contents(contents: DataFrame, opts: ScanOptions) -> DataFrame:
     root = F.col("root_id") if "root_id" in contents.columns else F.lit("")
     return contents.filter(F.col("content").isNotNull()).select(
-        root.alias("digest_root"),
-        paths.key_of(F.col("full_path")).alias("digest_key"),
-        F.sha2(F.col("content").cast("binary"), 256).alias("hash"),
+        root.alias("digest_root"), opts.key(F.col("full_path"), root).alias("digest_key"), F.col("content").cast("binary").alias("content")
     )
 
 
+def content_digests(contents: DataFrame, files: DataFrame, prefix_bytes: int | None, opts: ScanOptions) -> DataFrame:
+    """``files`` that have contents, with ``hash``: of the first ``prefix_bytes``, or of all bytes."""
+    keyed = _keyed_contents(contents, opts)
+    taken = F.col("content") if prefix_bytes is None else F.substring("content", 1, prefix_bytes)
+    known = files.select(F.col("root_id").alias("key_root"), opts.key(F.col("full_path")).alias("key_path"), *[F.col(c).alias(f"file_{c}") for c in files.columns])
+    known = settled(known, opts.broadcast_bytes)
+    digest = F.sha2(taken, 256).alias("hash")
+    if not known.small:
+        keyed = keyed.select("digest_root", "digest_key", digest)
+        digest = F.col("hash")
+    met = join_keys(keyed, [F.col("digest_root"), F.col("digest_key")], known, "inner")
+    return met.select(*[F.col(f"file_{c}").alias(c) for c in files.columns], digest)
+
+
 def candidate_files(inv: DataFrame, opts: ScanOptions, blocked: KeySet | None = None) -> DataFrame:
     """Visible, non-empty files within the size bounds."""
     sized = prune.files(inv).filter(match.size_between(F.col("size_bytes"), opts.min_size, opts.max_size))
@@ -146,7 +167,8 @@ def staged_members(
     ``digest_of(files, prefix_bytes)`` adds ``hash``, NULL for unreadable files.
     """
     sized = size_candidates(files, limit_bytes)
-    begun = digest_of(sized, PREFIX_BYTES).filter(F.col("hash").isNotNull()).withColumnRenamed("hash", "begin_hash")
+    # Each stage is read twice, once to find what has company; what it has read is not read again.
+    begun = written(digest_of(sized, PREFIX_BYTES).filter(F.col("hash").isNotNull()).withColumnRenamed("hash", "begin_hash"))
     left_over = _in_company(begun, ["root_id", "size_bytes", "begin_hash"], limit_bytes).drop("begin_hash")
     return digest_of(left_over, None).filter(F.col("hash").isNotNull())
 
@@ -177,17 +199,13 @@ def duplicate_files(
     ``contents`` is (root_id, full_path, content), or None to read the files at
     their paths. Files without content are left out.
     """
-    files = candidate_files(inv, opts, blocked)
-    if contents is None:
-        members = staged_members(files, limit_bytes=opts.broadcast_bytes)
-    else:
-        same = (F.col("root_id") == F.col("digest_root")) & (
-            paths.key_of(F.col("full_path")) == F.col("digest_key")
-        )
-        members = files.join(_digests(contents), same)
-        # Grouping, numbering and the final join all start here; contents are read once.
-        members = written(members.select("root_id", "full_path", "size_bytes", "modified", "hash"))
-    groups = written(number_groups(hash_groups(members, F.col("hash"))))
+    # Candidates are counted by size and then narrowed down; the walk rules are worked out once.
+    files = written(candidate_files(inv, opts, blocked))
+    digest_of = read_digests if contents is None else lambda some, prefix: content_digests(contents, some, prefix, opts)
+    members = staged_members(files, digest_of, opts.broadcast_bytes)
+    # Grouping, numbering and the final join all start here.
+    members = written(members.select("root_id", "full_path", "size_bytes", "modified", "hash"))
+    groups = written(number_groups(hash_groups(members, F.col("hash"), opts.broadcast_bytes)))
     return to_results(
         keep_oldest(members, groups, opts.broadcast_bytes),
         "duplicate_files",

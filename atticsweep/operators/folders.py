@@ -1,4 +1,4 @@
-"""Per-folder statistics, recursive sizes and empty folders.
+"""Per-folder statistics and empty folders.
 
 Files are summed up per folder before anything else, so a folder with very many
 files leaves each task as one row. The aggregates hold fixed-width values only
@@ -12,18 +12,18 @@ from pyspark.sql import functions as F
 
 from atticsweep.functions import match, paths
 from atticsweep.operators import prune
-from atticsweep.operators.lookup import KeySet, join_keys, settled
+from atticsweep.operators.lookup import KeySet, join_keys
 from atticsweep.registry import scanner, to_results
 from atticsweep.schema import ScanOptions
 
 KEYS = ["root_id", "path_key"]
 
 
-def _keyed_folders(inv: DataFrame, *columns: str) -> DataFrame:
+def _keyed_folders(inv: DataFrame, opts: ScanOptions, *columns: str) -> DataFrame:
     return (
         prune.folders(inv)
         .filter(F.col("depth") >= 0)
-        .select("root_id", paths.key_of(F.col("full_path")).alias("path_key"), *columns)
+        .select("root_id", opts.key(F.col("full_path")).alias("path_key"), *columns)
     )
 
 
@@ -33,7 +33,7 @@ def _folder_facts(inv: DataFrame, opts: ScanOptions, blocked: KeySet | None) ->
     zero = F.lit(0).cast("bigint")
     children = prune.reachable_by_path(inv, opts).select(
         "root_id",
-        paths.key_of(F.col("parent_path")).alias("path_key"),
+        opts.key(F.col("parent_path")).alias("path_key"),
         (F.col("depth") - F.lit(1)).alias("depth"),
         (~is_folder).cast("bigint").alias("file_count"),
         F.when(~is_folder, F.col("size_bytes")).otherwise(zero).alias("total_size"),
@@ -48,7 +48,7 @@ def _folder_facts(inv: DataFrame, opts: ScanOptions, blocked: KeySet | None) ->
     hidden_by_name = prune.below_excluded_name(F.col("parent_path"), F.col("depth"), opts)
     rows = rows.filter((F.col("depth") == 0) | ~(prune.is_blocked(opts) | hidden_by_name)).select(
         "root_id",
-        paths.key_of(F.col("full_path")).alias("path_key"),
+        opts.key(F.col("full_path")).alias("path_key"),
         "depth",
         zero.alias("file_count"),
         zero.alias("total_size"),
@@ -79,8 +79,8 @@ def folder_stats(inv: DataFrame, opts: ScanOptions, blocked: KeySet | None = Non
     """Direct files, their size, whether any counts as content, direct subfolders; the root included."""
     facts = _folder_facts(inv, opts, blocked).filter("has_row").drop("has_row", "has_blocked")
     return (
-        _keyed_folders(inv, "full_path", "name")
-        .join(facts, KEYS)
+        _keyed_folders(inv, opts, "full_path", "name")
+        .join(facts.hint("merge"), KEYS)
         .select(
             "root_id",
             "full_path",
@@ -94,59 +94,6 @@ def folder_stats(inv: DataFrame, opts: ScanOptions, blocked: KeySet | None = Non
     )
 
 
-def folder_rollup(
-    inv: DataFrame, sep: str, only: KeySet | None = None, limit_bytes: int = ScanOptions.broadcast_bytes
-) -> DataFrame:
-    """Size of everything below each folder, not passing through links: (root_id, folder, size_bytes).
-
-    No walk rule applies. ``only`` (key_root, key_path) limits the result to some folders.
-    """
-    per_folder = (
-        prune.files(inv)
-        .filter(F.col("depth") >= 1)
-        .groupBy(
-            "root_id",
-            paths.key_of(F.col("parent_path")).alias("path_key"),
-            (F.col("depth") - F.lit(1)).alias("depth"),
-        )
-        .agg(F.sum("size_bytes").alias("size_bytes"))
-    )
-    links = (
-        prune.folders(inv)
-        .filter(F.col("is_reparse_point"))
-        .select(F.col("root_id").alias("key_root"), paths.key_of(F.col("full_path")).alias("key_path"))
-    )
-    # The lowest link on the way up: sizes below it count for it, and for nothing above.
-    key, depth = F.col("path_key"), F.col("depth")
-    above = paths.ancestor(key, depth, F.col("level"), sep)
-    chains = per_folder.select(*KEYS, "depth", F.explode(paths.levels(depth)).alias("level"))
-    stops = (
-        join_keys(
-            chains.withColumn("above", above),
-            [F.col("root_id"), F.col("above")],
-            settled(links, limit_bytes),
-            "left_semi",
-        )
-        .groupBy(*KEYS)
-        .agg(F.max("level").alias("stop"))
-    )
-    spread = (
-        per_folder.join(stops, KEYS, "left")
-        .select(*KEYS, "depth", "size_bytes", F.explode(paths.levels(depth, F.coalesce("stop", F.lit(0)))).alias("level"))
-        .select("root_id", above.alias("path_key"), "size_bytes")
-    )
-    own = _keyed_folders(inv, F.col("full_path").alias("folder"))
-    keys = [F.col(k) for k in KEYS]
-    if only is not None and only.small:
-        spread = join_keys(spread, keys, only, "left_semi")
-    totals = spread.groupBy(*KEYS).agg(F.sum("size_bytes").alias("size_bytes"))
-    if only is not None:
-        own = join_keys(own, keys, only, "left_semi")
-    return own.join(totals, KEYS, "left").select(
-        "root_id", "folder", F.coalesce("size_bytes", F.lit(0).cast("bigint")).alias("size_bytes")
-    )
-
-
 @scanner(
     "empty_folders",
     "Folders without content, nested ones included",
@@ -188,7 +135,7 @@ def empty_folders(inv: DataFrame, opts: ScanOptions, blocked: KeySet | None = No
         F.col("file_count") > 0, F.concat(F.col("file_count").cast("string"), F.lit(" ignored file(s)"))
     ).otherwise(F.lit("Empty"))
     return to_results(
-        _keyed_folders(inv, "full_path", "name", "modified").join(empty, KEYS),
+        _keyed_folders(inv, opts, "full_path", "name", "modified").join(empty.hint("merge"), KEYS),
         "empty_folders",
         detail=detail,
         size_bytes=F.lit(0),

@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from atticsweep.functions import paths
 from atticsweep.operators.lookup import settled
+from atticsweep.schema import ScanOptions
 from atticsweep.session import written
 
 # No path and no root has this character; it is below all others, so it sorts a folder's contents right behind it.
@@ -34,9 +34,9 @@ ROOT, ENTRY, MARK = 0, 1, 2
 ROWS_A_TASK = 1_000_000
 
 
-def tree_key(root_id: Column, path: Column, sep: str) -> Column:
+def tree_key(root_id: Column, path: Column, opts: ScanOptions) -> Column:
     """A key that orders entries as a walk does; the keys of all that is below a folder begin with its own."""
-    return F.concat(root_id, F.lit(CUT), F.replace(paths.key_of(path), F.lit(sep), F.lit(CUT)), F.lit(CUT))
+    return F.concat(root_id, F.lit(CUT), F.replace(opts.key(path, root_id), F.lit(opts.sep), F.lit(CUT)), F.lit(CUT))
 
 
 def _sweep(names: list[str]):
@@ -92,15 +92,15 @@ def topmost(keys: DataFrame) -> DataFrame:
     return swept(keys.select("tree_key", F.lit(ROOT).alias("kind"))).filter("NOT inside").select("tree_key")
 
 
-def mark_subtrees(rows: DataFrame, folders: DataFrame, sep: str, limit_bytes: int) -> DataFrame:
+def mark_subtrees(rows: DataFrame, folders: DataFrame, opts: ScanOptions) -> DataFrame:
     """``rows`` (root_id, full_path, others) with ``marked``: in the subtree of one of ``folders`` (root_id, full_path).
 
     The folders are first reduced to their topmost. While these are few (measured), they
     are broadcast, and a row's ancestors at the levels that occur among them are looked
     up: the rows do not move. Otherwise the rows are swept; they move once, by ranges.
     """
-    key = tree_key(F.col("root_id"), F.col("full_path"), sep)
-    roots = settled(topmost(folders.select(key.alias("tree_key"))), limit_bytes)
+    key = tree_key(F.col("root_id"), F.col("full_path"), opts)
+    roots = settled(topmost(folders.select(key.alias("tree_key"))), opts.broadcast_bytes)
     if roots.small:
         segments = (F.length("tree_key") - F.length(F.replace("tree_key", F.lit(CUT), F.lit("")))).alias("segments")
         by_level = roots.df.select(F.xxhash64("tree_key").alias("root_hash"), F.col("tree_key").alias("root_key"), segments)

@@ -18,9 +18,9 @@ def _without_target(pointers: DataFrame, inv: DataFrame, opts: ScanOptions) -> D
         F.col("target").endswith(opts.sep),
         F.substring(F.col("target"), F.lit(1), F.length("target") - F.lit(len(opts.sep))),
     ).otherwise(F.col("target"))
-    pointers = pointers.withColumn("target_key", paths.key_of(clean))
+    pointers = pointers.withColumn("target_key", opts.key(clean))
     wanted = pointers.select("root_id", F.col("target_key").alias("path_key"))
-    present = inv.select("root_id", paths.key_of(F.col("full_path")).alias("path_key"))
+    present = inv.select("root_id", opts.key(F.col("full_path")).alias("path_key"))
     found = existing_keys(wanted, present, opts.broadcast_bytes)
     target = [F.col("root_id"), F.col("target_key")]
     return join_keys(pointers, target, found, "left_anti")

@@ -64,7 +64,7 @@ def subtree_keys(inv: DataFrame, marked: DataFrame, opts: ScanOptions) -> DataFr
     """
     rows = folders(inv).select(
         "root_id",
-        paths.key_of(F.col("full_path")).alias("path_key"),
+        opts.key(F.col("full_path")).alias("path_key"),
         "depth",
         F.explode(paths.levels(F.col("depth"))).alias("level"),
     )
@@ -82,7 +82,7 @@ def blocked_subtrees(inv: DataFrame, opts: ScanOptions) -> KeySet:
     """Folders that are not entered because of a flag on them or on a folder above."""
     candidates = reachable_by_path(folders(inv), opts)
     marked = candidates.filter(has_blocking_flag(opts)).select(
-        F.col("root_id").alias("key_root"), paths.key_of(F.col("full_path")).alias("key_path")
+        F.col("root_id").alias("key_root"), opts.key(F.col("full_path")).alias("key_path")
     )
     return settled(subtree_keys(candidates, marked, opts), opts.broadcast_bytes)
 
@@ -95,7 +95,7 @@ def listed(entries: DataFrame, inv: DataFrame, opts: ScanOptions, blocked: KeySe
     """
     if blocked is None:
         blocked = blocked_subtrees(inv, opts)
-    folder = [F.col("root_id"), paths.key_of(F.col("parent_path"))]
+    folder = [F.col("root_id"), opts.key(F.col("parent_path"))]
     return join_keys(reachable_by_path(entries, opts), folder, blocked, "left_anti")
 
 

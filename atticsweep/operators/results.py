@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from atticsweep.functions import paths
 from atticsweep.functions.text import format_modified, format_size
+from atticsweep.operators.lookup import join_keys, settled
 from atticsweep.registry import SCANNERS
+from atticsweep.schema import ScanOptions
 
 ROW_KEYS = ["scanner", "root_id", "full_path"]
 
@@ -81,9 +83,10 @@ def display(results: DataFrame, scanner: str) -> DataFrame:
     )
 
 
-def remove_results(results: DataFrame, rows: DataFrame) -> DataFrame:
+def remove_results(results: DataFrame, rows: DataFrame, limit_bytes: int = ScanOptions.broadcast_bytes) -> DataFrame:
     """Results without the given rows (scanner, root_id, full_path)."""
-    return results.join(rows.select(*ROW_KEYS), ROW_KEYS, "left_anti").select(*results.columns)
+    gone = settled(rows.select(*[F.col(k).alias(f"key_{k}") for k in ROW_KEYS]).distinct(), limit_bytes)
+    return join_keys(results, [F.col(k) for k in ROW_KEYS], gone, "left_anti")
 
 
 def _with_selection(results: DataFrame, selected: Column) -> DataFrame:

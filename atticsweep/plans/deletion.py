@@ -11,16 +11,17 @@ from atticsweep.schema import DELETE_MODES, SIMULATE, ScanOptions
 from atticsweep.session import written
 
 
-def deletion_plan(results: DataFrame, mode: str = SIMULATE) -> DataFrame:
+def deletion_plan(results: DataFrame, mode: str = SIMULATE, opts: ScanOptions = ScanOptions()) -> DataFrame:
     """The selected paths once each, longest first, so that contents come before their folder.
 
-    A path found by several scans names them all.
+    A path found by several scans names them all. In a case-sensitive root (``opts``) paths that
+    differ by case are two.
     """
     if mode not in DELETE_MODES:
         raise ValueError(f"mode is one of {', '.join(DELETE_MODES)}")
     return (
         results.filter("is_selected")
-        .groupBy("root_id", paths.key_of(F.col("full_path")).alias("path_key"))
+        .groupBy("root_id", opts.key(F.col("full_path")).alias("path_key"))
         .agg(
             F.min("full_path").alias("full_path"),
             F.max("is_directory").alias("is_directory"),
@@ -47,7 +48,7 @@ def _planned(plan: DataFrame) -> DataFrame:
 
 def apply_plan(inv: DataFrame, plan: DataFrame, opts: ScanOptions) -> DataFrame:
     """The inventory as it would be after the plan; deleting a folder takes all below it along."""
-    marked = intervals.mark_subtrees(inv, _planned(plan), opts.sep, opts.broadcast_bytes)
+    marked = intervals.mark_subtrees(inv, _planned(plan), opts)
     return marked.filter(~F.col("marked")).drop("marked")
 
 
@@ -55,7 +56,7 @@ def freed_bytes(inv: DataFrame, plan: DataFrame, opts: ScanOptions) -> DataFrame
     """Files, folders and bytes the plan removes per root, each entry counted once."""
     rows = inv.select("root_id", "full_path", "is_directory", "size_bytes")
     return (
-        intervals.mark_subtrees(rows, _planned(plan), opts.sep, opts.broadcast_bytes)
+        intervals.mark_subtrees(rows, _planned(plan), opts)
         .filter("marked")
         .groupBy("root_id")
         .agg(

@@ -9,9 +9,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
+from atticsweep.functions import paths
+
 INVENTORY_SCHEMA = T.StructType(
     [
         T.StructField("root_id", T.StringType()),
@@ -75,7 +77,8 @@ class ScanOptions:
     ``max_depth`` -1 means no limit; the root has depth 0. ``min_size`` and
     ``max_size`` of 0 are off. ``broadcast_bytes`` is the largest measured table
     that a scan ships to every executor; larger ones (or 0) go through a shuffle
-    join instead.
+    join instead. ``case_sensitive_roots`` are the roots whose paths differ by case,
+    ``("*",)`` all of them; names in option lists are compared in any case everywhere.
     """
 
     sep: str = "\\"
@@ -89,6 +92,11 @@ class ScanOptions:
     max_size: int = 0
     strict_empty: bool = False
     broadcast_bytes: int = 64 << 20
+    case_sensitive_roots: tuple[str, ...] = ()
+
+    def key(self, path: Column, root_id: Column | None = None) -> Column:
+        """What paths of a root (the column ``root_id`` without another) are compared by."""
+        return paths.key_of(path, self.case_sensitive_roots, root_id)
 
 
 @dataclass(frozen=True)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from atticsweep.operators.firsts import one_of_each
 from atticsweep.operators.lookup import HOT_ROWS, join_hot, join_keys, settled
 from atticsweep.schema import ScanOptions
 from atticsweep.session import written
@@ -37,18 +38,8 @@ def latest_records(nodes: DataFrame, *facts: str, limit_bytes: int = ScanOptions
             *facts,
         )
     )
-    seen = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.max("arrival").alias("last"))
-    twice = seen.filter(F.col("n") > 1).select(F.col("root_id").alias("key_root"), F.col("frn").alias("key_frn"), "last")
-    again = settled(twice, limit_bytes)
-    if again.df.isEmpty():
-        return rows.select(*KEYS, *kept)
-    own = [F.col(k) for k in KEYS]
-    once = join_keys(rows, own, again.select("key_root", "key_frn"), "left_anti")
-    last = join_keys(rows, [*own, F.col("arrival")], again.select("key_root", "key_frn", F.col("last").alias("key_last")), "left_semi")
-    # The first of each is picked before rows are exchanged, too; a number that is reused often stays in its task.
-    order = Window.partitionBy(*KEYS).orderBy(F.col("parent_frn").desc(), F.col("name").desc())
-    first = last.withColumn("place", F.row_number().over(order)).filter(F.col("place") == 1)
-    return once.select(*KEYS, *kept).unionByName(first.select(*KEYS, *kept))
+    ties = [F.col("parent_frn").desc(), F.col("name").desc()]
+    return one_of_each(rows, KEYS, "arrival", ties, limit_bytes, last=True).select(*KEYS, *kept)
 
 
 def _ends() -> Column:

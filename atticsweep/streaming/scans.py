@@ -7,7 +7,6 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atticsweep.functions import paths
 from atticsweep.operators import prune, rowlocal
 from atticsweep.operators.lookup import KeySet, join_keys
 from atticsweep.schema import ScanOptions
@@ -40,5 +39,5 @@ def stream_scan(
     rows = prune.reachable_by_path(stream_inv.filter(finding.where), opts)
     rows = rows.filter(F.col("depth") >= 1)
     if blocked is not None:
-        rows = join_keys(rows, [F.col("root_id"), paths.key_of(F.col("parent_path"))], blocked, "left_anti")
+        rows = join_keys(rows, [F.col("root_id"), opts.key(F.col("parent_path"))], blocked, "left_anti")
     return rowlocal.judged(rows, finding)

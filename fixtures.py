@@ -77,6 +77,22 @@ probe AS (
   FROM f WHERE k % 97 < 5)
 """
 
+# Every temporary file once more under its upper-case name, and a log with several probes of a file.
+CASES = FILES.rstrip() + """,
+cased AS (
+  SELECT * FROM inv
+  UNION ALL SELECT concat(parent_path, '/', upper(name)), upper(name), parent_path, is_directory, is_hidden, is_system,
+    is_reparse_point, size_bytes, modified, link_target FROM inv WHERE NOT is_directory AND lower(name) LIKE '%.tmp'
+  UNION ALL SELECT concat(parent_path, '/', lower(name)), lower(name), parent_path, is_directory, is_hidden, is_system,
+    is_reparse_point, size_bytes, modified, link_target FROM inv WHERE NOT is_directory AND upper(name) = name AND size_bytes > 20000000),
+probe_log AS (
+  SELECT full_path, outcome, hresult, exception_name, CAST(1 AS BIGINT) AS probed_at FROM probe
+  UNION ALL SELECT full_path, 'opened', CAST(NULL AS INT), CAST(NULL AS VARCHAR(50)), CAST(2 AS BIGINT) FROM probe WHERE length(full_path) % 3 = 0
+  UNION ALL SELECT full_path, 'unauthorized', CAST(NULL AS INT), CAST(NULL AS VARCHAR(50)), CAST(length(full_path) % 3 + 1 AS BIGINT)
+    FROM probe WHERE length(full_path) % 5 < 2
+  UNION ALL SELECT full_path, 'io', CAST(-2147024864 AS INT), CAST(NULL AS VARCHAR(50)), CAST(NULL AS BIGINT) FROM probe)
+"""
+
 DOCS = """
 WITH docs AS (
   SELECT concat('/lake/', source, '/', lang, '/doc_', doc_id, '.txt') AS full_path,

@@ -196,6 +196,7 @@ def statements() -> dict[str, str]:
            count(*) FILTER (WHERE is_directory) AS folders, CAST(sum(size_bytes) AS BIGINT) AS freed_bytes FROM gone""",
         f", {planned}, {gone}",
     )
+    walk_cased = WALK.replace("FROM inv)", "FROM cased)", 1)
     two_scans = f"results AS ({TEMP} UNION ALL {OLD})"
     exported = f"""SELECT 'True' AS "Selected", name AS "Name", full_path AS "Path", size_bytes AS "Size",
       {TIME_TEXT} AS "Modified", detail AS "Detail", "group" AS "Group" FROM ({TEMP})"""
@@ -265,6 +266,9 @@ def statements() -> dict[str, str]:
         "duplicate_files": f"{fixtures.DOCS}{DOC_CTES} {DUPLICATES}",
         "duplicate_candidates": f"""{fixtures.DOCS}{DOC_CTES} SELECT full_path, size_bytes FROM sized
             WHERE size_bytes > 0 AND size_bytes IN (SELECT size_bytes FROM sized GROUP BY size_bytes HAVING count(*) >= 2)""",
+        "big_files_of_any_case": f"""{fixtures.CASES}{walk_cased}
+            {BIG.replace("(SELECT * FROM vis WHERE NOT is_directory ORDER BY", """(SELECT * FROM vis WHERE NOT is_directory
+              QUALIFY row_number() OVER (PARTITION BY size_bytes, upper(full_path) ORDER BY full_path DESC) = 1 ORDER BY""")}""",
         "temp_files": _files(TEMP),
         "zero_length_files": _files(ZERO),
         "old_files": _files(OLD),
@@ -273,6 +277,14 @@ def statements() -> dict[str, str]:
         "broken_shortcuts_env": _files(SHORTCUTS),
         "long_paths": f"{fixtures.LONG_PATHS} {LONG}",
         "unreadable_files": _files(UNREADABLE),
+        "unreadable_files_of_log": f"""{fixtures.CASES}{WALK}, last_probe AS (
+              SELECT full_path, CASE outcome WHEN 'unauthorized' THEN 'Access denied' WHEN 'io' THEN
+                CASE hresult WHEN -2147024864 THEN 'Locked by another process' WHEN -2147024863 THEN 'Lock violation'
+                ELSE printf('I/O error (0x%08X)', CAST(hresult AS BIGINT) + 4294967296) END ELSE exception_name END AS why
+              FROM probe_log QUALIFY row_number() OVER (PARTITION BY full_path
+                ORDER BY coalesce(probed_at, -1) DESC, why IS NULL, why) = 1)
+            {_result("unreadable_files", "(SELECT v.*, why FROM vis v JOIN last_probe USING (full_path) WHERE NOT is_directory AND why IS NOT NULL)",
+                     "why", selected="FALSE")}""",
         "unpacked_archives": _files(ARCHIVES, ARCHIVE_CTES),
         "installed_names": f"{fixtures.APPS}{APP_CTES} SELECT token FROM tokens",
         "orphaned_app_data": f"{fixtures.APPS}{APP_CTES} {ORPHANS}",
@@ -329,6 +341,10 @@ def statements() -> dict[str, str]:
                CAST(length(full_path) AS BIGINT) AS path_length FROM results WHERE is_selected GROUP BY root_id, full_path""",
             f", {planned}",
         ),
+        "deletion_plan_by_case": f"""{fixtures.CASES}{walk_cased} SELECT 'Permanent' AS mode, '' AS root_id, full_path, is_directory,
+            size_bytes, 'temp_files' AS scanners, CAST(length(full_path) AS BIGINT) AS path_length FROM ({TEMP})""",
+        "inventory_after_plan_by_case": f"""{fixtures.CASES}{walk_cased} SELECT full_path, is_directory, size_bytes FROM cased
+            WHERE full_path NOT IN (SELECT full_path FROM ({TEMP}) WHERE name = upper(name))""",
         "inventory_after_plan": after_plan,
         "inventory_after_large_plan": after_plan,
         "freed_bytes": freed,

@@ -140,3 +140,55 @@ def test_stages_read_no_more_than_needed(spark, folder):
     assert sized == {p for p, c, _ in files if c and sizes.count(len(c)) >= 2}
     begins = [(len(c), c[:4096]) for _, c, _ in files]
     assert begun == {p for p, c, _ in files if c and begins.count((len(c), c[:4096])) >= 2}
+
+
+def test_only_files_in_company_are_digested(spark, monkeypatch):
+    """Unique sizes are never digested, and unique beginnings never in full."""
+    from atticsweep.operators import duplicates
+
+    start = datetime(2020, 1, 1)
+    files = [(f"C:\\data\\alone{i}", b"s" * (10 + i), start) for i in range(50)]  # sizes of their own
+    files += [(f"C:\\data\\begin{i}", bytes([65 + i]) * 6000, start) for i in range(20)]  # one size, other beginnings
+    files += [(f"C:\\data\\end{i}", b"x" * 5000 + bytes([i // 2]), start) for i in range(10)]  # pairs
+    inv, contents = tables(spark, files)
+    asked = []
+
+    def watched(contents, some, prefix, opts, real=duplicates.content_digests):
+        asked.append((prefix, sorted(r["full_path"] for r in some.collect())))
+        return real(contents, some, prefix, opts)
+
+    monkeypatch.setattr(duplicates, "content_digests", watched)
+    for limit in (64 << 20, 0):
+        asked.clear()
+        assert found(att.duplicate_files(inv, contents, att.ScanOptions(broadcast_bytes=limit))) == expected(files)
+        (first, begun), (second, whole) = asked
+        assert (first, second) == (4096, None)
+        assert len(begun) == 30 and not any("alone" in p for p in begun)
+        assert len(whole) == 10 and all("end" in p for p in whole)
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_contents_do_not_move_and_groups_are_hashed(spark, tmp_path, limit):
+    from atticsweep.operators import duplicates
+
+    inv, contents = tables(spark, sample(40))
+    contents.write.parquet(str(tmp_path / "contents"))
+    opts = att.ScanOptions(broadcast_bytes=limit)
+    files = duplicates.candidate_files(inv, opts)
+    digests = duplicates.content_digests(spark.read.parquet(str(tmp_path / "contents")), files, 4096, opts)
+    plan = digests._jdf.queryExecution().optimizedPlan().toString()
+    join, digest = plan.index("Join"), plan.index("sha2")
+    # Few files: digests above a broadcast join, contents where they are. Many: digests below the join.
+    assert (digest < join) if limit else (digest > join)
+    members = digests.select("root_id", "full_path", "size_bytes", "modified", "hash")
+    groups = duplicates.number_groups(duplicates.hash_groups(members, F.col("hash"), limit))
+    plan = groups._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and ("BroadcastHashJoin" in plan) <= bool(limit)
+
+
+def test_oldest_of_a_group(spark):
+    start = datetime(2020, 1, 1)
+    files = [("C:\\data\\b", b"x", start), ("C:\\data\\a", b"x", start), ("C:\\data\\c", b"x", start + timedelta(days=1)), ("C:\\data\\d", b"yy", start)]
+    inv, contents = tables(spark, files)
+    members = att.candidate_files(inv, att.ScanOptions()).withColumn("hash", F.when(F.col("size_bytes") == 1, "h").otherwise("g"))
+    assert [(r.n, r.keep_path) for r in att.hash_groups(members, F.col("hash")).collect()] == [(3, "C:\\data\\a")]

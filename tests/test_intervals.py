@@ -33,7 +33,7 @@ def test_subtrees_of_folders_are_marked(spark, seed, limit):
     chosen += chosen[:5] + [c.lower() for c in chosen[5:8]]  # repeated, and in another case
     rows = spark.createDataFrame([(r, p, i) for i, p in enumerate(all_paths) for r in ("", "x")], "root_id string, full_path string, n int")
     roots = spark.createDataFrame([("x", p) for p in chosen], "root_id string, full_path string")
-    got = {(r.root_id, r.full_path): r.marked for r in intervals.mark_subtrees(rows, roots, "\\", limit).collect()}
+    got = {(r.root_id, r.full_path): r.marked for r in intervals.mark_subtrees(rows, roots, att.ScanOptions(broadcast_bytes=limit)).collect()}
     assert got == {(r, p): r == "x" and below(p, chosen) for p in all_paths for r in ("", "x")}
 
 
@@ -43,18 +43,18 @@ def test_a_subtree_reaches_over_many_ranges(spark, monkeypatch):
     files = [f"C:\\data\\big\\{i:05d}" for i in range(3000)] + ["C:\\data\\bigger", "C:\\data\\a"]
     roots = ["C:\\data\\big", *files[10:3000:97], "C:\\data\\big\\00010\\x"]
     rows = spark.createDataFrame([("", f) for f in files], "root_id string, full_path string")
-    marked = intervals.mark_subtrees(rows, spark.createDataFrame([("", r) for r in roots], rows.schema), "\\", 0)
+    marked = intervals.mark_subtrees(rows, spark.createDataFrame([("", r) for r in roots], rows.schema), att.ScanOptions(broadcast_bytes=0))
     assert marked.filter("marked").count() == 3000
     keys = rows.limit(0).unionByName(spark.createDataFrame([("", r) for r in roots], rows.schema))
-    top = intervals.topmost(keys.select(intervals.tree_key(F.col("root_id"), F.col("full_path"), "\\").alias("tree_key")))
+    top = intervals.topmost(keys.select(intervals.tree_key(F.col("root_id"), F.col("full_path"), att.ScanOptions()).alias("tree_key")))
     assert [r.tree_key for r in top.collect()] == ["\0C:\0DATA\0BIG\0"]
 
 
 def test_no_roots_or_no_rows(spark):
     rows = spark.createDataFrame([("", "C:\\data\\a")], "root_id string, full_path string")
     for limit in (64 << 20, 0):
-        assert [r.marked for r in intervals.mark_subtrees(rows, rows.limit(0), "\\", limit).collect()] == [False]
-        assert intervals.mark_subtrees(rows.limit(0), rows, "\\", limit).count() == 0
+        assert [r.marked for r in intervals.mark_subtrees(rows, rows.limit(0), att.ScanOptions(broadcast_bytes=limit)).collect()] == [False]
+        assert intervals.mark_subtrees(rows.limit(0), rows, att.ScanOptions(broadcast_bytes=limit)).count() == 0
 
 
 def test_the_inventory_is_read_once_and_never_joined_on_paths(spark, tmp_path):

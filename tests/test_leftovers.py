@@ -3,7 +3,10 @@ import random
 import pytest
 from helpers import entry, inventory
 
+from pyspark.sql import functions as F
+
 import atticsweep as att
+from atticsweep.operators import leftovers
 from atticsweep.operators.leftovers import without_related_name
 
 PROGRAMS = (
@@ -75,3 +78,33 @@ def test_orphaned_folders(spark, limit):
     opts = att.ScanOptions(broadcast_bytes=limit)
     got = att.orphaned_app_data(inventory(spark, rows), locations, names, opts).collect()
     assert [(r["name"], r["size_bytes"], r["group"], r["is_selected"]) for r in got] == [("Gone", 1024, "ProgramData", False)]
+
+
+def test_names_that_all_begin_alike(spark):
+    """Hundreds of names and folders share a long beginning; they meet on what tells them apart, not on it."""
+    folders = [("", f"Common Software Files {i:03d}x") for i in range(300)]
+    names = [("", f"COMMON SOFTWARE FILES {i:03d}X TOOLS") for i in range(0, 300, 7)] + [("", f"FILES {i:03d}") for i in range(0, 300, 11)]
+    spark_folders = spark.createDataFrame(folders, "root_id string, name string")
+    spark_names = spark.createDataFrame(names, "root_id string, token string")
+    expected = [(r, f) for r, f in folders if not related(f, [n for _, n in names])]
+    for limit in (64 << 20, 0):
+        got = without_related_name(spark_folders, spark_names, limit).collect()
+        assert sorted(map(tuple, got)) == sorted(expected) and 0 < len(expected) < 300
+    inner = spark_folders.select("root_id", F.upper("name").alias("inner"))
+    outer = spark_names.select("root_id", F.col("token").alias("outer"))
+    asked, met = leftovers.meeting(inner, outer, 64 << 20)
+    # A folder may meet a few names that hold its rarest piece, never all that begin like it.
+    assert met.count() <= 3 * len(folders) and asked.count() <= len(folders)
+
+
+def test_names_of_many_lengths_against_comparing_all(spark):
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcd") for _ in range(600))
+    cut = lambda: text[(at := rng.randrange(550)) : at + rng.choice([3, 4, 5, 8, 9, 31, 32, 33, 300])]
+    folders = sorted({("", cut()) for _ in range(120)})
+    names = sorted({("", cut()) for _ in range(15)})
+    got = without_related_name(spark.createDataFrame(folders, "root_id string, name string"), spark.createDataFrame(names, "root_id string, token string"))
+    expected = [(r, f) for r, f in folders if not related(f, [n for _, n in names])]
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
+    none = spark.createDataFrame(names, "root_id string, token string").limit(0)
+    assert without_related_name(spark.createDataFrame(folders, "root_id string, name string"), none).count() == len(folders)
