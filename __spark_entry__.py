@@ -41,6 +41,7 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 AS_OF = datetime(2001, 6, 1, tzinfo=timezone.utc)
 OPTS = att.ScanOptions(sep="/")
 # As for key sets too large to broadcast.
+OWN_LISTS = att.ScanOptions(sep="/", excluded_folders=("CUST_7", "cust_12"), ignored_files=("*.TMP", "~*"), ignore_empty_files=False)
 LARGE = att.ScanOptions(sep="/", broadcast_bytes=0)
 
 
@@ -94,6 +95,12 @@ def app_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return att.installed_names(_table(spark, sf_dir, "programs", fixtures.APPS, "SELECT * FROM installed"))
 
 
+def installed_and_running_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    programs = _table(spark, sf_dir, "programs", fixtures.APPS, "SELECT * FROM installed")
+    processes = fixtures.select(spark, sf_dir, fixtures.APPS, "SELECT * FROM running")
+    return att.installed_names(programs, processes).select("token")
+
+
 def long_path_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _inventory(spark, sf_dir, "long-paths", fixtures.LONG_PATHS, "SELECT * FROM longp", "/deep")
 
@@ -368,30 +375,6 @@ def resolved_odd_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return att.resolve_paths(nodes, "C:", "/", hot=100).select("frn", "path")
 
 
-def archive_member_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page packed into a zip of its own, and the zips listed again."""
-    pages = fixtures.select(
-        spark, sf_dir, "", "SELECT '' AS root_id, concat('/zip/page_', page_id, '.zip') AS full_path, url, html FROM pages"
-    )
-    return att.archive_members(pages.mapInPandas(_zip_pages, "root_id string, full_path string, content binary"))
-
-
-def _zip_pages(batches):
-    import io
-    import zipfile
-
-    for batch in batches:
-        packed = []
-        for url, html in zip(batch["url"], batch["html"], strict=True):
-            data = io.BytesIO()
-            with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
-                archive.writestr("page/", "")
-                archive.writestr("page/url.txt", url)
-                archive.writestr("page/index.html", html)
-            packed.append(data.getvalue())
-        yield batch[["root_id", "full_path"]].assign(content=packed)
-
-
 def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.csv_rows(_run("temp_files", spark, sf_dir))
 
@@ -526,6 +509,9 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "folder_stats": folder_stats,
         "folder_rollup": folder_rollup,
         "empty_folders": lambda s, d: _run("empty_folders", s, d),
+        "empty_folders_strict": lambda s, d: _run("empty_folders", s, d, att.ScanOptions(sep="/", strict_empty=True)),
+        "empty_folders_own_lists": lambda s, d: _run("empty_folders", s, d, OWN_LISTS),
+        "temp_files_own_lists": lambda s, d: _run("temp_files", s, d, OWN_LISTS),
         "empty_folders_depth2": lambda s, d: _run("empty_folders", s, d, _depth(2)),
         "big_files": big_files,
         "big_files_per_root": big_files_per_root,
@@ -545,10 +531,10 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "unreadable_files_of_log": unreadable_files_of_log,
         "unpacked_archives": unpacked_archives,
         "installed_names": lambda s, d: app_names(s, d).select("token"),
+        "installed_and_running_names": installed_and_running_names,
         "orphaned_app_data": orphaned_app_data,
         "resolved_paths": resolved_paths,
         "resolved_odd_paths": resolved_odd_paths,
-        "archive_member_list": archive_member_list,
         "export_rows": export_rows,
         "exported_csv": exported_csv,
         "exported_json": exported_json,

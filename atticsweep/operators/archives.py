@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from atticsweep.functions import match, paths
 from atticsweep.operators import prune
-from atticsweep.operators.lookup import KeySet, existing_keys, join_keys, settled
+from atticsweep.operators.existence import found_paths, of_kind
+from atticsweep.operators.lookup import KeySet, join_keys, settled
 from atticsweep.registry import scanner, to_results
 from atticsweep.schema import ScanOptions
 from atticsweep.session import written
@@ -41,38 +42,59 @@ def archive_base_name(name: Column) -> Column:
 def unpacked_archives(
     inv: DataFrame, members: DataFrame | None, opts: ScanOptions, blocked: KeySet | None = None
 ) -> DataFrame:
-    """Archives whose base name is a visible sibling folder, any case.
+    """Archives whose base name is a visible sibling folder.
 
     For ``.zip`` files in ``members`` (root_id, archive_path, entry_name) the share
     of member files that exist below that folder is told as well.
     """
-    base = archive_base_name(F.col("name"))
-    archives = (
-        prune.files(inv)
-        .filter(match.name_in(paths.extension_of(F.col("name")), ARCHIVE_EXTENSIONS))
-        .withColumn("base", base)
-        .filter(F.col("base") != "")
-        .withColumn(
-            "folder_key", opts.key(F.concat(F.col("parent_path"), F.lit(opts.sep), F.col("base")))
-        )
+    archives = with_folder_key(prune.listed(inv.filter(is_archive()), inv, opts, blocked), opts)
+    if members is not None:
+        archives = written(archives)
+    expected = None if members is None else expected_members(archives, members, opts)
+    return judged_archives(archives, expected, found_paths(wanted_by_archives(archives, expected), inv, opts), opts)
+
+
+def is_archive() -> Column:
+    is_one = match.name_in(paths.extension_of(F.col("name")), ARCHIVE_EXTENSIONS)
+    return ~F.col("is_directory") & is_one & (archive_base_name(F.col("name")) != "")
+
+
+def with_folder_key(archives: DataFrame, opts: ScanOptions) -> DataFrame:
+    """``base``, and ``folder_key``: the folder beside the archive that has this name."""
+    archives = archives.withColumn("base", archive_base_name(F.col("name")))
+    return archives.withColumn("folder_key", opts.key(F.concat(F.col("parent_path"), F.lit(opts.sep), F.col("base"))))
+
+
+def expected_members(archives: DataFrame, members: DataFrame, opts: ScanOptions) -> DataFrame:
+    """Where the member files of zip archives would be: (root_id, archive_key, path_key). Written once."""
+    zips = archives.filter(F.upper("name").endswith(".ZIP")).select(
+        F.col("root_id").alias("key_root"), opts.key(F.col("full_path")).alias("key_path"), "folder_key"
     )
-    archives = prune.listed(archives, inv, opts, blocked)
-    # The folder has the archive's own parent, so only its own flags can hide it.
-    open_folders = (
-        prune.folders(inv)
-        .filter(~prune.is_blocked(opts))
-        .select("root_id", opts.key(F.col("full_path")).alias("path_key"))
+    root = F.col("root_id") if "root_id" in members.columns else F.lit("")
+    entry = F.col("entry_name")
+    listed = members.filter(~(entry.endswith("/") | entry.endswith("\\"))).select(
+        root.alias("root_id"),
+        opts.key(F.col("archive_path"), root).alias("archive_key"),
+        F.replace(entry, F.lit("/"), F.lit(opts.sep)).alias("entry"),
     )
-    wanted = archives.select("root_id", F.col("folder_key").alias("path_key"))
-    beside = existing_keys(wanted, open_folders, opts.broadcast_bytes)
-    matched = join_keys(archives, [F.col("root_id"), F.col("folder_key")], beside, "left_semi")
+    met = join_keys(listed, [F.col("root_id"), F.col("archive_key")], settled(zips, opts.broadcast_bytes), "inner")
+    place = F.concat(F.col("folder_key"), F.lit(opts.sep), opts.key(F.col("entry")))
+    return written(met.select("root_id", "archive_key", place.alias("path_key")))
 
-    if members is None:
-        percent = F.lit(None).cast("int")
-    else:
-        # A short list that both the shares and the outcome start from.
-        matched = written(matched)
-        shares = settled(_found_shares(matched, members, inv, opts), opts.broadcast_bytes)
+
+def wanted_by_archives(archives: DataFrame, expected: DataFrame | None) -> DataFrame:
+    """The paths to look up: sibling folders and expected members."""
+    beside = archives.select("root_id", F.col("folder_key").alias("path_key"))
+    return beside if expected is None else beside.unionByName(expected.select("root_id", "path_key"))
+
+
+def judged_archives(archives: DataFrame, expected: DataFrame | None, found: KeySet, opts: ScanOptions) -> DataFrame:
+    # The folder has the archive's own parent, so only its own flags can hide it.
+    beside = of_kind(found, F.col("is_open_folder"))
+    matched = join_keys(archives, [F.col("root_id"), F.col("folder_key")], beside, "left_semi")
+    percent = F.lit(None).cast("int")
+    if expected is not None:
+        shares = settled(_found_shares(expected, found), opts.broadcast_bytes)
         matched = join_keys(matched, [F.col("root_id"), opts.key(F.col("full_path"))], shares, "left")
         percent = F.col("percent")
     folder = F.concat(F.col("base"), F.lit("/"))
@@ -86,36 +108,13 @@ def unpacked_archives(
     return to_results(matched, "unpacked_archives", detail=detail, group=group)
 
 
-def _found_shares(matched: DataFrame, members: DataFrame, inv: DataFrame, opts: ScanOptions) -> DataFrame:
-    """Per zip archive the whole percentage of its member files that exist where they would unpack to."""
-    zips = matched.filter(F.upper("name").endswith(".ZIP")).select(
-        F.col("root_id").alias("key_root"), opts.key(F.col("full_path")).alias("key_path"), "folder_key"
-    )
-    root = F.col("root_id") if "root_id" in members.columns else F.lit("")
-    entry = F.col("entry_name")
-    listed = members.filter(~(entry.endswith("/") | entry.endswith("\\"))).select(
-        root.alias("root_id"),
-        opts.key(F.col("archive_path"), root).alias("archive_key"),
-        F.replace(entry, F.lit("/"), F.lit(opts.sep)).alias("entry"),
-    )
-    archive = [F.col("root_id"), F.col("archive_key")]
-    own_zip = settled(zips, opts.broadcast_bytes)
-    expected = join_keys(listed, archive, own_zip, "inner").select(
-        "root_id",
-        "archive_key",
-        F.concat(F.col("folder_key"), F.lit(opts.sep), opts.key(F.col("entry"))).alias("expected_key"),
-    )
-    on_disk = prune.files(inv).select("root_id", opts.key(F.col("full_path")).alias("path_key"))
-    wanted = expected.select("root_id", F.col("expected_key").alias("path_key"))
-    found = existing_keys(wanted, on_disk, opts.broadcast_bytes)
-    found = KeySet(found.df.withColumn("exists", F.lit(True)), found.small)
+def _found_shares(expected: DataFrame, found: KeySet) -> DataFrame:
+    """Per archive the whole percentage of its member files that exist where they would unpack to."""
+    files = of_kind(found, F.col("is_file"))
+    there = KeySet(files.df.withColumn("exists", F.lit(True)), files.small)
     return (
-        join_keys(expected, [F.col("root_id"), F.col("expected_key")], found, "left")
+        join_keys(expected, [F.col("root_id"), F.col("path_key")], there, "left")
         .groupBy(F.col("root_id").alias("key_root"), F.col("archive_key").alias("key_path"))
         .agg(F.count("exists").alias("found"), F.count(F.lit(1)).alias("total"))
-        .select(
-            "key_root",
-            "key_path",
-            F.floor(F.col("found") * F.lit(100.0) / F.col("total")).cast("int").alias("percent"),
-        )
+        .select("key_root", "key_path", F.floor(F.col("found") * F.lit(100.0) / F.col("total")).cast("int").alias("percent"))
     )

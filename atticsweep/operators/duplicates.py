@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from atticsweep.functions import match, paths
 from atticsweep.operators import prune
-from atticsweep.operators.firsts import one_of_each
 from atticsweep.operators.lookup import KeySet, join_keys, settled
 from atticsweep.registry import scanner, to_results
 from atticsweep.schema import ScanOptions
@@ -53,11 +52,13 @@ def hash_groups(members: DataFrame, digest: Column, limit_bytes: int = ScanOptio
     keys = ["root_id", "size_bytes", "hash"]
     age = F.coalesce(F.unix_micros("modified"), F.lit(NO_TIME))
     rows = members.select("root_id", "size_bytes", digest.alias("hash"), "full_path", age.alias("age"))
-    counted = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 2))
-    several = settled(counted.select(*[F.col(k).alias(f"key_{k}") for k in keys], "n"), limit_bytes)
-    inside = written(join_keys(rows, [F.col(k) for k in keys], several, "inner"))
-    oldest = one_of_each(inside, keys, "age", [F.col("full_path")], limit_bytes)
-    return oldest.select(*keys, "n", F.col("full_path").alias("keep_path"))
+    counted = rows.groupBy(*keys).agg(F.min("age").alias("oldest"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 2)
+    several = settled(counted.select(*[F.col(k).alias(f"key_{k}") for k in keys], F.col("oldest").alias("key_oldest"), "n"), limit_bytes)
+    oldest = join_keys(rows, [*[F.col(k) for k in keys], F.col("age")], several, "inner")
+    # Each task drops what cannot be first before rows are exchanged.
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("full_path"))
+    first = oldest.withColumn("place", place).filter(F.col("place") == 1)
+    return first.select(*keys, "n", F.col("full_path").alias("keep_path"))
 
 
 def _running_total(df: DataFrame, within: list[str], order: list[Column]) -> Column:
@@ -205,7 +206,7 @@ def duplicate_files(
     members = staged_members(files, digest_of, opts.broadcast_bytes)
     # Grouping, numbering and the final join all start here.
     members = written(members.select("root_id", "full_path", "size_bytes", "modified", "hash"))
-    groups = written(number_groups(hash_groups(members, F.col("hash"), opts.broadcast_bytes)))
+    groups = number_groups(written(hash_groups(members, F.col("hash"), opts.broadcast_bytes)))
     return to_results(
         keep_oldest(members, groups, opts.broadcast_bytes),
         "duplicate_files",

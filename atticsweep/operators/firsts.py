@@ -23,7 +23,7 @@ def one_of_each(rows: DataFrame, keys: list[str], number: str, ties: list[Column
     seen = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_of_key"), best.alias("key_number"))
     names = [F.col(k).alias(f"key_{k}") for k in keys]
     several = settled(seen.filter(F.col("rows_of_key") > 1).select(*names, "key_number"), limit_bytes)
-    if several.df.isEmpty():
+    if several.empty:
         return rows
     own = [F.col(k) for k in keys]
     once = join_keys(rows, own, several.select(*[f"key_{k}" for k in keys]), "left_anti")

@@ -27,8 +27,12 @@ def _keyed_folders(inv: DataFrame, opts: ScanOptions, *columns: str) -> DataFram
     )
 
 
-def _folder_facts(inv: DataFrame, opts: ScanOptions, blocked: KeySet | None) -> DataFrame:
-    """One row per entered folder; ``has_row`` is false for one that only shows up as a parent path."""
+def _folder_facts(inv: DataFrame, opts: ScanOptions, blocked: KeySet | None, folder_rows: DataFrame | None = None) -> DataFrame:
+    """One row per entered folder; ``has_row`` is false for one that only shows up as a parent path.
+
+    ``folder_rows`` are the folder rows of ``inv``, where they are a table of their own.
+    """
+    folder_rows = prune.folders(inv) if folder_rows is None else folder_rows
     is_folder = F.col("is_directory")
     zero = F.lit(0).cast("bigint")
     children = prune.reachable_by_path(inv, opts).select(
@@ -42,7 +46,7 @@ def _folder_facts(inv: DataFrame, opts: ScanOptions, blocked: KeySet | None) ->
         (is_folder & prune.is_blocked(opts)).alias("has_blocked"),
         F.lit(False).alias("has_row"),
     )
-    rows = prune.folders(inv).filter(F.col("depth") >= 0)
+    rows = folder_rows.filter(F.col("depth") >= 0)
     if opts.max_depth >= 0:
         rows = rows.filter(F.col("depth") <= opts.max_depth)
     hidden_by_name = prune.below_excluded_name(F.col("parent_path"), F.col("depth"), opts)
@@ -99,9 +103,11 @@ def folder_stats(inv: DataFrame, opts: ScanOptions, blocked: KeySet | None = Non
     "Folders without content, nested ones included",
     columns=(("Path", "full_path"), ("Modified", "modified"), ("Detail", "detail")),
     order=lambda sep: [paths.segment_count(F.col("full_path"), sep).desc()],
-    run=lambda i, o, blocked: empty_folders(i.inventory, o, blocked),
+    run=lambda i, o, blocked: empty_folders(i.inventory, o, blocked, i.extra.get("folders")),
 )
-def empty_folders(inv: DataFrame, opts: ScanOptions, blocked: KeySet | None = None) -> DataFrame:
+def empty_folders(
+    inv: DataFrame, opts: ScanOptions, blocked: KeySet | None = None, folder_rows: DataFrame | None = None
+) -> DataFrame:
     """Folders with no content in them or in any entered folder below.
 
     Each folder with content marks itself and its ancestors; a folder without a
@@ -112,7 +118,7 @@ def empty_folders(inv: DataFrame, opts: ScanOptions, blocked: KeySet | None = No
         occupied = occupied | F.col("has_blocked")
         if opts.max_depth >= 0:
             occupied = occupied | ((F.col("depth") == opts.max_depth) & (F.col("subfolder_count") > 0))
-    facts = _folder_facts(inv, opts, blocked).filter(F.col("depth") >= 1)
+    facts = _folder_facts(inv, opts, blocked, folder_rows).filter(F.col("depth") >= 1)
 
     # A folder with content marks all levels up to 1, any other folder its own.
     first = F.when(occupied, F.lit(1)).otherwise(F.col("depth"))
@@ -135,7 +141,7 @@ def empty_folders(inv: DataFrame, opts: ScanOptions, blocked: KeySet | None = No
         F.col("file_count") > 0, F.concat(F.col("file_count").cast("string"), F.lit(" ignored file(s)"))
     ).otherwise(F.lit("Empty"))
     return to_results(
-        _keyed_folders(inv, opts, "full_path", "name", "modified").join(empty.hint("merge"), KEYS),
+        _keyed_folders(inv if folder_rows is None else folder_rows, opts, "full_path", "name", "modified").join(empty.hint("merge"), KEYS),
         "empty_folders",
         detail=detail,
         size_bytes=F.lit(0),

@@ -4,8 +4,8 @@
 everything below it, and nothing else comes between. So a subtree is one range, and
 "is an entry in the subtree of one of these folders" needs no ancestors and no join:
 entries and folders are dealt out by ranges of the key, sorted, and one sweep keeps the
-last folder whose range it is in. Folders below such a folder change nothing, so the
-sweep also reduces a set of subtrees to its topmost roots.
+last folder whose range it is in. Folders below such a folder change nothing: the sweep
+reduces a set of subtrees to its topmost roots as it goes.
 
 A range may begin inside a subtree that began in an earlier one. Each task therefore
 says in which subtree it ended; these marks, one a task, are put in order, and every
@@ -87,20 +87,15 @@ def swept(rows: DataFrame) -> DataFrame:
     return judged.withColumn("inside", F.col("inside") | there).select(*rows.columns, "inside")
 
 
-def topmost(keys: DataFrame) -> DataFrame:
-    """The tree keys (column ``tree_key``) that are below no other, once each."""
-    return swept(keys.select("tree_key", F.lit(ROOT).alias("kind"))).filter("NOT inside").select("tree_key")
-
-
 def mark_subtrees(rows: DataFrame, folders: DataFrame, opts: ScanOptions) -> DataFrame:
     """``rows`` (root_id, full_path, others) with ``marked``: in the subtree of one of ``folders`` (root_id, full_path).
 
-    The folders are first reduced to their topmost. While these are few (measured), they
-    are broadcast, and a row's ancestors at the levels that occur among them are looked
-    up: the rows do not move. Otherwise the rows are swept; they move once, by ranges.
+    While the folders are few (measured), they are broadcast, and a row's ancestors at the
+    levels that occur among them are looked up: the rows do not move. Otherwise the rows
+    are swept; they move once, by ranges.
     """
     key = tree_key(F.col("root_id"), F.col("full_path"), opts)
-    roots = settled(topmost(folders.select(key.alias("tree_key"))), opts.broadcast_bytes)
+    roots = settled(folders.select(key.alias("tree_key")).distinct(), opts.broadcast_bytes)
     if roots.small:
         segments = (F.length("tree_key") - F.length(F.replace("tree_key", F.lit(CUT), F.lit("")))).alias("segments")
         by_level = roots.df.select(F.xxhash64("tree_key").alias("root_hash"), F.col("tree_key").alias("root_key"), segments)

@@ -126,10 +126,12 @@ def without_related_name(folders: DataFrame, names: DataFrame, limit_bytes: int
         ("Modified", "modified"),
     ),
     order=lambda sep: [F.col("size_bytes").desc()],
-    run=lambda i, o, blocked: orphaned_app_data(i.inventory, i.locations, i.names, o),
+    run=lambda i, o, blocked: orphaned_app_data(i.inventory, i.locations, i.names, o, i.extra.get("folders")),
     needs=("locations", "names"),
 )
-def orphaned_app_data(inv: DataFrame, locations: DataFrame, names: DataFrame, opts: ScanOptions) -> DataFrame:
+def orphaned_app_data(
+    inv: DataFrame, locations: DataFrame, names: DataFrame, opts: ScanOptions, folder_rows: DataFrame | None = None
+) -> DataFrame:
     """Folders directly in a location (root_id, path, label) that no installed name accounts for.
 
     ``names`` is (root_id, token). Walk rules do not apply; hidden, system and link
@@ -139,7 +141,7 @@ def orphaned_app_data(inv: DataFrame, locations: DataFrame, names: DataFrame, op
         F.col("root_id").alias("key_root"), opts.key(F.col("path")).alias("key_path"), "label"
     )
     flagged = F.col("is_reparse_point") | F.col("is_system") | F.col("is_hidden")
-    unknown = prune.folders(inv).filter(~flagged & ~match.name_in(F.col("name"), KNOWN_FOLDERS))
+    unknown = (prune.folders(inv) if folder_rows is None else folder_rows).filter(~flagged & ~match.name_in(F.col("name"), KNOWN_FOLDERS))
     parent = [F.col("root_id"), opts.key(F.col("parent_path"))]
     candidates = join_keys(
         unknown, parent, settled(places, opts.broadcast_bytes), "inner"

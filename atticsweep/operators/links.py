@@ -5,25 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from atticsweep.functions import paths
 from atticsweep.operators import prune
-from atticsweep.operators.lookup import KeySet, existing_keys, join_keys, settled
+from atticsweep.operators.existence import found_paths, of_kind
+from atticsweep.operators.lookup import KeySet, join_keys, settled
 from atticsweep.registry import scanner, to_results
 from atticsweep.schema import ScanOptions
 
 
-def _without_target(pointers: DataFrame, inv: DataFrame, opts: ScanOptions) -> DataFrame:
-    """The rows whose ``target`` is no entry of the same root."""
+def is_link() -> Column:
+    return F.col("is_reparse_point") & (F.trim("link_target") != "")
+
+
+def is_shortcut() -> Column:
+    return ~F.col("is_directory") & F.upper("name").endswith(".LNK") & (F.trim("link_target") != "")
+
+
+def with_target_key(pointers: DataFrame, opts: ScanOptions) -> DataFrame:
+    """Rows with a ``target`` get ``target_key``, by which it is looked up."""
     clean = F.when(
         F.col("target").endswith(opts.sep),
         F.substring(F.col("target"), F.lit(1), F.length("target") - F.lit(len(opts.sep))),
     ).otherwise(F.col("target"))
-    pointers = pointers.withColumn("target_key", opts.key(clean))
-    wanted = pointers.select("root_id", F.col("target_key").alias("path_key"))
-    present = inv.select("root_id", opts.key(F.col("full_path")).alias("path_key"))
-    found = existing_keys(wanted, present, opts.broadcast_bytes)
-    target = [F.col("root_id"), F.col("target_key")]
-    return join_keys(pointers, target, found, "left_anti")
+    return pointers.withColumn("target_key", opts.key(clean))
+
+
+def wanted_targets(pointers: DataFrame) -> DataFrame:
+    return pointers.select("root_id", F.col("target_key").alias("path_key"))
+
+
+def _without_target(pointers: DataFrame, found: KeySet) -> DataFrame:
+    """The rows whose ``target`` is no entry of the same root."""
+    return join_keys(pointers, [F.col("root_id"), F.col("target_key")], of_kind(found), "left_anti")
 
 
 @scanner(
@@ -38,10 +50,17 @@ def broken_links(inv: DataFrame, opts: ScanOptions, blocked: KeySet | None = Non
     Link folders are judged whatever their flags or name. Links without a recorded
     target cannot be judged and are left out.
     """
-    links = inv.filter(F.col("is_reparse_point") & (F.trim("link_target") != ""))
-    links = prune.listed(links, inv, opts, blocked).withColumn("target", F.col("link_target"))
+    links = link_pointers(prune.listed(inv.filter(is_link()), inv, opts, blocked), opts)
+    return dangling_links(links, found_paths(wanted_targets(links), inv, opts))
+
+
+def link_pointers(links: DataFrame, opts: ScanOptions) -> DataFrame:
+    return with_target_key(links.withColumn("target", F.col("link_target")), opts)
+
+
+def dangling_links(pointers: DataFrame, found: KeySet) -> DataFrame:
     kind = F.when(F.col("is_directory"), F.lit("Junction/Dir symlink")).otherwise(F.lit("File symlink"))
-    return to_results(_without_target(links, inv, opts), "broken_links", detail=kind, size_bytes=F.lit(0))
+    return to_results(_without_target(pointers, found), "broken_links", detail=kind, size_bytes=F.lit(0))
 
 
 def expand_variables(text: Column, variables: Column) -> Column:
@@ -104,18 +123,22 @@ def broken_shortcuts(
 
     ``env`` has one row per root and variable (root_id, name, value).
     """
-    links = inv.filter(
-        ~F.col("is_directory") & F.upper("name").endswith(".LNK") & (F.trim("link_target") != "")
-    )
-    links = prune.listed(links, inv, opts, blocked)
+    links = shortcut_pointers(prune.listed(inv.filter(is_shortcut()), inv, opts, blocked), env, opts)
+    return dangling_shortcuts(links, found_paths(wanted_targets(links), inv, opts))
+
+
+def shortcut_pointers(links: DataFrame, env: DataFrame | None, opts: ScanOptions) -> DataFrame:
+    """Shortcuts with their expanded target."""
     if env is None:
-        links = links.withColumn("target", F.col("link_target"))
-    else:
-        own = settled(_variables_of(links, env, opts), opts.broadcast_bytes)
-        links = join_keys(links, [F.col("root_id"), F.col("full_path")], own, "left")
-        target = F.when(
-            F.contains(F.col("link_target"), F.lit("%")) & F.col("variables").isNotNull(),
-            expand_variables(F.col("link_target"), F.col("variables")),
-        ).otherwise(F.col("link_target"))
-        links = links.withColumn("target", target)
-    return to_results(_without_target(links, inv, opts), "broken_shortcuts", detail=F.col("target"))
+        return with_target_key(links.withColumn("target", F.col("link_target")), opts)
+    own = settled(_variables_of(links, env, opts), opts.broadcast_bytes)
+    links = join_keys(links, [F.col("root_id"), F.col("full_path")], own, "left")
+    target = F.when(
+        F.contains(F.col("link_target"), F.lit("%")) & F.col("variables").isNotNull(),
+        expand_variables(F.col("link_target"), F.col("variables")),
+    ).otherwise(F.col("link_target"))
+    return with_target_key(links.withColumn("target", target), opts)
+
+
+def dangling_shortcuts(pointers: DataFrame, found: KeySet) -> DataFrame:
+    return to_results(_without_target(pointers, found), "broken_shortcuts", detail=F.col("target"))

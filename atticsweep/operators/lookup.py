@@ -24,13 +24,14 @@ HOT_ROWS = 1_000_000
 
 @dataclass(frozen=True)
 class KeySet:
-    """One side of a join, and whether it may be broadcast."""
+    """One side of a join, whether it may be broadcast, and whether it is known to have no rows."""
 
     df: DataFrame
     small: bool
+    empty: bool = False
 
     def select(self, *columns) -> KeySet:
-        return KeySet(self.df.select(*columns), self.small)
+        return KeySet(self.df.select(*columns), self.small, self.empty)
 
     def hinted(self) -> DataFrame:
         return F.broadcast(self.df) if self.small else self.df.hint("merge")
@@ -48,7 +49,8 @@ def _measured(df: DataFrame) -> int:
 def settled(df: DataFrame, limit_bytes: int) -> KeySet:
     """``df``, written once, with the answer to whether it is at most this large."""
     df = written(df)
-    return KeySet(df, limit_bytes > 0 and _measured(df) <= limit_bytes)
+    size = _measured(df)
+    return KeySet(df, 0 < limit_bytes and size <= limit_bytes, size == 0)
 
 
 def join_keys(left: DataFrame, left_keys: list[Column], keys: KeySet, how: str) -> DataFrame:
@@ -59,8 +61,8 @@ def join_keys(left: DataFrame, left_keys: list[Column], keys: KeySet, how: str)
     return left.join(right, reduce(Column.__and__, same), how).drop(*names)
 
 
-def existing_keys(wanted: DataFrame, present: DataFrame, limit_bytes: int) -> KeySet:
-    """The distinct ``wanted`` (root_id, path_key) that ``present`` also has, as (key_root, key_path).
+def existing_keys(wanted: DataFrame, present: DataFrame, limit_bytes: int, *facts: str) -> KeySet:
+    """The distinct ``wanted`` (root_id, path_key) that ``present`` also has, as (key_root, key_path), with its ``facts``.
 
     ``present`` is usually a whole inventory. While the wanted keys are few they
     travel to it, so it is read once and not shuffled.
@@ -68,10 +70,12 @@ def existing_keys(wanted: DataFrame, present: DataFrame, limit_bytes: int) -> Ke
     keys = ["root_id", "path_key"]
     asked = settled(wanted.select(*keys).distinct(), limit_bytes)
     if asked.small:
-        found = present.select(*keys).join(asked.hinted(), keys, "left_semi").distinct()
+        found = present.select(*keys, *facts).join(asked.hinted(), keys, "left_semi").distinct()
+    elif facts:
+        found = present.select(*keys, *facts).join(asked.hinted(), keys).distinct()
     else:
         found = asked.df.join(present.select(*keys).hint("merge"), keys, "left_semi")
-    return KeySet(found.select(F.col("root_id").alias("key_root"), F.col("path_key").alias("key_path")), asked.small)
+    return KeySet(found.select(F.col("root_id").alias("key_root"), F.col("path_key").alias("key_path"), *facts), asked.small)
 
 
 def join_hot(
@@ -93,7 +97,7 @@ def join_hot(
         return met(left, right.hint("merge"))
     counted = left.groupBy(*[k.alias(n) for k, n in zip(left_keys, names, strict=True)]).agg(F.count(F.lit(1)).alias("n"))
     keys = settled(counted.filter(F.col("n") >= hot).select(*names).dropna(), limit_bytes)
-    if not keys.small or keys.df.isEmpty():
+    if not keys.small or keys.empty:
         return met(left, right.hint("merge"))
     there = settled(right.join(keys.hinted(), names, "left_semi").select(*right.columns), limit_bytes)
     if not there.small:

@@ -60,7 +60,7 @@ def subtree_keys(inv: DataFrame, marked: DataFrame, opts: ScanOptions) -> DataFr
     """(key_root, key_path) of the folders of ``inv`` that are, or are below, a marked folder.
 
     ``marked`` has key_root and key_path. One folder row becomes one row per level, files
-    none. Folders near the root are above all others, hence the salt.
+    none. A folder near the root is above all others; adaptive execution splits its key.
     """
     rows = folders(inv).select(
         "root_id",

@@ -123,34 +123,27 @@ def _scan(inv: DataFrame, opts: ScanOptions, finding: Finding, blocked: KeySet |
     return judged(prune.listed(inv.filter(finding.where), inv, opts, blocked), finding)
 
 
-def all_in_one_pass(
-    inv: DataFrame, opts: ScanOptions, findings: list[Finding], blocked: KeySet | None = None
-) -> DataFrame:
-    """Several findings from one read of the inventory; an entry may have more than one."""
-    wanted = findings[0].where
-    for f in findings[1:]:
-        wanted = wanted | f.where
-    hits = F.filter(
-        F.array(
-            *[
-                F.when(
-                    f.where,
-                    F.struct(
-                        F.lit(f.scanner).alias("scanner"),
-                        f.size_bytes.cast("bigint").alias("size_bytes"),
-                        f.group.alias("group"),
-                        f.detail.alias("detail"),
-                        F.lit(f.selected).alias("is_selected"),
-                    ),
-                )
-                for f in findings
-            ]
-        ),
-        lambda h: h.isNotNull(),
-    )
-    rows = prune.listed(inv.filter(wanted), inv, opts, blocked).select(
-        "root_id", "full_path", "name", "modified", "is_directory", F.explode(hits).alias("hit")
-    )
+def hits(findings: list[Finding]) -> Column:
+    """What the findings say of an entry, an array; an entry may have more than one."""
+    each = [
+        F.when(
+            f.where,
+            F.struct(
+                F.lit(f.scanner).alias("scanner"),
+                f.size_bytes.cast("bigint").alias("size_bytes"),
+                f.group.alias("group"),
+                f.detail.alias("detail"),
+                F.lit(f.selected).alias("is_selected"),
+            ),
+        )
+        for f in findings
+    ]
+    return F.filter(F.array(*each), lambda h: h.isNotNull())
+
+
+def split_hits(rows: DataFrame) -> DataFrame:
+    """A finding for each of the ``hits`` of each row."""
+    rows = rows.select("root_id", "full_path", "name", "modified", "is_directory", F.explode("hits").alias("hit"))
     return rows.select(
         F.col("hit.scanner").alias("scanner"),
         "root_id",

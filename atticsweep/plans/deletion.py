@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from atticsweep.functions import paths
 from atticsweep.operators import intervals
 from atticsweep.schema import DELETE_MODES, SIMULATE, ScanOptions
-from atticsweep.session import written
 
 
 def deletion_plan(results: DataFrame, mode: str = SIMULATE, opts: ScanOptions = ScanOptions()) -> DataFrame:
@@ -41,14 +40,9 @@ def deletion_plan(results: DataFrame, mode: str = SIMULATE, opts: ScanOptions =
     )
 
 
-def _planned(plan: DataFrame) -> DataFrame:
-    # A plan comes out of scans; write it down instead of scanning for each use.
-    return written(plan.select("root_id", "full_path"))
-
-
 def apply_plan(inv: DataFrame, plan: DataFrame, opts: ScanOptions) -> DataFrame:
     """The inventory as it would be after the plan; deleting a folder takes all below it along."""
-    marked = intervals.mark_subtrees(inv, _planned(plan), opts)
+    marked = intervals.mark_subtrees(inv, plan, opts)
     return marked.filter(~F.col("marked")).drop("marked")
 
 
@@ -56,7 +50,7 @@ def freed_bytes(inv: DataFrame, plan: DataFrame, opts: ScanOptions) -> DataFrame
     """Files, folders and bytes the plan removes per root, each entry counted once."""
     rows = inv.select("root_id", "full_path", "is_directory", "size_bytes")
     return (
-        intervals.mark_subtrees(rows, _planned(plan), opts)
+        intervals.mark_subtrees(rows, plan, opts)
         .filter("marked")
         .groupBy("root_id")
         .agg(

@@ -18,7 +18,7 @@ def installed_names(programs: DataFrame, processes: DataFrame | None = None) ->
 
     ``programs`` has hive, key_name, display_name, install_location, publisher (and
     root_id): machine-wide rows give all name forms, per-user rows only the display
-    name, that without spaces, and the key. ``processes`` has process_name.
+    name, that without spaces, and the key; blank values give none. ``processes`` has process_name.
     """
     c = F.col
     root = c("root_id") if "root_id" in programs.columns else F.lit("")
@@ -30,7 +30,7 @@ def installed_names(programs: DataFrame, processes: DataFrame | None = None) ->
     display, publisher = filled(c("display_name")), filled(c("publisher"))
     first_word = F.element_at(F.split(display, r"[ .\-]", -1), 1)
     location = F.element_at(F.split(F.regexp_replace(filled(c("install_location")), r"[/\\]+$", ""), r"[/\\]", -1), -1)
-    both = [display, _unspaced(display), c("key_name")]
+    both = [display, _unspaced(display), filled(c("key_name"))]
     machine_only = [
         F.when(F.length(first_word) > SHORT_WORD, first_word),
         F.when(location != "", location),

@@ -105,8 +105,7 @@ APPS = """
 WITH app_dirs AS (
   SELECT s_suppkey AS sk, CASE s_suppkey % 5 WHEN 0 THEN 'AppData/Roaming' WHEN 1 THEN 'AppData/Local'
            WHEN 2 THEN 'ProgramData' WHEN 3 THEN 'Program Files' ELSE 'Program Files (x86)' END AS label,
-         CASE WHEN s_suppkey % 11 = 10 THEN 'nuget' ELSE s_name END AS name FROM supplier
-  WHERE s_suppkey % 11 <> 10 OR s_suppkey < 11),
+         CASE WHEN s_suppkey = 10 THEN 'nuget' ELSE s_name END AS name FROM supplier),
 app_files AS (
   SELECT sk, label, name, l_partkey % 7 AS b,
          CASE WHEN sk % 7 = 0 THEN CAST(10 AS BIGINT) ELSE CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) * 1000 END AS size_bytes
@@ -117,9 +116,10 @@ app_inv AS (
   UNION ALL SELECT concat('/apps/', label, '/', name), concat('/apps/', label), TRUE, CAST(0 AS BIGINT) FROM app_dirs
   UNION ALL SELECT concat('/apps/', label, '/', name, '/bin'), concat('/apps/', label, '/', name), TRUE, CAST(0 AS BIGINT) FROM app_dirs),
 installed AS (
-  SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'HKLM' ELSE 'HKCU' END AS hive, concat('{', s_suppkey, '}') AS key_name,
+  SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'HKLM' ELSE 'HKCU' END AS hive, CASE WHEN s_suppkey % 9 = 0 THEN '  ' ELSE concat('{', s_suppkey, '}') END AS key_name,
          concat(upper(s_name), ' Suite') AS display_name, concat('/opt/inst', s_suppkey, '/') AS install_location,
-         concat('Vendor ', s_nationkey) AS publisher FROM supplier WHERE s_suppkey % 3 = 0)
+         concat('Vendor ', s_nationkey) AS publisher FROM supplier WHERE s_suppkey % 3 = 0),
+running AS (SELECT substring(c_name, length(c_name) - c_custkey % 7, 8) AS process_name FROM customer)
 """
 
 NODES = """

@@ -148,7 +148,7 @@ forms AS (
   UNION SELECT regexp_extract(install_location, '([^/]+)/*$', 1) FROM installed WHERE hive = 'HKLM'
   UNION SELECT publisher FROM installed WHERE hive = 'HKLM'
   UNION SELECT replace(publisher, ' ', '') FROM installed WHERE hive = 'HKLM'),
-tokens AS (SELECT DISTINCT upper(t) AS token FROM forms WHERE t IS NOT NULL AND t <> '')"""
+tokens AS (SELECT DISTINCT upper(t) AS token FROM forms WHERE t IS NOT NULL AND trim(t) <> '')"""
 ORPHANS = _result(
     "orphaned_app_data",
     f"""(SELECT a.name, concat('/apps/', label, '/', a.name) AS full_path, label, CAST(NULL AS TIMESTAMP) AS modified,
@@ -197,6 +197,9 @@ def statements() -> dict[str, str]:
         f", {planned}, {gone}",
     )
     walk_cased = WALK.replace("FROM inv)", "FROM cased)", 1)
+    own_walk = WALK.replace(EXCLUDED, "('CUST_7', 'CUST_12')")
+    # Of '*.tmp' only the first '.tmp' of a name may be its end.
+    own_ignored = "(strpos(upper(name), '.TMP') > 0 AND strpos(upper(name), '.TMP') + 3 = length(name) OR starts_with(name, '~'))"
     two_scans = f"results AS ({TEMP} UNION ALL {OLD})"
     exported = f"""SELECT 'True' AS "Selected", name AS "Name", full_path AS "Path", size_bytes AS "Size",
       {TIME_TEXT} AS "Modified", detail AS "Detail", "group" AS "Group" FROM ({TEMP})"""
@@ -251,6 +254,16 @@ def statements() -> dict[str, str]:
             SELECT '' AS root_id, d.full_path AS folder, CAST(coalesce(sum(u.size_bytes), 0) AS BIGINT) AS size_bytes
             FROM inv d LEFT JOIN up u ON u.folder = d.full_path WHERE d.is_directory GROUP BY d.full_path""",
         "empty_folders": _files(EMPTY),
+        # A folder that was not entered counts as content of those above it.
+        "empty_folders_strict": _files(
+            EMPTY.replace(
+                "AND NOT EXISTS (",
+                "AND NOT EXISTS (SELECT 1 FROM shut s WHERE starts_with(s.full_path, concat(d.full_path, '/'))) AND NOT EXISTS (",
+                1,
+            )
+        ),
+        "empty_folders_own_lists": f"{fixtures.FILES}{own_walk} {EMPTY.replace(IGNORED, own_ignored)}",
+        "temp_files_own_lists": f"{fixtures.FILES}{own_walk} {TEMP}",
         "empty_folders_depth2": f"{fixtures.FILES}{_at_depth(2)} {empty_depth2}",
         "big_files": _files(BIG),
         "big_files_per_root": _files(
@@ -287,6 +300,8 @@ def statements() -> dict[str, str]:
                      "why", selected="FALSE")}""",
         "unpacked_archives": _files(ARCHIVES, ARCHIVE_CTES),
         "installed_names": f"{fixtures.APPS}{APP_CTES} SELECT token FROM tokens",
+        "installed_and_running_names": f"""{fixtures.APPS}{APP_CTES} SELECT token FROM tokens
+            UNION SELECT upper(process_name) FROM running WHERE length(process_name) > 3""",
         "orphaned_app_data": f"{fixtures.APPS}{APP_CTES} {ORPHANS}",
         "resolved_paths": f"""{fixtures.NODES.replace("WITH nodes AS", "WITH RECURSIVE nodes AS", 1)},
             up(frn, above, path) AS (
@@ -302,8 +317,6 @@ def statements() -> dict[str, str]:
               UNION ALL SELECT u.frn, s.above, concat(s.name, '/', u.path), list_append(u.passed, s.frn)
               FROM up u JOIN step s ON s.frn = u.above WHERE NOT list_contains(u.passed, s.frn))
             SELECT frn, concat('C:/', arg_max(path, len(passed))) AS path FROM up GROUP BY frn""",
-        "archive_member_list": """SELECT '' AS root_id, concat('/zip/page_', page_id, '.zip') AS archive_path, entry_name
-            FROM pages, (VALUES ('page/url.txt'), ('page/index.html')) v(entry_name)""",
         "export_rows": _files(exported),
         "exported_csv": _files(exported),
         "exported_json": _files(
