@@ -36,33 +36,53 @@ def scratch_folder(spark: SparkSession) -> str:
 
 
 _LOCAL_FOLDERS: dict[str, tempfile.TemporaryDirectory] = {}
-_WORKSPACES: list[list[str]] = []
+_OPEN: list[Workspace] = []
 
 
-@contextmanager
-def workspace(spark: SparkSession) -> Iterator[None]:
-    """Within it, tables written on the way are noted, and removed when it ends.
+class Workspace:
+    """A folder in the scratch folder for the tables that are written while it is open.
 
-    Results that are still needed have to be written elsewhere before.
+    Results that are still needed have to be written elsewhere before it is removed.
     """
-    made: list[str] = []
-    _WORKSPACES.append(made)
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{scratch_folder(spark)}/work-{uuid.uuid4().hex}"
+        self.used = False
+
+    def __enter__(self) -> Workspace:
+        _OPEN.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _OPEN.remove(self)
+
+    def is_read_by(self, df: DataFrame) -> bool:
+        """Whether a table in it still has to be there when ``df`` runs."""
+        return any(self.folder.rpartition("/")[2] in file for file in df.inputFiles())
+
+    def remove(self) -> None:
+        """Its tables go; an empty one takes their place, as Spark's writers can replace a folder on any storage."""
+        if self.used:
+            self.spark.range(0).write.mode("overwrite").parquet(self.folder)
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[Workspace]:
+    """Tables written within it on the way are removed when it ends."""
+    work = Workspace(spark)
     try:
-        yield
+        with work:
+            yield work
     finally:
-        _WORKSPACES.remove(made)
-        jvm = spark.sparkContext._jvm
-        for path in made:
-            folder = jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        work.remove()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the scratch folder."""
-    path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    for made in _WORKSPACES[-1:]:
-        made.append(path)
-    return path
+    """A new path in the scratch folder, or in the workspace opened last."""
+    folder = scratch_folder(spark)
+    for work in _OPEN[-1:]:
+        folder, work.used = work.folder, True
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
