@@ -153,54 +153,49 @@ def join_keys(shingles: np.ndarray, bands: Bands, seed: int) -> np.ndarray:
     return np.unique(np.concatenate(keys)).view(np.int64) if keys else np.empty(0, np.int64)
 
 
-def _classes(k: int):
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in rows_of(batches):
-            sets = [shingle_set(t, k) for t in rows.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
-                 pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())],
-                names=["doc_id", "n_shingles", "class", "sketch"],
-            )
-
-    return read
+SCANNED = "doc_id bigint, n_shingles bigint, class bigint, sketch binary, bucket bigint, key bigint, packed binary"
 
 
-def _gathered(k: int, percent: int, buckets: int, crowd: int):
-    """Keys of a slice of rows, packed by bucket: 8 bytes of key and 8 of class each.
+def _scanned(k: int, percent: int, buckets: int, crowd: int):
+    """A row for each document, and the keys of its slice, packed by bucket: 8 bytes of key and 8 of class each.
 
     Keys that ``crowd`` classes of a slice share go out as rows of their own; one
-    class of them stays in the packed form, so that other slices meet it.
+    class of them stays in the packed form, so that other slices meet it. The shingles
+    of a text are made once for all of this.
     """
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for rows in rows_of(batches, 16 << 20):
-            done, keys, owners = set(), [], []
+            done, keys, owners, sizes, classes, sketches = set(), [], [], [], [], []
             for text in rows.column("text").to_pylist():
                 shingles = shingle_set(text, k)
-                if not len(shingles) or (own := class_of(shingles)) in done:
+                sizes.append(len(shingles))
+                own = class_of(shingles) if len(shingles) else None
+                classes.append(own)
+                sketches.append(sketch(shingles) if len(shingles) else None)
+                if own is None or own in done:
                     continue
                 done.add(own)
                 found = join_keys(shingles, bands, 0)
                 keys.append(found)
                 owners.append(np.full(len(found), own))
+            yield _rows(len(sizes), doc_id=rows.column("doc_id"), n_shingles=sizes, **{"class": classes}, sketch=sketches)
             key, owner = _sorted(keys, owners)
             _, first, often = np.unique(key, return_index=True, return_counts=True)
             crowded = np.repeat(often >= crowd, often)
             keep = ~crowded
             keep[first] = True
-            yield _rows([None] * int(crowded.sum()), key[crowded], owner[crowded], None)
+            yield _rows(int(crowded.sum()), key=key[crowded], **{"class": owner[crowded]})
             key, owner = key[keep], owner[keep]
             bucket = (key.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             pairs = np.stack([key[order], owner[order]], axis=1)
             names, starts = np.unique(bucket[order], return_index=True)
             parts = np.split(pairs, starts[1:]) if len(names) else []
-            yield _rows(names.tolist(), None, None, [p.tobytes() for p in parts])
+            yield _rows(len(names), bucket=names, packed=[p.tobytes() for p in parts])
 
-    return gather
+    return scan
 
 
 def _sorted(keys: list[np.ndarray], owners: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -211,12 +206,11 @@ def _sorted(keys: list[np.ndarray], owners: list[np.ndarray]) -> tuple[np.ndarra
     return key[order], owner[order]
 
 
-def _rows(bucket: list, key, owner, packed) -> pa.RecordBatch:
-    n = len(bucket)
+def _rows(n: int, **columns) -> pa.RecordBatch:
+    fields = [f.split() for f in SCANNED.split(", ")]
     return pa.RecordBatch.from_arrays(
-        [pa.array(bucket, pa.int64()), pa.array([None] * n if key is None else key, pa.int64()),
-         pa.array([None] * n if owner is None else owner, pa.int64()), pa.array(packed or [None] * n, pa.binary())],
-        names=["bucket", "key", "class", "packed"],
+        [pa.array(columns.get(name, [None] * n), pa.int64() if kind == "bigint" else pa.binary()) for name, kind in fields],
+        names=[name for name, _ in fields],
     )
 
 
@@ -380,27 +374,41 @@ def _refined(k: int, percent: int, seed: int):
     return refine
 
 
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes in different components."""
+    for c in ("a", "b"):
+        own = comps.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}")).hint("merge")
+        pairs = pairs.join(own, c, "left").withColumn(f"comp_{c}", F.coalesce(f"comp_{c}", c))
+    return pairs.filter("comp_a <> comp_b").select("a", "b")
+
+
 def near_copies(
     docs: DataFrame, k: int = 4, percent: int = 85, group: int = 2000, levels: int = 4
 ) -> tuple[DataFrame, DataFrame]:
     """All rows with n_shingles and class (null without words), and each linked class's component."""
     spark = docs.sparkSession
-    rows = written(texts(docs).mapInArrow(_classes(k), "doc_id bigint, n_shingles bigint, class bigint, sketch binary"))
-    buckets = 4 * spread_parts(spark, rows.agg(F.sum("n_shingles")).first()[0] or 0, 4_000_000)
-    gathered = written(
-        texts(docs).mapInArrow(_gathered(k, percent, buckets, 16), "bucket bigint, key bigint, class bigint, packed binary")
-    )
-    packed = gathered.filter("packed IS NOT NULL").select("bucket", "packed")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = 4 * spread_parts(spark, size, 32 << 20)
+    scanned = written(texts(docs).mapInArrow(_scanned(k, percent, buckets, 16), SCANNED))
+    rows = scanned.filter("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "class", "sketch")
+    packed = scanned.filter("packed IS NOT NULL").select("bucket", "packed")
     shared = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_keys, "key bigint, class bigint")
-    crowded = gathered.filter("packed IS NULL").select("key", "class")
+    crowded = scanned.filter("key IS NOT NULL").select("key", "class")
     members = written(shared.unionByName(crowded).distinct())
 
     classes = _Classes(docs, rows, members, k, percent)
     least = members.groupBy("key").agg(F.min("class").alias("a"))
     stars = members.join(written(least).hint("merge"), "key").select("a", F.col("class").alias("b")).filter("a <> b").distinct()
-    tried = written(stars)
+    stars = written(stars)
+    # First one star for each class; of the others, only those between classes that are still apart.
+    tried = written(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     links = classes.links(tried)
     comps = written(components(links))
+    open_stars = written(_apart(stars.join(tried.hint("merge"), ["a", "b"], "left_anti"), comps))
+    if not open_stars.isEmpty():
+        tried = tried.unionByName(open_stars)
+        links = links.unionByName(classes.links(open_stars))
+        comps = written(components(links))
 
     for level in range(1, levels + 1):
         # Keys whose classes are not yet all in one component.
@@ -410,7 +418,7 @@ def near_copies(
             F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"),
             F.bit_xor(F.xxhash64("class")).alias("members"),
         )
-        # At level 1 two classes have met in their star; refined keys have none. Keys with the same classes say the same.
+        # At level 1 two classes have met in their star, or are together; refined keys have none. Keys with the same classes say the same.
         mixed = sizes.filter(f"low <> high AND size > {2 if level == 1 else 1}").groupBy("members", "size").agg(F.min("key").alias("key"))
         mixed = written(mixed.select("key", (F.col("size") > group).alias("large")))
         open_ = placed.join(mixed.hint("merge"), "key")
