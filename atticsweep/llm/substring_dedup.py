@@ -10,8 +10,11 @@ and sorting them counts exactly.
    one place only has no equal windows anywhere, and its super-k-mer stays at home.
 2. Texts with other super-k-mers are kept apart. Equal packed strings are combined
    before they travel.
-3. Minimisers chosen at more than ``hot`` places do not fill a bucket: their windows are
-   counted by an aggregation over 128-bit window digests, combined before the shuffle.
+3. A minimiser chosen at more than ``hot`` places would fill one bucket. Its super-k-mers
+   are split by a further minimiser of each window, under another seed; the two together
+   are counted as in step 1, and what is chosen once stays at home. That goes on while
+   something is hot and splitting still parts it: equal strings cannot be parted, and as
+   they are combined they do not fill a bucket.
 4. Windows found twice go back to their documents, whose covered words are removed.
 
 Defined cases: null texts have no words; texts of fewer than ``k`` words keep all; rows that
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atticsweep.llm.common import rows_of, spread_parts, texts
@@ -39,8 +42,8 @@ KEY = ["doc_id", "text_key"]
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def super_kmers(words: list[bytes], k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimiser hash, first window and number of windows of each super-k-mer."""
+def super_kmers(words: list[bytes], k: int, m: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimiser hash, first window and number of windows of each super-k-mer; another seed orders the hashes anew."""
     n = len(words)
     if n < k:
         none = np.empty(0, np.int64)
@@ -51,6 +54,9 @@ def super_kmers(words: list[bytes], k: int, m: int) -> tuple[np.ndarray, np.ndar
     for i in range(m):
         gram = (gram ^ word[i : n - m + 1 + i]) * MIX
         gram ^= gram >> np.uint64(29)
+    if seed:
+        gram = (gram ^ np.uint64(seed)) * MIX
+        gram ^= gram >> np.uint64(31)
     view = np.lib.stride_tricks.sliding_window_view(gram, k - m + 1)
     place = np.arange(len(view)) + view.argmin(axis=1)
     firsts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
@@ -97,14 +103,14 @@ def _packed(words: list[bytes], first: int, run: int, k: int) -> bytes:
 
 
 def _strings(k: int, instances: bool):
-    """Packed strings of the plain super-k-mers: combined within a slice of rows, or one row each with their digest."""
+    """Packed strings of the super-k-mers: combined within a slice of rows, or one row each with their digest."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in rows_of(batches):
             seen: Counter = Counter()
             out: list[tuple] = []
             for doc_id, key, text, mins, firsts, runs in zip(
-                *(rows.column(c).to_pylist() for c in (*KEY, "text", "plain_mins", "plain_firsts", "plain_runs")), strict=True
+                *(rows.column(c).to_pylist() for c in (*KEY, "text", "mins", "firsts", "runs")), strict=True
             ):
                 words = text.encode("utf-8").split()
                 for mini, first, run in zip(mins, firsts, runs, strict=True):
@@ -130,36 +136,28 @@ def _strings(k: int, instances: bool):
     return pack
 
 
-def _windows(k: int, instances: bool):
-    """Digests of the windows of hot super-k-mers: combined within a slice of rows, or one row each."""
+LEVEL = "doc_id bigint, text_key bigint, text string, mins array<bigint>, firsts array<int>, runs array<int>"
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in rows_of(batches, 2 << 20):
-            seen: Counter = Counter()
-            out: list[tuple] = []
-            for doc_id, key, text, firsts, runs in zip(
-                *(rows.column(c).to_pylist() for c in (*KEY, "text", "hot_firsts", "hot_runs")), strict=True
-            ):
-                words = text.encode("utf-8").split() if firsts else []
-                for first, run in zip(firsts, runs, strict=True):
-                    for start in range(first, first + run):
-                        digest = xxhash.xxh3_128_digest(b" ".join(words[start : start + k]))
-                        if instances:
-                            out.append((doc_id, key, start, digest))
-                        else:
-                            seen[digest] += 1
-            if instances:
-                a, b, c, d = zip(*out, strict=True) if out else ((),) * 4
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32()), pa.array(d, pa.binary())],
-                    names=[*KEY, "start", "digest"],
-                )
-            else:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["digest", "n"]
-                )
 
-    return cut
+def _split(k: int, m: int, seed: int):
+    """Super-k-mers cut up by a further minimiser of their windows; both minimisers are their key."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in rows_of(batches):
+            mins, firsts, runs = [], [], []
+            for text, keys, begins, lengths in zip(*(rows.column(c).to_pylist() for c in ("text", "mins", "firsts", "runs")), strict=True):
+                words = text.encode("utf-8").split()
+                found = [(key, begin, super_kmers(words[begin : begin + run + k - 1], k, m, seed)) for key, begin, run in zip(keys, begins, lengths, strict=True)]
+                both = [((a.view(np.uint64) ^ np.uint64(key & 0xFFFFFFFFFFFFFFFF)) * MIX).view(np.int64) for key, _, (a, _, _) in found]
+                mins.append(np.concatenate(both)), firsts.append(np.concatenate([b + begin for _, begin, (_, b, _) in found]))
+                runs.append(np.concatenate([c for _, _, (_, _, c) in found]))
+            yield pa.RecordBatch.from_arrays(
+                [*(rows.column(c) for c in (*KEY, "text")), pa.array(mins, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int32())),
+                 pa.array(runs, pa.list_(pa.int32()))],
+                names=[*KEY, "text", "mins", "firsts", "runs"],
+            )
+
+    return split
 
 
 def repeated_windows(strings: dict[bytes, int], k: int) -> dict[bytes, list[int]]:
@@ -241,6 +239,13 @@ def _remove(k: int):
     return remove
 
 
+def _picked(indexes: str) -> list[Column]:
+    def those(values: str) -> Column:
+        return F.transform(indexes, lambda i: F.element_at(values, i + 1)).alias(values)
+
+    return [those("mins"), those("firsts"), those("runs")]
+
+
 def _marked(docs: DataFrame, k: int, m: int, hot: int) -> tuple[DataFrame, DataFrame]:
     """All rows scanned (n_words, SHA-256 of the words), and the texts with repeated windows with those windows' starts."""
     spark = docs.sparkSession
@@ -248,38 +253,46 @@ def _marked(docs: DataFrame, k: int, m: int, hot: int) -> tuple[DataFrame, DataF
     scanned = _keyed(docs).mapInArrow(_scan(k, m), schema)
     scanned = written(scanned.withColumn("rid", F.monotonically_increasing_id()))
     flagged = written(_flagged(scanned, hot))
-
-    def picked(values: str, indexes: str):
-        return F.transform(indexes, lambda i: F.element_at(values, i + 1))
-
-    facts = scanned.select("rid", *KEY, "mins", "firsts", "runs").join(flagged.hint("merge"), "rid").select(
-        *KEY,
-        picked("mins", "plain").alias("plain_mins"), picked("firsts", "plain").alias("plain_firsts"),
-        picked("runs", "plain").alias("plain_runs"),
-        picked("firsts", "hot").alias("hot_firsts"), picked("runs", "hot").alias("hot_runs"),
-    ).dropDuplicates(KEY)
+    facts = scanned.select("rid", *KEY, "mins", "firsts", "runs").join(flagged.hint("merge"), "rid").drop("rid").dropDuplicates(KEY)
     same = [F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), F.col("a.text_key") == F.col("b.text_key")]
     own = written(
-        _keyed(docs).alias("a").join(facts.hint("merge").alias("b"), same).select(
-            "a.*", "plain_mins", "plain_firsts", "plain_runs", "hot_firsts", "hot_runs"
-        )
+        _keyed(docs).alias("a").join(facts.hint("merge").alias("b"), same).select("a.*", "mins", "firsts", "runs", "plain", "hot")
     )
+    settled = own.filter("size(plain) > 0").select(*KEY, "text", *_picked("plain"))
+    crowded = own.filter("size(hot) > 0").select(*KEY, "text", *_picked("hot"))
+    places, seed = _places(crowded), 1
+    while places:
+        split = written(crowded.mapInArrow(_split(k, m, seed), LEVEL).withColumn("rid", F.monotonically_increasing_id()))
+        flagged = written(_flagged(split, hot))
+        both = split.join(flagged.hint("merge"), "rid")
+        parted = both.filter("size(plain) > 0").select(*KEY, "text", *_picked("plain"))
+        crowded = both.filter("size(hot) > 0").select(*KEY, "text", *_picked("hot"))
+        settled, before = settled.unionByName(parted), places
+        places, seed = _places(crowded), seed + 1
+        if 10 * places > 9 * before:  # what is left has the same strings, by and large
+            break
+    if places:
+        settled = settled.unionByName(crowded)
     parts = spread_parts(spark, scanned.count(), 20_000)
-    strings = own.mapInArrow(_strings(k, False), "mini bigint, packed binary, n bigint")
+    strings = settled.mapInArrow(_strings(k, False), "mini bigint, packed binary, n bigint")
     found = strings.repartition(parts, "mini").sortWithinPartitions("mini").mapInArrow(_buckets(k), "digest binary, starts array<int>")
-    plain = own.mapInArrow(_strings(k, True), "doc_id bigint, text_key bigint, first int, digest binary")
-    plain = plain.join(written(found).hint("merge"), "digest").select(
-        *KEY, F.transform("starts", lambda s: s + F.col("first")).alias("starts")
+    # Repeated rows say the same once.
+    placed = settled.mapInArrow(_strings(k, True), "doc_id bigint, text_key bigint, first int, digest binary").distinct()
+    starts = (
+        placed.join(written(found).hint("merge"), "digest")
+        .select(*KEY, F.transform("starts", lambda s: s + F.col("first")).alias("starts"))
+        .groupBy(*KEY)
+        .agg(F.flatten(F.collect_list("starts")).alias("starts"))
     )
-    counted = own.filter("size(hot_firsts) > 0").mapInArrow(_windows(k, False), "digest binary, n bigint")
-    twice = written(counted.groupBy("digest").agg(F.sum("n").alias("n")).filter("n > 1").select("digest"))
-    busy = own.filter("size(hot_firsts) > 0").mapInArrow(_windows(k, True), "doc_id bigint, text_key bigint, start int, digest binary")
-    busy = busy.join(twice.hint("merge"), "digest").groupBy(*KEY).agg(F.collect_list("start").alias("starts"))
-    starts = plain.unionByName(busy).groupBy(*KEY).agg(F.flatten(F.collect_list("starts")).alias("starts"))
     marked = own.select(*KEY, "text").alias("a").join(starts.hint("merge").alias("b"), same).select("a.*", "starts")
     return scanned, marked
 
 
+def _places(crowded: DataFrame) -> int:
+    """At how many places hot super-k-mers are."""
+    return crowded.agg(F.sum(F.size("firsts"))).first()[0] or 0
+
+
 def remove_repeats(docs: DataFrame, k: int = 35, m: int = 6, hot: int = 1000) -> tuple[DataFrame, DataFrame]:
     """Words kept of each text in which a window also starts elsewhere, and the scan of all rows.
 

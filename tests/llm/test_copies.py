@@ -111,6 +111,33 @@ def test_repeated_passages(docs, rows, hot):
     assert H.result(substring_dedup.removal_digests(docs, hot=hot)) == want
 
 
+def test_a_passage_in_all_texts(spark):
+    """One passage with other words around it in each text, copies of whole texts, and hot minimisers at every level."""
+    import random
+
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(50)]
+    rows = []
+    for i in range(120):
+        own = [f"w{rng.randrange(5000)}" for _ in range(40)]
+        rows.append((i, " ".join([*own[:20], *passage, *own[20:]]), "en", "s", 0))
+    rows += [(1000 + i, rows[i % 3][1], "en", "s", 0) for i in range(40)]
+    for hot in (5, 50):
+        assert H.result(substring_dedup.removal_digests(H.frame(spark, rows), hot=hot)) == removed(rows)
+
+
+def test_repeated_rows_grow_in_proportion(spark):
+    """Rows of one id and text: as many starts for the text, however many rows there are."""
+    text = " ".join(f"w{i}" for i in range(100))
+    starts = []
+    for n in (20, 200):
+        rows = [(None, text, "en", "s", 0)] * n
+        assert H.result(substring_dedup.removal_digests(H.frame(spark, rows))) == removed(rows)
+        _, marked = substring_dedup._marked(H.frame(spark, rows), 35, 6, 1000)
+        starts.append(marked.selectExpr("sum(size(starts))").first()[0])
+    assert starts[1] == 10 * starts[0]
+
+
 def test_texts_without_repeats(docs, rows, empty):
     left = substring_dedup.without_repeats(docs)
     assert left.columns == docs.columns and left.count() == len(rows)
