@@ -5,6 +5,10 @@ slice of rows and a bounded store of words already merged. A word's symbols form
 linked list; the queue holds (rank, position) of adjacent pairs. An entry whose
 symbols have changed since it was pushed is stale and skipped when popped.
 
+Lower case, composition and the classes of the split pattern follow a Unicode version.
+Texts with characters outside ``SETTLED``, on which versions agree, take their words from
+the tokenizer file's own normaliser and splitter; the merges are made here all the same.
+
 Defined cases: a null or empty text has no tokens and decodes to the empty text;
 texts may be of any length; repeated rows give repeated results; an empty table
 gives an empty one; columns other than ``doc_id`` and ``text`` are not read.
@@ -29,6 +33,9 @@ from atticsweep.llm.common import rows_of, texts
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 SPACES = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 SEPARATORS = regex.compile(r"[\x1c-\x1f]")
+# Any other character than those of scripts that no Unicode version has changed for long.
+UNSETTLED = regex.compile("[^\x00-\x1b\x20-\x84\x86-ɏͰ-ͷͺ-ͿΑ-ΡΣ-ӿ"
+                          "‐-‧‰-⁞€ぁ-ゖ一-龥]")
 SCHEMA = "doc_id bigint, n_tokens bigint, ids string, decoded string"
 DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -43,7 +50,7 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """The vocabulary and merge ranks of a tokenizer file with word ends, and words already encoded."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 96 << 20):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -61,13 +68,17 @@ class WordBpe:
         self.last = [self.vocab[c + self.end] for c in letters]
         self.words = regex.compile(WORDS)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.keep = keep
+        self.path, self.library = path, None
+        self.byte_of = {letter: byte for byte, letter in enumerate(letters)}
+        self.keep, self.held = keep, 0  # bytes of words already encoded, about
         self.ids_text = _Learnt(self)
         self.decoded: dict[str, str] = {}
 
     def merged(self, word: str) -> list[int]:
         """The ids of one word."""
-        data = word.encode("utf-8")
+        return self.merged_bytes(word.encode("utf-8"))
+
+    def merged_bytes(self, data: bytes) -> list[int]:
         ids = [self.inner[b] for b in data]
         ids[-1] = self.last[data[-1]]
         n = len(ids)
@@ -118,6 +129,16 @@ class WordBpe:
         # str.split() also splits at four control characters that are no white space to the tokenizer.
         return SPACES.split(lowered) if SEPARATORS.search(lowered) else lowered.split()
 
+    def library_words(self, text: str) -> list[bytes]:
+        """The words of a text as the tokenizer file's normaliser and splitter give them."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        normal = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(normal)
+        return [bytes(map(self.byte_of.__getitem__, piece)) for piece, _ in pieces if piece]
+
     def encode(self, text: str) -> tuple[str, str]:
         """The decimal ids joined by spaces, and the decoded text."""
         parts = self.specials.split(text) if self.specials and "<|" in text else [text]
@@ -127,12 +148,19 @@ class WordBpe:
                 ids.append(str(self.special[part]))
                 decoded.append(part)
                 continue
+            if not part.isascii() and UNSETTLED.search(part):
+                for data in self.library_words(part):
+                    own = self.merged_bytes(data)
+                    ids.append(" ".join([self.digits[i] for i in own]))
+                    decoded.append(self.decode(own))
+                continue
             chunks = [c for c in self.chunks(part) if c]
             ids.extend(map(self.ids_text.__getitem__, chunks))
             decoded.extend(map(self.decoded.__getitem__, chunks))
-        if len(self.decoded) > self.keep:
+        if self.held > self.keep:
             self.ids_text.clear()
             self.decoded.clear()
+            self.held = 0
         return " ".join(ids), " ".join(decoded)
 
 
@@ -161,6 +189,7 @@ class _Learnt(dict):
                 text = " ".join([self[w] for w in words])
                 bpe.decoded[chunk] = " ".join([bpe.decoded[w] for w in words])
         self[chunk] = text
+        bpe.held += 300 + 4 * len(chunk) + len(text) + len(bpe.decoded[chunk])
         return text
 
 

@@ -34,6 +34,29 @@ def test_bpe_of_odd_texts():
         assert own.encode(text) == (" ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False))
 
 
+def test_bpe_of_every_code_point():
+    """Between two letters, where composition, lower case and the split pattern may treat it differently."""
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    own = bpe.WordBpe(public_tokenizers.path("word_bpe_49k.json"))
+    points = [*range(1, 0xD800), *range(0xE000, 0x20000), *range(0x20000, 0x110000, 37)]
+    for at in range(0, len(points), 20_000):
+        texts = [f"a{chr(c)}B" for c in points[at : at + 20_000]]
+        for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert own.encode(text)[0] == " ".join(map(str, want.ids)), ascii(text)
+
+
+def test_bpe_store_is_bounded_by_bytes():
+    own = bpe.WordBpe(public_tokenizers.path("word_bpe_49k.json"), keep=200_000)
+    held = []
+    for i in range(40):
+        own.encode(f"{'x' * 20_000}{i}")
+        held.append(own.held)
+    assert max(held) < 600_000 and 0 in held
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    text = "x" * 3000 + " y" * 3000
+    assert own.encode(text)[0].split() == [str(i) for i in library.encode(text, add_special_tokens=False).ids]
+
+
 def test_packing_holds_every_id_once(docs, rows, empty):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = packing.pack(docs, size=256)
