@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -34,8 +35,8 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 SPACES = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 # Any other character than those of scripts that no Unicode version has changed for long.
-UNSETTLED = regex.compile("[^\x00-\x1b\x20-\x84\x86-ɏͰ-ͷͺ-ͿΑ-ΡΣ-ӿ"
-                          "‐-‧‰-⁞€ぁ-ゖ一-龥]")
+UNSETTLED = re.compile("[^\x00-\x1b\x20-\x84\x86-ɏͰ-ͷͺ-ͿΑ-ΡΣ-ӿ"
+                       "‐-‧‰-⁞€ぁ-ゖ一-龥]")
 SCHEMA = "doc_id bigint, n_tokens bigint, ids string, decoded string"
 DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
