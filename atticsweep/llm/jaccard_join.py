@@ -153,6 +153,7 @@ def join_keys(shingles: np.ndarray, bands: Bands, seed: int) -> np.ndarray:
     return np.unique(np.concatenate(keys)).view(np.int64) if keys else np.empty(0, np.int64)
 
 
+FEW_KEYS = 32
 SCANNED = "doc_id bigint, n_shingles bigint, class bigint, sketch binary, bucket bigint, key bigint, packed binary"
 
 
@@ -270,10 +271,13 @@ def _close(percent: int):
 
 
 def _near_in_keys(percent: int):
-    """Reads a partition sorted by key; holds the sketches of one key's classes at a time, at most ``group``."""
+    """Reads a partition sorted by key and two blocks of its classes; holds the sketches of these at a time.
+
+    Of two different blocks only pairs across them come out.
+    """
 
     def near(
-        key: int, name: np.ndarray, comp: np.ndarray, n: np.ndarray, sketches: list[bytes], keys: list[frozenset]
+        key: int, across: bool, name: np.ndarray, comp: np.ndarray, n: np.ndarray, block: np.ndarray, sketches: list[bytes], keys: list[frozenset]
     ) -> tuple[np.ndarray, np.ndarray]:
         least = min(map(len, sketches))
         folded = []
@@ -291,24 +295,30 @@ def _near_in_keys(percent: int):
             small, large = np.minimum(n[part, None], n[None, :]), np.maximum(n[part, None], n[None, :])
             ok = (differ * (100 + percent) <= (100 - percent) * (small + large)) & (100 * small >= percent * large)
             ok &= (comp[part, None] != comp[None, :]) & (name[part, None] < name[None, :])
+            if across:
+                ok &= block[part, None] != block[None, :]
             i, j = np.nonzero(ok)
-            first = [min(keys[x + at] & keys[y]) == key for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+            first = [
+                keys[x + at] is None or keys[y] is None or min(keys[x + at] & keys[y]) == key
+                for x, y in zip(i.tolist(), j.tolist(), strict=True)
+            ]
             found.append((name[(i + at)[first]], name[j[first]]))
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(key: int, held: list[tuple]) -> pa.RecordBatch:
-            name, comp, n, sketches, keys = zip(*held, strict=True)
-            a, b = near(key, *(np.array(x, np.int64) for x in (name, comp, n)), sketches, [frozenset(k) for k in keys])
+        def pairs(group: tuple, held: list[tuple]) -> pa.RecordBatch:
+            key, low, high = group
+            name, comp, n, block, sketches, keys = zip(*held, strict=True)
+            a, b = near(key, low != high, *(np.array(x, np.int64) for x in (name, comp, n, block)), sketches, [k and frozenset(k) for k in keys])
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         current, held = None, []
         for rows in batches:
-            for key, *row in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-                if key != current and held:
+            for key, low, high, *row in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                if (key, low, high) != current and held:
                     yield pairs(current, held)
                     held = []
-                current = key
+                current = (key, low, high)
                 held.append(row)
         if held:
             yield pairs(current, held)
@@ -331,14 +341,28 @@ class _Classes:
         own = texts(self.docs).join(written(chosen).hint("merge"), F.col("doc_id").eqNullSafe(F.col("id"))).select("class", "text")
         return written(own.mapInArrow(_of_class(self.k), "class bigint, text string").dropDuplicates(["class"]))
 
-    def within_keys(self, rows: DataFrame) -> DataFrame:
-        """Pairs of classes of one key, in different components, whose sketches are close enough."""
-        # A class's keys: at most its number of words. Of the keys that a pair shares, the smallest one gives it.
+    def within_keys(self, rows: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+        """Pairs of classes of one key, in different components, whose sketches are close enough.
+
+        ``blocks`` (key, blocks) says into how many blocks a key's classes are dealt; each two
+        blocks meet in a group of their own. Without it a key is one block.
+        """
+        # Of the keys that a pair shares, the smallest one gives it. A long text has many keys, and each of its rows
+        # would carry them all: it goes without, and gives a pair once for each key they share.
         keys = rows.groupBy("class").agg(F.collect_list("key").alias("keys"))
+        keys = keys.withColumn("keys", F.when(F.size("keys") <= FEW_KEYS, F.col("keys")))
         known = written(self.marks.select("class", "n", "sketch").join(keys.hint("merge"), "class"))
         marked = rows.join(known.hint("merge"), "class")
         parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
-        sorted_ = marked.select("key", "class", "comp", "n", "sketch", "keys").repartition(parts, "key").sortWithinPartitions("key")
+        if blocks is None:
+            marked = marked.withColumns(dict.fromkeys(("low", "high", "block"), F.lit(0).cast("bigint")))
+        else:
+            dealt = marked.join(blocks.hint("merge"), "key").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+            met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+            marked = met.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+        groups = ["key", "low", "high"]
+        columns = [*groups, "class", "comp", "n", "block", "sketch", "keys"]
+        sorted_ = marked.select(*columns).repartition(parts, *groups).sortWithinPartitions(*groups)
         return sorted_.mapInArrow(_near_in_keys(self.percent), "a bigint, b bigint")
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -423,12 +447,10 @@ def near_copies(
         mixed = written(mixed.select("key", (F.col("size") > group).alias("large")))
         open_ = placed.join(mixed.hint("merge"), "key")
         apart = classes.within_keys(open_.filter("NOT large").select("key", "class", "comp"))
-        if level == levels:  # what no sketch could split, pair by pair through a join
-            rest = open_.filter("large")
-            left = rest.select("key", F.col("class").alias("a"), F.col("comp").alias("ca"))
-            right = rest.select("key", F.col("class").alias("b"), F.col("comp").alias("cb"))
-            pairs = left.hint("merge").join(right, "key").filter("a < b AND ca <> cb").select("a", "b")
-            apart = apart.unionByName(pairs)
+        if level == levels:  # what no sketch could split: blocks of a key against each other, only close pairs come out
+            rest = open_.filter("large").select("key", "class", "comp")
+            blocks = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(group)).alias("blocks"))
+            apart = apart.unionByName(classes.within_keys(rest, blocks))
         apart = apart.distinct()
         apart = written(apart.join(tried.hint("merge"), ["a", "b"], "left_anti"))
         if not apart.isEmpty():
