@@ -14,10 +14,14 @@ it. Nodes visited once act as their parents' leaves. No task holds the model:
 1. each slice of rows sends its distinct byte runs and words, with their counts in
    training texts, to their parts; the part of a run follows from the context bytes
    next to the byte, so that all deeper contexts meet there;
-2. parts add up the counts, build their trees bottom-up, and pass on the nodes of their
-   topmost depth, from which the few depths above are built;
-3. each slice asks the parts for its distinct runs and words, and gets back the runs'
-   log probabilities and the words' counts; with them it scores its texts.
+2. parts add up the counts and answer the slices' words with them; of runs they build
+   their trees bottom-up, and pass on the nodes of their topmost depth, from which the
+   few depths above are built;
+3. each slice asks the parts for its distinct runs, and gets back their log
+   probabilities; with them and the words' counts it scores its texts.
+
+What goes to disk between these steps is squeezed where it is made: a slice's texts,
+and the codes, counts and answers of each of its parts.
 
 Defined cases: null and empty texts are the end alone; without training rows every
 decision has probability one half; rows with a null id count the empty text as id;
@@ -42,7 +46,8 @@ from atticsweep.session import written
 
 END = b"\n"  # in no word
 LOG2 = float(np.log(2.0))
-SLICE = 6 << 20
+SLICE = 16 << 20  # bytes of text whose distinct runs and words are asked for once
+CHUNK = 2 << 20  # of them, those whose runs are in memory one by one
 LEAST = 2  # visits of a node that is used
 TOP = 3  # context bytes that a part of the tree has in common
 PART, WORD_PART = 8 << 20, 32 << 20  # bytes of text for each part
@@ -109,15 +114,26 @@ def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return out
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """All first bytes, then all second ones, and so on, by zstd; in front the number of them."""
+    data = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.dtype.itemsize).T).tobytes()
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(data, asbytes=True)
+
+
+def values_of(data: bytes, kind: type) -> np.ndarray:
+    """The array that was squeezed."""
+    size = int.from_bytes(data[:8], "little")
+    plain = pa.Codec("zstd").decompress(memoryview(data)[8:], size, asbytes=True) if size else b""
+    return np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def packed(codes: np.ndarray) -> bytes:
-    """Ascending codes as differences, all first bytes, then all second ones, and so on: the upper ones compress well."""
-    steps = np.diff(codes.astype(np.uint64), prepend=np.uint64(0))
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Ascending codes as differences: their upper bytes squeeze well."""
+    return squeezed(np.diff(codes.astype(np.uint64), prepend=np.uint64(0)))
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(values_of(data, np.uint64), dtype=np.uint64)
 
 
 @dataclass
@@ -250,6 +266,33 @@ def _scan(depth: int, parts: int, words: int):
     return scan
 
 
+def _chunks(streams: list[bytes]) -> Iterator[slice]:
+    """Neighbouring streams of at most ``CHUNK`` bytes together, or one."""
+    start, size = 0, 0
+    for i, stream in enumerate(streams):
+        if i > start and size + len(stream) > CHUNK:
+            yield slice(start, i)
+            start, size = i, 0
+        size += len(stream)
+    if streams:
+        yield slice(start, len(streams))
+
+
+def _runs_of(streams: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct runs, ascending, with their counts; in memory only a chunk's runs and distinct ones."""
+    waiting, held = [(np.empty(0, np.uint64), np.empty(0, np.int64))], 0
+    for part in _chunks(streams):
+        waiting.append(np.unique(byte_runs(streams[part], depth), return_counts=True))
+        if sum(len(w[0]) for w in waiting) > 2 * held + 500_000:
+            waiting = [_merged(waiting)]
+            held = len(waiting[0][0])
+    return _merged(waiting)
+
+
+def _merged(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return _counted(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
+
+
 def _slice(rows: pa.RecordBatch, depth: int, parts: int, words: int, number: int) -> pa.RecordBatch:
     taught = rows.column("taught").to_numpy(zero_copy_only=False)
     streams, counts = [], {}
@@ -262,25 +305,19 @@ def _slice(rows: pa.RecordBatch, depth: int, parts: int, words: int, number: int
     out: list[tuple] = []
     learned = [s for s, t in zip(streams, taught, strict=True) if t]
     others = [s for s, t in zip(streams, taught, strict=True) if not t]
-    code, n = np.empty(0, np.uint64), np.empty(0, np.int64)
-    for some, weight in ((learned, 1), (others, 0)):
-        if some:
-            runs = byte_runs(some, depth)
-            runs.sort()  # in place: a slice's runs are the largest thing in memory
-            firsts = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]]))
-            often = np.diff(np.append(firsts, len(runs))) * weight
-            code, n = np.concatenate([code, runs[firsts]]), np.concatenate([n, often])
-            del runs
-    code, n = _counted(code, n)
+    code, n = _runs_of(learned, depth)
+    asked, none = _runs_of(others, depth)
+    code, n = _merged([(code, n), (asked, 0 * none)])
     for p, c, m in _split(_parts_of_runs(code, min(TOP, depth), parts), code, n):
-        out.append((0, p, number, packed(c), m.astype(np.uint32).tobytes(), None, None, None))
+        out.append((0, p, number, packed(c), squeezed(m.astype(np.uint32)), None, None, None))
     name, n = _counted(_named(list(counts)), np.fromiter(counts.values(), np.int64, len(counts)))
     for p, c, m in _split(_parts_of_words(name, parts, words), name, n):
-        out.append((1, p, number, packed(c), m.astype(np.uint32).tobytes(), None, None, None))
+        out.append((1, p, number, packed(c), squeezed(m.astype(np.uint32)), None, None, None))
     doc_ids = rows.column("doc_id")
     known = np.array([x is not None for x in doc_ids.to_pylist()])
     out.append((2, 0, number, doc_ids.fill_null(0).to_numpy().tobytes(), known.tobytes(),
-                np.array([len(x) for x in streams], np.int64).tobytes(), taught.tobytes(), b"".join(streams)))
+                np.array([len(x) for x in streams], np.int64).tobytes(), taught.tobytes(),
+                squeezed(np.frombuffer(b"".join(streams), np.uint8))))
     kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
     columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
     return pa.RecordBatch.from_arrays(columns, names=["kind", "part", "slice", "a", "b", "c", "d", "e"])
@@ -299,26 +336,33 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition sorted by part: each part's distinct codes with their counts, one row a part."""
-    kind, current, waiting, held = 0, None, [], 0
+    """Of a partition sorted by part: each part's distinct codes with their counts, one row a part.
+
+    Words are dealt evenly, so that a part can hold what its slices ask for: the counts of
+    each slice's words follow.
+    """
+    kind, current, waiting, held, asking = 0, None, [], 0, []
 
-    def merged(pairs):
-        return _counted(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
+    def part_of() -> Iterator[pa.RecordBatch]:
+        code, n = _merged(waiting)
+        yield _part(kind, current, -1, packed(code) if kind == 0 else None, squeezed(n))
+        for number, a in asking:
+            yield _part(kind, current, number, None, squeezed(n[np.searchsorted(code, unpacked(a))]))
 
-    for k, part, _, a, b in _each(batches):
+    for k, part, number, a, b in _each(batches):
         if part != current and waiting:
-            code, n = merged(waiting)
-            yield _part(kind, current, -1, packed(code), n.tobytes())
-            waiting, held = [], 0
+            yield from part_of()
+            waiting, held, asking = [], 0, []
         kind, current = k, part
-        waiting.append((unpacked(a), np.frombuffer(b, np.uint32).astype(np.int64)))
+        waiting.append((unpacked(a), values_of(b, np.uint32).astype(np.int64)))
+        if kind == 1:
+            asking.append((number, a))
         # Rows are added up before they are twice what is distinct among them.
         if sum(len(w[0]) for w in waiting) > 2 * held + 500_000:
-            waiting = [merged(waiting)]
+            waiting = [_merged(waiting)]
             held = len(waiting[0][0])
     if waiting:
-        code, n = merged(waiting)
-        yield _part(kind, current, -1, packed(code), n.tobytes())
+        yield from part_of()
 
 
 NODES = "depth int, node bigint, n0 double, n1 double, log_w double, share double"
@@ -336,7 +380,7 @@ def _tops(depth: int, top: int):
 
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, _, a, b in _each(batches):
-            n = np.frombuffer(b, np.int64)
+            n = values_of(b, np.int64)
             levels, keys, _ = tree(unpacked(a)[n > 0], n[n > 0], depth, top)
             for bit, nodes in enumerate(levels[0]):
                 first = keys[0][nodes.first]
@@ -394,31 +438,29 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct training words, and all of them."""
     distinct, total = 0, 0
     for *_, b in _each(batches):
-        n = np.frombuffer(b, np.int64)
+        n = values_of(b, np.int64)
         distinct, total = distinct + int((n > 0).sum()), total + int(n.sum())
     yield pa.RecordBatch.from_arrays([pa.array([distinct], pa.int64()), pa.array([total], pa.int64())], names=["distinct", "total"])
 
 
 def _values(model: Model):
-    """Per part: its codes, and the log probabilities of runs or the counts of words."""
+    """Per part of the tree: its runs, and their log probabilities."""
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, part, _, a, b in _each(batches):
-            n = np.frombuffer(b, np.int64)
-            value = model.log2_of(unpacked(a), n).astype(np.float32).tobytes() if kind == 0 else b
-            yield _part(kind, part, -1, a, value)
+            yield _part(kind, part, -1, a, squeezed(model.log2_of(unpacked(a), values_of(b, np.int64)).astype(np.float32)))
 
     return values
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by part and slice, the part's own row first: the values of each slice's codes, one slice at a time."""
+    """Sorted by part and slice, the part's own row first: the values of each slice's runs, one slice at a time."""
     codes, values = np.empty(0, np.uint64), np.empty(0)
     for kind, part, number, a, b in _each(batches):
         if number < 0:
-            codes, values = unpacked(a), np.frombuffer(b, np.float32 if kind == 0 else np.int64)
+            codes, values = unpacked(a), values_of(b, np.float32)
         else:
-            yield _part(kind, part, number, None, values[np.searchsorted(codes, unpacked(a))].tobytes())
+            yield _part(kind, part, number, None, squeezed(values[np.searchsorted(codes, unpacked(a))]))
 
 
 def _finish(depth: int, parts: int, words: int, distinct: int, total: int):
@@ -427,19 +469,26 @@ def _finish(depth: int, parts: int, words: int, distinct: int, total: int):
 
     def judge(answers, a, b, c, e) -> pa.RecordBatch:
         ids, there, sizes = np.frombuffer(a, np.int64), np.frombuffer(b, bool), np.frombuffer(c, np.int64)
-        ends = np.cumsum(sizes)
+        ends, e = np.cumsum(sizes), values_of(e, np.uint8).tobytes()
         streams = [e[end - size : end] for end, size in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
         def answered(code, part, kind):
             value = np.empty(len(code), kind)
             for p, at in _split(part, np.arange(len(code))):
-                value[at] = np.frombuffer(answers[p], kind)
+                value[at] = values_of(answers[p], kind)
             return value
 
-        code, inverse = np.unique(byte_runs(streams, depth), return_inverse=True)
-        each = answered(code, _parts_of_runs(code, min(TOP, depth), parts), np.float32)[inverse]
-        bits = np.bincount(np.repeat(np.arange(len(ids)), sizes), each, len(ids))
-        del code, inverse, each
+        found = []
+        for part in _chunks(streams):
+            own, inverse = np.unique(byte_runs(streams[part], depth), return_inverse=True)
+            found.append((part, own, inverse.astype(np.uint32)))
+        code = np.unique(np.concatenate([own for _, own, _ in found]))
+        value = answered(code, _parts_of_runs(code, min(TOP, depth), parts), np.float32)
+        bits = np.zeros(len(ids))
+        for part, own, inverse in found:
+            some = sizes[part]
+            bits[part] = np.bincount(np.repeat(np.arange(len(some)), some), value[np.searchsorted(code, own)][inverse], len(some))
+        del code, value, found
         index: dict[bytes, int] = {}
         tokens, at = np.zeros(len(ids), np.int64), []
         for i, stream in enumerate(streams):
@@ -486,10 +535,11 @@ def score_texts(docs: DataFrame, depth: int = 5) -> DataFrame:
     tasks = spread_parts(docs.sparkSession, parts + words, 4)
     combined = written(coded.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_combined, PARTS))
     model = fit(combined, depth)
-    size = combined.filter("kind = 1").mapInArrow(_words, "distinct bigint, total bigint").agg(F.sum("distinct"), F.sum("total")).first()
-    asked = coded.withColumn("b", F.lit(None).cast("binary"))
-    met = combined.mapInArrow(_values(model), PARTS).unionByName(asked)
+    size = combined.filter("kind = 1 AND slice < 0").mapInArrow(_words, "distinct bigint, total bigint").agg(F.sum("distinct"), F.sum("total")).first()
+    asked = coded.filter("kind = 0").withColumn("b", F.lit(None).cast("binary"))
+    met = combined.filter("kind = 0").mapInArrow(_values(model), PARTS).unionByName(asked)
     answers = written(met.repartition(tasks, "part").sortWithinPartitions("part", "slice").mapInArrow(_answers, PARTS))
+    answers = answers.unionByName(combined.filter("kind = 1 AND slice >= 0"))
     rows = gathered.filter("kind = 2")
     none = F.lit(None).cast("binary")
     both = rows.unionByName(answers.withColumns({"c": none, "d": none, "e": none}))

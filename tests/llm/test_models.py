@@ -1,7 +1,9 @@
 import math
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import text_helpers as H
 from pyspark.sql import functions as F
@@ -233,3 +235,30 @@ def test_tags_that_only_look_like_marks():
     for page in (f"<div hidden><p>{text}</p></div>", f'<p aria-hidden="true">{text}</p>', f"<script>{text}", f"<svg><text>{text}</text></svg>"):
         assert html.main_text(page) == ""
     assert html.main_text(f'<article><p>{text}</p><div class="ad">Buy</div></article>') == text
+
+
+def test_what_context_trees_write_is_squeezed(spark):
+    """Tables written on the way stay under twice the texts."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghijklmno"), 4)) for _ in range(3000)]
+    rows = [(i, " ".join(rng.choice(words, 400))) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.iterdir())
+    assert ctw.score_texts(docs).count() == len(rows)
+    on_disk = {path: sum(f.stat().st_size for f in path.rglob("*.parquet")) for path in set(folder.iterdir()) - before}
+    by_slice = sum(size for path, size in on_disk.items() if "slice" in spark.read.parquet(str(path)).columns)
+    assert 0 < by_slice < 1.8 * sum(len(text) for _, text in rows)
+
+
+def test_slices_in_chunks(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["ab", "abc", "ba", "cab", "zz"], n)) for n in rng.integers(0, 60, 50)] + ["x" * 900, ""]
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(texts))), pa.array(texts), pa.array([i % 3 > 0 for i in range(len(texts))])], names=["doc_id", "text", "taught"]
+    )
+    whole = ctw._slice(rows, 5, 7, 3, 0)
+    monkeypatch.setattr(ctw, "CHUNK", 100)
+    assert ctw._slice(rows, 5, 7, 3, 0).equals(whole)
+    codes = np.sort(rng.integers(0, 1 << 62, 300).astype(np.uint64))
+    assert (ctw.unpacked(ctw.packed(codes)) == codes).all() and len(ctw.unpacked(ctw.packed(codes[:0]))) == 0
