@@ -28,7 +28,7 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     name, taken = "row_number", {c.lower() for c in docs.columns}
     while name in taken:
         name += "_"
-    return written(docs.withColumn(name, F.monotonically_increasing_id())), name
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "zstd"), name
 
 
 def first_of(row: str) -> Column:

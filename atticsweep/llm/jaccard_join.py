@@ -15,7 +15,9 @@ keys are gathered. For the rest:
 1. every class is verified against the smallest class of each of its keys, and the
    links found are joined into components;
 2. classes that share a key and are still in different components are compared by
-   their narrow sketches, and verified if close. Where a key has more than ``group``
+   their narrow sketches, and verified if close: first, in ``rounds`` that each join the
+   components anew, of each key no more than each component's closest pair, then all
+   that are still apart. Where a key has more than ``group``
    classes, they first have to agree in a word of another sketch as well, and so on,
    at most ``levels`` times. Keys with the same classes count once.
 
@@ -26,7 +28,7 @@ A word without a set bit says little. Bands have spare words, so that sets with
 empty words meet in a full one; the rare sets with more than that also use their empty
 words as keys, among themselves.
 
-Shingles and classes are 64-bit hashes. Defined cases: null texts and texts without
+Shingles and classes are 64-bit hashes, keys have 48 bits. Defined cases: null texts and texts without
 words have no set and are their own component; fewer words than a shingle are one
 shingle; rows with equal ids are rows of their own; a null id is never the smallest
 unless alone; an empty table gives an empty one; other columns are not read.
@@ -139,7 +141,7 @@ def words_of(shingles: np.ndarray, words: int, seed: int) -> tuple[np.ndarray, n
 
 
 def join_keys(shingles: np.ndarray, bands: Bands, seed: int) -> np.ndarray:
-    """The 64-bit keys of a set: its sketch words in all its bands."""
+    """The keys of a set, of ``KEY_BITS`` bits: its sketch words in all its bands."""
     keys = []
     for band in bands.of(len(shingles)):
         _, words, spare = bands.words(band)
@@ -149,16 +151,34 @@ def join_keys(shingles: np.ndarray, bands: Bands, seed: int) -> np.ndarray:
             place, row = np.concatenate([place, empty]), np.concatenate([row, np.zeros(len(empty), np.uint64)])
         h = (row + np.uint64(seed + 1)) * MIX
         h = (h ^ (h >> np.uint64(29)) ^ (place << np.uint64(20)) ^ np.uint64(band)) * np.uint64(0x94D049BB133111EB)
-        keys.append(h ^ (h >> np.uint64(32)))
+        keys.append((h ^ (h >> np.uint64(32))) >> np.uint64(64 - KEY_BITS))
     return np.unique(np.concatenate(keys)).view(np.int64) if keys else np.empty(0, np.int64)
 
 
 FEW_KEYS = 32
+KEY_BITS = 48  # equal keys of unequal words cost a comparison, no more
 SCANNED = "doc_id bigint, n_shingles bigint, class bigint, sketch binary, bucket bigint, key bigint, packed binary"
 
 
+def packed(pairs: np.ndarray) -> bytes:
+    """Pairs of a key and a class, ascending by key: the steps from key to key and the classes, byte by byte, by zstd.
+
+    In front stands the number of pairs.
+    """
+    columns = [np.diff(pairs[:, 0], prepend=np.int64(0)), np.ascontiguousarray(pairs[:, 1])]
+    data = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
+    return len(pairs).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    plain = np.frombuffer(pa.decompress(memoryview(data)[8:], 16 * n, codec="zstd", asbytes=True), np.uint8)
+    steps, owner = (np.ascontiguousarray(part.reshape(8, -1).T).view(np.int64).ravel() for part in np.split(plain, 2))
+    return np.stack([np.cumsum(steps), owner], axis=1)
+
+
 def _scanned(k: int, percent: int, buckets: int, crowd: int):
-    """A row for each document, and the keys of its slice, packed by bucket: 8 bytes of key and 8 of class each.
+    """A row for each document, and the keys of its slice with their classes, packed by bucket, which is a range of keys.
 
     Keys that ``crowd`` classes of a slice share go out as rows of their own; one
     class of them stays in the packed form, so that other slices meet it. The shingles
@@ -189,12 +209,9 @@ def _scanned(k: int, percent: int, buckets: int, crowd: int):
             keep[first] = True
             yield _rows(int(crowded.sum()), key=key[crowded], **{"class": owner[crowded]})
             key, owner = key[keep], owner[keep]
-            bucket = (key.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            pairs = np.stack([key[order], owner[order]], axis=1)
-            names, starts = np.unique(bucket[order], return_index=True)
-            parts = np.split(pairs, starts[1:]) if len(names) else []
-            yield _rows(len(names), bucket=names, packed=[p.tobytes() for p in parts])
+            names, starts = np.unique(key // -(-(1 << KEY_BITS) // buckets), return_index=True)
+            parts = np.split(np.stack([key, owner], axis=1), starts[1:]) if len(names) else []
+            yield _rows(len(names), bucket=names, packed=[packed(p) for p in parts])
 
     return scan
 
@@ -219,19 +236,21 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a partition of packed keys, those held by two classes or more; one bucket in memory at a time."""
 
     def shared(parts: list[np.ndarray]) -> pa.RecordBatch:
-        pairs = np.unique(np.concatenate(parts), axis=0) if parts else np.empty((0, 2), np.int64)
-        _, inverse, often = np.unique(pairs[:, 0], return_inverse=True, return_counts=True)
-        pairs = pairs[often[inverse] > 1]
+        pairs = np.concatenate(parts) if parts else np.empty((0, 2), np.int64)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        pairs = pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))[: len(pairs)]]
+        same = np.append(False, pairs[1:, 0] == pairs[:-1, 0])[: len(pairs)]
+        pairs = pairs[same | np.append(same[1:], False)[: len(pairs)]]
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["key", "class"])
 
     current, parts = None, []
     for rows in batches:
-        for bucket, packed in zip(rows.column("bucket").to_pylist(), rows.column("packed").to_pylist(), strict=True):
+        for bucket, data in zip(rows.column("bucket").to_pylist(), rows.column("packed").to_pylist(), strict=True):
             if bucket != current and parts:
                 yield shared(parts)
                 parts = []
             current = bucket
-            parts.append(np.frombuffer(packed, np.int64).reshape(-1, 2))
+            parts.append(unpacked(data))
     yield shared(parts)
 
 
@@ -270,10 +289,11 @@ def _close(percent: int):
     return close
 
 
-def _near_in_keys(percent: int):
+def _near_in_keys(percent: int, closest: bool):
     """Reads a partition sorted by key and two blocks of its classes; holds the sketches of these at a time.
 
-    Of two different blocks only pairs across them come out.
+    Of two different blocks only pairs across them come out. With ``closest`` it is each component's pair with the
+    closest sketches alone: no more pairs than components.
     """
 
     def near(
@@ -294,15 +314,27 @@ def _near_in_keys(percent: int):
             differ = np.bitwise_count(bits[part, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64)
             small, large = np.minimum(n[part, None], n[None, :]), np.maximum(n[part, None], n[None, :])
             ok = (differ * (100 + percent) <= (100 - percent) * (small + large)) & (100 * small >= percent * large)
-            ok &= (comp[part, None] != comp[None, :]) & (name[part, None] < name[None, :])
+            ok &= comp[part, None] != comp[None, :]
             if across:
                 ok &= block[part, None] != block[None, :]
-            i, j = np.nonzero(ok)
+            if closest:
+                far = np.where(ok, differ / (small + large), np.inf)
+                j = far.argmin(axis=1)
+                i = np.flatnonzero(ok.any(axis=1))
+                found.append((i + at, j[i], far[i, j[i]]))
+                continue
+            i, j = np.nonzero(ok & (name[part, None] < name[None, :]))
             first = [
                 keys[x + at] is None or keys[y] is None or min(keys[x + at] & keys[y]) == key
                 for x, y in zip(i.tolist(), j.tolist(), strict=True)
             ]
             found.append((name[(i + at)[first]], name[j[first]]))
+        if closest:
+            i, j, far = (np.concatenate(f) for f in zip(*found, strict=True))
+            order = np.lexsort((far, comp[i]))
+            _, first = np.unique(comp[i][order], return_index=True)
+            a, b = name[i[order][first]], name[j[order][first]]
+            return np.minimum(a, b), np.maximum(a, b)
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,16 +373,17 @@ class _Classes:
         own = texts(self.docs).join(written(chosen).hint("merge"), F.col("doc_id").eqNullSafe(F.col("id"))).select("class", "text")
         return written(own.mapInArrow(_of_class(self.k), "class bigint, text string").dropDuplicates(["class"]))
 
-    def within_keys(self, rows: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    def within_keys(self, rows: DataFrame, blocks: DataFrame | None = None, closest: bool = False) -> DataFrame:
         """Pairs of classes of one key, in different components, whose sketches are close enough.
 
         ``blocks`` (key, blocks) says into how many blocks a key's classes are dealt; each two
-        blocks meet in a group of their own. Without it a key is one block.
+        blocks meet in a group of their own. Without it a key is one block. ``closest``: of each key, each component's
+        closest pair alone.
         """
         # Of the keys that a pair shares, the smallest one gives it. A long text has many keys, and each of its rows
         # would carry them all: it goes without, and gives a pair once for each key they share.
         keys = rows.groupBy("class").agg(F.collect_list("key").alias("keys"))
-        keys = keys.withColumn("keys", F.when(F.size("keys") <= FEW_KEYS, F.col("keys")))
+        keys = keys.withColumn("keys", F.when((F.size("keys") <= FEW_KEYS) & F.lit(not closest), F.col("keys")))
         known = written(self.marks.select("class", "n", "sketch").join(keys.hint("merge"), "class"))
         marked = rows.join(known.hint("merge"), "class")
         parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
@@ -363,7 +396,7 @@ class _Classes:
         groups = ["key", "low", "high"]
         columns = [*groups, "class", "comp", "n", "block", "sketch", "keys"]
         sorted_ = marked.select(*columns).repartition(parts, *groups).sortWithinPartitions(*groups)
-        return sorted_.mapInArrow(_near_in_keys(self.percent), "a bigint, b bigint")
+        return sorted_.mapInArrow(_near_in_keys(self.percent, closest), "a bigint, b bigint")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Of distinct pairs of classes, those that link; written."""
@@ -406,8 +439,21 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return pairs.filter("comp_a <> comp_b").select("a", "b")
 
 
+def _mixed_keys(members: DataFrame, comps: DataFrame, level: int, group: int) -> DataFrame:
+    """key, class and comp of the keys whose classes are not yet all in one component, and whether they are ``large``."""
+    placed = members.join(comps.select(F.col("node").alias("class"), "comp").hint("merge"), "class", "left")
+    placed = written(placed.withColumn("comp", F.coalesce("comp", "class")))
+    sizes = placed.groupBy("key").agg(
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"),
+        F.bit_xor(F.xxhash64("class")).alias("members"),
+    )
+    # At level 1 two classes have met in their star, or are together; refined keys have none. Keys with the same classes say the same.
+    mixed = sizes.filter(f"low <> high AND size > {2 if level == 1 else 1}").groupBy("members", "size").agg(F.min("key").alias("key"))
+    return placed.join(written(mixed.select("key", (F.col("size") > group).alias("large"))).hint("merge"), "key")
+
+
 def near_copies(
-    docs: DataFrame, k: int = 4, percent: int = 85, group: int = 2000, levels: int = 4
+    docs: DataFrame, k: int = 4, percent: int = 85, group: int = 2000, levels: int = 4, rounds: int = 3
 ) -> tuple[DataFrame, DataFrame]:
     """All rows with n_shingles and class (null without words), and each linked class's component."""
     spark = docs.sparkSession
@@ -415,8 +461,8 @@ def near_copies(
     buckets = 4 * spread_parts(spark, size, 32 << 20)
     scanned = written(texts(docs).mapInArrow(_scanned(k, percent, buckets, 16), SCANNED))
     rows = scanned.filter("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "class", "sketch")
-    packed = scanned.filter("packed IS NOT NULL").select("bucket", "packed")
-    shared = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_keys, "key bigint, class bigint")
+    by_bucket = scanned.filter("packed IS NOT NULL").select("bucket", "packed")
+    shared = by_bucket.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_keys, "key bigint, class bigint")
     crowded = scanned.filter("key IS NOT NULL").select("key", "class")
     members = written(shared.unionByName(crowded).distinct())
 
@@ -435,17 +481,18 @@ def near_copies(
         comps = written(components(links))
 
     for level in range(1, levels + 1):
-        # Keys whose classes are not yet all in one component.
-        placed = members.join(comps.select(F.col("node").alias("class"), "comp").hint("merge"), "class", "left")
-        placed = written(placed.withColumn("comp", F.coalesce("comp", "class")))
-        sizes = placed.groupBy("key").agg(
-            F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"),
-            F.bit_xor(F.xxhash64("class")).alias("members"),
-        )
-        # At level 1 two classes have met in their star, or are together; refined keys have none. Keys with the same classes say the same.
-        mixed = sizes.filter(f"low <> high AND size > {2 if level == 1 else 1}").groupBy("members", "size").agg(F.min("key").alias("key"))
-        mixed = written(mixed.select("key", (F.col("size") > group).alias("large")))
-        open_ = placed.join(mixed.hint("merge"), "key")
+        open_ = _mixed_keys(members, comps, level, group)
+        # While there are links among the closest pairs, those join most of what is one component.
+        for _ in range(rounds):
+            near = classes.within_keys(open_.filter("NOT large").select("key", "class", "comp"), closest=True).distinct()
+            near = written(near.join(tried.hint("merge"), ["a", "b"], "left_anti"))
+            more = classes.links(near)
+            tried = tried.unionByName(near)
+            if more.isEmpty():
+                break
+            links = links.unionByName(more)
+            comps = written(components(links))
+            open_ = _mixed_keys(members, comps, level, group)
         apart = classes.within_keys(open_.filter("NOT large").select("key", "class", "comp"))
         if level == levels:  # what no sketch could split: blocks of a key against each other, only close pairs come out
             rest = open_.filter("large").select("key", "class", "comp")

@@ -85,13 +85,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str | None = None) -> DataFrame:
     """The same rows, written to the scratch folder once and read back from there.
 
     For what is dear to compute and used more than once, and to end a lineage that
     would grow with each round. Lost executors do not lose it, its size is known to
-    the planner, and each later use reads only the columns it needs.
+    the planner, and each later use reads only the columns it needs. ``compression`` is
+    for tables that hold whole texts; without it the session's own is used.
     """
     path = scratch_path(df.sparkSession, "atticsweep")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,6 +1,8 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import text_helpers as H
 
@@ -157,3 +159,51 @@ def test_near_copies_with_a_common_opening(spark):
         rows += [(2 * i, " ".join(own), "en", "s", 0), (2 * i + 1, " ".join([*own, "more"]), "en", "s", 0)]
     got = H.result(jaccard_join.near_copy_components(H.frame(spark, rows), group=3))
     assert got == links(rows) and {c for *_, c in got} == set(range(0, 600, 2))
+
+
+def test_closest_pairs_of_components():
+    """Of a key's classes that are all close, each component gives its closest pair alone."""
+    n = 60
+    bits = np.zeros((n, 64), np.uint8)
+    bits[:, : n // 8] = np.random.default_rng(2).integers(0, 2, (n, n // 8))
+    columns = {"key": [5] * n, "low": [0] * n, "high": [0] * n, "class": range(n), "comp": [i // 3 for i in range(n)], "n": [100] * n, "block": [0] * n}
+    arrays = [pa.array(c, pa.int64()) for c in columns.values()]
+    arrays += [pa.array([b.tobytes() for b in np.packbits(bits, axis=1)]), pa.array([None] * n, pa.list_(pa.int64()))]
+    rows = pa.RecordBatch.from_arrays(arrays, names=[*columns, "sketch", "keys"])
+    every = [p for b in jaccard_join._near_in_keys(85, False)(iter([rows])) for p in zip(*b.to_pydict().values(), strict=True)]
+    few = [p for b in jaccard_join._near_in_keys(85, True)(iter([rows])) for p in zip(*b.to_pydict().values(), strict=True)]
+    assert len(every) == n * (n - 3) // 2 and len(few) <= n // 3 and set(few) <= set(every)
+    for c in range(n // 3):
+        own = [int((bits[a] != bits[b]).sum()) for a, b in every if c in (a // 3, b // 3)]
+        assert min(own) in [int((bits[a] != bits[b]).sum()) for a, b in few if c in (a // 3, b // 3)]
+
+
+def test_group_of_near_copies_by_rounds(spark):
+    """Copies around the threshold: the same components whether the closest pairs come first or all pairs at once."""
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for at in rng.choice(80, 2, replace=False):
+            words[at] = f"x{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets = [{tuple(t.split()[j : j + 4]) for j in range(77)} for _, t in rows]
+    comp = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both) and comp[i] != comp[j]:
+                comp = [min(comp[i], comp[j]) if c in (comp[i], comp[j]) else c for c in comp]
+    for rounds in (0, 3):
+        got = {r.doc_id: r.component_id for r in jaccard_join.near_copy_components(docs, rounds=rounds).collect()}
+        assert got == dict(enumerate(comp))
+
+
+def test_packed_keys():
+    rng = np.random.default_rng(3)
+    pairs = np.stack([np.sort(rng.integers(0, 1 << 48, 4000) // 200), rng.integers(-(1 << 62), 1 << 62, 4000)], axis=1)
+    data = jaccard_join.packed(pairs)
+    assert (jaccard_join.unpacked(data) == pairs).all() and len(data) < 13 * len(pairs)
+    assert len(jaccard_join.unpacked(jaccard_join.packed(pairs[:0]))) == 0
