@@ -53,7 +53,7 @@ def scan_all(inputs: Inputs, opts: ScanOptions, scans: list[str] | None = None)
         hits = [rowlocal.hits(findings).alias("hits")] if findings else []
         tagged = written(prune.listed(tagged, inv, opts, blocked).select(*columns, *hits))
         if findings:
-            parts.append(rowlocal.split_hits(tagged))
+            parts.append(rowlocal.split_hits(tagged, findings))
         parts += _pointing(tagged, inputs, opts, pointing)
     # Folder rows of the inventory are read from their own table where a scan wants nothing else.
     rest = [s for s in scans if s not in one_pass and s not in POINTING]

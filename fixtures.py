@@ -168,14 +168,17 @@ def select(spark: SparkSession, sf_dir: str, recipe: str, query: str) -> DataFra
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table, written once per session and read back, as an ingested inventory would be."""
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], spread: bool = True) -> DataFrame:
+    """A derived table, written once per session and read back, as an ingested inventory would be.
+
+    ``spread`` deals its rows out evenly, unless they come from a table that was.
+    """
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
         path = scratch_path(spark, name)
         df = build()
-        if spark.sparkContext.master.startswith("local"):
-            # One small file would leave all but one core idle.
+        if spread:
+            # The given tables may be one small file each, which would leave all but one core idle.
             df = df.repartition(spark.sparkContext.defaultParallelism)
         df.write.parquet(path)
         _STORED[key] = path
