@@ -453,7 +453,9 @@ def deletion_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def inventory_after_plan(spark: SparkSession, sf_dir: str, opts: att.ScanOptions = OPTS) -> DataFrame:
     plan = att.deletion_plan(file_results(spark, sf_dir, PLANNED))
-    return att.apply_plan(file_inventory(spark, sf_dir), plan, opts).select("full_path", "is_directory", "size_bytes")
+    # What is asked for is chosen first: a large plan is swept together with all columns that it is given.
+    rows = file_inventory(spark, sf_dir).select("root_id", "full_path", "is_directory", "size_bytes")
+    return att.apply_plan(rows, plan, opts).drop("root_id")
 
 
 def freed_bytes(spark: SparkSession, sf_dir: str, opts: att.ScanOptions = OPTS) -> DataFrame:

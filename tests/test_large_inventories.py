@@ -42,3 +42,9 @@ def test_a_summary_does_not_work_out_details(spark):
     assert sorted((r["scanner"], r["detail"]) for r in found.collect()) == [("temp_files", "Temp extension (.tmp)"), ("zero_length_files", ".tmp")]
     files = found.inputFiles()
     assert dict(spark.read.parquet(*files).dtypes)["hits"] == "array<int>"
+
+
+def test_a_large_plan_moves_the_columns_asked_for(spark):
+    after = queries.inventory_after_plan(spark, queries.SMOKE_DIR, queries.LARGE)
+    kept = spark.read.parquet(*after.inputFiles()).columns
+    assert {"full_path", "is_directory", "size_bytes"} <= set(kept) and not {"modified", "link_target", "name"} & set(kept)
