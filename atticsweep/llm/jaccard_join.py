@@ -47,7 +47,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atticsweep.llm.common import first_of, numbered, rows_of, spread_parts, texts
-from atticsweep.llm.components import components
+from atticsweep.llm.components import FEW_BYTES, components, joined
+from atticsweep.operators.lookup import settled
 from atticsweep.session import written
 
 MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -156,6 +157,7 @@ def join_keys(shingles: np.ndarray, bands: Bands, seed: int) -> np.ndarray:
 
 
 FEW_KEYS = 32
+PAIRS_A_ROW = 8  # keys with no more pairs than that for each of their rows are compared in one go
 KEY_BITS = 48  # equal keys of unequal words cost a comparison, no more
 SCANNED = "doc_id bigint, n_shingles bigint, class bigint, sketch binary, bucket bigint, key bigint, packed binary"
 
@@ -369,8 +371,9 @@ class _Classes:
 
     def texts(self, wanted: DataFrame) -> DataFrame:
         """``class`` and ``text`` for the classes in column ``class``; written."""
-        chosen = self.marks.select("class", "id").join(wanted.distinct().hint("merge"), "class", "left_semi")
-        own = texts(self.docs).join(written(chosen).hint("merge"), F.col("doc_id").eqNullSafe(F.col("id"))).select("class", "text")
+        chosen = self.marks.select("class", "id").join(settled(wanted.distinct(), FEW_BYTES).hinted(), "class", "left_semi")
+        # While few are wanted, no other text moves.
+        own = texts(self.docs).join(settled(chosen, FEW_BYTES).hinted(), F.col("doc_id").eqNullSafe(F.col("id"))).select("class", "text")
         return written(own.mapInArrow(_of_class(self.k), "class bigint, text string").dropDuplicates(["class"]))
 
     def within_keys(self, rows: DataFrame, blocks: DataFrame | None = None, closest: bool = False) -> DataFrame:
@@ -406,6 +409,8 @@ class _Classes:
         )
         near = 100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")
         close = written(pairs.join(a, "a").join(b, "b").filter(near).mapInArrow(_close(self.percent), "a bigint, b bigint"))
+        if close.isEmpty():
+            return close
         own = self.texts(close.select(F.col("a").alias("class")).unionByName(close.select(F.col("b").alias("class"))))
         left, right = (own.select(F.col("class").alias(c), F.col("text").alias(f"text_{c}")).hint("merge") for c in ("a", "b"))
         both = close.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -433,15 +438,16 @@ def _refined(k: int, percent: int, seed: int):
 
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes in different components."""
+    known = settled(comps, FEW_BYTES)
     for c in ("a", "b"):
-        own = comps.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}")).hint("merge")
+        own = known.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}")).hinted()
         pairs = pairs.join(own, c, "left").withColumn(f"comp_{c}", F.coalesce(f"comp_{c}", c))
     return pairs.filter("comp_a <> comp_b").select("a", "b")
 
 
 def _mixed_keys(members: DataFrame, comps: DataFrame, level: int, group: int) -> DataFrame:
-    """key, class and comp of the keys whose classes are not yet all in one component, and whether they are ``large``."""
-    placed = members.join(comps.select(F.col("node").alias("class"), "comp").hint("merge"), "class", "left")
+    """key, class and comp of the keys whose classes are not yet all in one component, their ``size``, and whether they are ``large``; written."""
+    placed = members.join(settled(comps, FEW_BYTES).select(F.col("node").alias("class"), "comp").hinted(), "class", "left")
     placed = written(placed.withColumn("comp", F.coalesce("comp", "class")))
     sizes = placed.groupBy("key").agg(
         F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"),
@@ -449,7 +455,14 @@ def _mixed_keys(members: DataFrame, comps: DataFrame, level: int, group: int) ->
     )
     # At level 1 two classes have met in their star, or are together; refined keys have none. Keys with the same classes say the same.
     mixed = sizes.filter(f"low <> high AND size > {2 if level == 1 else 1}").groupBy("members", "size").agg(F.min("key").alias("key"))
-    return placed.join(written(mixed.select("key", (F.col("size") > group).alias("large"))).hint("merge"), "key")
+    return written(placed.join(settled(mixed.select("key", "size", (F.col("size") > group).alias("large")), FEW_BYTES).hinted(), "key"))
+
+
+def _load(open_: DataFrame) -> tuple[int, int, int]:
+    """Of keys not ``large``, their rows and the pairs within them; the rows of large keys."""
+    large = F.col("large")
+    row = open_.agg(F.count_if(~large), F.sum(F.when(~large, F.col("size") - 1)), F.count_if(large)).first()
+    return row[0], (row[1] or 0) // 2, row[2]
 
 
 def near_copies(
@@ -472,40 +485,40 @@ def near_copies(
     stars = written(stars)
     # First one star for each class; of the others, only those between classes that are still apart.
     tried = written(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = classes.links(tried)
-    comps = written(components(links))
+    comps = written(components(classes.links(tried)))
     open_stars = written(_apart(stars.join(tried.hint("merge"), ["a", "b"], "left_anti"), comps))
     if not open_stars.isEmpty():
         tried = tried.unionByName(open_stars)
-        links = links.unionByName(classes.links(open_stars))
-        comps = written(components(links))
+        comps = joined(comps, classes.links(open_stars))
 
     for level in range(1, levels + 1):
         open_ = _mixed_keys(members, comps, level, group)
+        few, pairs, many = _load(open_)
         # While there are links among the closest pairs, those join most of what is one component.
         for _ in range(rounds):
+            if pairs <= PAIRS_A_ROW * few:
+                break
             near = classes.within_keys(open_.filter("NOT large").select("key", "class", "comp"), closest=True).distinct()
             near = written(near.join(tried.hint("merge"), ["a", "b"], "left_anti"))
             more = classes.links(near)
             tried = tried.unionByName(near)
             if more.isEmpty():
                 break
-            links = links.unionByName(more)
-            comps = written(components(links))
+            comps = joined(comps, more)
             open_ = _mixed_keys(members, comps, level, group)
-        apart = classes.within_keys(open_.filter("NOT large").select("key", "class", "comp"))
-        if level == levels:  # what no sketch could split: blocks of a key against each other, only close pairs come out
-            rest = open_.filter("large").select("key", "class", "comp")
-            blocks = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(group)).alias("blocks"))
-            apart = apart.unionByName(classes.within_keys(rest, blocks))
-        apart = apart.distinct()
-        apart = written(apart.join(tried.hint("merge"), ["a", "b"], "left_anti"))
-        if not apart.isEmpty():
-            tried = tried.unionByName(apart)
-            links = links.unionByName(classes.links(apart))
-            comps = written(components(links))
+            few, pairs, many = _load(open_)
+        if few or (many and level == levels):
+            apart = classes.within_keys(open_.filter("NOT large").select("key", "class", "comp"))
+            if many and level == levels:  # what no sketch could split: blocks of a key against each other, only close pairs come out
+                rest = open_.filter("large").select("key", "class", "comp")
+                blocks = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(group)).alias("blocks"))
+                apart = apart.unionByName(classes.within_keys(rest, blocks))
+            apart = written(apart.distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"))
+            if not apart.isEmpty():
+                tried = tried.unionByName(apart)
+                comps = joined(comps, classes.links(apart))
         large = open_.filter("large")
-        if level == levels or large.isEmpty():
+        if level == levels or not many:
             break
         # A class's crowded keys: at most its number of words.
         keyed = large.groupBy("class").agg(F.collect_list("key").alias("keys"))

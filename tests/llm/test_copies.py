@@ -1,11 +1,15 @@
 import hashlib
+import random
 from collections import Counter, defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pytest
 import text_helpers as H
+from pyspark.sql import DataFrame
 
+from atticsweep.llm import components as component_links
 from atticsweep.llm import exact_dedup, jaccard_join, substring_dedup
 from atticsweep.llm.components import components
 
@@ -207,3 +211,17 @@ def test_packed_keys():
     data = jaccard_join.packed(pairs)
     assert (jaccard_join.unpacked(data) == pairs).all() and len(data) < 13 * len(pairs)
     assert len(jaccard_join.unpacked(jaccard_join.packed(pairs[:0]))) == 0
+
+
+@pytest.mark.parametrize("few_bytes", [0, 1 << 20])
+def test_components_joined_step_by_step(spark, monkeypatch, few_bytes):
+    monkeypatch.setattr(component_links, "FEW_BYTES", few_bytes)
+    rng = random.Random(5)
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
+    frames = [spark.createDataFrame([p for p in part if p[0] != p[1]], "a bigint, b bigint") for part in (links[:20], links[20:30], links[30:])]
+    comps = components(frames[0])
+    for more in frames[1:]:
+        comps = component_links.joined(comps, more)
+    whole = {r["node"]: r["comp"] for r in components(reduce(DataFrame.unionByName, frames)).collect()}
+    rows = comps.collect()
+    assert len(rows) == len(whole) and {r["node"]: r["comp"] for r in rows} == whole
