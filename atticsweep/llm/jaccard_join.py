@@ -42,6 +42,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -160,6 +161,7 @@ FEW_KEYS = 32
 PAIRS_A_ROW = 8  # keys with no more pairs than that for each of their rows are compared in one go
 KEY_BITS = 48  # equal keys of unequal words cost a comparison, no more
 SCANNED = "doc_id bigint, n_shingles bigint, class bigint, sketch binary, bucket bigint, key bigint, packed binary"
+MET = SCANNED.replace("bucket bigint, ", "").replace(", packed binary", "")
 
 
 def packed(pairs: np.ndarray) -> bytes:
@@ -184,11 +186,18 @@ def _scanned(k: int, percent: int, buckets: int, crowd: int):
 
     Keys that ``crowd`` classes of a slice share go out as rows of their own; one
     class of them stays in the packed form, so that other slices meet it. The shingles
-    of a text are made once for all of this.
+    of a text are made once for all of this. Rows that are not packed are dealt to the
+    buckets in turn, wherever their keys are.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
+        bands, turn = Bands(percent), 0
+
+        def in_turn(n: int) -> np.ndarray:
+            nonlocal turn
+            turn = (turn + n) % buckets
+            return (turn + np.arange(n)) % buckets
+
         for rows in rows_of(batches, 16 << 20):
             done, keys, owners, sizes, classes, sketches = set(), [], [], [], [], []
             for text in rows.column("text").to_pylist():
@@ -203,13 +212,15 @@ def _scanned(k: int, percent: int, buckets: int, crowd: int):
                 found = join_keys(shingles, bands, 0)
                 keys.append(found)
                 owners.append(np.full(len(found), own))
-            yield _rows(len(sizes), doc_id=rows.column("doc_id"), n_shingles=sizes, **{"class": classes}, sketch=sketches)
+            turn += (classes[0] or 0) % buckets  # small partitions do not all begin at one bucket
+            yield _rows(len(sizes), doc_id=rows.column("doc_id"), n_shingles=sizes, **{"class": classes}, sketch=sketches, bucket=in_turn(len(sizes)))
             key, owner = _sorted(keys, owners)
             _, first, often = np.unique(key, return_index=True, return_counts=True)
             crowded = np.repeat(often >= crowd, often)
             keep = ~crowded
             keep[first] = True
-            yield _rows(int(crowded.sum()), key=key[crowded], **{"class": owner[crowded]})
+            many = int(crowded.sum())
+            yield _rows(many, key=key[crowded], **{"class": owner[crowded]}, bucket=in_turn(many))
             key, owner = key[keep], owner[keep]
             names, starts = np.unique(key // -(-(1 << KEY_BITS) // buckets), return_index=True)
             parts = np.split(np.stack([key, owner], axis=1), starts[1:]) if len(names) else []
@@ -226,8 +237,8 @@ def _sorted(keys: list[np.ndarray], owners: list[np.ndarray]) -> tuple[np.ndarra
     return key[order], owner[order]
 
 
-def _rows(n: int, **columns) -> pa.RecordBatch:
-    fields = [f.split() for f in SCANNED.split(", ")]
+def _rows(n: int, schema: str = SCANNED, **columns) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
     return pa.RecordBatch.from_arrays(
         [pa.array(columns.get(name, [None] * n), pa.int64() if kind == "bigint" else pa.binary()) for name, kind in fields],
         names=[name for name, _ in fields],
@@ -235,7 +246,7 @@ def _rows(n: int, **columns) -> pa.RecordBatch:
 
 
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition of packed keys, those held by two classes or more; one bucket in memory at a time."""
+    """Of a partition's packed keys, those held by two classes or more; one bucket in memory at a time. Other rows pass."""
 
     def shared(parts: list[np.ndarray]) -> pa.RecordBatch:
         pairs = np.concatenate(parts) if parts else np.empty((0, 2), np.int64)
@@ -243,10 +254,13 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))[: len(pairs)]]
         same = np.append(False, pairs[1:, 0] == pairs[:-1, 0])[: len(pairs)]
         pairs = pairs[same | np.append(same[1:], False)[: len(pairs)]]
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["key", "class"])
+        return _rows(len(pairs), MET, key=pairs[:, 0], **{"class": pairs[:, 1]})
 
     current, parts = None, []
     for rows in batches:
+        held = rows.column("packed").is_valid()
+        yield rows.filter(pc.invert(held)).select([f.split()[0] for f in MET.split(", ")])
+        rows = rows.filter(held)
         for bucket, data in zip(rows.column("bucket").to_pylist(), rows.column("packed").to_pylist(), strict=True):
             if bucket != current and parts:
                 yield shared(parts)
@@ -472,12 +486,11 @@ def near_copies(
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 4 * spread_parts(spark, size, 32 << 20)
-    scanned = written(texts(docs).mapInArrow(_scanned(k, percent, buckets, 16), SCANNED))
-    rows = scanned.filter("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "class", "sketch")
-    by_bucket = scanned.filter("packed IS NOT NULL").select("bucket", "packed")
-    shared = by_bucket.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_keys, "key bigint, class bigint")
-    crowded = scanned.filter("key IS NOT NULL").select("key", "class")
-    members = written(shared.unionByName(crowded).distinct())
+    # Packed keys are larger than the texts at hand: they go to their buckets at once, and only what they share is written.
+    scanned = texts(docs).mapInArrow(_scanned(k, percent, buckets, 16), SCANNED)
+    met = written(scanned.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_keys, MET))
+    rows = met.filter("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "class", "sketch")
+    members = written(met.filter("key IS NOT NULL").select("key", "class").distinct())
 
     classes = _Classes(docs, rows, members, k, percent)
     least = members.groupBy("key").agg(F.min("class").alias("a"))

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 from functools import reduce
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from atticsweep.llm import components as component_links
 from atticsweep.llm import exact_dedup, jaccard_join, substring_dedup
 from atticsweep.llm.components import components
+from atticsweep.session import Workspace
 
 
 def test_exact_groups(docs, rows, empty):
@@ -36,6 +38,18 @@ def test_exact_copies_go_with_all_columns_kept(docs, rows):
     assert {r.doc_id for r in left.select("doc_id").collect()} == {k[0] for k in kept}
 
 
+def test_keys_of_near_copies_are_not_stored(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"{rng.getrandbits(32):x}" for _ in range(500))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    with Workspace(spark) as work:
+        got, _ = jaccard_join.near_copies(docs)
+    assert got.count() == len(rows)
+    stored = sum(p.stat().st_size for p in Path(work.folder).rglob("*.parquet"))
+    work.remove()
+    assert stored < 0.2 * sum(len(text) for _, text in rows)  # sketches and small tables; keys alone are 0.35
+
+
 def links(rows, k=4, percent=85):
     sets = []
     for doc_id, text, *_ in rows:
