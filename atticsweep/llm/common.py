@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,7 +42,22 @@ def remainder(doc_id: Column, divisor: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(divisor)
 
 
-def rows_of(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+SLICE_BYTES = 8 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs within it hands rows to Python in batches of about a slice (by default 64 MB, of which executors hold several)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(name)
+    spark.conf.set(name, str(SLICE_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
+
+
+def rows_of(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices of about ``limit`` bytes, so that memory follows the longest text, not the batch."""
     for batch in batches:
         if not batch.num_rows:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from atticsweep.llm.common import rows_of, spread_parts, texts
+from atticsweep.llm.common import rows_of, small_batches, spread_parts, texts
 from atticsweep.session import written
 
 KEY = ["doc_id", "text_key"]
@@ -306,8 +306,9 @@ def remove_repeats(docs: DataFrame, k: int = 35, m: int = 6, hot: int = 1000) ->
 
 def removal_digests(docs: DataFrame, **settings: int) -> DataFrame:
     """Per row: doc_id, n_words, n_removed and the SHA-256 of the words kept, joined by one space."""
-    kept, scanned = remove_repeats(docs, **settings)
-    changed = written(kept.select(*KEY, "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")))
+    with small_batches(docs.sparkSession):
+        kept, scanned = remove_repeats(docs, **settings)
+        changed = written(kept.select(*KEY, "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")))
     same = [F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), F.col("a.text_key") == F.col("b.text_key")]
     others = scanned.alias("a").join(changed.hint("merge").alias("b"), same, "left_anti").select(
         "doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), F.col("sha").alias("kept_sha256")
@@ -317,8 +318,9 @@ def removal_digests(docs: DataFrame, **settings: int) -> DataFrame:
 
 def without_repeats(docs: DataFrame, **settings: int) -> DataFrame:
     """The rows of ``docs``, with all their columns; texts with repeats become the words kept, joined by one space."""
-    kept, _ = remove_repeats(docs, **settings)
-    new = written(kept.select(*KEY, "kept").dropDuplicates(KEY))
+    with small_batches(docs.sparkSession):
+        kept, _ = remove_repeats(docs, **settings)
+        new = written(kept.select(*KEY, "kept").dropDuplicates(KEY))
     own = docs.alias("a")  # no column is added, so none can clash
     key = F.xxhash64(F.coalesce("a.text", F.lit("")))
     same = [F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), key == F.col("b.text_key")]

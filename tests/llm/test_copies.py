@@ -50,6 +50,30 @@ def test_keys_of_near_copies_are_not_stored(spark):
     assert stored < 0.2 * sum(len(text) for _, text in rows)  # sketches and small tables; keys alone are 0.35
 
 
+def test_texts_come_to_repeats_in_small_batches(spark, monkeypatch):
+    scan_of = substring_dedup._scan
+
+    def scan_small(k, m):
+        scan = scan_of(k, m)
+
+        def check(batches):
+            def small():
+                for rows in batches:
+                    assert rows.nbytes < 9 << 20
+                    yield rows
+
+            return scan(small())
+
+        return check
+
+    monkeypatch.setattr(substring_dedup, "_scan", scan_small)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.range(0, 320, 1, 1).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 40), i -> repeat(cast(id * i AS string), 250)), ' ') AS text")
+    assert substring_dedup.removal_digests(docs).count() == 320
+    assert spark.conf.get(name) == before
+
+
 def links(rows, k=4, percent=85):
     sets = []
     for doc_id, text, *_ in rows:
