@@ -17,9 +17,12 @@ keys are gathered. For the rest:
 2. classes that share a key and are still in different components are compared by
    their narrow sketches, and verified if close: first, in ``rounds`` that each join the
    components anew, of each key no more than each component's closest pair, then all
-   that are still apart. Where a key has more than ``group``
-   classes, they first have to agree in a word of another sketch as well, and so on,
-   at most ``levels`` times. Keys with the same classes count once.
+   that are still apart. Keys with the same classes count once. Crowded keys that hold
+   the same classes again and again make a family, whose classes are compared once, all
+   with all. Where that would cost more than the keys by themselves, as with unrelated
+   texts that have a line in common, they stay keys; of those with more than ``group``
+   classes, these first have to agree in a word of another sketch as well, and so on,
+   at most ``levels`` times.
 
 No link between components is lost, and no key emits pairs of classes already
 together, so a large group of near copies costs one verification per member and key.
@@ -158,6 +161,9 @@ def join_keys(shingles: np.ndarray, bands: Bands, seed: int) -> np.ndarray:
 
 
 FEW_KEYS = 32
+REFINED = 40  # a class's row of a large key costs as much as so many comparisons for each shingle, as its refined keys do
+FEW_CLASSES = 64  # of so few, all pairs are compared at once
+MOST_BLOCKS, BLOCK_BYTES = 32, 8 << 20  # of a family, while its sketches allow
 PAIRS_A_ROW = 8  # keys with no more pairs than that for each of their rows are compared in one go
 KEY_BITS = 48  # equal keys of unequal words cost a comparison, no more
 SCANNED = "doc_id bigint, n_shingles bigint, class bigint, sketch binary, bucket bigint, key bigint, packed binary"
@@ -305,53 +311,106 @@ def _close(percent: int):
     return close
 
 
+def _folded(sketches: bytes, many: int, to: int) -> np.ndarray:
+    """Sketches of one length as rows of words, folded to ``to`` bytes, which keeps parities."""
+    words = np.frombuffer(sketches, np.uint64).reshape(many, -1)
+    while words.shape[1] > to // 8:
+        words = words[:, : words.shape[1] // 2] ^ words[:, words.shape[1] // 2 :]
+    return words
+
+
 def _near_in_keys(percent: int, closest: bool):
     """Reads a partition sorted by key and two blocks of its classes; holds the sketches of these at a time.
 
     Of two different blocks only pairs across them come out. With ``closest`` it is each component's pair with the
-    closest sketches alone: no more pairs than components.
+    closest sketches alone: no more pairs than components. One that has more than half of the classes waits for the others' pairs.
     """
 
     def near(
         key: int, across: bool, name: np.ndarray, comp: np.ndarray, n: np.ndarray, block: np.ndarray, sketches: list[bytes], keys: list[frozenset]
     ) -> tuple[np.ndarray, np.ndarray]:
-        least = min(map(len, sketches))
-        folded = []
-        for s in sketches:
-            x = np.frombuffer(s, np.uint8)
-            while len(x) > least:
-                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-            folded.append(x)
-        bits = np.stack(folded).view(np.uint64)
         found = []
-        step = max(1, (16 << 20) // bits.nbytes)
-        for at in range(0, len(name), step):
-            part = slice(at, at + step)
-            differ = np.bitwise_count(bits[part, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64)
-            small, large = np.minimum(n[part, None], n[None, :]), np.maximum(n[part, None], n[None, :])
-            ok = (differ * (100 + percent) <= (100 - percent) * (small + large)) & (100 * small >= percent * large)
-            ok &= comp[part, None] != comp[None, :]
+
+        def compared(part: np.ndarray, some: np.ndarray, x: np.ndarray, y: np.ndarray, once: bool) -> None:
+            """Those of ``part`` and ``some``, whose sketches' words are the columns of ``x`` and ``y``; ``once``: both are the same, and a pair counts once."""
+            if len(part) * len(some) <= 1 << 12:
+                differ = np.bitwise_count(x[:, :, None] ^ y[:, None, :]).sum(axis=0, dtype=np.int64)
+            else:
+                differ = np.zeros((len(part), len(some)), np.int32)
+                for p, q in zip(x, y, strict=True):
+                    differ += np.bitwise_count(p[:, None] ^ q[None, :])
+            small, large = np.minimum(n[part, None], n[None, some]), np.maximum(n[part, None], n[None, some])
+            ok = (differ * np.int64(100 + percent) <= (100 - percent) * (small + large)) & (100 * small >= percent * large)
+            ok &= comp[part, None] != comp[None, some]
             if across:
-                ok &= block[part, None] != block[None, :]
+                ok &= block[part, None] != block[None, some]
             if closest:
                 far = np.where(ok, differ / (small + large), np.inf)
                 j = far.argmin(axis=1)
                 i = np.flatnonzero(ok.any(axis=1))
-                found.append((i + at, j[i], far[i, j[i]]))
-                continue
-            i, j = np.nonzero(ok & (name[part, None] < name[None, :]))
-            first = [
-                keys[x + at] is None or keys[y] is None or min(keys[x + at] & keys[y]) == key
-                for x, y in zip(i.tolist(), j.tolist(), strict=True)
-            ]
-            found.append((name[(i + at)[first]], name[j[first]]))
+                found.append((part[i], some[j[i]], far[i, j[i]]))
+                return
+            if once:
+                ok &= name[part, None] < name[None, some]
+            i, j = np.nonzero(ok)
+            i, j = part[i], some[j]
+            first = [keys[x] is None or keys[y] is None or min(keys[x] & keys[y]) == key for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+            found.append((i[first], j[first], np.zeros(sum(first))))
+
+        if len(name) <= FEW_CLASSES:
+            least = min(map(len, sketches))
+            every, x = np.arange(len(name)), np.concatenate([_folded(s, 1, least) for s in sketches]).T
+            compared(every, every, x, x, not closest)
+        else:
+            order = np.argsort(n, kind="stable")  # and so by length of the sketch
+            sketches, keys = [sketches[i] for i in order], [keys[i] for i in order]
+            name, comp, n, block = name[order], comp[order], n[order], block[order]
+            width = np.array([len(x) for x in sketches])
+            start = dict(zip(*(x.tolist() for x in np.unique(width, return_index=True)), strict=True))
+            folds: dict[tuple[int, int], np.ndarray] = {}
+
+            def words(of: int, to: int, rows: np.ndarray) -> np.ndarray:
+                if (of, to) not in folds:
+                    held = [x for x in sketches if len(x) == of]
+                    folds[of, to] = np.ascontiguousarray(_folded(b"".join(held), len(held), to).T)
+                return folds[of, to][:, rows - start[of]]
+
+            def meet(left: np.ndarray, right: np.ndarray, once: bool = False) -> None:
+                """Each of ``left`` with those of ``right`` whose size allows it."""
+                step = max(1, (1 << 17) // max(1, len(right)))
+                for wide in np.unique(width[left]).tolist():
+                    rows = left[width[left] == wide]
+                    for at in range(0, len(rows), step):
+                        part = rows[at : at + step]
+                        low = np.searchsorted(n[right], -(-percent * n[part[0]] // 100))
+                        some = right[low : np.searchsorted(n[right], 100 * n[part[-1]] // percent, side="right")]
+                        for other in np.unique(width[some]).tolist():
+                            own, least = some[width[some] == other], min(wide, other)
+                            compared(part, own, words(wide, least, part), words(other, least, own), once)
+
+            names, often = np.unique(comp, return_counts=True)
+            most = comp == names[often.argmax()]
+            if closest and 2 * most.sum() <= len(most):
+                most[:] = False
+            held, rest = np.flatnonzero(most), np.flatnonzero(~most)
+            if across:
+                mine = block == block.min()
+                meet(rest[mine[rest]], np.flatnonzero(~mine))
+                if closest:
+                    meet(rest[~mine[rest]], np.flatnonzero(mine))
+                else:
+                    meet(held[mine[held]], rest[~mine[rest]])
+            elif closest:
+                meet(rest, np.arange(len(n)))
+            else:
+                meet(rest, rest, once=True)
+                meet(rest, held)
+        i, j, far = (np.concatenate([f[c] for f in found] or [np.empty(0, np.int64)]) for c in range(3))
         if closest:
-            i, j, far = (np.concatenate(f) for f in zip(*found, strict=True))
             order = np.lexsort((far, comp[i]))
             _, first = np.unique(comp[i][order], return_index=True)
-            a, b = name[i[order][first]], name[j[order][first]]
-            return np.minimum(a, b), np.maximum(a, b)
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            i, j = i[order][first], j[order][first]
+        return np.minimum(name[i], name[j]), np.maximum(name[i], name[j])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(group: tuple, held: list[tuple]) -> pa.RecordBatch:
@@ -390,11 +449,36 @@ class _Classes:
         own = texts(self.docs).join(settled(chosen, FEW_BYTES).hinted(), F.col("doc_id").eqNullSafe(F.col("id"))).select("class", "text")
         return written(own.mapInArrow(_of_class(self.k), "class bigint, text string").dropDuplicates(["class"]))
 
-    def within_keys(self, rows: DataFrame, blocks: DataFrame | None = None, closest: bool = False) -> DataFrame:
+    def families(self, open_: DataFrame, group: int, refined: int) -> DataFrame:
+        """key, class and blocks: the rows of ``open_``, with families in place of the crowded keys that make them up; written.
+
+        A family is what crowded keys join, and its key one of its classes. Its classes are to meet in ``blocks`` blocks. Families
+        for whose keys a comparison by themselves, or a refinement of large ones, costs less than all pairs stay keys.
+        """
+        crowded = written(open_.filter(F.col("size") > group // 8).select("key", "class", "size", "large"))
+        if crowded.isEmpty():
+            return open_.select("key", "class", "blocks")
+        least = crowded.groupBy("key").agg(F.min("class").alias("a"))
+        met = crowded.join(written(least).hint("merge"), "key").select("a", F.col("class").alias("b")).filter("a <> b").distinct()
+        family = components(met).select(F.col("node").alias("class"), F.col("comp").alias("family"))
+        sizes = self.marks.select("class", "n", F.octet_length("sketch").alias("width"))
+        own = written(crowded.join(written(family).hint("merge"), "class").join(sizes.hint("merge"), "class"))
+        alone = F.sum(F.when(F.col("large"), F.col("n") * refined).otherwise(F.col("size")))
+        each = own.groupBy("family", "class").agg(alone.alias("alone"), F.max("width").alias("width"))
+        whole = each.groupBy("family").agg(F.count(F.lit(1)).alias("many"), F.sum("alone").alias("alone"), F.sum("width").alias("width"))
+        blocks = F.greatest(F.least(F.ceil(F.col("many") / group), F.lit(MOST_BLOCKS)), F.ceil(F.col("width") / BLOCK_BYTES))
+        close = settled(whole.filter("many * many <= alone").select("family", blocks.cast("bigint").alias("blocks")), FEW_BYTES)
+        if close.empty:
+            return open_.select("key", "class", "blocks")
+        inside = written(own.join(close.hinted(), "family").select("family", "key", "class", "blocks"))
+        rest = open_.join(settled(inside.select("key").distinct(), FEW_BYTES).hinted(), "key", "left_anti").select("key", "class", "blocks")
+        return written(rest.unionByName(inside.select(F.col("family").alias("key"), "class", "blocks").distinct()))
+
+    def within_keys(self, rows: DataFrame, closest: bool = False) -> DataFrame:
         """Pairs of classes of one key, in different components, whose sketches are close enough.
 
-        ``blocks`` (key, blocks) says into how many blocks a key's classes are dealt; each two
-        blocks meet in a group of their own. Without it a key is one block. ``closest``: of each key, each component's
+        ``blocks`` says into how many blocks a key's classes are dealt; each two
+        blocks meet in a group of their own. Null is one block. ``closest``: of each key, each component's
         closest pair alone.
         """
         # Of the keys that a pair shares, the smallest one gives it. A long text has many keys, and each of its rows
@@ -403,13 +487,11 @@ class _Classes:
         keys = keys.withColumn("keys", F.when((F.size("keys") <= FEW_KEYS) & F.lit(not closest), F.col("keys")))
         known = written(self.marks.select("class", "n", "sketch").join(keys.hint("merge"), "class"))
         marked = rows.join(known.hint("merge"), "class")
-        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
-        if blocks is None:
-            marked = marked.withColumns(dict.fromkeys(("low", "high", "block"), F.lit(0).cast("bigint")))
-        else:
-            dealt = marked.join(blocks.hint("merge"), "key").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
-            met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-            marked = met.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = marked.withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("bigint")))
+        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+        met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        marked = met.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
         groups = ["key", "low", "high"]
         columns = [*groups, "class", "comp", "n", "block", "sketch", "keys"]
         sorted_ = marked.select(*columns).repartition(parts, *groups).sortWithinPartitions(*groups)
@@ -460,7 +542,10 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _mixed_keys(members: DataFrame, comps: DataFrame, level: int, group: int) -> DataFrame:
-    """key, class and comp of the keys whose classes are not yet all in one component, their ``size``, and whether they are ``large``; written."""
+    """key, class, blocks and comp of the keys whose classes are not yet all in one component, their ``size``, and whether they are ``large``; written.
+
+    A family, which has ``blocks``, is never large.
+    """
     placed = members.join(settled(comps, FEW_BYTES).select(F.col("node").alias("class"), "comp").hinted(), "class", "left")
     placed = written(placed.withColumn("comp", F.coalesce("comp", "class")))
     sizes = placed.groupBy("key").agg(
@@ -469,7 +554,8 @@ def _mixed_keys(members: DataFrame, comps: DataFrame, level: int, group: int) ->
     )
     # At level 1 two classes have met in their star, or are together; refined keys have none. Keys with the same classes say the same.
     mixed = sizes.filter(f"low <> high AND size > {2 if level == 1 else 1}").groupBy("members", "size").agg(F.min("key").alias("key"))
-    return written(placed.join(settled(mixed.select("key", "size", (F.col("size") > group).alias("large")), FEW_BYTES).hinted(), "key"))
+    open_ = placed.join(settled(mixed.select("key", "size"), FEW_BYTES).hinted(), "key")
+    return written(open_.withColumn("large", F.col("blocks").isNull() & (F.col("size") > group)))
 
 
 def _load(open_: DataFrame) -> tuple[int, int, int]:
@@ -480,15 +566,16 @@ def _load(open_: DataFrame) -> tuple[int, int, int]:
 
 
 def near_copies(
-    docs: DataFrame, k: int = 4, percent: int = 85, group: int = 2000, levels: int = 4, rounds: int = 3
+    docs: DataFrame, k: int = 4, percent: int = 85, group: int = 2000, levels: int = 4, rounds: int = 3, refined: int = REFINED
 ) -> tuple[DataFrame, DataFrame]:
     """All rows with n_shingles and class (null without words), and each linked class's component."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = 4 * spread_parts(spark, size, 32 << 20)
+    parts = spread_parts(spark, size, 16 << 20)
+    buckets = 4 * parts
     # Packed keys are larger than the texts at hand: they go to their buckets at once, and only what they share is written.
     scanned = texts(docs).mapInArrow(_scanned(k, percent, buckets, 16), SCANNED)
-    met = written(scanned.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_keys, MET))
+    met = written(scanned.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_keys, MET))
     rows = met.filter("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "class", "sketch")
     members = written(met.filter("key IS NOT NULL").select("key", "class").distinct())
 
@@ -504,39 +591,43 @@ def near_copies(
         tried = tried.unionByName(open_stars)
         comps = joined(comps, classes.links(open_stars))
 
+    members = members.withColumn("blocks", F.lit(None).cast("bigint"))
     for level in range(1, levels + 1):
+        open_ = _mixed_keys(members, comps, level, group)
+        members = classes.families(open_, group, refined)
         open_ = _mixed_keys(members, comps, level, group)
         few, pairs, many = _load(open_)
         # While there are links among the closest pairs, those join most of what is one component.
         for _ in range(rounds):
             if pairs <= PAIRS_A_ROW * few:
                 break
-            near = classes.within_keys(open_.filter("NOT large").select("key", "class", "comp"), closest=True).distinct()
+            near = classes.within_keys(open_.filter("NOT large").select("key", "class", "comp", "blocks"), closest=True).distinct()
             near = written(near.join(tried.hint("merge"), ["a", "b"], "left_anti"))
             more = classes.links(near)
             tried = tried.unionByName(near)
             if more.isEmpty():
                 break
             comps = joined(comps, more)
-            open_ = _mixed_keys(members, comps, level, group)
+            # Keys and families that are one component now stay so.
+            open_ = _mixed_keys(open_.select("key", "class", "blocks"), comps, level, group)
             few, pairs, many = _load(open_)
-        if few or (many and level == levels):
-            apart = classes.within_keys(open_.filter("NOT large").select("key", "class", "comp"))
-            if many and level == levels:  # what no sketch could split: blocks of a key against each other, only close pairs come out
-                rest = open_.filter("large").select("key", "class", "comp")
-                blocks = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(group)).alias("blocks"))
-                apart = apart.unionByName(classes.within_keys(rest, blocks))
+        last = level == levels
+        if few or (many and last):
+            # What no sketch could split: blocks of a key against each other, only close pairs come out.
+            blocks = F.when(F.col("large"), F.ceil(F.col("size") / group)).otherwise(F.col("blocks"))
+            now = open_ if last else open_.filter("NOT large")
+            apart = classes.within_keys(now.select("key", "class", "comp", blocks.cast("bigint").alias("blocks")))
             apart = written(apart.distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"))
             if not apart.isEmpty():
                 tried = tried.unionByName(apart)
                 comps = joined(comps, classes.links(apart))
         large = open_.filter("large")
-        if level == levels or not many:
+        if last or not many:
             break
         # A class's crowded keys: at most its number of words.
         keyed = large.groupBy("class").agg(F.collect_list("key").alias("keys"))
         members = classes.texts(keyed.select("class")).join(keyed.hint("merge"), "class").mapInArrow(_refined(k, percent, level), "key bigint, class bigint")
-        members = written(members)
+        members = written(members).withColumn("blocks", F.lit(None).cast("bigint"))
     return rows, comps
 
 

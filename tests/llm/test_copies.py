@@ -263,3 +263,62 @@ def test_components_joined_step_by_step(spark, monkeypatch, few_bytes):
     whole = {r["node"]: r["comp"] for r in components(reduce(DataFrame.unionByName, frames)).collect()}
     rows = comps.collect()
     assert len(rows) == len(whole) and {r["node"]: r["comp"] for r in rows} == whole
+
+
+def family(n, words, most, seed):
+    """Copies of one text with up to ``most`` words changed, some of them close and some apart from all others."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        own = [f"w{j}" for j in range(words)]
+        for at in rng.choice(words, rng.integers(1, most + 1), replace=False):
+            own[at] = f"x{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(own), "en", "s", 0))
+    return rows
+
+
+@pytest.mark.parametrize("refined", [jaccard_join.REFINED, 0])
+def test_a_family_of_near_copies_is_not_refined(spark, monkeypatch, refined):
+    """Whatever its size, its classes are compared once, in blocks; refined keys give the same components."""
+    made, refine_of = [], jaccard_join._refined
+    monkeypatch.setattr(jaccard_join, "_refined", lambda *a: made.append(a) or refine_of(*a))
+    rows = family(160, 70, 14, 7)
+    rows += [(1000 + i, " ".join([t, *(f"y{j}" for j in range(60))]), *rest) for i, t, *rest in family(40, 70, 12, 8)]
+    docs = H.frame(spark, rows)
+    got = H.result(jaccard_join.near_copy_components(docs, group=12, refined=refined, levels=2))
+    assert got == links(rows)
+    assert len({c for *_, c in got}) > 20 and bool(made) == (refined == 0)
+
+
+def test_pairs_in_blocks_of_any_sizes():
+    """Sizes, and so lengths of sketches, differ; one component has most of the classes."""
+    rng = np.random.default_rng(9)
+    sets = []
+    for i in range(130):
+        base = np.arange(100 + 6 * (i % 13), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        keep = np.delete(base, rng.choice(len(base), rng.integers(1, 25), replace=False))
+        sets.append(np.unique(np.concatenate([keep, rng.integers(0, 1 << 63, rng.integers(0, 20)).astype(np.uint64)])))
+    comp, block = [0 if i < 75 else i for i in range(130)], [i % 2 for i in range(130)]
+    sketches = [jaccard_join.sketch(s) for s in sets]
+    assert len(set(map(len, sketches))) > 1
+
+    def pairs(low, high, closest):
+        held = [i for i in range(130) if block[i] in (low, high)]
+        columns = {"key": [5] * 130, "low": [low] * 130, "high": [high] * 130, "class": range(130), "comp": comp, "n": list(map(len, sets)), "block": block}
+        arrays = [pa.array([list(c)[i] for i in held], pa.int64()) for c in columns.values()]
+        arrays += [pa.array([sketches[i] for i in held]), pa.array([None] * len(held), pa.list_(pa.int64()))]
+        rows = pa.RecordBatch.from_arrays(arrays, names=[*columns, "sketch", "keys"])
+        return [p for b in jaccard_join._near_in_keys(80, closest)(iter([rows])) for p in zip(*b.to_pydict().values(), strict=True)]
+
+    def near(a, b):
+        m, n = sorted((len(sets[a]), len(sets[b])))
+        return 180 * jaccard_join.distance(sketches[a], sketches[b]) <= 20 * (m + n) and 100 * m >= 80 * n
+
+    want = [(a, b) for a in range(130) for b in range(a + 1, 130) if comp[a] != comp[b] and near(a, b)]
+    got = [p for low, high in ((0, 0), (0, 1), (1, 1)) for p in pairs(low, high, False)]
+    assert len(want) > 300 and sorted(got) == want
+    for low, high in ((0, 0), (0, 1), (1, 1)):
+        few = pairs(low, high, True)
+        own = [p for p in want if {block[p[0]], block[p[1]]} == {low, high}]
+        parties = {comp[c] for p in own for c in p}
+        assert set(few) <= set(own) and len(few) <= len(parties) and parties - {0} <= {comp[c] for p in few for c in p}
