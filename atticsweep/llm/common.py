@@ -48,9 +48,21 @@ SLICE_BYTES = 8 << 20
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """What runs within it hands rows to Python in batches of about a slice (by default 64 MB, of which executors hold several)."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    with _set(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE_BYTES)):
+        yield
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """The shuffles of each job that runs within it go as it ends; else they stay until the driver happens to collect its garbage."""
+    with _set(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        yield
+
+
+@contextmanager
+def _set(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     own = spark.conf.get(name)
-    spark.conf.set(name, str(SLICE_BYTES))
+    spark.conf.set(name, value)
     try:
         yield
     finally:

@@ -50,7 +50,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atticsweep.llm.common import first_of, numbered, rows_of, spread_parts, texts
+from atticsweep.llm.common import first_of, numbered, rows_of, shuffles_removed, spread_parts, texts
 from atticsweep.llm.components import FEW_BYTES, components, joined
 from atticsweep.operators.lookup import settled
 from atticsweep.session import written
@@ -650,9 +650,10 @@ def _placed(rows: DataFrame, comps: DataFrame) -> DataFrame:
 
 def near_copy_components(docs: DataFrame, **settings: int) -> DataFrame:
     """Per row: doc_id, n_shingles and component_id, the smallest id reachable by links."""
-    rows, comps = near_copies(docs, **settings)
-    placed = _placed(rows, comps)
-    smallest = written(placed.groupBy("comp").agg(F.min("doc_id").alias("component_id")))
+    with shuffles_removed(docs.sparkSession):
+        rows, comps = near_copies(docs, **settings)
+        placed = _placed(rows, comps)
+        smallest = written(placed.groupBy("comp").agg(F.min("doc_id").alias("component_id")))
     together = placed.join(smallest.hint("merge"), "comp").select("doc_id", "n_shingles", "component_id")
     alone = rows.filter("class IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return together.unionByName(alone)
@@ -663,10 +664,11 @@ def one_of_each(docs: DataFrame, **settings: int) -> DataFrame:
 
     Rows are told apart by their number, so repeated and null ids do not matter.
     """
-    own, row = numbered(docs)
-    placed = _placed(*near_copies(own.select(F.col(row).alias("doc_id"), "text"), **settings))
-    ids = texts(own, row).select("doc_id", F.xxhash64("text").alias("text_key"), row)
-    known = written(ids.join(placed.select(F.col("doc_id").alias(row), "comp").hint("merge"), row))
-    kept = written(known.groupBy("comp").agg(F.min(first_of(row)).alias("first")).select("comp", F.col("first.row").alias("kept_row")))
-    gone = known.join(kept.hint("merge"), "comp").filter(F.col(row) != F.col("kept_row")).select(row)
-    return own.join(written(gone).hint("merge"), row, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    with shuffles_removed(docs.sparkSession):
+        own, row = numbered(docs)
+        placed = _placed(*near_copies(own.select(F.col(row).alias("doc_id"), "text"), **settings))
+        ids = texts(own, row).select("doc_id", F.xxhash64("text").alias("text_key"), row)
+        known = written(ids.join(placed.select(F.col("doc_id").alias(row), "comp").hint("merge"), row))
+        kept = written(known.groupBy("comp").agg(F.min(first_of(row)).alias("first")).select("comp", F.col("first.row").alias("kept_row")))
+        gone = written(known.join(kept.hint("merge"), "comp").filter(F.col(row) != F.col("kept_row")).select(row))
+    return own.join(gone.hint("merge"), row, "left_anti").select(*[f"`{c}`" for c in docs.columns])

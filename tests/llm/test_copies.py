@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 from functools import reduce
 from pathlib import Path
@@ -12,8 +13,9 @@ from pyspark.sql import DataFrame
 
 from atticsweep.llm import components as component_links
 from atticsweep.llm import exact_dedup, jaccard_join, substring_dedup
+from atticsweep.llm.common import shuffles_removed
 from atticsweep.llm.components import components
-from atticsweep.session import Workspace
+from atticsweep.session import Workspace, written
 
 
 def test_exact_groups(docs, rows, empty):
@@ -322,3 +324,22 @@ def test_pairs_in_blocks_of_any_sizes():
         own = [p for p in want if {block[p[0]], block[p[1]]} == {low, high}]
         parties = {comp[c] for p in own for c in p}
         assert set(few) <= set(own) and len(few) <= len(parties) and parties - {0} <= {comp[c] for p in few for c in p}
+
+
+def test_shuffles_go_with_their_job(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size())}
+
+    before, own = shuffles(), spark.conf.get(name)
+    with shuffles_removed(spark):
+        assert written(spark.range(1000).repartition(5, "id")).count() == 1000
+    end = time.time() + 10
+    while (left := {f for f in shuffles() - before if f.startswith("shuffle_")}) and time.time() < end:
+        time.sleep(0.2)
+    assert not left and spark.conf.get(name) == own
+    assert written(spark.range(1000).repartition(5, "id")).count() == 1000  # without it they stay
+    assert {f for f in shuffles() - before if f.startswith("shuffle_")}
